@@ -67,12 +67,12 @@ def embed_texts(
         for frame in frames:
             for start in range(0, len(frame), batch):
                 part = frame.iloc[start : start + batch]
-                vectors = np.asarray(embedder(part["input_text"].tolist()), dtype=np.float32)
+                vectors = np.asarray(embedder(part["input_text"].tolist()), dtype=np.float64)
                 if len(vectors) != len(part) or (dim is not None and vectors.shape[1] != dim):
                     raise ValueError(f"embedder returned shape {vectors.shape}")
                 norms = np.linalg.norm(vectors, axis=1, keepdims=True)
                 unit = vectors / np.where(norms == 0, 1, norms)
-                yield part.assign(vec=list(unit))
+                yield part.assign(vec=list(unit.astype(np.float32)))
 
     return texts.select("input_text", "input_sha256").mapInPandas(
         run, "input_text string, input_sha256 string, vec array<float>"

@@ -16,21 +16,31 @@ RECORDS_PER_FILE = 100_000
 
 
 class VectorCache:
-    """Vectors of one model, identified by the hash of the embedded text."""
+    """Vectors of one model, identified by the hash of the embedded text.
+
+    A stream writes to a folder of its own: readers of a folder with a stream's
+    log see only the files in that log.
+    """
 
     def __init__(self, spark: SparkSession, path: str, model_id: str):
-        self.spark, self.path, self.model_id = spark, path, model_id
+        self.spark, self.model_id = spark, model_id
+        self.appended, self.streamed = f"{path}/appended", f"{path}/streamed"
 
     def scan(self) -> DataFrame:
         """All rows as stored; no rows where nothing was written yet."""
-        reader = self.spark.read.schema(SCHEMA)
+        found = [df for df in map(self._stored, (self.appended, self.streamed)) if df is not None]
+        if not found:
+            return self.spark.createDataFrame([], SCHEMA)
+        rows = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        return rows.where(F.col("model_id") == self.model_id)
+
+    def _stored(self, folder: str) -> DataFrame | None:
         try:
-            stored = reader.parquet(self.path)
+            return self.spark.read.schema(SCHEMA).parquet(folder)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], SCHEMA)
-        return stored.where(F.col("model_id") == self.model_id)
+            return None
 
     def read(self) -> DataFrame:
         """One row per text: the first one written."""
@@ -59,7 +69,7 @@ class VectorCache:
             F.lit(self.model_id).alias("model_id"),
         ).write.mode("append").option("maxRecordsPerFile", RECORDS_PER_FILE).partitionBy(
             "model_id"
-        ).parquet(self.path)
+        ).parquet(self.appended)
 
     def profile(self) -> DataFrame:
         return cache_profile(self.scan())

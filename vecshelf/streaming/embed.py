@@ -39,7 +39,7 @@ def stream_embed(
     )
     return (
         rows.writeStream.format("parquet")
-        .option("path", cache.path)
+        .option("path", cache.streamed)
         .option("checkpointLocation", checkpoint)
         .option("maxRecordsPerFile", RECORDS_PER_FILE)
         .partitionBy("model_id")
