@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecshelf.functions.text import input_text
+from vecshelf.operators.grouping import canonical
 
 
 def popularity_order(key: str = "work_key") -> list[Column]:
@@ -13,22 +14,6 @@ def popularity_order(key: str = "work_key") -> list[Column]:
     return [-F.col("editions"), F.col("year"), F.col(key)]
 
 
-def canonical(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """The first row per ``by`` in ascending ``order`` with NULLs last.
-
-    An aggregate, not a window: each map task sends on one row per group, so a
-    group holding most of the table costs no more than any other.
-    """
-    rest = [c for c in df.columns if c not in by]
-    ranks = [part for c in order for part in (c.isNull(), c)]
-    first = F.min_by(F.struct(*rest), F.struct(*ranks)).alias("first")
-    return (
-        df.groupBy(*by)
-        .agg(first)
-        .select(*[F.col(f"first.{c}") if c in rest else F.col(c) for c in df.columns])
-    )
-
-
 def _described(books: DataFrame, authors: DataFrame, prefix: str) -> DataFrame:
     names = authors.select("author_key", F.col("name").alias("author"))
     return books.join(names, books.primary_author_key == names.author_key).select(

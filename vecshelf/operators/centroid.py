@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecshelf.functions.vector import l2_norm, l2_normalize, scale
+from vecshelf.operators.grouping import aggregate
 
 
 def vector_sum(df: DataFrame, by: list[str], vec: Column | str = "vec", *extra: Column) -> DataFrame:
     """Element-wise sum per group as ``vec``, combined map-side first."""
     vec = F.col(vec) if isinstance(vec, str) else vec
     summed = Summarizer.sum(array_to_vector(vec))
-    return df.groupBy(*by).agg(vector_to_array(summed).alias("vec"), *extra)
+    return aggregate(df, by, vector_to_array(summed).alias("vec"), *extra)
 
 
 def weighted_centroid(
@@ -26,8 +27,11 @@ def weighted_centroid(
     ``(input_text, vec)`` with one row per text. Ratings of one text by one
     user are added up before the vectors join in.
     """
-    weights = ratings.groupBy(by, "input_text").agg(
-        F.sum(F.col("rating").cast("double")).alias("weight"), F.count("*").alias("n_terms")
+    weights = aggregate(
+        ratings,
+        [by, "input_text"],
+        F.sum(F.col("rating").cast("double")).alias("weight"),
+        F.count("*").alias("n_terms"),
     )
     terms = weights.join(vectors.select("input_text", "vec"), "input_text")
     sums = vector_sum(

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecshelf.functions.vector import dot, l2_normalize, scale
-from vecshelf.operators.catalog import canonical
 from vecshelf.operators.centroid import vector_sum
-from vecshelf.operators.knn import knn, top_ranked, within
+from vecshelf.operators.grouping import canonical, top_ranked
+from vecshelf.operators.knn import knn, within
 from vecshelf.operators.recommend import rated_authors, rated_exclusions
 from vecshelf.operators.scoring import SCORE_DIGITS, to_keys, to_matrix
 from vecshelf.session import shared_dir, written

@@ -41,12 +41,12 @@ def embedding_inputs(
 
 
 def keyed(texts: DataFrame) -> DataFrame:
-    """Distinct non-null ``input_text`` with its content key."""
+    """Distinct non-null ``input_text`` with its content key, partitioned by the
+    key as the anti-join with the cache needs it."""
     return (
-        texts.select("input_text")
-        .where("input_text is not null")
-        .distinct()
-        .withColumn("input_sha256", content_key("input_text"))
+        texts.where("input_text is not null")
+        .select("input_text", content_key("input_text").alias("input_sha256"))
+        .dropDuplicates(["input_sha256"])
     )
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from vecshelf.functions.vector import cosine
 from vecshelf.operators.centroid import vector_arithmetic
-from vecshelf.operators.knn import knn, top_ranked, within
+from vecshelf.operators.grouping import top_ranked
+from vecshelf.operators.knn import knn, within
 from vecshelf.operators.search import find_vector
 
 
@@ -115,65 +116,65 @@ def format_texts(concepts: DataFrame) -> DataFrame:
     )
 
 
-def evaluate_formats(
-    concepts: DataFrame, vectors: DataFrame, catalog: DataFrame, corpus: DataFrame, n: int = 10
-) -> tuple[DataFrame, DataFrame]:
-    """``(scores, neighbours)`` of each concept, format and variant.
+_PARTS = ["concept_id", "format", "variant"]
+_SEP = "\x1f"
 
-    ``concepts`` is ``(concept_id, title, type, year, expected_author,
-    expected_title)``. Variants are the marked text, and the marked text minus
-    its bare or its explicit markers; plain formats have the first alone. Scores
-    hold the cosine to the expected work, NULL if that is not embedded.
+
+def format_vectors(concepts: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``(expr_id, vec)`` of each concept, format and variant.
+
+    Variants are the marked text, and the marked text minus its bare or its
+    explicit markers; the plain formats have the first alone.
     """
     rendered = render_formats(concepts).select("concept_id", "format", "text")
     whole = rendered.withColumn("variant", F.lit("marked")).withColumn("coef", F.lit(1.0))
     marked = rendered.where(~F.col("format").isin("bare", "paren"))
     markers = format_markers(concepts)
-    lessened = marked.join(markers.select("concept_id", "variant").distinct(), "concept_id").withColumn(
-        "coef", F.lit(1.0)
-    )
-    minus = (
-        marked.drop("text").join(markers, "concept_id").withColumn("coef", F.lit(-1.0))
-    )
-    parts = ["concept_id", "format", "variant"]
-    sep = "\x1f"
+    variants = markers.select("concept_id", "variant").distinct()
+    lessened = marked.join(variants, "concept_id").withColumn("coef", F.lit(1.0))
+    minus = marked.drop("text").join(markers, "concept_id").withColumn("coef", F.lit(-1.0))
     terms = (
         whole.unionByName(lessened)
         .unionByName(minus)
-        .select(F.concat_ws(sep, *parts).alias("expr_id"), F.col("text").alias("label"), "coef")
+        .select(F.concat_ws(_SEP, *_PARTS).alias("expr_id"), F.col("text").alias("label"), "coef")
     )
-    named = vectors.select(F.col("input_text").alias("label"), "vec")
-    expressions = vector_arithmetic(named, terms)
-
-    def unpacked(df: DataFrame, id_column: str) -> DataFrame:
-        pieces = F.split(id_column, sep)
-        kind = concepts.schema["concept_id"].dataType
-        return df.withColumns(
-            {
-                "concept_id": pieces[0].cast(kind),
-                "format": pieces[1],
-                "variant": pieces[2],
-            }
-        ).drop(id_column)
-
-    wanted = concepts.select(
-        F.col("expected_author").alias("author"), F.col("expected_title").alias("title")
-    ).distinct()
-    targets = find_vector(catalog, vectors, wanted).select(
+    return vector_arithmetic(vectors.select(F.col("input_text").alias("label"), "vec"), terms)
+
+
+def _unpacked(df: DataFrame, id_column: str, concept_type) -> DataFrame:
+    pieces = F.split(id_column, _SEP)
+    named = {"concept_id": pieces[0].cast(concept_type), "format": pieces[1], "variant": pieces[2]}
+    return df.withColumns(named).drop(id_column)
+
+
+def evaluate_formats(concepts: DataFrame, vectors: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``(concept_id, format, variant, expected_title, score)``: cosine of each
+    rendering to the expected work, NULL if that work is not embedded.
+
+    ``concepts`` is ``(concept_id, title, type, year, expected_author, expected_title)``.
+    """
+    wanted = ["expected_author", "expected_title"]
+    lines = concepts.select(*[F.col(c).alias(c.removeprefix("expected_")) for c in wanted])
+    targets = find_vector(catalog, vectors, lines.distinct()).select(
         F.col("author").alias("expected_author"),
         F.col("title").alias("expected_title"),
         F.col("vec").alias("target"),
     )
-    expected = concepts.select("concept_id", "expected_author", "expected_title").join(
-        targets, ["expected_author", "expected_title"], "left"
-    )
-    scores = (
-        unpacked(expressions, "expr_id")
+    expected = concepts.select("concept_id", *wanted).join(targets, wanted, "left")
+    kind = concepts.schema["concept_id"].dataType
+    return (
+        _unpacked(format_vectors(concepts, vectors), "expr_id", kind)
         .join(expected, "concept_id")
-        .select(*parts, "expected_title", cosine("vec", "target").alias("score"))
+        .select(*_PARTS, "expected_title", cosine("vec", "target").alias("score"))
     )
-    hits = knn(corpus, expressions.withColumnRenamed("expr_id", "qid"), n)
-    return scores, unpacked(hits, "qid")
+
+
+def format_neighbours(
+    concepts: DataFrame, vectors: DataFrame, corpus: DataFrame, n: int = 10
+) -> DataFrame:
+    """The ``n`` nearest works of each concept, format and variant."""
+    queries = format_vectors(concepts, vectors).withColumnRenamed("expr_id", "qid")
+    return _unpacked(knn(corpus, queries, n), "qid", concepts.schema["concept_id"].dataType)
 
 
 def random_control(spark: SparkSession, count: int, dim: int, seed: int = 42) -> DataFrame:

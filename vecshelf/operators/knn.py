@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecshelf.operators.scoring import Exclusions, QueryBlock, to_keys, to_matrix
+from vecshelf.operators.grouping import top_ranked
+from vecshelf.operators.scoring import QueryBlock, to_keys, to_matrix
 from vecshelf.session import written
 
 METRICS = ("cosine", "dot", "mean_cosine", "l2")
@@ -80,14 +81,6 @@ def within(
     )
 
 
-def top_ranked(df: DataFrame, by: str | list[str], n: int, order: list) -> DataFrame:
-    """First ``n`` rows per ``by`` with their 1-based ``rank``; each map task
-    keeps only its own first ``n`` before the shuffle."""
-    by = [by] if isinstance(by, str) else by
-    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    return ranked.where(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("long"))
-
-
 def _search(
     corpus, queries, n, floor, exclude, exclude_groups, key, group, where, metric, broadcast_queries
 ) -> DataFrame:
@@ -133,26 +126,12 @@ def _bounded(df: DataFrame, rows: int) -> pa.Table | None:
 def _pairs(df: DataFrame | None, column: str):
     if df is None:
         return np.empty(0, object), np.empty(0, object)
-    table = _bounded(df.select("qid", column).distinct(), BROADCAST_EXCLUSIONS)
+    table = _bounded(df.select("qid", column), BROADCAST_EXCLUSIONS)
     if table is None:
         return None
     return to_keys(table["qid"]), to_keys(table[column])
 
 
-def _positions(qids: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Position in ``qids`` of each of ``wanted``, and which are there at all."""
-    where = {q: i for i, q in enumerate(qids.tolist())}
-    found = np.array([where.get(q, -1) for q in wanted.tolist()], dtype=np.int64)
-    return found, found >= 0
-
-
-def _exclusions(qids: np.ndarray, owners: np.ndarray, values: np.ndarray) -> Exclusions:
-    position, known = _positions(qids, owners)
-    if not known.any():
-        return Exclusions.none()
-    return Exclusions.of(values[known], position[known])
-
-
 def _emit(block: QueryBlock, found, schema: pa.Schema) -> pa.RecordBatch:
     q, keys, scores = found
     return pa.RecordBatch.from_arrays(
@@ -173,24 +152,16 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
 
 def _by_broadcast(corpus, queries: pa.Table, n, floor, keys_out, groups_out, metric, schema):
     out = _arrow_schema(schema)
-    qids = to_keys(queries["qid"])
-    owners = np.unique(qids)
-    by_key, by_group = _exclusions(owners, *keys_out), _exclusions(owners, *groups_out)
     shared = corpus.sparkSession.sparkContext.broadcast(
-        (
-            qids,
-            to_matrix(queries["vec"]),
-            (by_key.values, by_key.positions),
-            (by_group.values, by_group.positions),
-        )
+        (to_keys(queries["qid"]), to_matrix(queries["vec"]), keys_out, groups_out)
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, matrix, by_key, by_group = shared.value
-        by_key, by_group = Exclusions(*by_key), Exclusions(*by_group)
+        qids, matrix, keys_out, groups_out = shared.value
         if not len(qids):
             return
         block = QueryBlock(qids, matrix, n, metric, floor)
+        by_key, by_group = block.exclusions(*keys_out), block.exclusions(*groups_out)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -333,8 +304,8 @@ class _Cell:
                 to_keys(rows["key"]),
                 to_keys(rows["group"]),
                 to_matrix(rows["vec"]),
-                _exclusions(self.block.owners, *self.key_out),
-                _exclusions(self.block.owners, *self.group_out),
+                self.block.exclusions(*self.key_out),
+                self.block.exclusions(*self.group_out),
             )
             for hit in found:
                 yield _emit(self.block, hit, out)

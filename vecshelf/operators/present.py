@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecshelf.operators.knn import top_ranked
+from vecshelf.operators.grouping import top_ranked
 
 NEAR_DUPLICATE = 0.92
 

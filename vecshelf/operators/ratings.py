@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecshelf.operators.grouping import aggregate
+
 # The ratings a user can give.
 RATINGS = (-2, -1, 1, 2)
 
@@ -33,7 +35,7 @@ def fold_ratings(changes: DataFrame) -> DataFrame:
     """
     carried = [c for c in ("rating", "input_text", "ts") if c in changes.columns]
     last = F.max_by(F.struct(*carried), F.struct("ts", "event_id")).alias("last")
-    folded = changes.groupBy("user", "work_key").agg(last).select("user", "work_key", "last.*")
+    folded = aggregate(changes, ["user", "work_key"], last).select("user", "work_key", "last.*")
     return folded.where("rating is not null").withColumnRenamed("ts", "updated_at")
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from vecshelf.functions.vector import l2_normalize
 from vecshelf.operators.centroid import vector_sum, weighted_centroid
-from vecshelf.operators.knn import knn, top_ranked, within
+from vecshelf.operators.grouping import top_ranked
+from vecshelf.operators.knn import knn, within
 from vecshelf.operators.search import described, match_preferences
 
 
@@ -79,7 +80,8 @@ def recommend_from_preferences(
     """
     if agg not in ("mean", "max"):
         raise ValueError("agg must be mean or max")
-    hits = match_preferences(prefs, corpus).select(F.lit(0).alias("qid"), "work_key", "author", "vec")
+    matched = match_preferences(prefs, corpus.drop("vec")).select("work_key", "author")
+    hits = matched.join(corpus.select("work_key", "vec"), "work_key").withColumn("qid", F.lit(0))
     ranked = knn(
         corpus,
         _mean_queries(hits) if agg == "mean" else hits,

@@ -49,10 +49,6 @@ class Exclusions:
         order = np.argsort(values, kind="stable")
         return cls(values[order], positions[order])
 
-    @classmethod
-    def none(cls) -> "Exclusions":
-        return cls(np.empty(0, object), np.empty(0, np.int64))
-
     def hits(self, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query position, probe row) for every match of ``probe``."""
         if not len(self.values) or not len(probe):
@@ -81,6 +77,7 @@ class QueryBlock:
         self.matrix = _unit(matrix) if metric == "cosine" else matrix
         self.owner = owner[order]
         self.starts = np.searchsorted(self.owner, np.arange(len(self.owners) + 1))
+        self.position = {q: i for i, q in enumerate(self.owners.tolist())}
         self.metric = metric
         self.n = n
         self.floor = -np.inf if floor is None else floor
@@ -89,6 +86,12 @@ class QueryBlock:
         self.best_score = np.empty(0)
         self.best_key = np.empty(0, object)
 
+    def exclusions(self, qids: np.ndarray, values: np.ndarray) -> Exclusions:
+        """Pairs (query, value) as exclusions of this block; other queries' are passed over."""
+        found = np.array([self.position.get(q, -1) for q in qids.tolist()], dtype=np.int64)
+        mine = found >= 0
+        return Exclusions.of(values[mine], found[mine])
+
     def _scores(self, queries: np.ndarray, corpus: np.ndarray) -> np.ndarray:
         if self.metric == "l2":
             scores = np.stack([-np.linalg.norm(corpus - q, axis=1) for q in queries])

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from vecshelf.functions.text import text_match
 from vecshelf.functions.vector import cosine
-from vecshelf.operators.catalog import canonical, popularity_order
-from vecshelf.operators.knn import knn, top_ranked
+from vecshelf.operators.catalog import popularity_order
+from vecshelf.operators.grouping import canonical, top_ranked
+from vecshelf.operators.knn import knn
 
 # Needles carried inside the scan; more of them go through the gram join.
 INLINE_NEEDLES = 256
@@ -122,9 +123,17 @@ def best_match(
     return corpus.where(text_match(list(columns), q)).orderBy(*_ranked_order()).limit(1)
 
 
+def _resolved(corpus: DataFrame, q: str, columns: tuple[str, ...]) -> DataFrame:
+    """The best match with its vector, as local data of at most one row. The match
+    scans text columns only; the vector is then read by a filter on its key."""
+    found = best_match(corpus.drop("vec"), q, columns).select("work_key").first()
+    key = F.lit(found.work_key if found else None)
+    return corpus.sparkSession.createDataFrame(corpus.where(F.col("work_key") == key).limit(1).toArrow())
+
+
 def similar_to(corpus: DataFrame, q: str, n: int = 10, same_author: bool = True) -> DataFrame:
     """Neighbours of the best match of ``q``, itself left out."""
-    match = best_match(corpus, q).select(F.lit(0).alias("qid"), "work_key", "author", "vec")
+    match = _resolved(corpus, q, ("title", "input_text")).withColumn("qid", F.lit(0))
     hits = knn(
         corpus,
         match,
@@ -138,7 +147,7 @@ def similar_to(corpus: DataFrame, q: str, n: int = 10, same_author: bool = True)
 def similar_between(corpus: DataFrame, qa: str, qb: str) -> DataFrame:
     """Cosine of the best title matches of two queries; no row if one has none."""
     sides = [
-        best_match(corpus, q, ("title",)).select(F.lit(side).alias("side"), "title", "vec")
+        _resolved(corpus, q, ("title",)).select(F.lit(side).alias("side"), "title", "vec")
         for side, q in (("a", qa), ("b", qb))
     ]
 

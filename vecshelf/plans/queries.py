@@ -555,24 +555,26 @@ def render_formats(bed: Testbed) -> DataFrame:
     return evaluate.render_formats(bed.concepts).select("concept_id", "format", "text")
 
 
-def evaluated(bed: Testbed, n: int) -> tuple[DataFrame, DataFrame]:
+def embedded_concepts(bed: Testbed) -> tuple[DataFrame, DataFrame]:
+    """The concepts, and hash vectors of all their renderings and of all works."""
     concepts = written(bed.concepts, "concepts")
     cache = hash_cache(bed)
     texts = evaluate.format_texts(concepts).unionByName(bed.catalog.select("input_text"))
     embed.embed_missing(embed.keyed(texts), cache, embed.hash_embedder, dim=HASH_DIM)
-    vectors = cache.read()
-    corpus = written(cat.build_corpus(bed.meta, vectors, cache.model_id), "hash-corpus")
-    return evaluate.evaluate_formats(concepts, vectors, bed.catalog, corpus, n)
+    return concepts, cache.read()
 
 
 @query
 def evaluate_formats(bed: Testbed) -> DataFrame:
-    return rounded(evaluated(bed, 3)[0])
+    concepts, vectors = embedded_concepts(bed)
+    return rounded(evaluate.evaluate_formats(concepts, vectors, bed.catalog))
 
 
 @query
 def evaluate_formats_neighbours(bed: Testbed) -> DataFrame:
-    return rounded(evaluated(bed, 3)[1])
+    concepts, vectors = embedded_concepts(bed)
+    corpus = written(cat.build_corpus(bed.meta, vectors, "sha256/centred"), "hash-corpus")
+    return rounded(evaluate.format_neighbours(concepts, vectors, corpus, 3))
 
 
 @query

@@ -12,7 +12,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecshelf.operators.catalog import book_meta, build_catalog, build_corpus, canonical
+from vecshelf.operators.catalog import book_meta, build_catalog, build_corpus
+from vecshelf.operators.grouping import canonical
 from vecshelf.operators.ratings import fold_ratings, validate_ratings
 from vecshelf.session import new_path, written
 from vecshelf.sources.dump import land_dump, read_dump

@@ -23,7 +23,7 @@ def read_dump(
     Records are ``(type, key, revision, ts, json)``, all strings, quoting off.
     Lines of fewer columns or with unreadable JSON go to the quarantine as
     ``(line, reason)``. A gzip file is read by one task, so ``partitions``
-    spreads it by record key right after the scan.
+    deals its lines out evenly right after the scan, whatever they hold.
     """
     lines = spark.read.text(path, lineSep="\n").select(
         F.regexp_replace("value", r"\r$", "").alias("line")
@@ -33,7 +33,7 @@ def read_dump(
         "line", *[F.get(parts, F.lit(i)).alias(name) for i, name in enumerate(COLUMNS)]
     )
     if partitions:
-        rows = rows.repartition(partitions, "key")
+        rows = rows.repartition(partitions)
     rows = rows.withColumn(
         "reason",
         F.when(F.col("json").isNull(), "missing_columns").when(
