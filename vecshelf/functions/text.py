@@ -51,13 +51,15 @@ def unwrap_text(variant: Column | str, field: str) -> Column:
     ).otherwise(json_field(variant, f"$.{field}"))
 
 
-def subject_match(json: Column | str, word: str = "fiction", whole_word: bool = False) -> Column:
-    """Whether the serialized ``subjects`` of a JSON text hold ``word``.
+def subject_match(
+    variant: Column | str, word: str = "fiction", whole_word: bool = False
+) -> Column:
+    """Whether the serialized ``subjects`` of a parsed document hold ``word``.
 
     The default is a substring test ("nonfiction" passes); ``whole_word`` asks
     for a word boundary on both sides. Missing subjects give False.
     """
-    subjects = F.lower(F.get_json_object(_col(json), "$.subjects"))
+    subjects = F.lower(F.to_json(F.try_variant_get(_col(variant), "$.subjects", "variant")))
     if whole_word:
         hit = subjects.rlike(rf"\b\Q{word.lower()}\E\b")
     else:

@@ -21,7 +21,7 @@ from vecshelf.operators.grouping import canonical, top_ranked
 from vecshelf.operators.knn import knn, within
 from vecshelf.operators.recommend import rated_authors, rated_exclusions
 from vecshelf.operators.scoring import SCORE_DIGITS, to_keys, to_matrix
-from vecshelf.session import shared_dir, written
+from vecshelf.session import written
 
 CELL_POINTS = 50_000
 
@@ -59,13 +59,13 @@ def cluster_preferences(
     for _ in range(iters):
         step = _per_cell(points, centroids, _partial_sums, _SUMS)
         moved = vector_sum(step, ["user", "cluster"]).withColumnRenamed("vec", "sum")
-        centroids = (
+        centroids = written(
             centroids.join(moved, ["user", "cluster"], "left")
             .withColumn("next", F.coalesce(l2_normalize("sum"), "vec"))
             .select(
                 "user", "cluster", F.col("next").alias("vec"), (1 - dot("vec", "next")).alias("shift")
-            )
-            .checkpoint()
+            ),
+            "centroids",
         )
         if (centroids.agg(F.max("shift")).first()[0] or 0.0) <= tolerance:
             break
@@ -74,7 +74,6 @@ def cluster_preferences(
 
 
 def _salted(points: DataFrame, k: int, min_size: int) -> DataFrame:
-    shared_dir(points.sparkSession)
     sizes = points.groupBy("user").agg(F.count("*").alias("likes"))
     own_k = F.greatest(F.lit(1), F.least(F.lit(k), F.floor(F.col("likes") / min_size)))
     sizes = sizes.select(
@@ -92,12 +91,13 @@ def _seeds(points: DataFrame, k: int) -> DataFrame:
     """Start at each user's strongest like, then add the like farthest from all seeds."""
     order = [-F.col("rating"), F.col("input_text")]
     first = canonical(points.select("user", "input_text", "rating", "vec"), ["user"], order)
-    seeds = first.select("user", F.lit(0).alias("cluster"), "vec").checkpoint()
+    seeds = written(first.select("user", F.lit(0).alias("cluster"), "vec"), "seeds")
     for number in range(1, k):
         open_points = points.where(F.col("k") > number)
         far = _per_cell(open_points, seeds, _farthest, _FAR)
         pick = canonical(far, ["user"], [F.col("score"), F.col("input_text")])
-        seeds = seeds.unionByName(pick.select("user", F.lit(number).alias("cluster"), "vec")).checkpoint()
+        added = pick.select("user", F.lit(number).alias("cluster"), "vec")
+        seeds = seeds.unionByName(written(added, "seeds"))
     return seeds
 
 

@@ -27,7 +27,7 @@ def edition_aggregates(
     rows = _parsed(editions.where("work_key is not null")).select(
         "work_key",
         extract_year(json_field("doc", "$.publish_date")).alias("year"),
-        subject_match("json", subject, whole_word).alias("fiction"),
+        subject_match("doc", subject, whole_word).alias("fiction"),
         json_field("doc", "$.isbn_13[0]").alias("isbn13"),
         unwrap_text("doc", "description").alias("description"),
     )
@@ -48,10 +48,10 @@ def select_works(
     whole_word: bool = False,
 ) -> DataFrame:
     """Works on the subject, by their own subjects or an edition's, with enough editions."""
-    kept = works.select(F.col("key").alias("work_key"), "json")
-    return kept.join(ed_agg.where(F.col("edition_count") >= min_editions), "work_key").where(
-        F.col("ed_fiction") | subject_match("json", subject, whole_word)
-    )
+    on_subject = subject_match("doc", subject, whole_word).alias("fiction")
+    kept = _parsed(works).select(F.col("key").alias("work_key"), "json", on_subject)
+    counted = ed_agg.where(F.col("edition_count") >= min_editions)
+    return kept.join(counted, "work_key").where("fiction or ed_fiction").drop("fiction")
 
 
 def build_books(selected: DataFrame) -> DataFrame:

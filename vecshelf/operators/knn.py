@@ -23,8 +23,9 @@ from vecshelf.session import written
 
 METRICS = ("cosine", "dot", "mean_cosine", "l2")
 
-# Size bounds for sending one side to every task.
-BROADCAST_QUERIES = 8192
+# Size bounds for sending one side to every task. A first look takes at most
+# FIRST_LOOK queries; more are written out and measured before they are read.
+FIRST_LOOK = 4096
 BROADCAST_BYTES = 64 << 20
 BROADCAST_EXCLUSIONS = 1_000_000
 # A grid cell holds this many bytes of query vectors, and about this many
@@ -46,7 +47,7 @@ def knn(
     group: str = "author",
     where=None,
     metric: str = "cosine",
-    broadcast_queries: int = BROADCAST_QUERIES,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """The ``n`` best corpus rows per query: ``(qid, key, score, rank)``.
 
@@ -60,7 +61,7 @@ def knn(
     """
     hits = _search(
         corpus, queries, n, None, exclude, exclude_groups, key, group, where, metric,
-        broadcast_queries,
+        broadcast_bytes,
     )
     return top_ranked(hits, "qid", n, [F.col("score").desc(), F.col(key).asc()])
 
@@ -73,16 +74,16 @@ def within(
     key: str = "work_key",
     where=None,
     metric: str = "cosine",
-    broadcast_queries: int = BROADCAST_QUERIES,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Every ``(qid, key, score)`` whose score reaches ``floor``."""
     return _search(
-        corpus, queries, None, floor, None, None, key, "author", where, metric, broadcast_queries
+        corpus, queries, None, floor, None, None, key, "author", where, metric, broadcast_bytes
     )
 
 
 def _search(
-    corpus, queries, n, floor, exclude, exclude_groups, key, group, where, metric, broadcast_queries
+    corpus, queries, n, floor, exclude, exclude_groups, key, group, where, metric, broadcast_bytes
 ) -> DataFrame:
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -106,8 +107,14 @@ def _search(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    small = _bounded(queries, broadcast_queries)
-    if small is not None and small.nbytes <= BROADCAST_BYTES:
+    small = _bounded(queries, FIRST_LOOK) if broadcast_bytes else None
+    if small is None:
+        queries = written(queries, "knn-queries")
+        size = _vector_bytes(queries)
+        small = queries.toArrow() if size <= broadcast_bytes else None
+    elif small.nbytes > broadcast_bytes:
+        queries, small = written(queries, "knn-queries"), None
+    if small is not None:
         keys_out = _pairs(exclude, "key")
         groups_out = _pairs(exclude_groups, "group")
         if keys_out is not None and groups_out is not None:
@@ -123,6 +130,11 @@ def _bounded(df: DataFrame, rows: int) -> pa.Table | None:
     return table if table.num_rows <= rows else None
 
 
+def _vector_bytes(queries: DataFrame) -> int:
+    """Bytes the vectors take up as a float64 matrix."""
+    return 8 * (queries.agg(F.sum(F.size("vec").cast("long"))).first()[0] or 0)
+
+
 def _pairs(df: DataFrame | None, column: str):
     if df is None:
         return np.empty(0, object), np.empty(0, object)
@@ -177,7 +189,6 @@ def _by_broadcast(corpus, queries: pa.Table, n, floor, keys_out, groups_out, met
 
 def _by_grid(corpus, queries, n, floor, exclude, exclude_groups, metric, schema):
     spark = corpus.sparkSession
-    queries = written(queries, "knn-queries")
     n_queries, dim = queries.agg(F.count("*"), F.max(F.size("vec"))).first()
     n_corpus = corpus.count()
     per_block = max(1, CELL_QUERY_BYTES // (8 * max(dim or 1, 1)))

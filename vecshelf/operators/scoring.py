@@ -97,7 +97,11 @@ class QueryBlock:
             scores = np.stack([-np.linalg.norm(corpus - q, axis=1) for q in queries])
         else:
             scores = queries @ corpus.T
-        scores = np.round(scores, SCORE_DIGITS)
+        if self.metric in ("cosine", "mean_cosine"):
+            norms = np.sqrt(np.einsum("ij,ij->i", corpus, corpus))
+            norms[norms == 0] = np.nan
+            scores /= norms
+        np.round(scores, SCORE_DIGITS, out=scores)
         scores[np.isnan(scores)] = -np.inf
         return scores
 
@@ -113,8 +117,6 @@ class QueryBlock:
     def feed(self, keys, groups, corpus, key_exclusions, group_exclusions):
         """Score one corpus batch; yields (owner positions, keys, scores) found
         by a threshold search, nothing for a top-n search."""
-        if self.metric in ("cosine", "mean_cosine"):
-            corpus = _unit(corpus)
         for first, last in self._owner_blocks():
             queries = self.matrix[self.starts[first] : self.starts[last]]
             width = max(1, _SLICE_CELLS // len(queries))

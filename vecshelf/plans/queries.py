@@ -40,6 +40,7 @@ def query(build: Callable[[Testbed], DataFrame]) -> Callable[[Testbed], DataFram
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return build(Testbed(spark, sf_dir))
 
+    run.build = build
     QUERIES[build.__name__] = run
     return build
 
@@ -242,7 +243,7 @@ def read_dump(bed: Testbed) -> DataFrame:
 
 @query
 def dump_quarantine(bed: Testbed) -> DataFrame:
-    return bed.dump[1]
+    return bed.records["quarantine"]
 
 
 @query
@@ -530,7 +531,7 @@ def knn_batch(bed: Testbed) -> DataFrame:
 
 @query
 def knn_grid(bed: Testbed) -> DataFrame:
-    return rounded(knn.knn(bed.corpus, label_queries(bed), 10, broadcast_queries=0))
+    return rounded(knn.knn(bed.corpus, label_queries(bed), 10, broadcast_bytes=0))
 
 
 @query

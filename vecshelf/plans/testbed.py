@@ -155,14 +155,17 @@ class Testbed:
         dump_lines(self).write.option("compression", "gzip").text(path)
         return path
 
+    @property
+    def cores(self) -> int:
+        return self.spark.sparkContext.defaultParallelism
+
     @cached_property
     def dump(self) -> tuple[DataFrame, DataFrame]:
-        cores = self.spark.sparkContext.defaultParallelism
-        return read_dump(self.spark, self.dump_path, partitions=cores)
+        return read_dump(self.spark, self.dump_path, self.cores)
 
     @cached_property
     def records(self) -> dict[str, DataFrame]:
-        return land_dump(self.dump[0], new_path(self.spark, "records"))
+        return land_dump(self.spark, self.dump_path, new_path(self.spark, "records"), self.cores)
 
 
 def changes_of(events: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COLUMNS = ["type", "key", "revision", "ts", "json"]
@@ -15,6 +15,20 @@ RECORD_TYPES = {
 }
 
 
+def _parsed_lines(spark: SparkSession, path: str, partitions: int | None) -> DataFrame:
+    """The dump's columns, the parsed ``doc``, and the ``reason`` a line is unusable."""
+    lines = spark.read.text(path, lineSep="\n").where("value != ''")
+    if partitions:
+        lines = lines.repartition(partitions)
+    line = F.rtrim("value", F.lit("\r"))
+    parts = F.split(line, "\t", len(COLUMNS))
+    rows = lines.select(
+        line.alias("line"), *[F.get(parts, F.lit(i)).alias(name) for i, name in enumerate(COLUMNS)]
+    ).withColumn("doc", F.try_parse_json("json"))
+    reason = F.when(F.col("json").isNull(), "missing_columns").when(F.col("doc").isNull(), "bad_json")
+    return rows.withColumn("reason", reason)
+
+
 def read_dump(
     spark: SparkSession, path: str, partitions: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -25,51 +39,51 @@ def read_dump(
     ``(line, reason)``. A gzip file is read by one task, so ``partitions``
     deals its lines out evenly right after the scan, whatever they hold.
     """
-    lines = spark.read.text(path, lineSep="\n").select(
-        F.regexp_replace("value", r"\r$", "").alias("line")
-    )
-    parts = F.split("line", "\t", len(COLUMNS))
-    rows = lines.where("line != ''").select(
-        "line", *[F.get(parts, F.lit(i)).alias(name) for i, name in enumerate(COLUMNS)]
-    )
-    if partitions:
-        rows = rows.repartition(partitions)
-    rows = rows.withColumn(
-        "reason",
-        F.when(F.col("json").isNull(), "missing_columns").when(
-            F.try_parse_json("json").isNull(), "bad_json"
-        ),
-    )
+    rows = _parsed_lines(spark, path, partitions)
     records = rows.where("reason is null").select(*COLUMNS)
     return records, rows.where("reason is not null").select("line", "reason")
 
 
-def split_by_type(dump: DataFrame) -> dict[str, DataFrame]:
-    """Authors, works and editions with their header columns; other types are left out."""
+def split_by_type(headed: DataFrame) -> dict[str, DataFrame]:
+    """Authors, works and editions of a landed dump, each with its own header
+    columns beside the JSON; records of other types are left out."""
+    columns = {
+        "authors": ["key", "name", "json"],
+        "works": ["key", "title", "json"],
+        "editions": ["key", "title", "work_key", "author_key", "json"],
+    }
+    return {
+        table: headed.where(F.col("type") == record_type).select(*columns[table])
+        for record_type, table in RECORD_TYPES.items()
+    }
 
-    def of(record_type: str) -> DataFrame:
-        return dump.where(F.col("type") == record_type)
 
-    def field(path: str, name: str):
-        return F.get_json_object("json", path).alias(name)
+def land_dump(
+    spark: SparkSession, path: str, out: str, partitions: int | None = None
+) -> dict[str, DataFrame]:
+    """Write the three record types and the quarantine in one scan, a folder each,
+    and read them back: ``authors``, ``works``, ``editions`` and ``quarantine``.
 
-    return {
-        "authors": of("/type/author").select("key", field("$.name", "name"), "json"),
-        "works": of("/type/work").select("key", field("$.title", "title"), "json"),
-        "editions": of("/type/edition").select(
-            "key",
-            field("$.title", "title"),
-            field("$.works[0].key", "work_key"),
-            field("$.authors[0].key", "author_key"),
-            "json",
-        ),
-    }
+    Each line is parsed once: unusable ones are not filtered out but written
+    under a type of their own.
+    """
+    rows = _parsed_lines(spark, path, partitions)
 
+    def field(path: str) -> Column:
+        return F.try_variant_get("doc", path, "string")
 
-def land_dump(dump: DataFrame, path: str) -> dict[str, DataFrame]:
-    """Write the three record types in one scan, a folder each, and read them back."""
-    spark = dump.sparkSession
-    dump.where(F.col("type").isin(*RECORD_TYPES)).write.mode("overwrite").partitionBy(
-        "type"
-    ).parquet(path)
-    return split_by_type(spark.read.schema(dump.schema).parquet(path))
+    wanted = F.col("type").isin(*RECORD_TYPES) | F.col("json").isNull()
+    headed = rows.where(wanted).select(
+        "key",
+        field("$.name").alias("name"),
+        field("$.title").alias("title"),
+        field("$.works[0].key").alias("work_key"),
+        field("$.authors[0].key").alias("author_key"),
+        F.when(F.col("reason").isNull(), F.col("json")).otherwise(F.col("line")).alias("json"),
+        "reason",
+        F.when(F.col("reason").isNull(), F.col("type")).otherwise("quarantine").alias("type"),
+    )
+    headed.write.mode("overwrite").partitionBy("type").parquet(out)
+    landed = spark.read.schema(headed.schema).parquet(out)
+    unusable = landed.where("type = 'quarantine'").select(F.col("json").alias("line"), "reason")
+    return {**split_by_type(landed), "quarantine": unusable}
