@@ -8,6 +8,7 @@ past them, sending on one partial sum per centroid instead of its points.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,25 +18,58 @@ from pyspark.sql import types as T
 
 from vecshelf.functions.vector import dot, l2_normalize, scale
 from vecshelf.operators.centroid import vector_sum
-from vecshelf.operators.grouping import canonical, top_ranked
+from vecshelf.operators.grouping import aggregate, canonical, top_ranked
 from vecshelf.operators.knn import knn, within
 from vecshelf.operators.recommend import rated_authors, rated_exclusions
-from vecshelf.operators.scoring import SCORE_DIGITS, to_keys, to_matrix
+from vecshelf.operators.scoring import SCORE_DIGITS, to_keys, to_matrix, unit_rows
 from vecshelf.session import written
 
 CELL_POINTS = 50_000
 
 
 def liked_points(ratings: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``(user, input_text, rating, vec)``: unit vectors of positively rated texts."""
-    liked = (
-        ratings.where("rating > 0")
-        .groupBy("user", "input_text")
-        .agg(F.max("rating").alias("rating"))
-    )
-    return liked.join(vectors.select("input_text", "vec"), "input_text").select(
-        "user", "input_text", "rating", l2_normalize("vec").alias("vec")
+    """``(user, input_text, rating)``: positively rated texts that have a vector."""
+    liked = aggregate(
+        ratings.where("rating > 0"), ["user", "input_text"], F.max("rating").alias("rating")
     )
+    return liked.join(vectors.select("input_text"), "input_text", "left_semi")
+
+
+@dataclass
+class Likes:
+    """Every user's liked vectors in cells, and per user the number of cells
+    (``salts``) and of clusters (``k``)."""
+
+    points: DataFrame
+    sizes: DataFrame
+
+    @classmethod
+    def of(cls, ratings: DataFrame, vectors: DataFrame, k: int, min_size: int) -> "Likes":
+        liked = liked_points(ratings, vectors)
+        own_k = F.greatest(F.lit(1), F.least(F.lit(k), F.floor(F.col("likes") / min_size)))
+        sizes = written(
+            liked.groupBy("user")
+            .agg(F.count("*").alias("likes"))
+            .select(
+                "user",
+                F.ceil(F.col("likes") / CELL_POINTS).alias("salts"),
+                own_k.cast("int").alias("k"),
+            ),
+            "like-sizes",
+        )
+        points = (
+            liked.join(vectors.select("input_text", "vec"), "input_text")
+            .join(sizes, "user")
+            .select(
+                "user",
+                "input_text",
+                "rating",
+                "k",
+                F.pmod(F.xxhash64("input_text"), "salts").alias("salt"),
+                "vec",
+            )
+        )
+        return cls(written(points, "likes"), sizes)
 
 
 def cluster_preferences(
@@ -54,47 +88,36 @@ def cluster_preferences(
     and ``k`` is lowered so that a cluster has ``min_size`` likes on average. A
     centroid that loses all points stays where it is.
     """
-    points = _salted(written(liked_points(ratings, vectors), "likes"), k, min_size)
-    centroids = _seeds(points, k)
-    for _ in range(iters):
-        step = _per_cell(points, centroids, _partial_sums, _SUMS)
+    likes = Likes.of(ratings, vectors, k, min_size)
+    centroids = _seeds(likes, k)
+    for turn in range(iters):
+        step = _per_cell(likes.points, likes.sizes, centroids, _partial_sums, _SUMS)
         moved = vector_sum(step, ["user", "cluster"]).withColumnRenamed("vec", "sum")
         centroids = written(
-            centroids.join(moved, ["user", "cluster"], "left")
+            centroids.select("user", "cluster", "vec")
+            .join(moved, ["user", "cluster"], "left")
             .withColumn("next", F.coalesce(l2_normalize("sum"), "vec"))
             .select(
                 "user", "cluster", F.col("next").alias("vec"), (1 - dot("vec", "next")).alias("shift")
             ),
             "centroids",
         )
-        if (centroids.agg(F.max("shift")).first()[0] or 0.0) <= tolerance:
+        settled = turn + 1 < iters and not centroids.where(F.col("shift") > tolerance).head(1)
+        if settled:
             break
     centroids = centroids.select("user", "cluster", "vec")
-    return _per_cell(points, centroids, _assignments, _MEMBERS), centroids
-
-
-def _salted(points: DataFrame, k: int, min_size: int) -> DataFrame:
-    sizes = points.groupBy("user").agg(F.count("*").alias("likes"))
-    own_k = F.greatest(F.lit(1), F.least(F.lit(k), F.floor(F.col("likes") / min_size)))
-    sizes = sizes.select(
-        "user",
-        F.ceil(F.col("likes") / CELL_POINTS).alias("salts"),
-        own_k.cast("int").alias("k"),
-    )
-    return written(
-        points.join(sizes, "user").withColumn("salt", F.pmod(F.xxhash64("input_text"), "salts")),
-        "likes-salted",
-    )
+    return _per_cell(likes.points, likes.sizes, centroids, _assignments, _MEMBERS), centroids
 
 
-def _seeds(points: DataFrame, k: int) -> DataFrame:
+def _seeds(likes: Likes, k: int) -> DataFrame:
     """Start at each user's strongest like, then add the like farthest from all seeds."""
     order = [-F.col("rating"), F.col("input_text")]
-    first = canonical(points.select("user", "input_text", "rating", "vec"), ["user"], order)
-    seeds = written(first.select("user", F.lit(0).alias("cluster"), "vec"), "seeds")
+    first = canonical(likes.points.select("user", "input_text", "rating", "vec"), ["user"], order)
+    start = first.select("user", F.lit(0).alias("cluster"), l2_normalize("vec").alias("vec"))
+    seeds = written(start, "seeds")
     for number in range(1, k):
-        open_points = points.where(F.col("k") > number)
-        far = _per_cell(open_points, seeds, _farthest, _FAR)
+        open_points = likes.points.where(F.col("k") > number)
+        far = _per_cell(open_points, likes.sizes, seeds, _farthest, _FAR)
         pick = canonical(far, ["user"], [F.col("score"), F.col("input_text")])
         added = pick.select("user", F.lit(number).alias("cluster"), "vec")
         seeds = seeds.unionByName(written(added, "seeds"))
@@ -112,20 +135,20 @@ _MEMBERS = [
 ]
 
 
-def _per_cell(points: DataFrame, centroids: DataFrame, visit: Callable, fields: list) -> DataFrame:
+def _per_cell(
+    points: DataFrame, sizes: DataFrame, centroids: DataFrame, visit: Callable, fields: list
+) -> DataFrame:
     """Run ``visit(centroid ids, centroids, texts, vectors)`` on the points of each
     cell, batch by batch, with the user's centroids read ahead of them."""
     user = points.schema["user"]
     schema = T.StructType([user, *[T.StructField(name, kind) for name, kind in fields]])
-    homes = points.select("user", "salt").distinct()
-    heads = centroids.join(homes, "user").select(
-        "user", "salt", F.lit(0).alias("side"), "cluster", F.lit(None).cast("string").alias("input_text"), "vec"
-    )
-    body = points.select(
-        "user", "salt", F.lit(1).alias("side"), F.lit(None).cast("int").alias("cluster"), "input_text", "vec"
+    salt = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")
+    heads = centroids.join(sizes, "user").select(
+        "user", salt, F.lit(0).alias("side"), "cluster", F.col("vec").alias("centroid")
     )
+    body = points.select("user", "salt", F.lit(1).alias("side"), "input_text", "vec")
     cells = (
-        heads.unionByName(body)
+        heads.unionByName(body, allowMissingColumns=True)
         .repartition("user", "salt")
         .sortWithinPartitions("user", "salt", "side", "cluster", "input_text")
     )
@@ -144,13 +167,13 @@ def _per_cell(points: DataFrame, centroids: DataFrame, visit: Callable, fields:
                 cut = int(np.searchsorted(side, 1))
                 if cut:
                     ids.extend(part["cluster"].slice(0, cut).to_pylist())
-                    heads.append(to_matrix(part["vec"].slice(0, cut)))
+                    heads.append(to_matrix(part["centroid"].slice(0, cut)))
                 if cut < len(side) and heads:
                     columns = visit(
                         np.array(ids),
                         np.concatenate(heads),
                         part["input_text"].slice(cut),
-                        to_matrix(part["vec"].slice(cut)),
+                        unit_rows(to_matrix(part["vec"].slice(cut))),
                     )
                     owner = pa.array([here[0]] * len(columns[0]), type=out.field(0).type)
                     yield pa.RecordBatch.from_arrays(

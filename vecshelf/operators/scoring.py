@@ -31,9 +31,10 @@ def to_keys(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.asarray(values)
 
 
-def _unit(matrix: np.ndarray) -> np.ndarray:
+def unit_rows(matrix: np.ndarray, zero: float = 1.0) -> np.ndarray:
+    """Rows divided by their length, those of length 0 by ``zero``."""
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    norms[norms == 0] = np.nan
+    norms[norms == 0] = zero
     return matrix / norms
 
 
@@ -74,23 +75,37 @@ class QueryBlock:
         self.owners, owner = np.unique(qids, return_inverse=True)
         order = np.argsort(owner, kind="stable")
         matrix = matrix[order]
-        self.matrix = _unit(matrix) if metric == "cosine" else matrix
+        self.matrix = unit_rows(matrix, np.nan) if metric == "cosine" else matrix
         self.owner = owner[order]
         self.starts = np.searchsorted(self.owner, np.arange(len(self.owners) + 1))
         self.position = {q: i for i, q in enumerate(self.owners.tolist())}
         self.metric = metric
         self.n = n
         self.floor = -np.inf if floor is None else floor
-        self.bound = np.full(len(self.owners), -np.inf)
-        self.best_q = np.empty(0, np.int64)
-        self.best_score = np.empty(0)
-        self.best_key = np.empty(0, object)
+        self.blocks = list(self._owner_blocks())
+        if n is not None:
+            self.best_score = np.full((len(self.owners), n), -np.inf)
+            self.best_key: np.ndarray | None = None
 
-    def exclusions(self, qids: np.ndarray, values: np.ndarray) -> Exclusions:
-        """Pairs (query, value) as exclusions of this block; other queries' are passed over."""
+    def _owner_blocks(self):
+        """Consecutive owners whose vectors together fill one multiplication."""
+        first = 0
+        while first < len(self.owners):
+            last = int(np.searchsorted(self.starts, self.starts[first] + _SLICE_ROWS, "right")) - 1
+            last = min(max(last, first + 1), len(self.owners))
+            yield first, last
+            first = last
+
+    def exclusions(self, qids: np.ndarray, values: np.ndarray) -> list[Exclusions]:
+        """Pairs (query, value) by owner block; other cells' queries are passed over."""
         found = np.array([self.position.get(q, -1) for q in qids.tolist()], dtype=np.int64)
-        mine = found >= 0
-        return Exclusions.of(values[mine], found[mine])
+        order = np.argsort(found, kind="stable")
+        found, values = found[order], values[order]
+        edges = np.searchsorted(found, [first for first, _ in self.blocks] + [len(self.owners)])
+        return [
+            Exclusions.of(values[lo:hi], found[lo:hi] - first)
+            for (first, _), lo, hi in zip(self.blocks, edges, edges[1:])
+        ]
 
     def _scores(self, queries: np.ndarray, corpus: np.ndarray) -> np.ndarray:
         if self.metric == "l2":
@@ -105,23 +120,14 @@ class QueryBlock:
         scores[np.isnan(scores)] = -np.inf
         return scores
 
-    def _owner_blocks(self):
-        """Consecutive owners whose vectors together fill one multiplication."""
-        first = 0
-        while first < len(self.owners):
-            last = int(np.searchsorted(self.starts, self.starts[first] + _SLICE_ROWS, "right")) - 1
-            last = min(max(last, first + 1), len(self.owners))
-            yield first, last
-            first = last
-
     def feed(self, keys, groups, corpus, key_exclusions, group_exclusions):
         """Score one corpus batch; yields (owner positions, keys, scores) found
         by a threshold search, nothing for a top-n search."""
-        for first, last in self._owner_blocks():
-            queries = self.matrix[self.starts[first] : self.starts[last]]
-            width = max(1, _SLICE_CELLS // len(queries))
-            for at in range(0, len(keys), width):
-                part = slice(at, at + width)
+        width = max(_SLICE_CELLS // _SLICE_ROWS, _SLICE_CELLS // max(len(self.matrix), 1))
+        for at in range(0, len(keys), width):
+            part = slice(at, at + width)
+            for number, (first, last) in enumerate(self.blocks):
+                queries = self.matrix[self.starts[first] : self.starts[last]]
                 scores = self._scores(queries, corpus[part])
                 if self.n is None:
                     row, ci = np.nonzero((scores >= self.floor) & np.isfinite(scores))
@@ -131,40 +137,49 @@ class QueryBlock:
                     scores = np.maximum.reduceat(
                         scores, self.starts[first:last] - self.starts[first], axis=0
                     )
-                self._drop(scores, first, last, key_exclusions, keys[part])
+                self._drop(scores, key_exclusions[number], keys[part])
                 if groups is not None:
-                    self._drop(scores, first, last, group_exclusions, groups[part])
+                    self._drop(scores, group_exclusions[number], groups[part])
                 self._keep(first, scores, keys[part])
 
     @staticmethod
-    def _drop(scores, first, last, exclusions: Exclusions, values) -> None:
+    def _drop(scores: np.ndarray, exclusions: Exclusions, values: np.ndarray) -> None:
         if not len(exclusions.values):
             return
         present = np.flatnonzero(pd.notna(values))
         owner, row = exclusions.hits(values[present])
-        mine = (owner >= first) & (owner < last)
-        scores[owner[mine] - first, present[row[mine]]] = -np.inf
+        scores[owner, present[row]] = -np.inf
 
     def _keep(self, first: int, scores: np.ndarray, keys: np.ndarray) -> None:
-        span = slice(first, first + scores.shape[0])
-        bound = np.maximum(self.bound[span], self.floor)
-        if scores.shape[1] > self.n:
+        span = slice(first, first + len(scores))
+        bound = np.maximum(self.best_score[span, -1], self.floor)[:, None]
+        wanted = (scores >= bound) & (scores > -np.inf)
+        if scores.shape[1] > self.n and wanted.sum() > 4 * self.n * len(scores):
             kth = np.partition(scores, scores.shape[1] - self.n, axis=1)[:, -self.n]
-            bound = np.maximum(bound, kth)
+            wanted &= scores >= kth[:, None]
         # Ties with the n-th score stay in: the key decides among them below.
-        qi, ci = np.nonzero((scores >= bound[:, None]) & np.isfinite(scores))
+        qi, ci = np.nonzero(wanted)
         if not len(qi):
             return
-        q = np.concatenate([self.best_q, qi + first])
-        score = np.concatenate([self.best_score, scores[qi, ci]])
-        key = np.concatenate([self.best_key, keys[ci].astype(object)])
-        _, key_rank = np.unique(key, return_inverse=True)
-        order = np.lexsort((key_rank, -score, q))
+        if self.best_key is None:
+            self.best_key = np.empty(self.best_score.shape, keys.dtype)
+        touched = np.unique(qi)
+        held = self.best_score[first + touched]
+        ht, hc = np.nonzero(held > -np.inf)
+        q = np.concatenate([touched[ht], qi])
+        score = np.concatenate([held[ht, hc], scores[qi, ci]])
+        key = np.concatenate([self.best_key[first + touched[ht], hc], keys[ci]])
+        rank = np.unique(key, return_inverse=True)[1] if key.dtype == object else key
+        order = np.lexsort((rank, -score, q))
         q, score, key = q[order], score[order], key[order]
         place = np.arange(len(q)) - np.searchsorted(q, q, "left")
-        self.best_q, self.best_score, self.best_key = (a[place < self.n] for a in (q, score, key))
-        last = place == self.n - 1
-        self.bound[q[last]] = score[last]
+        kept = place < self.n
+        self.best_score[first + touched] = -np.inf
+        self.best_score[first + q[kept], place[kept]] = score[kept]
+        self.best_key[first + q[kept], place[kept]] = key[kept]
 
     def best(self):
-        return self.best_q, self.best_key, self.best_score
+        owner, place = np.nonzero(self.best_score > -np.inf)
+        if not len(owner):
+            return owner, np.empty(0, object), np.empty(0)
+        return owner, self.best_key[owner, place], self.best_score[owner, place]
