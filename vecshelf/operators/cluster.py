@@ -138,8 +138,9 @@ _MEMBERS = [
 def _per_cell(
     points: DataFrame, sizes: DataFrame, centroids: DataFrame, visit: Callable, fields: list
 ) -> DataFrame:
-    """Run ``visit(centroid ids, centroids, texts, vectors)`` on the points of each
-    cell, batch by batch, with the user's centroids read ahead of them."""
+    """Run ``visit(centroid ids, centroids, unit vectors, row numbers)`` on the points
+    of each cell, batch by batch, with the user's centroids read ahead of them.
+    ``input_text`` is returned as row numbers and filled in from the batch."""
     user = points.schema["user"]
     schema = T.StructType([user, *[T.StructField(name, kind) for name, kind in fields]])
     salt = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")
@@ -157,73 +158,76 @@ def _per_cell(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = to_arrow_schema(schema)
-        cell, ids, heads = None, [], []
+        cell, ids, heads = None, None, None
         for batch in batches:
-            for part in _cells(batch):
-                here = (part["user"][0].as_py(), part["salt"][0].as_py())
+            if not batch.num_rows:
+                continue
+            owner, salts, side = (to_keys(batch[c]) for c in ("user", "salt", "side"))
+            clusters = batch["cluster"].drop_null().to_numpy(zero_copy_only=False)
+            centroid = to_matrix(batch["centroid"].drop_null())
+            vectors = unit_rows(to_matrix(batch["vec"].drop_null()))
+            # Number of centroid rows before each row; the others are points.
+            before = np.concatenate([[0], np.cumsum(side == 0)])
+            cuts = np.flatnonzero((owner[1:] != owner[:-1]) | (salts[1:] != salts[:-1])) + 1
+            edges = [0, *cuts.tolist(), len(side)]
+            found, owners = [], []
+            for start, stop in zip(edges, edges[1:]):
+                here = (owner[start], salts[start])
+                first, last = before[start], before[stop]
                 if here != cell:
-                    cell, ids, heads = here, [], []
-                side = to_keys(part["side"])
-                cut = int(np.searchsorted(side, 1))
-                if cut:
-                    ids.extend(part["cluster"].slice(0, cut).to_pylist())
-                    heads.append(to_matrix(part["centroid"].slice(0, cut)))
-                if cut < len(side) and heads:
-                    columns = visit(
-                        np.array(ids),
-                        np.concatenate(heads),
-                        part["input_text"].slice(cut),
-                        unit_rows(to_matrix(part["vec"].slice(cut))),
-                    )
-                    owner = pa.array([here[0]] * len(columns[0]), type=out.field(0).type)
-                    yield pa.RecordBatch.from_arrays(
-                        [owner, *[pa.array(c, type=f.type) for c, f in zip(columns, list(out)[1:])]],
-                        schema=out,
-                    )
+                    cell, ids, heads = here, clusters[first:last], centroid[first:last]
+                elif last > first:
+                    ids = np.concatenate([ids, clusters[first:last]])
+                    heads = np.concatenate([heads, centroid[first:last]])
+                split = start + last - first
+                if split < stop and len(ids):
+                    rows = np.arange(split, stop)
+                    found.append(visit(ids, heads, vectors[split - last : stop - last], rows))
+                    owners.extend([here[0]] * len(found[-1][0]))
+            if found:
+                columns = [_arrow(column, f, batch) for column, f in zip(zip(*found), list(out)[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(owners, type=out.field(0).type), *columns], schema=out
+                )
 
     return cells.mapInArrow(run, schema)
 
 
-def _cells(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    if not batch.num_rows:
-        return
-    user, salt = to_keys(batch["user"]), to_keys(batch["salt"])
-    cuts = np.flatnonzero((user[1:] != user[:-1]) | (salt[1:] != salt[:-1])) + 1
-    edges = [0, *cuts.tolist(), batch.num_rows]
-    for start, stop in zip(edges, edges[1:]):
-        yield batch.slice(start, stop - start)
+def _arrow(parts: tuple, field: pa.Field, batch: pa.RecordBatch) -> pa.Array:
+    values = np.concatenate(parts)
+    if field.name == "input_text":
+        return batch["input_text"].take(pa.array(values)).cast(field.type)
+    if values.ndim == 2:
+        offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel())).cast(field.type)
+    return pa.array(values, type=field.type, from_pandas=True)
 
 
-def _nearest(ids, heads, vectors):
+def _nearest(heads: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # Equal scores go to the lowest cluster: centroids are read in that order.
     scores = np.round(vectors @ heads.T, SCORE_DIGITS)
-    best = scores.argmax(1)
-    return scores, best
+    return scores, scores.argmax(1)
 
 
-def _partial_sums(ids, heads, texts, vectors):
-    _, best = _nearest(ids, heads, vectors)
+def _partial_sums(ids, heads, vectors, rows):
+    _, best = _nearest(heads, vectors)
     used = np.unique(best)
-    return ids[used].tolist(), [vectors[best == c].sum(0).tolist() for c in used]
-
-
-def _assignments(ids, heads, texts, vectors):
-    scores, best = _nearest(ids, heads, vectors)
-    rows = np.arange(len(best))
-    own = scores[rows, best]
-    if scores.shape[1] > 1:
-        scores[rows, best] = -np.inf
-        following = scores.max(1).tolist()
-    else:
-        following = [None] * len(best)
-    return ids[best].tolist(), texts, own.tolist(), following
-
-
-def _farthest(ids, heads, texts, vectors):
-    scores, _ = _nearest(ids, heads, vectors)
-    closest = scores.max(1)
-    at = int(closest.argmin())
-    return [texts[at].as_py()], [float(closest[at])], [vectors[at].tolist()]
+    return ids[used], np.stack([vectors[best == c].sum(0) for c in used])
+
+
+def _assignments(ids, heads, vectors, rows):
+    scores, best = _nearest(heads, vectors)
+    at = np.arange(len(best))
+    own = scores[at, best]
+    scores[at, best] = -np.inf
+    following = scores.max(1)
+    return ids[best], rows, own, np.where(np.isfinite(following), following, np.nan)
+
+
+def _farthest(ids, heads, vectors, rows):
+    closest = _nearest(heads, vectors)[0].max(1)
+    at = closest.argmin()
+    return rows[[at]], closest[[at]], vectors[[at]]
 
 
 def label_clusters(members: DataFrame, meta: DataFrame, m: int = 3) -> DataFrame:
