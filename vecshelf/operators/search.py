@@ -22,6 +22,8 @@ from vecshelf.operators.knn import knn
 # Needles carried inside the scan; more of them go through the gram join.
 INLINE_NEEDLES = 256
 GRAM = 3
+# The smallest and largest result list of a search.
+LIMITS = (1, 100)
 
 
 def _ranked_order() -> list[Column]:
@@ -185,9 +187,9 @@ def search_catalog(
     inline: int = INLINE_NEEDLES,
 ) -> DataFrame:
     """The ``limit`` most reprinted works per query whose title or author holds it,
-    each with whether it is embedded. An empty query finds nothing."""
-    if not 1 <= limit <= 100:
-        raise ValueError("limit must be between 1 and 100")
+    each with whether it is embedded. An empty query finds nothing; ``limit`` is
+    kept within 1 and 100."""
+    limit = min(max(limit, LIMITS[0]), LIMITS[1])
     rows = catalog.select("work_key", "author", "title", "year", "editions", "author_lc", "title_lc")
     needles = needles_from(catalog.sparkSession, queries)
     pairs = substring_pairs(rows, ["title_lc", "author_lc"], needles, inline)

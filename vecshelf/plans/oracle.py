@@ -137,7 +137,7 @@ kept as (select * from (
 _DUMP = """
 with eds as (
   select l_partkey, count(*) edition_count,
-         min(case when l_quantity > 5 then year(l_shipdate) end) min_year,
+         min(case when l_quantity > 5 then year(l_shipdate) end)::integer min_year,
          bool_or(l_quantity >= 50) ed_fiction,
          max('978' || lpad(l_orderkey::varchar, 10, '0')) isbn13,
          max(case l_returnflag when 'R' then l_linestatus || ' reprint'

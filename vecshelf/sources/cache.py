@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecshelf.functions.text import content_key
+from vecshelf.operators.grouping import aggregate
+from vecshelf.session import exists
 
 SCHEMA = (
     "input_text string, input_sha256 string, vec array<float>, created_at timestamp, "
@@ -28,20 +29,12 @@ class VectorCache:
 
     def scan(self) -> DataFrame:
         """All rows as stored; no rows where nothing was written yet."""
-        found = [df for df in map(self._stored, (self.appended, self.streamed)) if df is not None]
-        if not found:
-            return self.spark.createDataFrame([], SCHEMA)
-        rows = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        rows = self.spark.createDataFrame([], SCHEMA)
+        for folder in (self.appended, self.streamed):
+            if exists(self.spark, folder):
+                rows = rows.unionByName(self.spark.read.schema(SCHEMA).parquet(folder))
         return rows.where(F.col("model_id") == self.model_id)
 
-    def _stored(self, folder: str) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(SCHEMA).parquet(folder)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
-
     def read(self) -> DataFrame:
         """One row per text: the first one written."""
         return first_written(self.scan())
@@ -79,11 +72,8 @@ def first_written(vectors: DataFrame) -> DataFrame:
     """One row per ``(input_sha256, model_id)``."""
     rest = [c for c in vectors.columns if c not in ("input_sha256", "model_id")]
     first = F.min_by(F.struct(*rest), F.struct("created_at", F.xxhash64("vec")))
-    return (
-        vectors.groupBy("input_sha256", "model_id")
-        .agg(first.alias("first"))
-        .select(*[c if c not in rest else F.col(f"first.{c}") for c in vectors.columns])
-    )
+    picked = aggregate(vectors, ["input_sha256", "model_id"], first.alias("first"))
+    return picked.select(*[c if c not in rest else F.col(f"first.{c}") for c in vectors.columns])
 
 
 def cache_profile(vectors: DataFrame) -> DataFrame:
