@@ -55,7 +55,7 @@ HEADLINE = [
     "stream_ratings_snapshot",
 ]
 
-# The shape of the reference's corpus: about 27.5 k vectors of 4096 dimensions.
+# The corpus shape of the baseline: about 27.5 k vectors of 4096 dimensions.
 WIDE_ROWS, WIDE_DIM = 27_500, 4096
 
 
@@ -74,7 +74,7 @@ def timed(action, runs: int = 1) -> float:
 
 
 def wide_corpus(bed: Testbed) -> DataFrame:
-    """The given embeddings repeated and stretched to the reference's corpus shape."""
+    """The given embeddings repeated and stretched to the baseline's corpus shape."""
     rows = bed.table("embeddings").select("vec_id", F.col("embedding").alias("vec"))
     total = rows.count()
     copies = -(-WIDE_ROWS // total)

@@ -112,6 +112,20 @@ def test_within_finds_every_pair(spark, shelf, path):
     assert all((b, a) in got for a, b in got) and all((i, i) in got for i in range(300))
 
 
+def test_within_counts_the_vectors_of_a_query(spark, shelf, path):
+    corpus, unit = shelf
+    members = {q: list(range(q * 20, q * 20 + 12)) for q in range(4)}
+    owners = spark.createDataFrame([(q, i) for q, m in members.items() for i in m], "qid long, work_key long")
+    queries = owners.join(corpus.select("work_key", "vec"), "work_key").select("qid", "vec")
+    got = {(r.qid, r.work_key): (round(r.score, 9), r.near) for r in within(corpus, queries, 0.5, **path).collect()}
+    expected = {}
+    for q, m in members.items():
+        scores = np.round(unit[m] @ unit.T, 12)
+        for i in np.flatnonzero((scores >= 0.5).any(0)):
+            expected[(q, int(i))] = (round(float(scores[:, i].max()), 9), int((scores[:, i] >= 0.5).sum()))
+    assert got == expected
+
+
 def test_vectors_of_different_length_are_refused(spark):
     corpus = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "work_key long, vec array<double>").coalesce(1)
     query = spark.createDataFrame([(0, [1.0, 0.0])], "qid long, vec array<double>")

@@ -302,7 +302,7 @@ def penalize_dislikes(centroids: DataFrame, disliked: DataFrame, lam: float) ->
 
 def near_disliked(corpus: DataFrame, disliked: DataFrame, threshold: float) -> DataFrame:
     """``(qid, work_key)`` of works at ``threshold`` or closer to a disliked one."""
-    return within(corpus, disliked, threshold).select("qid", "work_key").distinct()
+    return within(corpus, disliked, threshold).select("qid", "work_key")
 
 
 def recommend_clustered(

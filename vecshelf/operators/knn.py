@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecshelf.operators.grouping import top_ranked
+from vecshelf.operators.grouping import aggregate, top_ranked
 from vecshelf.operators.scoring import QueryBlock, to_keys, to_matrix
 from vecshelf.session import written
 
@@ -76,7 +76,11 @@ def within(
     metric: str = "cosine",
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Every ``(qid, key, score)`` whose score reaches ``floor``."""
+    """Every ``(qid, key, score, near)`` whose score reaches the finite ``floor``.
+
+    A query with several vectors has one row per key: the score of the nearest of
+    them, and in ``near`` how many are at the floor or nearer.
+    """
     return _search(
         corpus, queries, None, floor, None, None, key, "author", where, metric, broadcast_bytes
     )
@@ -105,6 +109,7 @@ def _search(
             T.StructField("qid", queries.schema["qid"].dataType),
             T.StructField(key, corpus.schema["key"].dataType),
             T.StructField("score", T.DoubleType()),
+            *([] if floor is None else [T.StructField("near", T.LongType())]),
         ]
     )
     small = _bounded(queries, FIRST_LOOK) if broadcast_bytes else None
@@ -145,14 +150,9 @@ def _pairs(df: DataFrame | None, column: str):
 
 
 def _emit(block: QueryBlock, found, schema: pa.Schema) -> pa.RecordBatch:
-    q, keys, scores = found
+    columns = [block.owners[found[0]].tolist(), found[1].tolist(), *found[2:]]
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(block.owners[q].tolist(), type=schema.field(0).type),
-            pa.array(keys.tolist(), type=schema.field(1).type),
-            pa.array(scores, type=pa.float64()),
-        ],
-        schema=schema,
+        [pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema
     )
 
 
@@ -264,11 +264,13 @@ def _by_grid(corpus, queries, n, floor, exclude, exclude_groups, metric, schema)
         yield from state.close(out)
 
     hits = cells.mapInArrow(score, schema)
-    if n is None or large.isEmpty():
+    if large.isEmpty():
         return hits
     # Vectors of a salted query were scored in several cells.
-    key = schema.fieldNames()[1]
-    return hits.groupBy("qid", key).agg(F.max("score").alias("score"))
+    merged = [F.max("score").alias("score")]
+    if n is None:
+        merged.append(F.sum("near").alias("near"))
+    return aggregate(hits, ["qid", schema.fieldNames()[1]], *merged)
 
 
 def _runs(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:

@@ -57,8 +57,6 @@ def recommend_nearest(
     m, floor = min_near
     near = (
         within(corpus, hits, floor)
-        .groupBy("qid", "work_key")
-        .agg(F.max("score").alias("score"), F.count("*").alias("near"))
         .where(F.col("near") >= m)
         .drop("near")
         .join(hits.select("qid", "work_key"), ["qid", "work_key"], "left_anti")

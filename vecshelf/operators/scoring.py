@@ -63,7 +63,7 @@ class Exclusions:
 
 class QueryBlock:
     """Scores corpus batches and keeps the best ``n`` per query, or passes on
-    every pair reaching ``floor`` when ``n`` is None.
+    every query and key reaching ``floor`` when ``n`` is None.
 
     A query may own several vectors; its score for a corpus row is then the
     highest of theirs. Exclusion positions index ``owners``.
@@ -121,22 +121,25 @@ class QueryBlock:
         return scores
 
     def feed(self, keys, groups, corpus, key_exclusions, group_exclusions):
-        """Score one corpus batch; yields (owner positions, keys, scores) found
-        by a threshold search, nothing for a top-n search."""
+        """Score one corpus batch. A threshold search yields what it finds as
+        (owner positions, keys, scores, number of vectors at the floor or
+        nearer); a top-n search keeps its finds and yields nothing."""
         width = max(_SLICE_CELLS // _SLICE_ROWS, _SLICE_CELLS // max(len(self.matrix), 1))
         for at in range(0, len(keys), width):
             part = slice(at, at + width)
             for number, (first, last) in enumerate(self.blocks):
                 queries = self.matrix[self.starts[first] : self.starts[last]]
                 scores = self._scores(queries, corpus[part])
-                if self.n is None:
-                    row, ci = np.nonzero((scores >= self.floor) & np.isfinite(scores))
-                    yield self.owner[self.starts[first] + row], keys[part][ci], scores[row, ci]
-                    continue
+                near = scores >= self.floor if self.n is None else None
                 if len(queries) > last - first:
-                    scores = np.maximum.reduceat(
-                        scores, self.starts[first:last] - self.starts[first], axis=0
-                    )
+                    offsets = self.starts[first:last] - self.starts[first]
+                    scores = np.maximum.reduceat(scores, offsets, axis=0)
+                    if near is not None:
+                        near = np.add.reduceat(near, offsets, axis=0, dtype=np.int64)
+                if near is not None:
+                    owner, ci = np.nonzero(near)
+                    yield owner + first, keys[part][ci], scores[owner, ci], near[owner, ci]
+                    continue
                 self._drop(scores, key_exclusions[number], keys[part])
                 if groups is not None:
                     self._drop(scores, group_exclusions[number], groups[part])
