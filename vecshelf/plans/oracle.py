@@ -423,6 +423,23 @@ from chosen left join documents d on d.doc_id = p_partkey""",
     "build_authors": _DUMP + "select * from named",
     "write_curated": _DUMP + """select 'books' t, count(*) n from chosen
 union all select 'book_authors', count(*) from links union all select 'authors', count(*) from named""",
+    "extract_year": """select '/books/OL-' || l_orderkey || '-' || l_linenumber "key",
+  (case when l_quantity > 5 then year(l_shipdate) end)::integer "year" from lineitem""",
+    "json_field": _DUMP + """select '/works/OL' || p_partkey || 'W' "key", case when p_size > 5 then p_size end cover,
+  case when low is not null then 'editor' end role, '/authors/OL' || high || 'A' author_key, null::varchar other
+from part left join eds on l_partkey = p_partkey""",
+    "json_string_array": """select 'OL' || p_partkey || 'W' ol_id,
+  case when p_size <= 10 then p_type || '|Fiction, general' when p_size <= 20 then 'Historical Nonfiction|7'
+       when p_size <= 25 then null when p_size <= 45 then p_type end subjects from part""",
+    "unwrap_text": """select '/works/OL' || p_partkey || 'W' "key", case when p_size <= 30 then d."text" end told
+from part left join documents d on d.doc_id = p_partkey""",
+    "subject_match": """select '/works/OL' || p_partkey || 'W' "key", p_size <= 25 anywhere,
+  p_size <= 10 or (p_size > 20 and p_size <= 25) whole_word from part""",
+    "text_match": """select doc_id, coalesce(contains(lower("text"), 'the'), false)
+  or coalesce(contains(lower(source), 'the'), false) "found" from documents""",
+    "materialize": _BASE + 'select work_key, author, "year" from catalog',
+    "exclude_authors": _BASE + _POOL + """select p."user", p.work_key, p.author, p.score from pool p
+where not exists (select 1 from unwanted x where x."user" = p."user" and x.author = p.author)""",
     "content_key": 'select doc_id, sha256("text") sha from documents',
     "embedding_inputs": _BASE + """select distinct input_text, sha256(input_text) input_sha256 from catalog c
 join documents d on d.doc_id = c.work_key where c.editions >= 10 and c."year" < 2025""",

@@ -302,6 +302,61 @@ def write_curated(bed: Testbed) -> DataFrame:
     return tables.table_counts({**curated, **tables.write_curated({"authors": authors}, path)})
 
 
+def parsed(bed: Testbed, table: str) -> DataFrame:
+    return bed.records[table].withColumn("doc", F.try_parse_json("json"))
+
+
+@query
+def extract_year(bed: Testbed) -> DataFrame:
+    date = text.json_field("doc", "$.publish_date")
+    return parsed(bed, "editions").select("key", text.extract_year(date).alias("year"))
+
+
+@query
+def json_field(bed: Testbed) -> DataFrame:
+    return parsed(bed, "works").select(
+        "key",
+        text.json_field("doc", "$.covers[0]").try_cast("int").alias("cover"),
+        text.json_field("doc", "$.authors[1].role").alias("role"),
+        text.json_field("doc", "$.authors[2].author.key").alias("author_key"),
+        text.json_field("doc", "$.authors[2].author.other").alias("other"),
+    )
+
+
+@query
+def json_string_array(bed: Testbed) -> DataFrame:
+    subjects = text.json_string_array("doc", "$.subjects")
+    return parsed(bed, "works").select(
+        text.strip_prefix("key").alias("ol_id"), F.array_join(subjects, "|").alias("subjects")
+    )
+
+
+@query
+def unwrap_text(bed: Testbed) -> DataFrame:
+    return parsed(bed, "works").select("key", text.unwrap_text("doc", "description").alias("told"))
+
+
+@query
+def subject_match(bed: Testbed) -> DataFrame:
+    return parsed(bed, "works").select(
+        "key",
+        text.subject_match("doc").alias("anywhere"),
+        text.subject_match("doc", whole_word=True).alias("whole_word"),
+    )
+
+
+@query
+def text_match(bed: Testbed) -> DataFrame:
+    found = text.text_match(["text", "source"], "THE")
+    return bed.table("documents").select("doc_id", found.alias("found"))
+
+
+@query
+def materialize(bed: Testbed) -> DataFrame:
+    path = new_path(bed.spark, "materialized")
+    return tables.materialize(bed.catalog, path, ["year"]).select("work_key", "author", "year")
+
+
 # --- vector cache --------------------------------------------------------------
 
 
@@ -441,6 +496,12 @@ def filter_backfill(bed: Testbed) -> DataFrame:
     return rounded(shown.select("user", "work_key", "author", "score", "rank"))
 
 
+@query
+def exclude_authors(bed: Testbed) -> DataFrame:
+    kept = present.exclude_authors(pool(bed), unwanted(bed))
+    return rounded(kept.select("user", "work_key", "author", "score"))
+
+
 @query
 def author_facet(bed: Testbed) -> DataFrame:
     out = unwanted(bed)
