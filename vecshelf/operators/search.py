@@ -8,8 +8,6 @@ needle through a join.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +17,10 @@ from vecshelf.operators.catalog import popularity_order
 from vecshelf.operators.grouping import canonical, top_ranked
 from vecshelf.operators.knn import knn
 
-# Needles carried inside the scan; more of them go through the gram join.
+# Needles carried inside the scan; more of them go through the gram join, where
+# they are broadcast if all their letters together stay within the bound.
 INLINE_NEEDLES = 256
+BROADCAST_CHARS = 4_000_000
 GRAM = 3
 # The smallest and largest result list of a search.
 LIMITS = (1, 100)
@@ -53,18 +53,18 @@ def substring_pairs(
 
 
 def _inline_pairs(rows: DataFrame, columns: list[str], needles: list[tuple[str, str]]) -> DataFrame:
-    text = json.dumps([{"query": q, "needle": n} for q, n in needles])
-    constant = F.from_json(F.lit(text), "array<struct<query: string, needle: string>>")
     lows = [f"_low{i}" for i in range(len(columns))]
     low_rows = rows.withColumns({low: F.lower(c) for low, c in zip(lows, columns)})
 
-    def found(entry: Column) -> Column:
+    def found(needle: str) -> Column:
         hit = F.lit(False)
         for low in lows:
-            hit = hit | F.coalesce(F.contains(F.col(low), entry["needle"]), F.lit(False))
+            hit = hit | F.coalesce(F.contains(F.col(low), F.lit(needle)), F.lit(False))
         return hit
 
-    return low_rows.withColumn("query", F.explode(F.filter(constant, found)["query"])).drop(*lows)
+    none = F.array().cast("array<string>")
+    hits = F.array_compact(F.array(*[F.when(found(n), F.lit(q)) for q, n in needles])) if needles else none
+    return low_rows.withColumn("query", F.explode(hits)).drop(*lows)
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -77,16 +77,21 @@ def _grams(text: Column, size: int) -> Column:
 
 def _gram_pairs(rows: DataFrame, columns: list[str], needles: DataFrame) -> DataFrame:
     needles = needles.withColumn("size", F.least(F.length("needle"), F.lit(GRAM)))
-    sizes = sorted(r["size"] for r in needles.select("size").distinct().collect())
+    totals = needles.groupBy("size").agg(
+        F.count("*").alias("n"), F.sum(F.length("needle") + F.length("query")).alias("chars")
+    ).collect()
+    sizes = sorted(t["size"] for t in totals)
+    # A needle has at most as many grams as letters; this bounds both broadcasts.
+    small = sum(t["chars"] + t["n"] for t in totals) <= BROADCAST_CHARS
+    sent = F.broadcast if small else (lambda df: df)
 
     def all_grams(text: Column) -> Column:
         return F.flatten(F.array(*[_grams(text, s) for s in sizes]))
 
-    lows = [F.coalesce(F.lower(c), F.lit("")) for c in columns]
-    found = F.array_distinct(F.flatten(F.array(*[all_grams(low) for low in lows])))
-    row_grams = rows.withColumn("gram", F.explode(found))
-    # A needle is looked up by its rarest gram; a gram no row has ends it there.
-    frequency = row_grams.groupBy("gram").agg(F.count("*").alias("rows"))
+    # Lower-cased once per row: inside the gram lambda it would run once per gram.
+    lows = {f"_low{i}": F.coalesce(F.lower(c), F.lit("")) for i, c in enumerate(columns)}
+    low_rows = rows.withColumns(lows)
+    found = F.array_distinct(F.flatten(F.array(*[all_grams(F.col(low)) for low in lows])))
     own = F.flatten(
         F.array(
             *[
@@ -97,16 +102,24 @@ def _gram_pairs(rows: DataFrame, columns: list[str], needles: DataFrame) -> Data
             ]
         )
     )
+    # A needle is looked up by its rarest gram; a gram no row has ends it there.
+    needle_grams = needles.withColumn("gram", F.explode(own))
+    frequency = (
+        low_rows.select(F.explode(found).alias("gram"))
+        .join(sent(needle_grams.select("gram").distinct()), "gram", "left_semi")
+        .groupBy("gram")
+        .agg(F.count("*").alias("rows"))
+    )
     chosen = (
-        needles.withColumn("gram", F.explode(own))
-        .join(frequency, "gram", "left")
+        needle_grams.join(frequency, "gram", "left")
         .groupBy("query", "needle")
         .agg(F.min_by("gram", F.struct(F.coalesce("rows", F.lit(0)), "gram")).alias("gram"))
     )
     hit = F.lit(False)
-    for c in columns:
-        hit = hit | F.coalesce(F.contains(F.lower(c), F.col("needle")), F.lit(False))
-    return row_grams.join(chosen, "gram").where(hit).drop("gram", "needle")
+    for low, c in zip(lows, columns):
+        hit = hit | (F.col(c).isNotNull() & F.contains(F.col(low), F.col("needle")))
+    row_grams = low_rows.withColumn("gram", F.explode(found))
+    return row_grams.join(sent(chosen), "gram").where(hit).drop("gram", "needle", *lows)
 
 
 def find(corpus: DataFrame, q: str, columns: tuple[str, ...] = ("title", "input_text")) -> DataFrame:
