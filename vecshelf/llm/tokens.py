@@ -1,64 +1,105 @@
 """Token ids of whole texts with a given tokenizer file.
 
-A byte-level BPE splits a text into pieces before it merges, and a piece never
-holds a white-space character after one that is none. A text may therefore be
-cut at each such place, and equal chunks have equal ids: they are encoded once
-per task and looked up afterwards. Where that rule isn't proven (another
-kind of tokenizer, or white space beyond space, tab and line ends) the whole
-text goes to the tokenizer at once.
+A byte-level BPE splits a text into pieces before it merges, and some places
+are always between two pieces: before white space that follows something else,
+and between an ASCII letter and an ASCII character that is neither a letter
+nor white space. A text may be cut there, and equal chunks have equal ids, so
+they are encoded once and looked up afterwards. Where that rule isn't proven
+(another kind of tokenizer, rarer white space, a special token's string in the
+text) the whole text goes to the tokenizer at once.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
+from array import array
+from itertools import chain
 
 import numpy as np
 
-#: Chunks kept per task; at more, the task starts a new table.
+#: Words, and chunks of words, kept per task; at more, the task starts a new table.
 KEPT = 400_000
 
-_CHUNKS = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
-_RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_CHUNKS = re.compile("[ \n]*(?:[A-Za-z\x80-\U0010ffff]*[A-Za-z](?![A-Za-z\x80-\U0010ffff])|[^ \n]+)|[ \n]+")
+#: One piece for certain: letters, with a space before them or none.
+_LETTERS = re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary:
+    printable Latin-1 characters for themselves, the others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
 class Encoder:
     """Encodes texts as little-endian id arrays of ``dtype``, each with an end id."""
 
     def __init__(self, spec: str, end: int = 0) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.dtype, self.code = np.dtype("<u2" if small else "<u4"), "H" if small else "I"
         self.end = np.array([end], self.dtype).tobytes()
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
         kind = json.loads(spec)
         before = kind.get("pre_tokenizer") or {}
+        self.special = [t["content"] for t in kind.get("added_tokens", [])]
         self.by_chunk = (
             kind.get("normalizer") is None
             and before.get("type") == "ByteLevel"
             and before.get("use_regex", True)
             and not before.get("add_prefix_space")
-            and all(not t["lstrip"] and not t["rstrip"] and not re.search(r"\s", t["content"]) for t in kind["added_tokens"])
         )
+        self.letters = _byte_letters()
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array(self.code, x.ids).tobytes() for x in found]
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """The ids of a whole text (None: empty), then the end id."""
-        text = text or ""
-        if not self.by_chunk or _RARE_SPACE.search(text):
-            return np.frombuffer(self._ids([text])[0] + self.end, self.dtype)
-        chunks, known = _CHUNKS.findall(text), self.known
-        fresh = list(set(chunks).difference(known))
+    def _of(self, stretches: list[str]) -> list[bytes]:
+        """The ids of stretches of text, each cut into chunks."""
+        cut = [_CHUNKS.findall(s) for s in stretches]
+        known = self.chunks
+        fresh = set(chain.from_iterable(cut)).difference(known)
         if fresh:
             if len(known) + len(fresh) > KEPT:
                 known.clear()
-                fresh = list(set(chunks))
-            known.update(zip(fresh, self._ids(fresh), strict=True))
-        return np.frombuffer(b"".join(map(known.__getitem__, chunks)) + self.end, self.dtype)
+                fresh = set(chain.from_iterable(cut))
+            others = [c for c in fresh if not _LETTERS.fullmatch(c)]
+            known.update(zip(others, self._whole(others), strict=True))
+            tokenize, letters, code = self.tokenizer.model.tokenize, self.letters, self.code
+            for c in fresh.difference(others):
+                piece = c.encode().decode("latin-1").translate(letters)
+                known[c] = array(code, [t.id for t in tokenize(piece)]).tobytes()
+        return [known[c[0]] if len(c) == 1 else b"".join([known[x] for x in c]) for c in cut]
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids of a whole text (None: empty), then the end id."""
+        text = text or ""
+        if not self.by_chunk or _RARE_SPACE.search(text) or any(s in text for s in self.special):
+            ids = self._whole([text])[0]
+        elif "  " in text or " \n" in text or "\n " in text or text[-1:] == " ":
+            ids = self._of([text])[0]
+        else:
+            # each space stands alone before a word: look up whole words first
+            rest = text.split(" ")
+            first = rest.pop(0)
+            words = self.words
+            fresh = list(set(rest).difference(words))
+            if len(words) + len(fresh) > KEPT:
+                words.clear()
+                fresh = list(set(rest))
+            words.update(zip(fresh, self._of([" " + w for w in fresh]), strict=True))
+            ids = self._of([first])[0] + b"".join(map(words.__getitem__, rest))
+        return np.frombuffer(ids + self.end, self.dtype)
 
 
 def read_spec(path: str) -> str:
