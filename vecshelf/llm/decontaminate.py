@@ -112,13 +112,13 @@ class Items:
         """Shared shingles that an item of ``n`` needs."""
         return max(1, math.ceil(self.share * n - 1e-9))
 
-    def candidates(self, hashes: np.ndarray) -> set[int]:
-        """Items with a sketch value among a document's hashes."""
+    def candidates(self, hashes: np.ndarray, total: int) -> set[int]:
+        """Items with a sketch value among the hashes of a document, or of a
+        part of it, that has ``total`` shingles."""
         found: set[int] = set()
         if hashes.size:
             for p in self.partitions:
-                # a hash may stand for two shingles only by collision, so this count is safe from below
-                if len(hashes) >= p.least:
+                if total >= p.least:
                     at = np.searchsorted(p.sketch, hashes)
                     at[at == len(p.sketch)] = 0
                     hit = np.unique(p.sketch[at[p.sketch[at] == hashes]])
@@ -130,12 +130,9 @@ class Items:
         """(item, shared shingles) of the items that a document holds."""
         words = words_of(text)
         found: set[int] = set()
-        if len(words) <= SLICE:
-            found = self.candidates(hashes.of(words))
-        else:
-            # too long for one array: each part is searched as if it were large enough
-            for first in range(0, len(words), SLICE):
-                found |= self.candidates(hashes.of(words[first : first + SLICE + self.size - 1]))
+        total = max(1, len(words) - self.size + 1)
+        for first in range(0, len(words), SLICE):
+            found |= self.candidates(hashes.of(words[first : first + SLICE + self.size - 1]), total)
         if not found:
             return []
         wanted = set().union(*(self.sets[i] for i in found))
