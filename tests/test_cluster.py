@@ -47,13 +47,13 @@ def test_planted_groups(planted, monkeypatch, cell):
     # With tiny cells a user's likes are salted over many of them.
     monkeypatch.setattr(cluster, "CELL_POINTS", cell)
     ratings, vectors, _, truth = planted
-    members, centroids = cluster.cluster_preferences(ratings, vectors, 3, iters=8, min_size=2)
+    members, centroids = cluster.cluster_preferences(ratings, vectors, 3, min_size=2)
     members = members.cache()
     assert grouping(members, "three") == [["t2"], ["t3"], ["t4"]]
     assert members.where("user in ('hater', 'blind')").count() == 0
     assert [r.cluster for r in members.where("user = 'single'").collect()] == [0]
     assert members.where("user = 'single'").first().next_score is None
-    two, _ = cluster.cluster_preferences(ratings, vectors, 2, iters=8)
+    two, _ = cluster.cluster_preferences(ratings, vectors, 2)
     assert grouping(two, "two") == [["t0"], ["t1"]]
     for r in centroids.collect():
         assert np.isclose(np.linalg.norm(r.vec), 1.0)
@@ -61,19 +61,19 @@ def test_planted_groups(planted, monkeypatch, cell):
 
 def test_labels_and_choice_of_k(planted):
     ratings, vectors, corpus, _ = planted
-    members, _ = cluster.cluster_preferences(ratings, vectors, 2, iters=5)
+    members, _ = cluster.cluster_preferences(ratings, vectors, 2)
     labels = cluster.label_clusters(members, corpus, 2).where("user = 'two'").collect()
     assert sorted(r["size"] for r in labels) == [8, 8]
     for r in labels:
         titles = r.label.split(", ")
         assert len(titles) == 2 and titles[0][:2] == titles[1][:2]
-    chosen = {r.user: r.k for r in cluster.choose_k(ratings, vectors, (2, 3), iters=5).collect()}
+    chosen = {r.user: r.k for r in cluster.choose_k(ratings, vectors, (2, 3)).collect()}
     assert chosen["two"] == 2 and chosen["three"] == 3
 
 
 def test_clustered_recommendations(planted):
     ratings, vectors, corpus, _ = planted
-    _, centroids = cluster.cluster_preferences(ratings.where("user = 'two'"), vectors, 2, iters=5)
+    _, centroids = cluster.cluster_preferences(ratings.where("user = 'two'"), vectors, 2)
     parts = (ratings, corpus, corpus, vectors, centroids)
     recs = cluster.recommend_clustered(*parts, n=5).collect()
     rated = {r.work_key for r in ratings.where("user = 'two'").collect()}
@@ -94,15 +94,40 @@ def test_clustered_recommendations(planted):
         cluster.recommend_clustered(*parts, dislikes="other")
 
 
-def test_penalty_is_mean_cosine_to_dislikes(planted):
+def test_unsettled_rounds_are_an_error(planted, monkeypatch):
+    ratings, vectors, _, _ = planted
+    with pytest.raises(Exception, match="not settled"):
+        cluster.cluster_preferences(ratings, vectors, 3, iters=1, tolerance=-1)
+    monkeypatch.setattr(cluster, "CELL_POINTS", 3)
+    with pytest.raises(Exception, match="not settled"):
+        cluster.cluster_preferences(ratings, vectors, 3, iters=1, tolerance=-1)
+
+
+def test_both_ways_give_the_same_clusters(planted, monkeypatch):
+    ratings, vectors, _, _ = planted
+    chosen = lambda: {r.user: (r.k, round(r.silhouette, 9)) for r in cluster.choose_k(ratings, vectors, (2, 3, 4)).collect()}
+    whole = chosen()
+    monkeypatch.setattr(cluster, "CELL_POINTS", 5)
+    assert chosen() == whole
+
+
+def test_users_of_any_name_come_back(planted):
+    ratings, vectors, corpus, _ = planted
+    odd = ratings.where("user = 'two'").withColumn("user", F.lit("a\x1fb"))
+    _, centroids = cluster.cluster_preferences(odd, vectors, 2)
+    recs = cluster.recommend_clustered(odd, corpus, corpus, vectors, centroids, n=3).collect()
+    assert {r.user for r in recs} == {"a\x1fb"} and {r.cluster for r in recs} == {0, 1}
+
+
+def test_penalty_is_highest_cosine_to_dislikes(planted):
     ratings, vectors, corpus, _ = planted
-    _, centroids = cluster.cluster_preferences(ratings.where("user = 'two'"), vectors, 2, iters=5)
+    _, centroids = cluster.cluster_preferences(ratings.where("user = 'two'"), vectors, 2)
     recs = cluster.recommend_clustered(ratings, corpus, corpus, vectors, centroids, n=200, dislikes="penalty", lam=0.5)
     unit = lambda v: np.array(v) / np.linalg.norm(v)
     vec = {r.work_key: unit(r.vec) for r in corpus.collect()}
     heads = {r.cluster: np.array(r.vec) for r in centroids.collect()}
     for r in recs.collect():
-        push = np.mean([vec[500] @ vec[r.work_key], vec[501] @ vec[r.work_key]])
+        push = max(vec[500] @ vec[r.work_key], vec[501] @ vec[r.work_key])
         assert r.score == pytest.approx(heads[r.cluster] @ vec[r.work_key] - 0.5 * push)
 
 

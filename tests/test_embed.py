@@ -28,6 +28,28 @@ def test_embed_missing_is_idempotent(spark, tmp_path):
     assert cache.read().count() == 4
 
 
+def test_finished_rounds_outlive_a_failure(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    cache = VectorCache(spark, str(tmp_path / "cache"), "m")
+    inputs = embed.keyed(texts(spark, *[f"text {i}" for i in range(40)]))
+    number = F.pmod(F.xxhash64("input_sha256"), F.lit(4))
+    rounds = {r.input_text: r.n for r in inputs.select("input_text", number.alias("n")).collect()}
+    poison = max(rounds, key=rounds.get)
+
+    def failing(batch):
+        if poison in batch:
+            raise ValueError("model went away")
+        return embed.hash_embedder(batch)
+
+    with pytest.raises(Exception, match="went away"):
+        embed.embed_missing(inputs, cache, failing, round_texts=10)
+    done = {r.input_text for r in cache.scan().collect()}
+    assert done == {t for t, n in rounds.items() if n < rounds[poison]} and done
+    assert embed.embed_missing(inputs, cache, embed.hash_embedder, round_texts=10) == 40 - len(done)
+    assert cache.read().count() == 40
+
+
 def test_first_written_row_wins(spark, tmp_path):
     cache = VectorCache(spark, str(tmp_path / "cache"), "m")
     first = spark.createDataFrame([("a", [1.0])], "input_text string, vec array<double>")

@@ -45,6 +45,20 @@ def test_pairwise_matrix(words):
     assert set(matrix.columns) == {"label_a", *WORDS} and matrix.count() == 4
 
 
+def test_matrix_has_a_cell_for_a_zero_vector(spark):
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("zero", [0.0, 0.0])], "label string, vec array<double>")
+    got = {(r.label_a, r.label_b): r.cosine for r in evaluate.pairwise_cosine(vectors).collect()}
+    assert got == {("a", "a"): 1.0, ("a", "zero"): None, ("zero", "a"): None, ("zero", "zero"): None}
+
+
+def test_analogy_ranks_every_candidate(spark):
+    vectors = spark.createDataFrame([(f"w{i:02}", [1.0, i / 10]) for i in range(15)], "label string, vec array<double>")
+    expression = spark.createDataFrame([("e", [1.0, 0.0])], "expr_id string, vec array<double>")
+    candidates = vectors.select(F.lit("e").alias("expr_id"), "label", F.lit(False).alias("expected"))
+    assert evaluate.analogy_rank(expression, candidates, vectors).count() == 15
+    assert evaluate.analogy_rank(expression, candidates, vectors, 4).count() == 4
+
+
 def test_overlap(spark):
     ranked = spark.createDataFrame(
         [("a", k, k) for k in range(1, 8)] + [("b", k + 2, k) for k in range(1, 8)] + [("c", k + 50, k) for k in range(1, 8)],

@@ -79,6 +79,40 @@ def test_land_dump_routes_types(spark, tmp_path):
     assert tables["authors"].where("key = '/authors/A1'").first().name == "One"
 
 
+def test_repeated_keys_are_read(spark, tmp_path):
+    path = tmp_path / "dump.txt"
+    lines = [
+        '/type/work\t/works/W1\t1\t2024\t{"title":"first","title":"second","subjects":["Fiction"],"subjects":[]}',
+        '/type/edition\t/books/E1\t1\t2024\t{"works":[{"key":"/works/W1"}],"works":[{"key":"/works/W2"}]}',
+        '/type/author\t/authors/A1\t1\t2024\t{"name":"x","name":"y"',
+        '/type/redirect\t/r/1\t1\t2024\t{"a":1,"a":2}',
+    ]
+    path.write_text("\n".join(lines))
+    records, quarantine = read_dump(spark, str(path))
+    assert records.count() == 3
+    assert [r.reason for r in quarantine.collect()] == ["bad_json"]
+    tables = land_dump(spark, str(path), str(tmp_path / "records"))
+    assert [r.title for r in tables["works"].collect()] == ["first"]
+    assert [r.work_key for r in tables["editions"].collect()] == ["/works/W1"]
+    assert tables["authors"].count() == 0
+    assert [(r.reason, r.line) for r in tables["quarantine"].collect()] == [("bad_json", lines[2])]
+    aggregates = curate.edition_aggregates(tables["editions"])
+    assert curate.select_works(tables["works"], aggregates, min_editions=1).count() == 1
+
+
+def test_edition_facets(spark):
+    rows = [
+        ("/works/W1", '{"languages":[{"key":"/languages/eng"},{"key":"/languages/eng"}],"genres":["Novel",1.0,null]}'),
+        ("/works/W1", '{"languages":[{"key":"/languages/eng"},{}]}'),
+        ("/works/W2", '{"languages":"eng","genres":{}}'),
+        (None, '{"genres":["Novel"]}'),
+    ]
+    got = curate.edition_facets(spark.createDataFrame(rows, "work_key string, json string")).collect()
+    assert {tuple(r) for r in got} == {
+        ("/works/W1", "language", "/languages/eng", 2), ("/works/W1", "genre", "Novel", 1), ("/works/W1", "genre", "1.0", 1),
+    }
+
+
 def test_curated_tables(spark, tmp_path):
     tables = landed(spark, tmp_path)
     aggregates = curate.edition_aggregates(tables["editions"])

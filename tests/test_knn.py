@@ -28,6 +28,8 @@ def taken(df):
 
 @pytest.fixture(params=["broadcast", "grid", "tiny cells"])
 def path(request, monkeypatch):
+    if request.param != "broadcast":
+        monkeypatch.setattr(knn_module, "CORPUS_BYTES", 0)
     if request.param == "tiny cells":
         monkeypatch.setattr(knn_module, "CELL_QUERY_BYTES", 8 * 8 * 3)
         monkeypatch.setattr(knn_module, "CELL_CORPUS_ROWS", 40)

@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 
 from vecshelf.operators import ratings as state
-from vecshelf.streaming.ratings import snapshot, stream_ratings
+from vecshelf.streaming.ratings import rejected, snapshot, stream_ratings
 
 CHANGES = "event_id long, ts timestamp, user long, work_key long, rating int"
 
@@ -56,6 +56,17 @@ def test_validation(spark):
     assert (kept.input_text, kept.updated_at) == ("t10", at(5))
 
 
+def test_deletes_and_works_without_a_title(spark):
+    # 99 is no longer listed, 12 is listed without a text
+    catalog = spark.createDataFrame([(10, "t10"), (12, None)], "work_key long, input_text string")
+    rows = [(1, at(1), 1, 99, None), (2, at(1), 1, 12, 2), (3, at(1), 1, 99, 2), (4, at(1), 1, 98, 9)]
+    accepted, refused = state.validate_ratings(spark.createDataFrame(rows, CHANGES), catalog)
+    assert sorted(r.event_id for r in accepted.collect()) == [1, 2]
+    assert {r.event_id: r.reason for r in refused.collect()} == {3: "unknown_work", 4: "bad_rating"}
+    before = spark.createDataFrame([(0, at(0), 1, 99, 2, "gone")], CHANGES + ", input_text string")
+    assert folded(state.fold_ratings(before.unionByName(accepted))) == {(1, 12): 2}
+
+
 def test_users_and_listing(spark):
     changes = spark.createDataFrame(LOG, CHANGES)
     assert {r.user: r.created_at for r in state.derive_users(changes).collect()} == {1: at(1), 2: at(6), 3: at(7)}
@@ -72,11 +83,12 @@ def test_users_and_listing(spark):
 @pytest.mark.parametrize("restart", [False, True])
 def test_stream_equals_fold(spark, tmp_path, restart):
     source, log, checkpoint = (str(tmp_path / d) for d in ("source", "log", "checkpoint"))
-    halves = [LOG[::2] + [(30, at(9), 1, 10, 7)], LOG[1::2]]
+    halves = [LOG[::2] + [(30, at(9), 1, 10, 7), (31, at(9), 1, 77, 2)], LOG[1::2]]
+    catalog = spark.createDataFrame([(10, "t10"), (11, "t11")], "work_key long, input_text string")
 
     def run():
         stream = spark.readStream.schema(CHANGES).parquet(source)
-        stream_ratings(stream, log, checkpoint).awaitTermination()
+        stream_ratings(stream, catalog, log, checkpoint).awaitTermination()
 
     for half in halves:
         spark.createDataFrame(half, CHANGES).coalesce(1).write.mode("append").parquet(source)
@@ -84,3 +96,4 @@ def test_stream_equals_fold(spark, tmp_path, restart):
             run()
     run()
     assert folded(snapshot(spark, log)) == FOLDED
+    assert {r.event_id: r.reason for r in rejected(spark, log).collect()} == {30: "bad_rating", 31: "unknown_work"}

@@ -59,6 +59,17 @@ def test_author_exclusion_uses_the_catalog(spark, shelf):
     assert authors == {f"author {i}" for i in range(12)} - {"author 1", "author 2"}
 
 
+def test_lists_are_full_without_unwanted_authors(spark, shelf):
+    corpus, _ = shelf
+    ratings = ratings_of(spark, [("u", 1, 2), ("v", 2, 1)])
+    out = spark.createDataFrame([("u", f"author {i}") for i in range(11)], "user string, author string")
+    parts = (ratings, catalog_of(corpus), corpus, corpus.select("input_text", "vec"), 20)
+    recs = recommend.recommend_signed(*parts, exclude_authors=out).collect()
+    assert [r.author for r in recs if r.user == "u"] == ["author 11"] * 20
+    plain = recommend.recommend_signed(*parts).where("user = 'v'").orderBy("rank").collect()
+    assert [r.work_key for r in sorted((r for r in recs if r.user == "v"), key=lambda r: r["rank"])] == [r.work_key for r in plain]
+
+
 def test_rated_twin_text(spark, shelf):
     corpus, _ = shelf
     text = "Book|author 1|title 1"

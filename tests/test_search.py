@@ -100,7 +100,7 @@ def test_search_catalog(spark, books, corpus, inline):
         "e": [("W2", True), ("W1", False), ("W4", True)],
         "an author": [("W8", True), ("W9", False), ("W6", False)],
     }
-    assert search.search_catalog(catalog, corpus, ["e"], 0, inline).count() == 1
+    assert search.search_catalog(catalog, corpus, ["e"], 1, inline).count() == 1
 
 
 @pytest.mark.parametrize("inline", [256, 0])

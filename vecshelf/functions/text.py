@@ -34,9 +34,18 @@ def json_field(variant: Column | str, path: str, as_type: str = "string") -> Col
     return F.try_variant_get(_col(variant), path, as_type)
 
 
-def json_string_array(variant: Column | str, path: str) -> Column:
-    """A JSON array as ``array<string>``; NULL when the value is not an array."""
-    return F.try_variant_get(_col(variant), path, "array<string>")
+def json_string_array(variant: Column | str, path: str, raw: Column | str | None = None) -> Column:
+    """A JSON array as ``array<string>``; NULL when the value is not an array.
+
+    Elements that are no strings keep the text they have in ``raw``, the JSON
+    the document was parsed from; without it numbers are written anew.
+    """
+    plain = F.try_variant_get(_col(variant), path, "array<string>")
+    if raw is None:
+        return plain
+    parts = F.try_variant_get(_col(variant), path, "array<variant>")
+    mixed = F.exists(parts, lambda x: F.schema_of_variant(x) != "STRING")
+    return F.when(mixed, F.from_json(F.get_json_object(_col(raw), path), "array<string>")).otherwise(plain)
 
 
 def is_object(variant: Column | str, path: str) -> Column:

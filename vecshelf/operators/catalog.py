@@ -71,6 +71,17 @@ def lookup(catalog: DataFrame, keys: list | DataFrame) -> DataFrame:
     return catalog.where(F.col("work_key").isin(keys))
 
 
+def popularity_join(catalog: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Every work with how readers rated it: ``n_ratings``, ``n_liked`` and
+    ``mean_rating``, 0, 0 and NULL for a work nobody rated."""
+    counted = ratings.groupBy("work_key").agg(
+        F.count("rating").alias("n_ratings"),
+        F.count_if(F.col("rating") > 0).alias("n_liked"),
+        F.avg("rating").alias("mean_rating"),
+    )
+    return catalog.join(counted, "work_key", "left").fillna(0, ["n_ratings", "n_liked"])
+
+
 def popularity_tiers(books: DataFrame, tiers: tuple[int, ...] = (2, 3, 5, 10)) -> DataFrame:
     """``(min_editions, n_with_description)`` in one pass over the books."""
     described = F.col("description").isNotNull()

@@ -1,8 +1,10 @@
 """Taste clusters: spherical k-means over every user's liked vectors at once.
 
-Points are cut into cells of one user each; a user with very many likes is
-salted over several. A cell sees the user's few centroids and streams its points
-past them, sending on one partial sum per centroid instead of its points.
+The likes are dealt out by user once. A user whose vectors fit a cell is
+clustered from seeds to convergence inside one task. Only a user with very many
+likes is salted over several cells and goes round by round: a cell sees the
+user's few centroids and streams its points past them, sending on one partial
+sum per centroid instead of its points.
 """
 
 from __future__ import annotations
@@ -16,15 +18,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecshelf.functions.vector import dot, l2_normalize, scale
+from vecshelf.functions.vector import dot, l2_normalize
 from vecshelf.operators.centroid import vector_sum
 from vecshelf.operators.grouping import aggregate, canonical, top_ranked
-from vecshelf.operators.knn import knn, within
+from vecshelf.operators.knn import knn
 from vecshelf.operators.recommend import rated_authors, rated_exclusions
 from vecshelf.operators.scoring import SCORE_DIGITS, to_keys, to_matrix, unit_rows
 from vecshelf.session import written
 
+# A user with more likes than this, or more bytes of vectors, is salted.
 CELL_POINTS = 50_000
+CELL_BYTES = 64 << 20
+# Rounds after which k-means gives up; it has always settled long before.
+ROUNDS = 200
 
 
 def liked_points(ratings: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -37,24 +43,21 @@ def liked_points(ratings: DataFrame, vectors: DataFrame) -> DataFrame:
 
 @dataclass
 class Likes:
-    """Every user's liked vectors in cells, and per user the number of cells
-    (``salts``) and of clusters (``k``)."""
+    """Every user's liked vectors with the number of the user's ``likes`` and
+    the number of cells (``salts``) they are dealt over."""
 
     points: DataFrame
     sizes: DataFrame
 
     @classmethod
-    def of(cls, ratings: DataFrame, vectors: DataFrame, k: int, min_size: int) -> "Likes":
+    def of(cls, ratings: DataFrame, vectors: DataFrame) -> "Likes":
         liked = liked_points(ratings, vectors)
-        own_k = F.greatest(F.lit(1), F.least(F.lit(k), F.floor(F.col("likes") / min_size)))
+        dim = vectors.agg(F.max(F.size("vec"))).first()[0] or 1
+        most = max(1, min(CELL_POINTS, CELL_BYTES // (8 * dim)))
         sizes = written(
             liked.groupBy("user")
             .agg(F.count("*").alias("likes"))
-            .select(
-                "user",
-                F.ceil(F.col("likes") / CELL_POINTS).alias("salts"),
-                own_k.cast("int").alias("k"),
-            ),
+            .withColumn("salts", F.ceil(F.col("likes") / most)),
             "like-sizes",
         )
         points = (
@@ -64,19 +67,23 @@ class Likes:
                 "user",
                 "input_text",
                 "rating",
-                "k",
+                "likes",
+                "salts",
                 F.pmod(F.xxhash64("input_text"), "salts").alias("salt"),
                 "vec",
             )
         )
         return cls(written(points, "likes"), sizes)
 
+    def salted(self) -> "Likes":
+        return Likes(self.points.where("salts > 1"), self.sizes.where("salts > 1"))
+
 
 def cluster_preferences(
     ratings: DataFrame,
     vectors: DataFrame,
     k: int = 3,
-    iters: int = 10,
+    iters: int = ROUNDS,
     min_size: int = 2,
     tolerance: float = 1e-9,
 ) -> tuple[DataFrame, DataFrame]:
@@ -86,11 +93,126 @@ def cluster_preferences(
     cosine to the own and to the next centroid; centroids are
     ``(user, cluster, vec)``. Seeds are farthest-first from the strongest like,
     and ``k`` is lowered so that a cluster has ``min_size`` likes on average. A
-    centroid that loses all points stays where it is.
+    centroid that loses all points stays where it is. Rounds go on until no
+    centroid moves; it is an error if ``iters`` of them are not enough.
     """
-    likes = Likes.of(ratings, vectors, k, min_size)
-    centroids = _seeds(likes, k)
-    for turn in range(iters):
+    members, centroids = _clustered(ratings, vectors, (k,), iters, min_size, tolerance)
+    return members.drop("k"), centroids.drop("k")
+
+
+def _clustered(ratings, vectors, ks, iters, min_size, tolerance) -> tuple[DataFrame, DataFrame]:
+    """Members and centroids for each of ``ks``, told apart by a column ``k``."""
+    likes = Likes.of(ratings, vectors)
+    both = written(_whole_users(likes, ks, iters, min_size, tolerance), "clusters")
+    members = both.where("vec is null").drop("vec")
+    centroids = both.where("vec is not null").select("user", "k", "cluster", "vec")
+    salted = likes.salted()
+    if salted.sizes.head(1):
+        seeds = _seeds(salted, max(ks), min_size)
+        for k in ks:
+            found, heads = _rounds(salted, seeds, k, iters, min_size, tolerance)
+            members = members.unionByName(found.withColumn("k", F.lit(k)))
+            centroids = centroids.unionByName(heads.withColumn("k", F.lit(k)))
+    return members, centroids
+
+
+def own_k(k: int, min_size: int):
+    """Clusters that a user with so many ``likes`` gets of ``k``."""
+    return F.greatest(F.lit(1), F.least(F.lit(k), F.floor(F.col("likes") / min_size)))
+
+
+def _whole_users(likes: Likes, ks, iters, min_size, tolerance) -> DataFrame:
+    """Users that fit a cell: members, and centroids in rows with a ``vec``."""
+    points = likes.points.where("salts = 1").select("user", "input_text", "rating", "vec")
+    schema = T.StructType(
+        [
+            points.schema["user"],
+            T.StructField("k", T.IntegerType()),
+            T.StructField("cluster", T.IntegerType()),
+            points.schema["input_text"],
+            T.StructField("score", T.DoubleType()),
+            T.StructField("next_score", T.DoubleType()),
+            T.StructField("vec", _VEC),
+        ]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out = to_arrow_schema(schema)
+        user, held = None, []
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            vectors = unit_rows(to_matrix(table["vec"]))
+            strength, texts = to_keys(table["rating"]), table["input_text"]
+            seeds = _seed_rows(vectors, strength, max(ks))
+            for k in ks:
+                mine = max(1, min(k, len(vectors) // min_size))
+                heads = _settle(vectors, vectors[seeds[:mine]], iters, tolerance)
+                ids, rows, own, following = _assignments(np.arange(len(heads)), heads, vectors, np.arange(len(vectors)))
+                n, m = len(vectors), len(heads)
+                columns = [
+                    [user] * (n + m),
+                    [k] * (n + m),
+                    [*ids.tolist(), *range(m)],
+                    [*texts.to_pylist(), *[None] * m],
+                    [*own.tolist(), *[None] * m],
+                    [*(None if np.isnan(x) else x for x in following.tolist()), *[None] * m],
+                    [*[None] * n, *heads.tolist()],
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
+
+        for batch in batches:
+            owners = to_keys(batch["user"])
+            cuts = np.flatnonzero(owners[1:] != owners[:-1]) + 1 if len(owners) else []
+            edges = [0, *list(cuts), len(owners)]
+            for start, stop in zip(edges, edges[1:]):
+                if start == stop:
+                    continue
+                if held and owners[start] != user:
+                    yield from settled()
+                    held = []
+                user = owners[start] if not hasattr(owners[start], "item") else owners[start].item()
+                held.append(batch.slice(start, stop - start))
+        if held:
+            yield from settled()
+
+    dealt = points.repartition("user").sortWithinPartitions("user", "input_text")
+    return dealt.mapInArrow(run, schema)
+
+
+def _seed_rows(vectors: np.ndarray, strength: np.ndarray, k: int) -> list[int]:
+    """Rows in text order: the strongest, then each time the one farthest from
+    all so far. The seeds of fewer clusters are the first of these."""
+    seeds = [int(np.argmax(strength))]
+    closest = np.round(vectors @ vectors[seeds[0]], SCORE_DIGITS)
+    while len(seeds) < min(k, len(vectors)):
+        seeds.append(int(np.argmin(closest)))
+        closest = np.maximum(closest, np.round(vectors @ vectors[seeds[-1]], SCORE_DIGITS))
+    return seeds
+
+
+def _settle(vectors: np.ndarray, heads: np.ndarray, iters: int, tolerance: float) -> np.ndarray:
+    for _ in range(iters):
+        _, best = _nearest(heads, vectors)
+        moved = heads.copy()
+        for c in np.unique(best):
+            total = vectors[best == c].sum(0)
+            length = np.linalg.norm(total)
+            moved[c] = total / length if length else heads[c]
+        still = (1 - np.einsum("ij,ij->i", heads, moved)).max() <= tolerance
+        heads = moved
+        if still:
+            return heads
+    raise RuntimeError(f"k-means has not settled after {iters} rounds")
+
+
+def _rounds(likes: Likes, seeds: DataFrame, k: int, iters: int, min_size: int, tolerance: float):
+    """Members and centroids of salted users, round by round."""
+    ranks = likes.sizes.select("user", own_k(k, min_size).alias("own"))
+    centroids = seeds.join(ranks, "user").where("cluster < own").select("user", "cluster", "vec")
+    for _ in range(iters):
         step = _per_cell(likes.points, likes.sizes, centroids, _partial_sums, _SUMS)
         moved = vector_sum(step, ["user", "cluster"]).withColumnRenamed("vec", "sum")
         centroids = written(
@@ -102,21 +224,22 @@ def cluster_preferences(
             ),
             "centroids",
         )
-        settled = turn + 1 < iters and not centroids.where(F.col("shift") > tolerance).head(1)
-        if settled:
+        if not centroids.where(F.col("shift") > tolerance).head(1):
             break
+    else:
+        raise RuntimeError(f"k-means has not settled after {iters} rounds")
     centroids = centroids.select("user", "cluster", "vec")
     return _per_cell(likes.points, likes.sizes, centroids, _assignments, _MEMBERS), centroids
 
 
-def _seeds(likes: Likes, k: int) -> DataFrame:
+def _seeds(likes: Likes, k: int, min_size: int) -> DataFrame:
     """Start at each user's strongest like, then add the like farthest from all seeds."""
     order = [-F.col("rating"), F.col("input_text")]
     first = canonical(likes.points.select("user", "input_text", "rating", "vec"), ["user"], order)
     start = first.select("user", F.lit(0).alias("cluster"), l2_normalize("vec").alias("vec"))
     seeds = written(start, "seeds")
     for number in range(1, k):
-        open_points = likes.points.where(F.col("k") > number)
+        open_points = likes.points.where(own_k(k, min_size) > number)
         far = _per_cell(open_points, likes.sizes, seeds, _farthest, _FAR)
         pick = canonical(far, ["user"], [F.col("score"), F.col("input_text")])
         added = pick.select("user", F.lit(number).alias("cluster"), "vec")
@@ -242,15 +365,15 @@ def label_clusters(members: DataFrame, meta: DataFrame, m: int = 3) -> DataFrame
     return labels.join(sizes, ["user", "cluster"])
 
 
-def cluster_quality(members: DataFrame) -> DataFrame:
-    """``(user, clusters, smallest, silhouette)``: the mean centroid silhouette,
-    0 for a user with a single cluster."""
+def cluster_quality(members: DataFrame, *by: str) -> DataFrame:
+    """``(user, *by, clusters, smallest, silhouette)``: the mean centroid
+    silhouette, 0 for a user with a single cluster."""
     own, other = 1 - F.col("score"), 1 - F.col("next_score")
     width = F.coalesce(F.try_divide(other - own, F.greatest(own, other)), F.lit(0.0))
-    per_cluster = members.groupBy("user", "cluster").agg(
+    per_cluster = members.groupBy("user", *by, "cluster").agg(
         F.count("*").alias("size"), F.sum(width).alias("width")
     )
-    return per_cluster.groupBy("user").agg(
+    return per_cluster.groupBy("user", *by).agg(
         F.count("*").alias("clusters"),
         F.min("size").alias("smallest"),
         (F.sum("width") / F.sum("size")).alias("silhouette"),
@@ -261,48 +384,27 @@ def choose_k(
     ratings: DataFrame,
     vectors: DataFrame,
     ks: tuple[int, ...] = (2, 3, 4, 5),
-    iters: int = 10,
+    iters: int = ROUNDS,
     min_size: int = 2,
+    tolerance: float = 1e-9,
 ) -> DataFrame:
     """``(user, k, silhouette)``: per user the best of ``ks``, preferring choices
-    without clusters below ``min_size`` and then the smaller ``k``."""
-    trials = None
-    for k in ks:
-        members, _ = cluster_preferences(ratings, vectors, k, iters, min_size)
-        trial = cluster_quality(members).withColumn("k", F.lit(k))
-        trials = trial if trials is None else trials.unionByName(trial)
+    without clusters below ``min_size`` and then the smaller ``k``. All of
+    ``ks`` are tried on the same loaded points, each until it has settled."""
+    members, _ = _clustered(ratings, vectors, tuple(ks), iters, min_size, tolerance)
     order = [
         (F.col("smallest") < min_size).cast("int"),
         -F.round("silhouette", SCORE_DIGITS),
         F.col("k"),
     ]
+    trials = cluster_quality(members, "k")
     return canonical(trials, ["user"], order).select("user", "k", "silhouette")
 
 
 def disliked_vectors(ratings: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``(qid, vec)``: unit vectors of each user's negatively rated texts."""
+    """``(qid, vec)``: vectors of each user's negatively rated texts."""
     texts = ratings.where("rating < 0").select(F.col("user").alias("qid"), "input_text").distinct()
-    return texts.join(vectors.select("input_text", "vec"), "input_text").select(
-        "qid", l2_normalize("vec").alias("vec")
-    )
-
-
-def penalize_dislikes(centroids: DataFrame, disliked: DataFrame, lam: float) -> DataFrame:
-    """Centroids less ``lam`` times the mean disliked vector. A unit candidate's dot
-    product with the result is its score minus ``lam`` times its mean cosine to
-    the disliked works, so the whole corpus is still ranked exactly."""
-    mean = vector_sum(disliked, ["qid"], "vec", F.count("*").alias("terms")).select(
-        F.col("qid").alias("user"), scale("vec", F.lit(-lam) / F.col("terms")).alias("push")
-    )
-    pushed = F.when(F.col("push").isNull(), F.col("vec")).otherwise(
-        F.zip_with("vec", "push", lambda x, y: x + y)
-    )
-    return centroids.join(mean, "user", "left").select("user", "cluster", pushed.alias("vec"))
-
-
-def near_disliked(corpus: DataFrame, disliked: DataFrame, threshold: float) -> DataFrame:
-    """``(qid, work_key)`` of works at ``threshold`` or closer to a disliked one."""
-    return within(corpus, disliked, threshold).select("qid", "work_key")
+    return texts.join(vectors.select("input_text", "vec"), "input_text").select("qid", "vec")
 
 
 def recommend_clustered(
@@ -319,41 +421,35 @@ def recommend_clustered(
 ) -> DataFrame:
     """The ``n`` best works for each cluster, ``(user, cluster, work_key, score, rank)``.
 
-    ``dislikes`` is ``none``, ``penalty`` (scores lose ``lam`` times the mean
-    cosine to the disliked works) or ``filter`` (works within ``threshold`` of a
+    ``dislikes`` is ``none``, ``penalty`` (scores lose ``lam`` times the highest
+    cosine to a disliked work) or ``filter`` (works within ``threshold`` of a
     disliked one are left out).
     """
     if dislikes not in ("none", "penalty", "filter"):
         raise ValueError("dislikes must be none, penalty or filter")
-    sep = "\x1f"
-    qid = F.concat_ws(sep, "user", "cluster").alias("qid")
-    homes = centroids.select(F.col("user"), qid)
+    # Clusters travel under a number of their own, whatever users are called.
+    homes = written(
+        centroids.select("user", "cluster", "vec").withColumn("qid", F.monotonically_increasing_id()),
+        "cluster-numbers",
+    )
+    numbers = homes.select("qid", "user", "cluster")
 
     def per_cluster(df: DataFrame) -> DataFrame:
-        return df.withColumnRenamed("qid", "user").join(homes, "user").drop("user")
-
-    out = rated_exclusions(ratings, corpus)
-    if dislikes == "penalty":
-        centroids = penalize_dislikes(centroids, disliked_vectors(ratings, vectors), lam)
-    elif dislikes == "filter":
-        near = near_disliked(corpus, disliked_vectors(ratings, vectors), threshold)
-        out = out.unionByName(near)
+        return df.withColumnRenamed("qid", "user").join(numbers.drop("cluster"), "user").drop("user")
+
+    wishes = {}
+    if dislikes != "none":
+        wishes["against"] = per_cluster(disliked_vectors(ratings, vectors))
+        wishes.update(lam=lam) if dislikes == "penalty" else wishes.update(avoid=threshold)
     hits = knn(
         corpus,
-        centroids.select(qid, "vec"),
+        homes.select("qid", "vec"),
         n,
-        exclude=per_cluster(out),
+        exclude=per_cluster(rated_exclusions(ratings, corpus)),
         exclude_groups=per_cluster(rated_authors(ratings, catalog)) if exclude_rated_authors else None,
-        metric="mean_cosine" if dislikes == "penalty" else "cosine",
-    )
-    parts = F.split("qid", sep)
-    return hits.select(
-        parts[0].cast(centroids.schema["user"].dataType).alias("user"),
-        parts[1].cast("int").alias("cluster"),
-        "work_key",
-        "score",
-        "rank",
+        **wishes,
     )
+    return hits.join(numbers, "qid").select("user", "cluster", "work_key", "score", "rank")
 
 
 def merge_clusters(recs: DataFrame, n: int = 20, order: str = "round_robin") -> DataFrame:

@@ -40,6 +40,26 @@ def edition_aggregates(
     )
 
 
+def edition_facets(editions: DataFrame) -> DataFrame:
+    """``(work_key, facet, value, n)``: in how many editions of a work each
+    ``language`` and each ``genre`` is named."""
+    doc = F.col("doc")
+    languages = F.transform(
+        F.try_variant_get(doc, "$.languages", "array<variant>"),
+        lambda x: F.struct(F.lit("language").alias("facet"), json_field(x, "$.key").alias("value")),
+    )
+    genres = F.transform(
+        json_string_array("doc", "$.genres", "json"),
+        lambda x: F.struct(F.lit("genre").alias("facet"), x.alias("value")),
+    )
+    none = F.array().cast("array<struct<facet:string,value:string>>")
+    named = F.array_distinct(F.concat(F.coalesce(languages, none), F.coalesce(genres, none)))
+    rows = _parsed(editions.where("work_key is not null")).select("work_key", F.inline(named))
+    return (
+        rows.where("value is not null").groupBy("work_key", "facet", "value").agg(F.count("*").alias("n"))
+    )
+
+
 def select_works(
     works: DataFrame,
     ed_agg: DataFrame,
@@ -65,7 +85,7 @@ def build_books(selected: DataFrame) -> DataFrame:
         F.coalesce(own_year, "min_year").alias("first_publish_year"),
         "edition_count",
         F.coalesce(unwrap_text("doc", "description"), "ed_desc").alias("description"),
-        json_string_array("doc", "$.subjects").alias("subjects"),
+        json_string_array("doc", "$.subjects", "json").alias("subjects"),
         json_field("doc", "$.authors[0].author.key").alias("primary_author_key"),
         json_field("doc", "$.covers[0]").try_cast("int").alias("cover_id"),
         "isbn13",
@@ -98,5 +118,5 @@ def build_authors(authors: DataFrame, book_authors: DataFrame) -> DataFrame:
         json_field("doc", "$.birth_date").alias("birth_date"),
         json_field("doc", "$.death_date").alias("death_date"),
         unwrap_text("doc", "bio").alias("bio"),
-        json_string_array("doc", "$.alternate_names").alias("alternate_names"),
+        json_string_array("doc", "$.alternate_names", "json").alias("alternate_names"),
     )

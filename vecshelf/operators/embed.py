@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vecshelf.functions.text import content_key, input_text
+from vecshelf.session import written
 from vecshelf.sources.cache import VectorCache
 
 BATCH = 32
+# Texts embedded between two appends: what a stopped run loses at most.
+ROUND_TEXTS = 1_000_000
 
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -46,7 +49,8 @@ def keyed(texts: DataFrame) -> DataFrame:
     return (
         texts.where("input_text is not null")
         .select("input_text", content_key("input_text").alias("input_sha256"))
-        .dropDuplicates(["input_sha256"])
+        # text and key determine each other
+        .distinct()
     )
 
 
@@ -86,18 +90,29 @@ def embed_missing(
     batch: int = BATCH,
     dim: int | None = None,
     concurrency: int | None = None,
+    round_texts: int = ROUND_TEXTS,
 ) -> int:
     """Embed and append the inputs the cache lacks; the number appended.
 
-    ``concurrency`` bounds how many tasks call the embedder at once. A second
-    run over the same inputs appends nothing.
+    The missing texts are dealt by hash into rounds of about ``round_texts``,
+    each appended before the next begins, so a run that is stopped keeps its
+    finished rounds and the next one embeds the rest. ``concurrency`` bounds
+    how many tasks call the embedder at once. A second run over the same inputs
+    appends nothing.
     """
-    misses = missing_vectors(inputs, cache)
-    if concurrency:
-        misses = misses.repartition(concurrency, "input_sha256")
-    seen = Observation()
-    cache.write(embed_texts(misses, embedder, batch, dim).observe(seen, F.count("*").alias("n")))
-    return seen.get["n"]
+    misses = written(missing_vectors(inputs, cache), "to-embed")
+    rounds = max(1, -(-misses.count() // round_texts))
+    total = 0
+    for number in range(rounds):
+        part = misses
+        if rounds > 1:
+            part = misses.where(F.pmod(F.xxhash64("input_sha256"), F.lit(rounds)) == number)
+        if concurrency:
+            part = part.repartition(concurrency, "input_sha256")
+        seen = Observation()
+        cache.write(embed_texts(part, embedder, batch, dim).observe(seen, F.count("*").alias("n")))
+        total += seen.get["n"]
+    return total
 
 
 def ensure_rated_vectors(

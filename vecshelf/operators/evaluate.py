@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecshelf.functions.vector import cosine
+from vecshelf.functions.vector import cosine, l2_norm, l2_normalize
 from vecshelf.operators.centroid import vector_arithmetic
 from vecshelf.operators.grouping import top_ranked
 from vecshelf.operators.knn import knn, within
 from vecshelf.operators.search import find_vector
+from vecshelf.session import written
 
 
 def analogy_rank(
-    expressions: DataFrame, candidates: DataFrame, vectors: DataFrame, n: int = 10
+    expressions: DataFrame, candidates: DataFrame, vectors: DataFrame, n: int | None = None
 ) -> DataFrame:
-    """Candidate labels by cosine to the combined vector of their expression.
+    """Candidate labels by cosine to the combined vector of their expression:
+    all of them, or the best ``n``.
 
     ``expressions`` is ``(expr_id, vec)`` and ``candidates`` is
     ``(expr_id, label, expected)`` with a flag on the sought label.
@@ -29,17 +28,28 @@ def analogy_rank(
         .join(expressions.select("expr_id", "vec"), "expr_id")
         .select("expr_id", "label", "expected", cosine("vec", "term").alias("score"))
     )
-    return top_ranked(scored, "expr_id", n, [F.round("score", 12).desc(), F.col("label").asc()])
+    order = [F.round("score", 12).desc(), F.col("label").asc()]
+    if n is not None:
+        return top_ranked(scored, "expr_id", n, order)
+    rank = F.row_number().over(Window.partitionBy("expr_id").orderBy(*order))
+    return scored.withColumn("rank", rank.cast("long"))
 
 
 def pairwise_cosine(vectors: DataFrame, pivot: bool = False) -> DataFrame:
     """Cosine of every pair of labelled vectors: long ``(label_a, label_b, cosine)``,
     or one row per label with a column per other label."""
-    pairs = within(
-        vectors.select("label", "vec"), vectors.select(F.col("label").alias("qid"), "vec"), -2.0, key="label"
-    ).select(
-        F.col("qid").alias("label_a"), F.col("label").alias("label_b"), F.col("score").alias("cosine")
-    )
+    norms = vectors.select("label", l2_norm("vec").alias("norm"))
+    # the matrix is the result, so every pair is wanted; a zero vector has no cosine
+    dots = within(
+        vectors.select("label", "vec"),
+        vectors.select(F.col("label").alias("qid"), "vec"),
+        -1e300,
+        key="label",
+        metric="dot",
+    ).select(F.col("qid").alias("label_a"), F.col("label").alias("label_b"), F.col("score").alias("dot"))
+    both = dots.join(norms.toDF("label_a", "norm_a"), "label_a").join(norms.toDF("label_b", "norm_b"), "label_b")
+    share = F.try_divide("dot", F.col("norm_a") * F.col("norm_b"))
+    pairs = both.select("label_a", "label_b", share.alias("cosine"))
     if pivot:
         return pairs.groupBy("label_a").pivot("label_b").agg(F.first("cosine"))
     return pairs
@@ -117,14 +127,14 @@ def format_texts(concepts: DataFrame) -> DataFrame:
 
 
 _PARTS = ["concept_id", "format", "variant"]
-_SEP = "\x1f"
 
 
 def format_vectors(concepts: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``(expr_id, vec)`` of each concept, format and variant.
+    """``(concept_id, format, variant, expr_id, vec)`` of each rendering.
 
     Variants are the marked text, and the marked text minus its bare or its
-    explicit markers; the plain formats have the first alone.
+    explicit markers; the plain formats have the first alone. ``expr_id`` is a
+    number given to each.
     """
     rendered = render_formats(concepts).select("concept_id", "format", "text")
     whole = rendered.withColumn("variant", F.lit("marked")).withColumn("coef", F.lit(1.0))
@@ -133,18 +143,14 @@ def format_vectors(concepts: DataFrame, vectors: DataFrame) -> DataFrame:
     variants = markers.select("concept_id", "variant").distinct()
     lessened = marked.join(variants, "concept_id").withColumn("coef", F.lit(1.0))
     minus = marked.drop("text").join(markers, "concept_id").withColumn("coef", F.lit(-1.0))
-    terms = (
-        whole.unionByName(lessened)
-        .unionByName(minus)
-        .select(F.concat_ws(_SEP, *_PARTS).alias("expr_id"), F.col("text").alias("label"), "coef")
+    terms = whole.unionByName(lessened).unionByName(minus).withColumnRenamed("text", "label")
+    named = written(
+        terms.select(*_PARTS).distinct().withColumn("expr_id", F.monotonically_increasing_id()),
+        "format-numbers",
     )
-    return vector_arithmetic(vectors.select(F.col("input_text").alias("label"), "vec"), terms)
-
-
-def _unpacked(df: DataFrame, id_column: str, concept_type) -> DataFrame:
-    pieces = F.split(id_column, _SEP)
-    named = {"concept_id": pieces[0].cast(concept_type), "format": pieces[1], "variant": pieces[2]}
-    return df.withColumns(named).drop(id_column)
+    numbered = terms.join(named, _PARTS).select("expr_id", "label", "coef")
+    sums = vector_arithmetic(vectors.select(F.col("input_text").alias("label"), "vec"), numbered)
+    return named.join(sums, "expr_id").select(*_PARTS, "expr_id", "vec")
 
 
 def evaluate_formats(concepts: DataFrame, vectors: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -161,9 +167,8 @@ def evaluate_formats(concepts: DataFrame, vectors: DataFrame, catalog: DataFrame
         F.col("vec").alias("target"),
     )
     expected = concepts.select("concept_id", *wanted).join(targets, wanted, "left")
-    kind = concepts.schema["concept_id"].dataType
     return (
-        _unpacked(format_vectors(concepts, vectors), "expr_id", kind)
+        format_vectors(concepts, vectors)
         .join(expected, "concept_id")
         .select(*_PARTS, "expected_title", cosine("vec", "target").alias("score"))
     )
@@ -173,19 +178,25 @@ def format_neighbours(
     concepts: DataFrame, vectors: DataFrame, corpus: DataFrame, n: int = 10
 ) -> DataFrame:
     """The ``n`` nearest works of each concept, format and variant."""
-    queries = format_vectors(concepts, vectors).withColumnRenamed("expr_id", "qid")
-    return _unpacked(knn(corpus, queries, n), "qid", concepts.schema["concept_id"].dataType)
+    rendered = written(format_vectors(concepts, vectors), "format-vectors")
+    hits = knn(corpus, rendered.select(F.col("expr_id").alias("qid"), "vec"), n)
+    named = rendered.select(*_PARTS, F.col("expr_id").alias("qid"))
+    return hits.join(named, "qid").drop("qid")
 
 
 def random_control(spark: SparkSession, count: int, dim: int, seed: int = 42) -> DataFrame:
-    """``count`` random unit vectors ``(qid, vec)``; each depends on the seed and
-    its own number alone."""
-
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            drawn = [np.random.default_rng((seed, int(i))).normal(size=dim) for i in frame["id"]]
-            yield pd.DataFrame(
-                {"qid": frame["id"], "vec": [v / np.linalg.norm(v) for v in drawn]}
-            )
-
-    return spark.range(count).mapInPandas(draw, "qid long, vec array<double>")
+    """``count`` random unit vectors ``(qid, vec)``; each number comes from the
+    SHA-256 of the seed, the vector's number and its place, so any engine draws
+    the same: two 32-bit fractions make one normal deviate (Box-Muller)."""
+    place = F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("pos")
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("qid"), F.col("pos")), 256)
+
+    def fraction(start: int) -> Column:
+        number = F.conv(F.substring("digest", start, 8), 16, 10).cast("double")
+        return (number + 0.5) / F.lit(float(1 << 32))
+
+    normal = F.sqrt(-2 * F.log(fraction(1))) * F.cos(2 * F.lit(np.pi) * fraction(9))
+    drawn = spark.range(count).withColumnRenamed("id", "qid").select("qid", place)
+    rows = drawn.withColumn("digest", digest).select("qid", "pos", normal.alias("x"))
+    vectors = rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "x")))["x"].alias("vec"))
+    return vectors.select("qid", l2_normalize("vec").alias("vec"))

@@ -1,8 +1,9 @@
 """Exact nearest neighbours of many queries over a corpus.
 
-Neither side is joined to the other row by row. Where the queries fit a checked
-bound they travel to the corpus partitions, which are scored in place without a
-shuffle. Beyond it, both sides are cut into a grid of cells; a cell holds one
+Neither side is joined to the other row by row. The side that fits a checked
+bound travels to the partitions of the other: few queries to the corpus, which
+is scored in place, or a small corpus to the queries, which are dealt out once.
+Beyond both bounds the two sides are cut into a grid of cells; a cell holds one
 bounded block of queries in memory and streams its corpus rows past it. Either
 way a task emits only its best ``n`` per query, and one window merges those.
 """
@@ -10,6 +11,7 @@ way a task emits only its best ``n`` per query, and one window merges those.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecshelf.operators.grouping import aggregate, top_ranked
-from vecshelf.operators.scoring import QueryBlock, to_keys, to_matrix
+from vecshelf.operators.scoring import SCORE_DIGITS, QueryBlock, row_scores, to_keys, to_matrix, unit_rows
 from vecshelf.session import written
 
 METRICS = ("cosine", "dot", "mean_cosine", "l2")
@@ -28,6 +30,8 @@ METRICS = ("cosine", "dot", "mean_cosine", "l2")
 FIRST_LOOK = 4096
 BROADCAST_BYTES = 64 << 20
 BROADCAST_EXCLUSIONS = 1_000_000
+# A corpus up to this size is sent to the queries where those are too many.
+CORPUS_BYTES = 128 << 20
 # A grid cell holds this many bytes of query vectors, and about this many
 # corpus rows pass through it.
 CELL_QUERY_BYTES = 32 << 20
@@ -47,7 +51,12 @@ def knn(
     group: str = "author",
     where=None,
     metric: str = "cosine",
+    against: DataFrame | None = None,
+    lam: float = 0.0,
+    avoid: float | None = None,
+    min_near: tuple[int, float] | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
+    corpus_bytes: int | None = None,
 ) -> DataFrame:
     """The ``n`` best corpus rows per query: ``(qid, key, score, rank)``.
 
@@ -58,10 +67,23 @@ def knn(
     ``where`` filters the corpus before scoring. Order is score descending,
     then key. Metrics: ``cosine``, ``dot``, ``mean_cosine`` (unit corpus rows
     against the query as given) and ``l2`` (negated distance).
+
+    ``against`` is ``(qid, vec)`` of what a query should keep away from: a row
+    loses ``lam`` times its highest cosine to any of them, and is left out where
+    that cosine reaches ``avoid``. ``min_near=(m, floor)`` asks for at least ``m``
+    of the query's vectors at ``floor`` or nearer. These two look at each corpus
+    row with all of a query's vectors at once, so they stream the queries past
+    the corpus, block by block if it is large, and no pair leaves the kernel.
     """
+    if against is not None or min_near is not None:
+        found = _past_corpus(
+            corpus, queries, n, exclude, exclude_groups, key, group, where, metric,
+            _Extra(against, lam, avoid, min_near), corpus_bytes or CORPUS_BYTES,
+        )
+        return top_ranked(found, "qid", n, [F.col("score").desc(), F.col(key).asc()])
     hits = _search(
         corpus, queries, n, None, exclude, exclude_groups, key, group, where, metric,
-        broadcast_bytes,
+        broadcast_bytes, CORPUS_BYTES if corpus_bytes is None else corpus_bytes,
     )
     return top_ranked(hits, "qid", n, [F.col("score").desc(), F.col(key).asc()])
 
@@ -82,13 +104,15 @@ def within(
     them, and in ``near`` how many are at the floor or nearer.
     """
     return _search(
-        corpus, queries, None, floor, None, None, key, "author", where, metric, broadcast_bytes
+        corpus, queries, None, floor, None, None, key, "author", where, metric, broadcast_bytes, 0
     )
 
 
 def _search(
-    corpus, queries, n, floor, exclude, exclude_groups, key, group, where, metric, broadcast_bytes
+    corpus, queries, n, floor, exclude, exclude_groups, key, group, where, metric, broadcast_bytes,
+    corpus_bytes,
 ) -> DataFrame:
+    given = corpus, queries, exclude, exclude_groups
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     if where is not None:
@@ -124,6 +148,10 @@ def _search(
         groups_out = _pairs(exclude_groups, "group")
         if keys_out is not None and groups_out is not None:
             return _by_broadcast(corpus, small, n, floor, keys_out, groups_out, metric, schema)
+    if floor is None and corpus_bytes and _vector_bytes(corpus) <= corpus_bytes:
+        return _past_corpus(
+            given[0], queries, n, given[2], given[3], key, group, where, metric, _Extra(), corpus_bytes
+        )
     return _by_grid(corpus, queries, n, floor, exclude, exclude_groups, metric, schema)
 
 
@@ -225,7 +253,7 @@ def _by_grid(corpus, queries, n, floor, exclude, exclude_groups, metric, schema)
             for name, kind in types.items()
         }
         return df.select(
-            (F.col("qb") * c_blocks + F.col("cb")).alias("cell"),
+            (F.col("qb").cast("long") * c_blocks + F.col("cb")).alias("cell"),
             F.lit(side).alias("side"),
             *[c.alias(name) for name, c in present.items()],
         )
@@ -248,7 +276,9 @@ def _by_grid(corpus, queries, n, floor, exclude, exclude_groups, metric, schema)
     cells = parts[0]
     for part in parts[1:]:
         cells = cells.unionByName(part)
-    cells = cells.repartitionById(q_blocks * c_blocks, "cell").sortWithinPartitions(
+    parts = grid_partitions(q_blocks * c_blocks, cores)
+    home = F.pmod("cell", F.lit(parts)).cast("int")
+    cells = cells.repartitionById(parts, home).sortWithinPartitions(
         "cell", F.col("group").asc_nulls_first(), F.col("key").asc_nulls_first(), "side"
     )
     out = _arrow_schema(schema)
@@ -273,6 +303,12 @@ def _by_grid(corpus, queries, n, floor, exclude, exclude_groups, metric, schema)
     return aggregate(hits, ["qid", schema.fieldNames()[1]], *merged)
 
 
+def grid_partitions(cells: int, cores: int) -> int:
+    """Shuffle partitions of a grid: one a cell, but no more than keep the cores
+    busy for a while; a partition reads several cells one after the other."""
+    return max(1, min(cells, 32 * cores))
+
+
 def _runs(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     values = to_keys(batch[column])
     if not len(values):
@@ -341,3 +377,181 @@ class _Cell:
     def close(self, out: pa.Schema) -> Iterator[pa.RecordBatch]:
         if self.block is not None and self.n is not None:
             yield _emit(self.block, self.block.best(), out)
+
+
+@dataclass
+class _Extra:
+    """What a query asks for beyond its score."""
+
+    against: DataFrame | None = None
+    lam: float = 0.0
+    avoid: float | None = None
+    min_near: tuple[int, float] | None = None
+
+    def plain(self) -> tuple:
+        return self.lam, self.avoid, self.min_near
+
+
+_WISH, _AGAINST, _NO_KEY, _NO_GROUP = range(4)
+
+
+def _past_corpus(
+    corpus, queries, n, exclude, exclude_groups, key, group, where, metric, extra, corpus_bytes
+) -> DataFrame:
+    """Streams the queries, with all that concerns them beside them, past the
+    corpus, which every task holds: in one block, or in as many as its size asks
+    for, each of at most ``corpus_bytes``."""
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
+    spark = corpus.sparkSession
+    if where is not None:
+        corpus = corpus.where(where)
+    groups = F.col(group) if exclude_groups is not None else F.lit(None).cast("string")
+    corpus = corpus.where(F.col(key).isNotNull() & F.col("vec").isNotNull()).select(
+        F.col(key).alias("key"), groups.alias("group"), "vec"
+    )
+    types = {
+        "qid": queries.schema["qid"].dataType,
+        "key": corpus.schema["key"].dataType,
+        "group": corpus.schema["group"].dataType,
+        "vec": T.ArrayType(T.DoubleType()),
+    }
+
+    def rows(df, side, **columns):
+        named = {name: F.col(columns[name]) if name in columns else F.lit(None) for name in types if name != "qid"}
+        known = df.where(" and ".join(f"`{c}` is not null" for c in ("qid", *columns.values())))
+        return known.select(
+            F.col("qid").cast(types["qid"]).alias("qid"),
+            F.lit(side).alias("side"),
+            *[c.cast(types[name]).alias(name) for name, c in named.items()],
+        )
+
+    parts = [rows(queries, _WISH, vec="vec")]
+    if extra.against is not None:
+        parts.append(rows(extra.against, _AGAINST, vec="vec"))
+    if exclude is not None:
+        parts.append(rows(exclude, _NO_KEY, key=key).distinct())
+    if exclude_groups is not None:
+        parts.append(rows(exclude_groups, _NO_GROUP, group=group).distinct())
+    dealt = parts[0]
+    for part in parts[1:]:
+        dealt = dealt.unionByName(part)
+    cores = spark.sparkContext.defaultParallelism
+    dealt = dealt.repartition(4 * cores, "qid").sortWithinPartitions("qid", "side")
+    schema = T.StructType(
+        [
+            T.StructField("qid", types["qid"]),
+            T.StructField(key, types["key"]),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    out, asked = _arrow_schema(schema), extra.plain()
+    found = None
+    for block in _corpus_blocks(corpus, corpus_bytes):
+        # each block is measured before it is read, see _corpus_blocks
+        shared = spark.sparkContext.broadcast(block)
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            sweep = _Sweep(shared.value, n, metric, *asked)
+            for batch in batches:
+                for segment in _runs(batch, "qid"):
+                    if sweep.qid is not None and sweep.qid != segment["qid"][0].as_py():
+                        sweep.close()
+                        if sweep.held >= 1 << 16:
+                            yield sweep.flush(out)
+                    sweep.take(segment)
+            sweep.close()
+            yield sweep.flush(out)
+
+        part = dealt.mapInArrow(score, schema)
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else spark.createDataFrame([], schema)
+
+
+def _corpus_blocks(corpus: DataFrame, most: int) -> Iterator[tuple]:
+    """The corpus as (keys, groups, vectors) in blocks by hash of the key, so
+    many that a block's vectors take about half of ``most`` bytes."""
+    blocks = max(1, -(-2 * _vector_bytes(corpus) // most)) if _vector_bytes(corpus) > most else 1
+    for number in range(blocks):
+        part = corpus if blocks == 1 else corpus.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == number)
+        held = part.toArrow()
+        if held.num_rows:
+            yield to_keys(held["key"]), to_keys(held["group"]), to_matrix(held["vec"])
+
+
+class _Sweep:
+    """Scores one query after the other against a block of the corpus; a query's
+    rows come in the order of their sides, over any number of batches."""
+
+    def __init__(self, block, n, metric, lam, avoid, min_near):
+        self.keys, self.groups, self.corpus = block
+        self.units = unit_rows(self.corpus, np.nan)
+        self.n, self.metric, self.lam, self.avoid, self.min_near = n, metric, lam, avoid, min_near
+        self.key_at = {k: i for i, k in enumerate(self.keys.tolist())}
+        self.group_at: dict = {}
+        for i, g in enumerate(self.groups.tolist()):
+            self.group_at.setdefault(g, []).append(i)
+        self.qid = None
+        self.held = 0
+        self.found: list[tuple] = []
+
+    def take(self, segment: pa.RecordBatch) -> None:
+        if self.qid is None:
+            self.qid = segment["qid"][0].as_py()
+            self.best = np.full(len(self.keys), -np.inf)
+            self.near = np.zeros(len(self.keys), np.int64)
+            self.close_to = np.full(len(self.keys), -np.inf)
+            self.out = np.zeros(len(self.keys), bool)
+        side = to_keys(segment["side"])
+
+        def mine(wanted: int) -> pa.RecordBatch:
+            return segment.take(pa.array(np.flatnonzero(side == wanted)))
+
+        for start in range(0, len(wishes := to_matrix(mine(_WISH)["vec"])), 256):
+            scores = row_scores(wishes[start : start + 256], self.corpus, self.metric)
+            self.best = np.maximum(self.best, scores.max(axis=0))
+            if self.min_near:
+                self.near += (scores >= self.min_near[1]).sum(axis=0)
+        for start in range(0, len(others := to_matrix(mine(_AGAINST)["vec"])), 256):
+            scores = np.round(unit_rows(others[start : start + 256], np.nan) @ self.units.T, SCORE_DIGITS)
+            scores[np.isnan(scores)] = -np.inf
+            self.close_to = np.maximum(self.close_to, scores.max(axis=0))
+        for k in mine(_NO_KEY)["key"].to_pylist():
+            if k in self.key_at:
+                self.out[self.key_at[k]] = True
+        for g in mine(_NO_GROUP)["group"].to_pylist():
+            self.out[self.group_at.get(g, [])] = True
+
+    def close(self) -> None:
+        if self.qid is None:
+            return
+        scores, touched = self.best, self.close_to > -np.inf
+        if self.lam:
+            scores = np.where(touched, scores - self.lam * np.where(touched, self.close_to, 0), scores)
+            scores = np.round(scores, SCORE_DIGITS)
+        drop = self.out.copy()
+        if self.avoid is not None:
+            drop |= touched & (self.close_to >= self.avoid)
+        if self.min_near:
+            drop |= self.near < self.min_near[0]
+        at = np.flatnonzero(~drop & (scores > -np.inf))
+        if len(at) > self.n:
+            # all that tie with the n-th stay in, the key decides later
+            bound = np.partition(scores[at], len(at) - self.n)[len(at) - self.n]
+            at = at[scores[at] >= bound]
+            named = self.keys[at]
+            place = np.unique(named, return_inverse=True)[1] if named.dtype == object else named
+            order = np.lexsort((place, -scores[at]))[: self.n]
+            at = at[order]
+        self.found.append((self.qid, self.keys[at], scores[at]))
+        self.held += len(at)
+        self.qid = None
+
+    def flush(self, out: pa.Schema) -> pa.RecordBatch:
+        qids = [q for q, keys, _ in self.found for _ in range(len(keys))]
+        keys = [k for _, keys, _ in self.found for k in keys.tolist()]
+        scores = [s for _, _, scores in self.found for s in scores.tolist()]
+        self.found, self.held = [], 0
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, type=f.type) for c, f in zip((qids, keys, scores), out)], schema=out
+        )

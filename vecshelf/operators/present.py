@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecshelf.operators.grouping import top_ranked
+from vecshelf.operators.grouping import aggregate, top_ranked
+from vecshelf.operators.knn import within
+from vecshelf.session import written
 
 NEAR_DUPLICATE = 0.92
 
@@ -40,6 +42,34 @@ def relative_score(shown: DataFrame) -> DataFrame:
     return shown.withColumn("relative", F.col("score") / top)
 
 
+def vector_classes(corpus: DataFrame, key: str = "work_key") -> DataFrame:
+    """``(key, class_key)``: works with equal vectors share the smallest key."""
+    named = corpus.where("vec is not null").select(key, "vec", F.xxhash64("vec").alias("print"))
+    first = aggregate(named, ["print", "vec"], F.min(key).alias("class_key"))
+    return named.join(first, ["print", "vec"]).select(key, "class_key")
+
+
+def near_duplicates(
+    corpus: DataFrame, threshold: float = NEAR_DUPLICATE, key: str = "work_key"
+) -> tuple[DataFrame, DataFrame]:
+    """``(pairs, classes)`` of works whose cosine reaches ``threshold``.
+
+    ``pairs`` is ``(key_a, key_b, score)`` with ``key_a < key_b`` between the
+    first works of different classes, each pair once; ``classes`` is
+    ``(key, class_key)`` with all works of equal vectors in one class, which
+    need no pair each. Every pair is found: blocks of the corpus are scored
+    against each other, and only what reaches the threshold leaves a task.
+    """
+    classes = written(vector_classes(corpus, key), "vector-classes")
+    heads = classes.where(F.col(key) == F.col("class_key")).select(key)
+    first = corpus.select(key, "vec").join(heads, key, "left_semi")
+    found = within(first, first.select(F.col(key).alias("qid"), "vec"), threshold, key=key)
+    pairs = found.where(F.col("qid") < F.col(key)).select(
+        F.col("qid").alias("key_a"), F.col(key).alias("key_b"), "score"
+    )
+    return pairs, classes
+
+
 def flag_near_duplicates(ranked: DataFrame, threshold: float = NEAR_DUPLICATE) -> DataFrame:
     """Marks hits so close that they are most likely another edition or adaptation."""
     return ranked.withColumn("near_duplicate", F.col("score") >= threshold)

@@ -16,17 +16,23 @@ RATINGS = (-2, -1, 1, 2)
 
 def validate_ratings(changes: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(accepted, rejected)``: accepted changes carry the ``input_text`` of the
-    work, rejected ones a reason. Deletes need no known rating."""
-    known = catalog.select("work_key", "input_text")
-    bad = F.col("rating").isNotNull() & ~F.col("rating").isin(*RATINGS)
-    marked = changes.join(known, "work_key", "left").withColumn(
-        "reason",
-        F.when(bad, "bad_rating").when(F.col("input_text").isNull(), "unknown_work"),
-    )
+    work (NULL where it has none), rejected ones a reason. A delete needs neither
+    a rating nor a work that is still listed."""
+    marked = judged_ratings(changes, catalog)
     accepted = marked.where("reason is null").select(*changes.columns, "input_text")
     return accepted, marked.where("reason is not null").select(*changes.columns, "reason")
 
 
+def judged_ratings(changes: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``changes``, batch or stream, with ``input_text`` and the ``reason`` to
+    reject a change, NULL if there is none."""
+    known = catalog.select("work_key", "input_text", F.lit(True).alias("_listed"))
+    given = F.col("rating").isNotNull()
+    bad = given & ~F.col("rating").isin(*RATINGS)
+    reason = F.when(bad, "bad_rating").when(given & F.col("_listed").isNull(), "unknown_work")
+    return changes.join(known, "work_key", "left").withColumn("reason", reason).drop("_listed")
+
+
 def fold_ratings(changes: DataFrame) -> DataFrame:
     """The latest change per ``(user, work_key)``, deletes dropped after the pick.
 

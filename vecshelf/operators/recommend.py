@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from vecshelf.functions.vector import l2_normalize
 from vecshelf.operators.centroid import vector_sum, weighted_centroid
-from vecshelf.operators.grouping import top_ranked
-from vecshelf.operators.knn import knn, within
+from vecshelf.operators.knn import knn
 from vecshelf.operators.search import described, match_preferences
 
 
@@ -49,20 +48,10 @@ def recommend_nearest(
     """Works by cosine to the closest liked work.
 
     ``min_near=(m, floor)`` asks for at least ``m`` liked works at ``floor`` or
-    closer; those pairs alone are then looked at.
+    closer.
     """
     hits = _liked(corpus, liked)
-    if min_near is None:
-        return described(knn(corpus, hits, n, exclude=hits), corpus)
-    m, floor = min_near
-    near = (
-        within(corpus, hits, floor)
-        .where(F.col("near") >= m)
-        .drop("near")
-        .join(hits.select("qid", "work_key"), ["qid", "work_key"], "left_anti")
-    )
-    order = [F.col("score").desc(), F.col("work_key").asc()]
-    return described(top_ranked(near, "qid", n, order), corpus)
+    return described(knn(corpus, hits, n, exclude=hits, min_near=min_near), corpus)
 
 
 def recommend_from_preferences(
@@ -123,21 +112,28 @@ def recommend_signed(
     n: int = 20,
     exclude_rated_authors: bool = False,
     exclude_same_text: bool = False,
+    exclude_authors: DataFrame | None = None,
     eps: float = 1e-9,
 ) -> DataFrame:
     """Works by cosine to each user's signed sum of rated vectors, all users at once.
 
     ``ratings`` is ``(user, work_key, input_text, rating)``. Rated works are left
-    out, on request also every work by an author the user has rated. Users whose
-    sum is shorter than ``eps`` get no rows (see ``user_status``).
+    out, on request also every work by an author the user has rated, and works by
+    the authors in ``exclude_authors(user, author)``; they are gone before the
+    ranking, so a list is short only if too few works are left. Users whose sum
+    is shorter than ``eps`` get no rows (see ``user_status``).
     """
     centroids = weighted_centroid(ratings, vectors).where(F.col("norm") > eps)
+    authors = rated_authors(ratings, catalog) if exclude_rated_authors else None
+    if exclude_authors is not None:
+        named = exclude_authors.select(F.col("user").alias("qid"), "author")
+        authors = named if authors is None else authors.unionByName(named)
     ranked = knn(
         corpus,
         centroids.select(F.col("user").alias("qid"), "vec"),
         n,
         exclude=rated_exclusions(ratings, corpus, exclude_same_text),
-        exclude_groups=rated_authors(ratings, catalog) if exclude_rated_authors else None,
+        exclude_groups=authors,
     )
     return described(ranked, corpus).withColumnRenamed("qid", "user")
 

@@ -38,6 +38,28 @@ def unit_rows(matrix: np.ndarray, zero: float = 1.0) -> np.ndarray:
     return matrix / norms
 
 
+def row_scores(queries: np.ndarray, corpus: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of raw query rows against raw corpus rows; what has none is -inf."""
+    if metric == "cosine":
+        queries = unit_rows(queries, np.nan)
+    if metric == "l2":
+        squares = (queries**2).sum(1)[:, None] + (corpus**2).sum(1) - 2 * (queries @ corpus.T)
+        # the expansion loses digits where vectors nearly agree: those few are measured
+        scale = (queries**2).sum(1)[:, None] + (corpus**2).sum(1)
+        for q, c in zip(*np.nonzero(squares < 1e-6 * scale)):
+            squares[q, c] = ((queries[q] - corpus[c]) ** 2).sum()
+        scores = -np.sqrt(np.maximum(squares, 0))
+    else:
+        scores = queries @ corpus.T
+    if metric in ("cosine", "mean_cosine"):
+        norms = np.sqrt(np.einsum("ij,ij->i", corpus, corpus))
+        norms[norms == 0] = np.nan
+        scores = scores / norms
+    scores = np.round(scores, SCORE_DIGITS)
+    scores[np.isnan(scores)] = -np.inf
+    return scores
+
+
 @dataclass
 class Exclusions:
     """Pairs (value, query position), sorted by value."""
@@ -78,7 +100,6 @@ class QueryBlock:
         self.matrix = unit_rows(matrix, np.nan) if metric == "cosine" else matrix
         self.owner = owner[order]
         self.starts = np.searchsorted(self.owner, np.arange(len(self.owners) + 1))
-        self.position = {q: i for i, q in enumerate(self.owners.tolist())}
         self.metric = metric
         self.n = n
         self.floor = -np.inf if floor is None else floor
@@ -98,7 +119,10 @@ class QueryBlock:
 
     def exclusions(self, qids: np.ndarray, values: np.ndarray) -> list[Exclusions]:
         """Pairs (query, value) by owner block; other cells' queries are passed over."""
-        found = np.array([self.position.get(q, -1) for q in qids.tolist()], dtype=np.int64)
+        # owners are sorted, so foreign queries are told apart without a look at each
+        found = np.searchsorted(self.owners, qids) if len(qids) else np.empty(0, np.int64)
+        found[found == len(self.owners)] = 0
+        found = np.where(self.owners[found] == qids, found, -1).astype(np.int64) if len(qids) else found
         order = np.argsort(found, kind="stable")
         found, values = found[order], values[order]
         edges = np.searchsorted(found, [first for first, _ in self.blocks] + [len(self.owners)])
@@ -108,17 +132,8 @@ class QueryBlock:
         ]
 
     def _scores(self, queries: np.ndarray, corpus: np.ndarray) -> np.ndarray:
-        if self.metric == "l2":
-            scores = np.stack([-np.linalg.norm(corpus - q, axis=1) for q in queries])
-        else:
-            scores = queries @ corpus.T
-        if self.metric in ("cosine", "mean_cosine"):
-            norms = np.sqrt(np.einsum("ij,ij->i", corpus, corpus))
-            norms[norms == 0] = np.nan
-            scores /= norms
-        np.round(scores, SCORE_DIGITS, out=scores)
-        scores[np.isnan(scores)] = -np.inf
-        return scores
+        # the queries of a cosine search are unit rows already
+        return row_scores(queries, corpus, "mean_cosine" if self.metric == "cosine" else self.metric)
 
     def feed(self, keys, groups, corpus, key_exclusions, group_exclusions):
         """Score one corpus batch. A threshold search yields what it finds as

@@ -22,8 +22,6 @@ from vecshelf.operators.knn import knn
 INLINE_NEEDLES = 256
 BROADCAST_CHARS = 4_000_000
 GRAM = 3
-# The smallest and largest result list of a search.
-LIMITS = (1, 100)
 
 
 def _ranked_order() -> list[Column]:
@@ -201,8 +199,9 @@ def search_catalog(
 ) -> DataFrame:
     """The ``limit`` most reprinted works per query whose title or author holds it,
     each with whether it is embedded. An empty query finds nothing; ``limit`` is
-    kept within 1 and 100."""
-    limit = min(max(limit, LIMITS[0]), LIMITS[1])
+    any number from 1 on."""
+    if limit < 1:
+        raise ValueError("limit must be 1 or more")
     rows = catalog.select("work_key", "author", "title", "year", "editions", "author_lc", "title_lc")
     needles = needles_from(catalog.sparkSession, queries)
     pairs = substring_pairs(rows, ["title_lc", "author_lc"], needles, inline)

@@ -124,14 +124,9 @@ select * from (
   join catalog c on contains(lower(c.title), lower(q.query)) or contains(lower(c.author), lower(q.query)))
 where rank <= 10"""
 
-_POOL = f""", pool as ({_signed(50)}),
-unwanted as (select distinct r."user", k.author from ratings r join catalog k on k.work_key = r.work_key
-  where r.rating = -2),
-kept as (select * from (
-  select p."user", p.work_key, p.author, p.score,
-         row_number() over (partition by p."user" order by p.rank) rank
-  from pool p where not exists (select 1 from unwanted x where x."user" = p."user" and x.author = p.author))
-  where rank <= 5)"""
+_UNWANTED = """, unwanted as (
+  select distinct r."user", k.author from ratings r join catalog k on k.work_key = r.work_key where r.rating = -2)"""
+_NOT_UNWANTED = """and not exists (select 1 from unwanted x where x."user" = t."user" and x.author = c.author)"""
 
 # Works, editions and authors as the dump describes them, without the detour over JSON.
 _DUMP = """
@@ -234,7 +229,14 @@ fraw as (select concept_id, format, variant, pos, sum(coef * x)::double s from (
 fvecs as (select concept_id, format, variant, list(s order by pos) vec from fraw group by all)"""
 )
 
-# Spherical k-means for two clusters per user, three rounds, written out.
+# Who may be changed: works from the catalog, deletes whatever it holds. Views are made
+# to name no work, and errors to give no rating.
+_JUDGED = """select event_id, case when ch.rating is null then 'ok' when ch.rating = -2 then 'bad_rating'
+  when ch.rating = -1 or c.work_key is null then 'unknown_work' else 'ok' end reason
+from changes ch left join catalog c on c.work_key = ch.work_key"""
+
+# Spherical k-means for two clusters per user, written out over more rounds than it takes to settle.
+_ROUNDS = 8
 _CLUSTER = """, points as (
   select "user", r.input_text, max(rating) rating, any_value(v.vec) vec
   from ratings r join vecs v on v.input_text = r.input_text where rating > 0 group by all),
@@ -252,7 +254,7 @@ c0 as (select * from seed0 union all select * from seed1)"""
 
 
 def _assign(at: int) -> str:
-    return f""", a{at} as (
+    return f""", a{at} as materialized (
   select u."user", u.input_text, u.vec, c."cluster", round(list_dot_product(u.vec, c.vec), 12) score,
          row_number() over (partition by u."user", u.input_text
            order by round(list_dot_product(u.vec, c.vec), 12) desc, c."cluster") place
@@ -267,7 +269,7 @@ def _move(at: int) -> str:
 l{at} as (select "user", "cluster", sqrt(sum(s * s)) len from e{at} group by all),
 n{at} as (select e."user", e."cluster", list(s / len order by pos) vec
   from e{at} e join l{at} l on l."user" = e."user" and l."cluster" = e."cluster" group by all),
-c{at + 1} as (select c."user", c."cluster", coalesce(n.vec, c.vec) vec
+c{at + 1} as materialized (select c."user", c."cluster", coalesce(n.vec, c.vec) vec
   from c{at} c left join n{at} n on n."user" = c."user" and n."cluster" = c."cluster")"""
 
 
@@ -275,17 +277,17 @@ def _rounds(n: int) -> str:
     return _CLUSTER + "".join(_assign(i) + _move(i) for i in range(n))
 
 
-_MEMBERS = _rounds(3) + _assign(3) + """, members as (
+_MEMBERS = _rounds(_ROUNDS) + _assign(_ROUNDS) + f""", members as (
   select x."user", x."cluster", x.input_text, x.score, y.score next_score
-  from a3 x left join a3 y on y."user" = x."user" and y.input_text = x.input_text and y.place = 2
+  from a{_ROUNDS} x left join a{_ROUNDS} y on y."user" = x."user" and y.input_text = x.input_text and y.place = 2
   where x.place = 1)"""
 
 
 def _clustered(n: int, score: str = _SCORE.format(q="t"), more: str = "", ctes: str = "") -> str:
     scored = f"""
-  select t."user", t."cluster", c.work_key, {score} score from c3 t, corpus c
+  select t."user", t."cluster", c.work_key, {score} score from c{_ROUNDS} t, corpus c
   where not exists (select 1 from ratings r where r."user" = t."user" and r.work_key = c.work_key) {more}"""
-    return _rounds(3) + ctes, _top(scored, '"user", "cluster"', n, '"user", "cluster", work_key')
+    return _rounds(_ROUNDS) + ctes, _top(scored, '"user", "cluster"', n, '"user", "cluster", work_key')
 
 
 def _clustered_sql(n: int, **parts) -> str:
@@ -296,14 +298,10 @@ def _clustered_sql(n: int, **parts) -> str:
 _DISLIKED = """, disliked as (
   select distinct r."user", v.input_text, v.vec from ratings r join vecs v on v.input_text = r.input_text
   where r.rating < 0)"""
-_PUSH = _DISLIKED + """, push as (
-  select "user", list(m order by pos) vec from (
-    select "user", pos, avg(x) m from (
-      select "user", generate_subscripts(vec, 1) pos,
-             unnest(list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec)))) x from disliked)
-    group by all) group by "user")"""
-_PENALTY = """list_cosine_similarity(c.vec, t.vec) - 0.5 * coalesce((select
-    list_dot_product(c.vec, p.vec) / sqrt(list_dot_product(c.vec, c.vec)) from push p where p."user" = t."user"), 0)"""
+_PUSH = _DISLIKED + f""", push as (
+  select d."user", c.work_key, max({_SCORE.format(q='d')}) worst from disliked d, corpus c group by all)"""
+_PENALTY = """list_cosine_similarity(c.vec, t.vec) - 0.5 * coalesce((select p.worst from push p
+    where p."user" = t."user" and p.work_key = c.work_key), 0)"""
 _FAR = f"""and not exists (select 1 from disliked d where d."user" = t."user"
     and round({_SCORE.format(q='d')}, 12) >= 0.25)"""
 
@@ -330,12 +328,12 @@ def _quality(k: int) -> str:
     )
     start = _CLUSTER[: _CLUSTER.index("seed1 as")].rstrip().rstrip(",")
     seeds = " union all ".join(f"select * from seed{j}" for j in range(k))
-    rounds = "".join(_assign(i) + _move(i) for i in range(2)) + _assign(2)
+    rounds = "".join(_assign(i) + _move(i) for i in range(_ROUNDS)) + _assign(_ROUNDS)
     return (
         start + more + f", c0 as ({seeds})" + rounds + f""", widths as (
   select x."user", x."cluster", case when y.score is null then 0 else
     coalesce(((1 - y.score) - (1 - x.score)) / nullif(greatest(1 - y.score, 1 - x.score), 0), 0) end w
-  from a2 x left join a2 y on y."user" = x."user" and y.input_text = x.input_text and y.place = 2
+  from a{_ROUNDS} x left join a{_ROUNDS} y on y."user" = x."user" and y.input_text = x.input_text and y.place = 2
   where x.place = 1)
 select "user", {k}::bigint k, min(size) smallest, sum(w) / sum(size) silhouette from (
   select "user", "cluster", count(*) size, sum(w) w from widths group by all) group by "user" """
@@ -383,10 +381,15 @@ from lines l left join ({_matched('corpus')}) m on m.pref_author = l.pref_author
     "recommend_from_preferences": _BASE + _from_preferences("avg"),
     "recommend_from_preferences_nearest": _BASE + _from_preferences("max"),
     "recommend_from_preferences_new_authors": _BASE
-    + _from_preferences("avg", "where pref_author <= 'Brand#2'", "and c.author not in (select author from hits)"),
-    "find_vector": _BASE + _LINES + f""" select m.pref_author author, m.pref_title title, m.input_text,
-  v.input_text is not null has_vector
-from ({_matched('catalog')}) m left join vecs v on v.input_text = m.input_text""",
+    + _from_preferences("avg", more="and c.author not in (select author from hits)").replace(
+        _LINES, """, lines as (
+  select arg_min(p_brand, p_partkey) pref_author, arg_min(p_name, p_partkey) pref_title from part group by p_type)"""
+    ),
+    "find_vector": _BASE + _LINES + f""", wanted as (select m.pref_author author, m.pref_title title, m.input_text, v.vec
+from ({_matched('catalog')}) m left join vecs v on v.input_text = m.input_text)
+select author, title, input_text, pos - 1 pos, round(x, 6) "value" from (
+  select author, title, input_text, generate_subscripts(vec, 1)::bigint pos, unnest(vec) x from wanted)
+union all select author, title, input_text, null, null from wanted where vec is null""",
     "book_meta": _BASE + "select * from meta",
     "build_catalog": _BASE + f"""select {_META}, input_text, lower(author) author_lc, lower(title) title_lc
 from catalog""",
@@ -398,13 +401,40 @@ group by t.n""",
 union all select 'corpus', count(*) from corpus union all select 'ratings', count(*) from ratings""",
     "read_dump": """select '/type/work' "type", count(*) n, count(distinct p_partkey) n_keys from part
 union all select '/type/edition', count(*), count(distinct l_orderkey || '-' || l_linenumber) from lineitem
-union all select '/type/author', count(*), count(distinct s_suppkey) from supplier
+union all select '/type/author', (select count(*) from supplier) + (select count(*) from nation),
+  (select count(distinct s_suppkey) from supplier) + (select count(distinct n_nationkey) from nation)
 union all select '/type/redirect', count(*), count(distinct n_name) from nation""",
     "dump_quarantine": """select '/type/work' || chr(9) || r_name || case when r_regionkey > 2 then '' else
   chr(9) || '1' || chr(9) || '2024-01-01T00:00:00' || chr(9) || '{"title":' end line,
   case when r_regionkey > 2 then 'missing_columns' else 'bad_json' end reason from region""",
     "split_by_type": """select '/works/OL' || l_partkey || 'W' work_key, '/authors/OL' || l_suppkey || 'A' author_key,
-  count(*) n, 'Edition ' || max(l_linenumber) title from lineitem group by l_partkey, l_suppkey""",
+  count(*) n, 'Edition ' || max(l_linenumber) title from lineitem group by l_partkey, l_suppkey
+union all select '/works/OL' || p_partkey || 'W', null, 1, p_name from part
+union all select null, '/authors/OL' || s_suppkey || 'A', 1, s_name from supplier
+union all select null, '/authors/N' || n_nationkey, 1, n_name from nation""",
+    "edition_facets": """select '/works/OL' || l_partkey || 'W' work_key, facet, "value", count(*) n from (
+  select l_partkey, 'language' facet, '/languages/' || lower(l_returnflag) "value" from lineitem where l_returnflag <> 'N'
+  union all select l_partkey, 'genre', l_linestatus from lineitem where l_quantity > 25
+  union all select l_partkey, 'genre', '1.0' from lineitem where l_quantity > 25) group by all""",
+    "popularity_join": _BASE + """select c.work_key, c.editions, count(r.rating) n_ratings,
+  count(*) filter (r.rating > 0) n_liked, round(avg(r.rating), 6) mean_rating
+from catalog c left join ratings r on r.work_key = c.work_key group by c.work_key, c.editions""",
+    "query_vectors": _BASE + _long("labels", "label"),
+    "near_duplicates": _BASE + f""", heads as (select min(work_key) work_key, vec from corpus group by vec)
+select a.work_key key_a, c.work_key key_b, round({_SCORE.format(q='a')}, 6) score
+from heads a join heads c on a.work_key < c.work_key
+where round({_SCORE.format(q='a')}, 12) >= 0.4""",
+    "vector_classes": _BASE + """select work_key, min(work_key) over (partition by vec) class_key from corpus""",
+    "knn_past_corpus": _BASE + _top(
+        f'select t."user" qid, c.work_key, {_SCORE.format(q="t")} score from tastes t, corpus c',
+        "qid", 10, "qid, work_key"),
+    "random_control": _BASE + """, digests as (
+  select q qid, p pos, sha256('42|' || q || '|' || p) h from range(20) a(q), range(64) b(p)),
+normal as (select qid, pos,
+  sqrt(-2 * ln((('0x' || substr(h, 1, 8))::bigint + 0.5::double) / 4294967296))
+  * cos(2 * pi() * ((('0x' || substr(h, 9, 8))::bigint + 0.5::double) / 4294967296)) x from digests),
+drawn as (select qid, list(x order by pos) vec from normal group by qid)""" + _top(
+        f"select l.qid, c.work_key, {_SCORE.format(q='l')} score from drawn l, corpus c", "qid", 10, "qid, work_key"),
     "edition_aggregates": _DUMP + """select '/works/OL' || l_partkey || 'W' work_key, edition_count, min_year,
   ed_fiction, isbn13, ed_desc from eds""",
     "select_works": _DUMP + "select work_key, edition_count from chosen",
@@ -438,8 +468,9 @@ from part left join documents d on d.doc_id = p_partkey""",
     "text_match": """select doc_id, coalesce(contains(lower("text"), 'the'), false)
   or coalesce(contains(lower(source), 'the'), false) "found" from documents""",
     "materialize": _BASE + 'select work_key, author, "year" from catalog',
-    "exclude_authors": _BASE + _POOL + """select p."user", p.work_key, p.author, p.score from pool p
-where not exists (select 1 from unwanted x where x."user" = p."user" and x.author = p.author)""",
+    "exclude_authors": _BASE + _UNWANTED + """select r."user", r.work_key, c.author, r.rating
+from ratings r join catalog c on c.work_key = r.work_key
+where not exists (select 1 from unwanted x where x."user" = r."user" and x.author = c.author)""",
     "content_key": 'select doc_id, sha256("text") sha from documents',
     "embedding_inputs": _BASE + """select distinct input_text, sha256(input_text) input_sha256 from catalog c
 join documents d on d.doc_id = c.work_key where c.editions >= 10 and c."year" < 2025""",
@@ -452,20 +483,22 @@ where input_text not in (select input_text from vecs)""",
   else 'ok' end reason from embeddings""",
     "all_vectors": _BASE + """select sha256(input_text) sha, 64::bigint dim from vecs
 union all select distinct sha256("text"), 1::bigint from documents""",
-    "ensure_rated_vectors": _BASE + """select distinct input_text, sha256(input_text) input_sha256 from ratings
-where input_text not in (select input_text from corpus where editions > 30)""",
+    "ensure_rated_vectors": _BASE + """select distinct input_text, sha256(input_text) input_sha256
+from lineitem join catalog on work_key = l_partkey
+where input_text not in (select input_text from corpus)""",
     "fold_ratings": _BASE + "select * from folded",
-    "validate_ratings": _BASE + """select event_id, case when ch.rating = -2 then 'bad_rating'
-  when ch.rating = -1 and ch.work_key <> 0 then 'unknown_work' when c.work_key is null then 'unknown_work' else 'ok' end reason
-from changes ch left join catalog c on c.work_key = ch.work_key""",
+    "validate_ratings": _BASE + f"select * from ({_JUDGED})",
+    "stream_ratings_rejected": _BASE + f"select * from ({_JUDGED}) where reason <> 'ok'",
     "derive_users": 'select user_id "user", min(ts) created_at from events group by user_id',
     "list_ratings": _BASE + """select r."user", r.work_key, c.author, c.title, c."year", r.rating, r.updated_at
 from ratings r left join catalog c on c.work_key = r.work_key""",
     "overlay_ratings": _BASE + f"""select h."user", h.work_key, h.score, h.rank, r.rating from (
 {_top(f'select t."user", c.work_key, {_SCORE.format(q="t")} score from tastes t, corpus c', '"user"', 10, '"user", work_key')}
 ) h left join ratings r on r."user" = h."user" and r.work_key = h.work_key""",
-    "filter_backfill": _BASE + _POOL + 'select "user", work_key, author, score, rank from kept',
-    "author_facet": _BASE + _POOL + 'select "user", author from kept union select "user", author from unwanted',
+    "filter_backfill": _BASE + _UNWANTED + f"""select "user", work_key, author, score, rank
+from ({_signed(20, _NOT_UNWANTED)})""",
+    "author_facet": _BASE + _UNWANTED + f"""select "user", author from ({_signed(5, _NOT_UNWANTED)})
+union select "user", author from unwanted""",
     "relative_score": _BASE + f"""select r.* exclude (raw), round(raw / max(raw) over (partition by "user"), 6) relative from (
 {_signed(5).replace("round(score, 6) score", "round(score, 6) score, score raw", 1)}) r""",
     "flag_near_duplicates": _BASE + _similar("").replace(
@@ -486,7 +519,7 @@ from embeddings e join labels l on l.label = e.label::varchar""",
   select *, row_number() over (partition by expr_id order by round(score, 12) desc, label) rank from (
     select t.expr_id, t.label, min(t.coef) < 0 expected, any_value(list_cosine_similarity(u.vec, l.vec)) score
     from lterms t join labels l on l.label = t.label join units u on u.expr_id = t.expr_id
-    group by t.expr_id, t.label)) where rank <= 10""",
+    group by t.expr_id, t.label))""",
     "knn_batch": _BASE + _label_knn(_SCORE.format(q="l"), where="c.editions >= 25"),
     "knn_grid": _BASE + _label_knn(_SCORE.format(q="l")),
     "knn_l2": _BASE + _label_knn("-list_distance(c.vec, l.vec)"),

@@ -27,7 +27,7 @@ from vecshelf.session import new_path, written
 from vecshelf.sources import cache as vector_cache
 from vecshelf.sources import preferences, tables
 from vecshelf.streaming.embed import stream_embed
-from vecshelf.streaming.ratings import snapshot, stream_ratings
+from vecshelf.streaming.ratings import rejected, snapshot, stream_ratings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -160,10 +160,11 @@ def lookup(bed: Testbed) -> DataFrame:
     return cat.lookup(bed.catalog, bed.changes).drop("author_lc", "title_lc")
 
 
-def preference_file(bed: Testbed) -> DataFrame:
+def preference_file(bed: Testbed, lines: DataFrame | None = None) -> DataFrame:
     """The preference lines through a file, padded as people write them."""
     path = new_path(bed.spark, "preferences")
-    bed.preference_lines.select(F.concat(F.lit(" "), F.col("author"), F.lit(" | "), "title")).write.text(path)
+    lines = bed.preference_lines if lines is None else lines
+    lines.select(F.concat(F.lit(" "), F.col("author"), F.lit(" | "), "title")).write.text(path)
     return preferences.read_preferences(bed.spark, path)
 
 
@@ -190,14 +191,17 @@ def recommend_from_preferences_nearest(bed: Testbed) -> DataFrame:
 
 @query
 def recommend_from_preferences_new_authors(bed: Testbed) -> DataFrame:
-    prefs = preference_file(bed).where(F.col("author") <= "Brand#2")
+    prefs = preference_file(bed, bed.type_lines)
     return rounded(recommend.recommend_from_preferences(bed.corpus, prefs, 20, exclude_pref_authors=True))
 
 
 @query
 def find_vector(bed: Testbed) -> DataFrame:
     found = search.find_vector(bed.catalog, bed.vectors, bed.preference_lines)
-    return found.select("author", "title", "input_text", F.col("vec").isNotNull().alias("has_vector"))
+    named = ["author", "title", "input_text"]
+    return found.select(*named, F.posexplode_outer("vec").alias("pos", "value")).select(
+        *named, F.col("pos").cast("long").alias("pos"), F.round(F.col("value").cast("double"), 6).alias("value")
+    )
 
 
 # --- catalog, corpus and curated books ---------------------------------------
@@ -248,10 +252,28 @@ def dump_quarantine(bed: Testbed) -> DataFrame:
 
 @query
 def split_by_type(bed: Testbed) -> DataFrame:
-    editions = bed.records["editions"]
-    return editions.groupBy("work_key", "author_key").agg(
+    none = F.lit(None).cast("string")
+    editions = bed.records["editions"].groupBy("work_key", "author_key").agg(
+        F.count("*").alias("n"), F.max("title").alias("title")
+    )
+    works = bed.records["works"].groupBy(F.col("key").alias("work_key"), none.alias("author_key")).agg(
         F.count("*").alias("n"), F.max("title").alias("title")
     )
+    authors = bed.records["authors"].groupBy(none.alias("work_key"), F.col("key").alias("author_key")).agg(
+        F.count("*").alias("n"), F.max("name").alias("title")
+    )
+    return editions.unionByName(works).unionByName(authors)
+
+
+@query
+def edition_facets(bed: Testbed) -> DataFrame:
+    return curate.edition_facets(bed.records["editions"])
+
+
+@query
+def popularity_join(bed: Testbed) -> DataFrame:
+    joined = cat.popularity_join(bed.catalog, bed.ratings)
+    return rounded(joined.select("work_key", "editions", "n_ratings", "n_liked", "mean_rating"), "mean_rating")
 
 
 @query
@@ -325,7 +347,7 @@ def json_field(bed: Testbed) -> DataFrame:
 
 @query
 def json_string_array(bed: Testbed) -> DataFrame:
-    subjects = text.json_string_array("doc", "$.subjects")
+    subjects = text.json_string_array("doc", "$.subjects", "json")
     return parsed(bed, "works").select(
         text.strip_prefix("key").alias("ol_id"), F.array_join(subjects, "|").alias("subjects")
     )
@@ -429,8 +451,10 @@ def all_vectors(bed: Testbed) -> DataFrame:
 @query
 def ensure_rated_vectors(bed: Testbed) -> DataFrame:
     cache = hash_cache(bed)
-    unrated = bed.corpus.where("editions > 30")
-    embed.ensure_rated_vectors(bed.ratings, unrated, cache, embed.hash_embedder, dim=HASH_DIM)
+    # suppliers as readers of all they deliver, so that many rated texts have no vector
+    delivered = bed.table("lineitem").select("l_suppkey", F.col("l_partkey").alias("work_key"))
+    rated = delivered.join(bed.catalog.select("work_key", "input_text"), "work_key")
+    embed.ensure_rated_vectors(rated, bed.corpus, cache, embed.hash_embedder, dim=HASH_DIM)
     return cache.read().select("input_text", "input_sha256")
 
 
@@ -445,15 +469,20 @@ def fold_ratings(bed: Testbed) -> DataFrame:
 
 @query
 def validate_ratings(bed: Testbed) -> DataFrame:
-    changes = bed.changes.withColumn(
-        "work_key", F.when(F.col("rating") == -1, -F.col("work_key")).otherwise(F.col("work_key"))
-    ).withColumn("rating", F.when(F.col("rating") == -2, 3).otherwise(F.col("rating")))
-    accepted, rejected = state.validate_ratings(changes, bed.catalog)
-    return rejected.select("event_id", "reason").unionByName(
+    accepted, refused = state.validate_ratings(spoiled(bed.changes), bed.catalog)
+    return refused.select("event_id", "reason").unionByName(
         accepted.select("event_id", F.lit("ok").alias("reason"))
     )
 
 
+def spoiled(changes: DataFrame) -> DataFrame:
+    """Changes among which some works and some ratings don't exist; deletes
+    name works that don't exist too."""
+    rating, work = F.col("rating"), F.col("work_key")
+    lost = F.when((rating == -1) | rating.isNull(), -work - 1).otherwise(work)
+    return changes.withColumn("work_key", lost).withColumn("rating", F.when(rating == -2, 3).otherwise(rating))
+
+
 @query
 def derive_users(bed: Testbed) -> DataFrame:
     return state.derive_users(bed.changes)
@@ -477,10 +506,6 @@ def overlay_ratings(bed: Testbed) -> DataFrame:
 # --- what is shown -----------------------------------------------------------------
 
 
-def pool(bed: Testbed) -> DataFrame:
-    return signed(bed, 50)
-
-
 def unwanted(bed: Testbed) -> DataFrame:
     """Each user's authors of works rated -2."""
     return (
@@ -492,20 +517,22 @@ def unwanted(bed: Testbed) -> DataFrame:
 
 @query
 def filter_backfill(bed: Testbed) -> DataFrame:
-    shown = present.filter_backfill(pool(bed), unwanted(bed), 5)
+    shown = signed(bed, 20, exclude_authors=unwanted(bed))
     return rounded(shown.select("user", "work_key", "author", "score", "rank"))
 
 
 @query
 def exclude_authors(bed: Testbed) -> DataFrame:
-    kept = present.exclude_authors(pool(bed), unwanted(bed))
-    return rounded(kept.select("user", "work_key", "author", "score"))
+    """What is left of each user's rated works without the unwanted authors."""
+    listed = state.list_ratings(bed.ratings, bed.catalog)
+    kept = present.exclude_authors(listed, unwanted(bed))
+    return kept.select("user", "work_key", "author", F.col("rating").cast("long").alias("rating"))
 
 
 @query
 def author_facet(bed: Testbed) -> DataFrame:
     out = unwanted(bed)
-    return present.author_facet(present.filter_backfill(pool(bed), out, 5), out)
+    return present.author_facet(signed(bed, 5, exclude_authors=out), out)
 
 
 @query
@@ -592,7 +619,16 @@ def knn_batch(bed: Testbed) -> DataFrame:
 
 @query
 def knn_grid(bed: Testbed) -> DataFrame:
-    return rounded(knn.knn(bed.corpus, label_queries(bed), 10, broadcast_bytes=0))
+    hits = knn.knn(bed.corpus, label_queries(bed), 10, broadcast_bytes=0, corpus_bytes=0)
+    return rounded(hits)
+
+
+@query
+def knn_past_corpus(bed: Testbed) -> DataFrame:
+    """As many queries as ask for the corpus to travel to them."""
+    tastes = centroid.weighted_centroid(bed.ratings, bed.vectors).where("norm > 1e-9")
+    queries = tastes.select(F.col("user").alias("qid"), "vec")
+    return rounded(knn.knn(bed.corpus, queries, 10, broadcast_bytes=0))
 
 
 @query
@@ -644,12 +680,31 @@ def random_control(bed: Testbed) -> DataFrame:
     return rounded(knn.knn(bed.corpus, evaluate.random_control(bed.spark, 20, 64), 10))
 
 
+@query
+def query_vectors(bed: Testbed) -> DataFrame:
+    """Named vectors kept as a table, read again and combined."""
+    path = new_path(bed.spark, "query-vectors")
+    tables.write_query_vectors(bed.label_vectors, path)
+    kept = tables.read_query_vectors(bed.spark, path)
+    return long_form(kept, "label")
+
+
+@query
+def near_duplicates(bed: Testbed) -> DataFrame:
+    pairs, _ = present.near_duplicates(bed.corpus, 0.4)
+    return rounded(pairs)
+
+
+@query
+def vector_classes(bed: Testbed) -> DataFrame:
+    return present.vector_classes(bed.corpus)
+
+
 # --- taste clusters ------------------------------------------------------------------
 
 
-def clusters(bed: Testbed, k: int = 2, iters: int = 3) -> tuple[DataFrame, DataFrame]:
-    members, centroids = cluster.cluster_preferences(bed.ratings, bed.vectors, k, iters)
-    return written(members, "members"), centroids
+def clusters(bed: Testbed, k: int = 2) -> tuple[DataFrame, DataFrame]:
+    return cluster.cluster_preferences(bed.ratings, bed.vectors, k)
 
 
 @query
@@ -666,7 +721,7 @@ def label_clusters(bed: Testbed) -> DataFrame:
 
 @query
 def choose_k(bed: Testbed) -> DataFrame:
-    chosen = cluster.choose_k(bed.ratings, bed.vectors, (2, 3), iters=2)
+    chosen = cluster.choose_k(bed.ratings, bed.vectors, (2, 3))
     return rounded(chosen.withColumn("k", F.col("k").cast("long")), "silhouette")
 
 
@@ -724,8 +779,19 @@ def event_stream(bed: Testbed) -> DataFrame:
 @query
 def stream_ratings_snapshot(bed: Testbed) -> DataFrame:
     log, checkpoint = new_path(bed.spark, "log"), new_path(bed.spark, "log-checkpoint")
-    stream_ratings(changes_of(event_stream(bed)), log, checkpoint).awaitTermination()
-    return snapshot(bed.spark, log).withColumn("rating", F.col("rating").cast("long"))
+    stream_ratings(changes_of(event_stream(bed)), bed.catalog, log, checkpoint).awaitTermination()
+    folded = snapshot(bed.spark, log).drop("input_text")
+    return folded.withColumn("rating", F.col("rating").cast("long"))
+
+
+@query
+def stream_ratings_rejected(bed: Testbed) -> DataFrame:
+    """The stream with every view turned into a rating of a work nobody lists,
+    and every error into a rating that nobody can give."""
+    log, checkpoint = new_path(bed.spark, "log"), new_path(bed.spark, "log-checkpoint")
+    changes = spoiled(changes_of(event_stream(bed)))
+    stream_ratings(changes, bed.catalog, log, checkpoint).awaitTermination()
+    return rejected(bed.spark, log).select("event_id", "reason")
 
 
 @query

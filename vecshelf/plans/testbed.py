@@ -124,6 +124,20 @@ class Testbed:
         )
         return brands.unionByName(nations)
 
+    @cached_property
+    def type_lines(self) -> DataFrame:
+        """One ``(author, title)`` wish per type of part, its first part; these
+        name some of the authors only."""
+        return (
+            self.table("part")
+            .groupBy("p_type")
+            .agg(
+                F.min_by("p_brand", "p_partkey").alias("author"),
+                F.min_by("p_name", "p_partkey").alias("title"),
+            )
+            .select("author", "title")
+        )
+
     @cached_property
     def concepts(self) -> DataFrame:
         """Each distinct title and type of the parts as a concept; small sizes
@@ -287,6 +301,14 @@ def dump_lines(bed: Testbed) -> DataFrame:
                     ),
                 ),
                 _field("subjects", F.when(quantity >= 50, F.lit('["Science Fiction"]'))),
+                _field(
+                    "languages",
+                    F.when(
+                        F.col("l_returnflag") != "N",
+                        F.concat(F.lit('[{"key":"/languages/'), F.lower("l_returnflag"), F.lit('"}]')),
+                    ),
+                ),
+                _field("genres", F.when(quantity > 25, F.concat(F.lit('["'), F.col("l_linestatus"), F.lit('",1.0]')))),
                 _field(
                     "isbn_13",
                     F.concat(F.lit('["978'), F.lpad(F.col("l_orderkey").cast("string"), 10, "0"), F.lit('"]')),
@@ -322,6 +344,17 @@ def dump_lines(bed: Testbed) -> DataFrame:
             stamp,
         ).alias("line")
     )
+    # a key given twice: the first value counts
+    repeated = bed.table("nation").select(
+        F.concat_ws(
+            "\t",
+            F.lit("/type/author"),
+            F.concat(F.lit("/authors/N"), F.col("n_nationkey").cast("string")),
+            F.lit("1"),
+            stamp,
+            F.concat(F.lit('{"name":'), _json_text(F.col("n_name")), F.lit(',"name":"second","revision":1}')),
+        ).alias("line")
+    )
     ignored = bed.table("nation").select(
         _record("/type/redirect", F.col("n_name"), [], stamp).alias("line")
     )
@@ -331,5 +364,9 @@ def dump_lines(bed: Testbed) -> DataFrame:
         .alias("line")
     )
     return (
-        works.unionByName(editions).unionByName(authors).unionByName(ignored).unionByName(damaged)
+        works.unionByName(editions)
+        .unionByName(authors)
+        .unionByName(repeated)
+        .unionByName(ignored)
+        .unionByName(damaged)
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vecshelf.functions.text import content_key
 from vecshelf.operators.grouping import aggregate
-from vecshelf.session import exists
+from vecshelf.session import exists, written
 
 SCHEMA = (
     "input_text string, input_sha256 string, vec array<float>, created_at timestamp, "
@@ -36,8 +36,19 @@ class VectorCache:
         return rows.where(F.col("model_id") == self.model_id)
 
     def read(self) -> DataFrame:
-        """One row per text: the first one written."""
-        return first_written(self.scan())
+        """One row per text: the first one written.
+
+        The keys are looked at first. Only texts stored twice, which an append
+        avoids, are reduced; the vectors of all others are not shuffled.
+        """
+        rows = self.scan()
+        twice = rows.groupBy("input_sha256").count().where("count > 1").select("input_sha256")
+        if not twice.head(1):
+            return rows
+        twice = written(twice, "cache-twice")
+        once = rows.join(twice, "input_sha256", "left_anti").select(*rows.columns)
+        more = rows.join(twice, "input_sha256", "left_semi").select(*rows.columns)
+        return once.unionByName(first_written(more))
 
     def keys(self) -> DataFrame:
         return self.scan().select("input_sha256").distinct()

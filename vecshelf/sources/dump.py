@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +28,46 @@ def _parsed_lines(spark: SparkSession, path: str, partitions: int | None) -> Dat
     parts = F.split(line, "\t", len(COLUMNS))
     rows = lines.select(
         line.alias("line"), *[F.get(parts, F.lit(i)).alias(name) for i, name in enumerate(COLUMNS)]
-    ).withColumn("doc", F.try_parse_json("json"))
-    reason = F.when(F.col("json").isNull(), "missing_columns").when(F.col("doc").isNull(), "bad_json")
+    )
+    return _judged(rows)
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """``rows`` with the parsed ``doc`` and a ``reason``, NULL for a good line.
+
+    A document that repeats a key is no VARIANT but readable all the same; its
+    reason is ``repeated_key``, and ``_first_of_repeated`` mends it.
+    """
+    rows = rows.withColumn("doc", F.try_parse_json("json"))
+    reason = (
+        F.when(F.col("json").isNull(), "missing_columns")
+        .when(F.col("doc").isNotNull(), None)
+        .when(F.get_json_object("json", "$").isNotNull(), "repeated_key")
+        .otherwise("bad_json")
+    )
     return rows.withColumn("reason", reason)
 
 
+def _first_of_repeated(rows: DataFrame) -> DataFrame:
+    """``rows`` with each JSON text cut down to the first of any repeated keys.
+    Meant for the few lines that need it: the text goes through Python."""
+
+    def first(pairs: list[tuple]) -> dict:
+        return dict(reversed(pairs))
+
+    def mend(text: str) -> str | None:
+        try:
+            return json.dumps(json.loads(text, object_pairs_hook=first), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return text
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(json=frame["json"].map(mend))
+
+    return rows.mapInPandas(run, rows.schema)
+
+
 def read_dump(
     spark: SparkSession, path: str, partitions: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -36,12 +75,12 @@ def read_dump(
 
     Records are ``(type, key, revision, ts, json)``, all strings, quoting off.
     Lines of fewer columns or with unreadable JSON go to the quarantine as
-    ``(line, reason)``. A gzip file is read by one task, so ``partitions``
+    ``(line, reason)``; a document that repeats a key is readable. A gzip file is read by one task, so ``partitions``
     deals its lines out evenly right after the scan, whatever they hold.
     """
     rows = _parsed_lines(spark, path, partitions)
-    records = rows.where("reason is null").select(*COLUMNS)
-    return records, rows.where("reason is not null").select("line", "reason")
+    readable = F.col("reason").isNull() | (F.col("reason") == "repeated_key")
+    return rows.where(readable).select(*COLUMNS), rows.where(~readable).select("line", "reason")
 
 
 def split_by_type(headed: DataFrame) -> dict[str, DataFrame]:
@@ -65,15 +104,36 @@ def land_dump(
     and read them back: ``authors``, ``works``, ``editions`` and ``quarantine``.
 
     Each line is parsed once: unusable ones are not filtered out but written
-    under a type of their own.
+    under a type of their own. So are documents that repeat a key; these few are
+    then mended, with the first value of the key, and added to their type.
     """
-    rows = _parsed_lines(spark, path, partitions)
+    _headed(_parsed_lines(spark, path, partitions)).write.mode("overwrite").partitionBy(
+        "type"
+    ).parquet(out)
+    schema = _headed(_parsed_lines(spark, path, partitions)).schema
+    landed = spark.read.schema(schema).parquet(out)
+    repeated = landed.where("type = 'quarantine' and reason = 'repeated_key'")
+    if repeated.head(1):
+        parts = F.split("json", "\t", len(COLUMNS))
+        named = [F.get(parts, F.lit(i)).alias(name) for i, name in enumerate(COLUMNS)]
+        mended = _first_of_repeated(repeated.select(F.col("json").alias("line"), *named))
+        judged = _judged(mended).replace("repeated_key", "bad_json", ["reason"])
+        _headed(judged).write.mode("append").partitionBy("type").parquet(out)
+        landed = spark.read.schema(schema).parquet(out)
+    unusable = landed.where("type = 'quarantine' and reason <> 'repeated_key'").select(
+        F.col("json").alias("line"), "reason"
+    )
+    return {**split_by_type(landed), "quarantine": unusable}
+
+
+def _headed(rows: DataFrame) -> DataFrame:
+    """The landed columns of judged lines; those with a reason go under ``quarantine``."""
 
     def field(path: str) -> Column:
         return F.try_variant_get("doc", path, "string")
 
     wanted = F.col("type").isin(*RECORD_TYPES) | F.col("json").isNull()
-    headed = rows.where(wanted).select(
+    return rows.where(wanted).select(
         "key",
         field("$.name").alias("name"),
         field("$.title").alias("title"),
@@ -83,7 +143,3 @@ def land_dump(
         "reason",
         F.when(F.col("reason").isNull(), F.col("type")).otherwise("quarantine").alias("type"),
     )
-    headed.write.mode("overwrite").partitionBy("type").parquet(out)
-    landed = spark.read.schema(headed.schema).parquet(out)
-    unusable = landed.where("type = 'quarantine'").select(F.col("json").alias("line"), "reason")
-    return {**split_by_type(landed), "quarantine": unusable}

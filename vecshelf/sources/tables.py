@@ -31,6 +31,16 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+def write_query_vectors(vectors: DataFrame, path: str) -> DataFrame:
+    """Keep named vectors ``(label, vec)`` as a table; a later run replaces it."""
+    return materialize(vectors.select("label", F.col("vec").cast("array<double>").alias("vec")), path)
+
+
+def read_query_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """Named vectors kept before, ``(label, vec)``."""
+    return spark.read.schema("label string, vec array<double>").parquet(path)
+
+
 def query_vectors(spark: SparkSession, vectors: dict[str, list[float]]) -> DataFrame:
     """Named vectors given by the caller as ``(label, vec)``."""
     rows = [(label, [float(x) for x in vec]) for label, vec in vectors.items()]

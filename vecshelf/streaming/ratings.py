@@ -6,27 +6,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vecshelf.operators.ratings import RATINGS, fold_ratings
+from vecshelf.operators.ratings import fold_ratings, judged_ratings
 
-CHANGE_SCHEMA = "event_id long, ts timestamp, user long, work_key long, rating int"
+LOG_SCHEMA = (
+    "event_id long, ts timestamp, user long, work_key long, rating int, "
+    "input_text string, reason string, status string"
+)
 
 
-def stream_ratings(changes: DataFrame, log_dir: str, checkpoint: str) -> StreamingQuery:
-    """Append valid changes of a streaming frame to the log, as far as the source has data.
+def stream_ratings(
+    changes: DataFrame, catalog: DataFrame, log_dir: str, checkpoint: str
+) -> StreamingQuery:
+    """Append the changes of a streaming frame to the log, as far as the source has data.
 
-    The stream holds no state: the fold orders changes by event time and id, so
-    late and repeated rows need no watermark and no de-duplication here.
+    Each change is judged as in a batch and written once, under
+    ``status=accepted`` or, with its reason, ``status=rejected``. The stream
+    holds no state: the fold orders changes by event time and id, so late and
+    repeated rows need no watermark and no de-duplication here.
     """
-    valid = changes.where(F.col("rating").isNull() | F.col("rating").isin(*RATINGS))
+    status = F.when(F.col("reason").isNull(), "accepted").otherwise("rejected")
     return (
-        valid.writeStream.format("parquet")
+        judged_ratings(changes, catalog)
+        .withColumn("status", status)
+        .writeStream.format("parquet")
         .option("path", log_dir)
         .option("checkpointLocation", checkpoint)
+        .partitionBy("status")
         .trigger(availableNow=True)
         .start()
     )
 
 
-def snapshot(spark: SparkSession, log_dir: str, schema=CHANGE_SCHEMA) -> DataFrame:
-    """The current ratings, folded from the log."""
-    return fold_ratings(spark.read.schema(schema).parquet(log_dir))
+def _logged(spark: SparkSession, log_dir: str, schema, status: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(log_dir).where(F.col("status") == status).drop("status")
+
+
+def snapshot(spark: SparkSession, log_dir: str, schema=LOG_SCHEMA) -> DataFrame:
+    """The current ratings, folded from the accepted changes of the log."""
+    return fold_ratings(_logged(spark, log_dir, schema, "accepted").drop("reason"))
+
+
+def rejected(spark: SparkSession, log_dir: str, schema=LOG_SCHEMA) -> DataFrame:
+    """The changes that were not accepted, each with its reason."""
+    return _logged(spark, log_dir, schema, "rejected").drop("input_text")
