@@ -34,7 +34,7 @@ BROADCAST_EXCLUSIONS = 1_000_000
 CORPUS_BYTES = 128 << 20
 # A grid cell holds this many bytes of query vectors, and about this many
 # corpus rows pass through it.
-CELL_QUERY_BYTES = 32 << 20
+CELL_QUERY_BYTES = 128 << 20
 CELL_CORPUS_ROWS = 250_000
 
 _QUERY, _GROUP_OUT, _KEY_OUT, _CORPUS = range(4)
@@ -244,7 +244,9 @@ def _by_grid(corpus, queries, n, floor, exclude, exclude_groups, metric, schema)
         "qid": queries.schema["qid"].dataType,
         "key": corpus.schema["key"].dataType,
         "group": corpus.schema["group"].dataType if "group" in corpus.columns else T.StringType(),
-        "vec": T.ArrayType(T.DoubleType()),
+        # corpus rows are copied once a block, in the type they have; queries once
+        "vec": corpus.schema["vec"].dataType,
+        "wish": T.ArrayType(T.DoubleType()),
     }
 
     def rows(df, side):
@@ -259,7 +261,7 @@ def _by_grid(corpus, queries, n, floor, exclude, exclude_groups, metric, schema)
         )
 
     parts = [
-        rows(queries.withColumn("cb", every_c), _QUERY),
+        rows(queries.withColumnRenamed("vec", "wish").withColumn("cb", every_c), _QUERY),
         rows(corpus.withColumn("cb", c_block).withColumn("qb", every_q), _CORPUS),
     ]
     if exclude_groups is not None:
@@ -338,7 +340,7 @@ class _Cell:
         if len(is_query):
             mine = segment.take(pa.array(is_query))
             self.qids.append(to_keys(mine["qid"]))
-            self.vecs.append(to_matrix(mine["vec"]))
+            self.vecs.append(to_matrix(mine["wish"]))
         if len(is_query) == len(side) or not self.qids:
             return
         if self.block is None:
