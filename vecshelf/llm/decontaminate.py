@@ -237,15 +237,15 @@ def _holds(sent, size: int, share: float, text: str) -> Column:
 #: The same pairs in DuckDB: every shingle of every text, joined.
 SQL = r"""
 with d as (select doc_id, list_filter(string_split_regex(regexp_replace(translate(text,
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[!-/:-@\[-`{-~]', ' ', 'g'), '[\x20\x09-\x0D]+'), x -> x <> '') w
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[!-/:-@\[-`{-~]', ' ', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w
   from documents),
 b as (select item_id, list_filter(string_split_regex(regexp_replace(translate(text,
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[!-/:-@\[-`{-~]', ' ', 'g'), '[\x20\x09-\x0D]+'), x -> x <> '') w
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[!-/:-@\[-`{-~]', ' ', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w
   from benchmark),
 ds as (select distinct doc_id, unnest(case when len(w) < 5 then [array_to_string(w, ' ')]
-    else list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) end) s from d where len(w) > 0),
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) s from d where len(w) > 0),
 bs as (select distinct item_id, unnest(case when len(w) < 5 then [array_to_string(w, ' ')]
-    else list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) end) s from b where len(w) > 0),
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) s from b where len(w) > 0),
 n as (select item_id, count(*) n_shingles from bs group by item_id)
 select doc_id, item_id, count(*) n_shared, n_shingles
 from ds join bs using (s) join n using (item_id)
