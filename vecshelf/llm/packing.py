@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecshelf.llm.tokens import Encoder, read_spec
+from vecshelf.llm.tokens import encoder, read_spec
 from vecshelf.session import written
 
 Pattern = tuple[tuple[int, ...], int]  # lengths side by side, times
@@ -186,7 +186,7 @@ def _cut(spec: str, end: int, capacity: int):
     pieces but the first are full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task = Encoder(spec, end), TaskContext.get().partitionId()
+        coder, task = encoder(spec, end), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecshelf.llm.tokens import Encoder, read_spec
+from vecshelf.llm.tokens import encoder, read_spec
 from vecshelf.session import new_path
 
 MAGIC = b"EFT1"
@@ -149,7 +149,7 @@ class Shard:
 
 def _shards(spec: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task = Encoder(spec, end), TaskContext.get().partitionId()
+        coder, task = encoder(spec, end), TaskContext.get().partitionId()
         keys, docs, held, before, number = [], [], 0, 0, 0
 
         def closed() -> pa.RecordBatch:

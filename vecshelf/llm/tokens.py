@@ -4,7 +4,7 @@ A byte-level BPE splits a text into pieces before it merges, and some places
 are always between two pieces: before white space that follows something else,
 and between an ASCII letter and an ASCII character that is neither a letter
 nor white space. A text may be cut there, and equal chunks have equal ids, so
-they are encoded once and looked up afterwards. Where that rule isn't proven
+they are encoded once and looked up afterwards, in all tasks of a Python worker. Where that rule isn't proven
 (another kind of tokenizer, rarer white space, a special token's string in the
 text) the whole text goes to the tokenizer at once.
 """
@@ -15,11 +15,12 @@ import json
 import os
 import re
 from array import array
+from collections import ChainMap
 from itertools import chain
 
 import numpy as np
 
-#: Words, and chunks of words, kept per task; at more, the task starts a new table.
+#: Words, and chunks of words, kept in a worker. The first ones stay: frequent words come early.
 KEPT = 400_000
 
 _RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
@@ -70,15 +71,16 @@ class Encoder:
         known = self.chunks
         fresh = set(chain.from_iterable(cut)).difference(known)
         if fresh:
-            if len(known) + len(fresh) > KEPT:
-                known.clear()
-                fresh = set(chain.from_iterable(cut))
             others = [c for c in fresh if not _LETTERS.fullmatch(c)]
-            known.update(zip(others, self._whole(others), strict=True))
+            found = dict(zip(others, self._whole(others), strict=True))
             tokenize, letters, code = self.tokenizer.model.tokenize, self.letters, self.code
-            for c in fresh.difference(others):
+            for c in fresh.difference(found):
                 piece = c.encode().decode("latin-1").translate(letters)
-                known[c] = array(code, [t.id for t in tokenize(piece)]).tobytes()
+                found[c] = array(code, [t.id for t in tokenize(piece)]).tobytes()
+            if len(known) + len(found) <= KEPT:
+                known.update(found)
+            else:
+                known = ChainMap(found, known)
         return [known[c[0]] if len(c) == 1 else b"".join([known[x] for x in c]) for c in cut]
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -94,14 +96,29 @@ class Encoder:
             first = rest.pop(0)
             words = self.words
             fresh = list(set(rest).difference(words))
-            if len(words) + len(fresh) > KEPT:
-                words.clear()
-                fresh = list(set(rest))
-            words.update(zip(fresh, self._of([" " + w for w in fresh]), strict=True))
+            found = dict(zip(fresh, self._of([" " + w for w in fresh]), strict=True))
+            if len(words) + len(found) <= KEPT:
+                words.update(found)
+            else:
+                # look the new ones up first, in a table for this text alone
+                words = {w: found[w] if w in found else words[w] for w in set(rest)}
             ids = self._of([first])[0] + b"".join(map(words.__getitem__, rest))
         return np.frombuffer(ids + self.end, self.dtype)
 
 
+def encoder(spec: str, end: int = 0) -> Encoder:
+    """The worker's encoder for a tokenizer. It is kept on the library's module,
+    which outlives a task: the code of this package travels with each task."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_kept_encoders", {})
+    key = (hash(spec), len(spec), end)
+    if key not in kept:
+        kept.clear()
+        kept[key] = Encoder(spec, end)
+    return kept[key]
+
+
 def read_spec(path: str) -> str:
     """The tokenizer file, read on the driver and sent along with the tasks
     (a few MB, whatever the data)."""
