@@ -112,3 +112,22 @@ def test_gram_bound_changes_nothing(spark, monkeypatch, chars):
     got = sorted((r["query"], r.id) for r in search.substring_pairs(texts, ["t"], needles, inline=0).collect())
     want = sorted((n, i) for n in ("word3", "d4 e", "d", "nope") for i in range(50) if n in f"word{i % 7} end")
     assert got == want
+
+
+@pytest.mark.parametrize("asked", [{"lam": 0.7}, {"avoid": 0.2}, {"min_near": (2, 0.1)}])
+def test_large_corpus_stays_off_the_driver(spark, case, monkeypatch, asked):
+    corpus, queries, exclude, groups = case
+    options = {"exclude": exclude, "exclude_groups": groups, **asked}
+    if "min_near" not in asked:
+        options["against"] = queries.select("qid", F.reverse("vec").alias("vec"))
+    want = rows(knn(corpus, queries, 6, **options))
+
+    def refused(*_):
+        raise AssertionError("the corpus came to the driver")
+
+    # 300 x 8 float64 values are 19,200 bytes, in ten blocks here
+    monkeypatch.setattr(type(corpus), "toArrow", refused)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", refused)
+    found = knn(corpus, queries, 6, corpus_bytes=4000, **options)
+    monkeypatch.undo()
+    assert want and rows(found) == want

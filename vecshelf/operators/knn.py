@@ -73,7 +73,8 @@ def knn(
     that cosine reaches ``avoid``. ``min_near=(m, floor)`` asks for at least ``m``
     of the query's vectors at ``floor`` or nearer. These two look at each corpus
     row with all of a query's vectors at once, so they stream the queries past
-    the corpus, block by block if it is large, and no pair leaves the kernel.
+    the corpus, which is dealt out in blocks if it is large, and no pair leaves
+    the kernel.
     """
     if against is not None or min_near is not None:
         found = _past_corpus(
@@ -401,8 +402,8 @@ def _past_corpus(
     corpus, queries, n, exclude, exclude_groups, key, group, where, metric, extra, corpus_bytes
 ) -> DataFrame:
     """Streams the queries, with all that concerns them beside them, past the
-    corpus, which every task holds: in one block, or in as many as its size asks
-    for, each of at most ``corpus_bytes``."""
+    corpus: every task holds all of it if it takes ``corpus_bytes`` at most,
+    else one block of it (see ``_past_blocks``)."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     spark = corpus.sparkSession
@@ -438,8 +439,6 @@ def _past_corpus(
     dealt = parts[0]
     for part in parts[1:]:
         dealt = dealt.unionByName(part)
-    cores = spark.sparkContext.defaultParallelism
-    dealt = dealt.repartition(4 * cores, "qid").sortWithinPartitions("qid", "side")
     schema = T.StructType(
         [
             T.StructField("qid", types["qid"]),
@@ -447,38 +446,84 @@ def _past_corpus(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    out, asked = _arrow_schema(schema), extra.plain()
-    found = None
-    for block in _corpus_blocks(corpus, corpus_bytes):
-        # each block is measured before it is read, see _corpus_blocks
-        shared = spark.sparkContext.broadcast(block)
-
-        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            sweep = _Sweep(shared.value, n, metric, *asked)
-            for batch in batches:
-                for segment in _runs(batch, "qid"):
-                    if sweep.qid is not None and sweep.qid != segment["qid"][0].as_py():
-                        sweep.close()
-                        if sweep.held >= 1 << 16:
-                            yield sweep.flush(out)
-                    sweep.take(segment)
-            sweep.close()
-            yield sweep.flush(out)
-
-        part = dealt.mapInArrow(score, schema)
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], schema)
-
-
-def _corpus_blocks(corpus: DataFrame, most: int) -> Iterator[tuple]:
-    """The corpus as (keys, groups, vectors) in blocks by hash of the key, so
-    many that a block's vectors take about half of ``most`` bytes."""
-    blocks = max(1, -(-2 * _vector_bytes(corpus) // most)) if _vector_bytes(corpus) > most else 1
-    for number in range(blocks):
-        part = corpus if blocks == 1 else corpus.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == number)
-        held = part.toArrow()
-        if held.num_rows:
-            yield to_keys(held["key"]), to_keys(held["group"]), to_matrix(held["vec"])
+    asked = (n, metric, *extra.plain())
+    size, cores = _vector_bytes(corpus), spark.sparkContext.defaultParallelism
+    if size > corpus_bytes:
+        return _past_blocks(corpus, dealt, -(-2 * size // corpus_bytes), cores, asked, schema)
+    if not size:
+        return spark.createDataFrame([], schema)
+    dealt = dealt.repartition(4 * cores, "qid").sortWithinPartitions("qid", "side")
+    out = _arrow_schema(schema)
+    # measured just above
+    shared = spark.sparkContext.broadcast(_block([corpus.toArrow()]))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sweep = _Sweep(shared.value, *asked)
+        for batch in batches:
+            for segment in _runs(batch, "qid"):
+                yield from sweep.next(segment, out)
+        yield from sweep.end(out)
+
+    return dealt.mapInArrow(score, schema)
+
+
+def _block(tables: list) -> tuple:
+    """Corpus rows as (keys, groups, vectors)."""
+    return tuple(
+        np.concatenate([read(t[name]) for t in tables])
+        for name, read in (("key", to_keys), ("group", to_keys), ("vec", to_matrix))
+    )
+
+
+def _past_blocks(corpus, dealt, blocks: int, cores: int, asked: tuple, schema) -> DataFrame:
+    """The corpus and the queries in a grid of cells. A cell holds one block of
+    the corpus, by hash of the key, and streams its share of the queries past
+    it; all rows of a query meet the block in one cell, so a corpus row has its
+    nearest wish, nearest dislike and count of near ones there. A block's
+    vectors take about half of the bytes that gave ``blocks``."""
+    shares = max(1, -(-4 * cores // blocks))
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    every_share = F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))
+
+    def cell(row_block, row_share):
+        return (row_share.cast("long") * blocks + row_block).alias("cell")
+
+    held = corpus.select("*", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("b"), every_share.alias("s"))
+    asking = dealt.select("*", every_block.alias("b"), F.pmod(F.xxhash64("qid"), F.lit(shares)).alias("s"))
+    # wishes travel in their own column: corpus rows keep the type they have
+    asking = asking.select(cell(F.col("b"), F.col("s")), "qid", "side", "key", "group", F.col("vec").alias("wish"))
+    held = held.select(cell(F.col("b"), F.col("s")), F.lit(-1).alias("side"), "key", "group", "vec")
+    cells = asking.unionByName(held, allowMissingColumns=True)
+    parts = grid_partitions(blocks * shares, cores)
+    home = F.pmod("cell", F.lit(parts)).cast("int")
+    # a cell's corpus rows have no qid, so they come first
+    cells = cells.repartitionById(parts, home).sortWithinPartitions("cell", F.col("qid").asc_nulls_first(), "side")
+    out = _arrow_schema(schema)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, rows, sweep = None, [], None
+        for batch in batches:
+            for segment in _runs(batch, "cell"):
+                if segment["cell"][0].as_py() != number:
+                    if sweep is not None:
+                        yield from sweep.end(out)
+                    number, rows, sweep = segment["cell"][0].as_py(), [], None
+                mine = to_keys(segment["side"]) < 0
+                if mine.any():
+                    kept = segment.take(pa.array(np.flatnonzero(mine)))
+                    rows.append({"key": kept["key"], "group": kept["group"], "vec": kept["vec"]})
+                asks = segment.take(pa.array(np.flatnonzero(~mine)))
+                if not asks.num_rows or (sweep is None and not rows):
+                    continue
+                if sweep is None:
+                    sweep, rows = _Sweep(_block(rows), *asked), []
+                asks = asks.drop_columns(["vec"]).rename_columns({"wish": "vec"})
+                for part in _runs(asks, "qid"):
+                    yield from sweep.next(part, out)
+        if sweep is not None:
+            yield from sweep.end(out)
+
+    return cells.mapInArrow(score, schema)
 
 
 class _Sweep:
@@ -549,6 +594,18 @@ class _Sweep:
         self.held += len(at)
         self.qid = None
 
+    def next(self, segment: pa.RecordBatch, out: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """Takes rows of one query; sends on what earlier ones found, if it is much."""
+        if self.qid is not None and self.qid != segment["qid"][0].as_py():
+            self.close()
+            if self.held >= 1 << 16:
+                yield self.flush(out)
+        self.take(segment)
+
+    def end(self, out: pa.Schema) -> Iterator[pa.RecordBatch]:
+        self.close()
+        yield self.flush(out)
+
     def flush(self, out: pa.Schema) -> pa.RecordBatch:
         qids = [q for q, keys, _ in self.found for _ in range(len(keys))]
         keys = [k for _, keys, _ in self.found for k in keys.tolist()]
