@@ -118,6 +118,49 @@ def test_slices_do_not_change_scores(monkeypatch):
     assert np.allclose(mixer.log10(words, 1), whole)
 
 
+def test_contexts_are_told_apart_exactly(spark, monkeypatch):
+    docs = spark.createDataFrame(texts(60) + [(61, "unheard quuxes", "a")], "doc_id long, text string, lang string")
+    want = {r.doc_id: r.score for r in score(docs).collect()}
+    # 64 hashed places a predictor, and ranges of a few words: nothing may hang on either
+    monkeypatch.setattr(lm_score, "PREDICTORS", tuple((n, own, 6) for n, own, _ in lm_score.PREDICTORS))
+    monkeypatch.setattr(lm_score, "OFFSETS", [64 * k for k in range(len(lm_score.PREDICTORS) + 1)])
+    monkeypatch.setattr(lm_score, "WORDS_A_TASK", 5)
+    got = {r.doc_id: r.score for r in score(docs).collect()}
+    assert got == pytest.approx(want, rel=1e-6)
+
+
+def test_weights_are_the_best_over_all_training_tokens(spark, monkeypatch):
+    seen = []
+    learned = lm_score._learned
+
+    def watched(packed, small, classes):
+        seen.append((packed, small, classes, learned(packed, small, classes)))
+        return seen[0][3]
+
+    monkeypatch.setattr(lm_score, "_learned", watched)
+    rows = texts(60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    score(docs)
+    packed, small, classes, mixer = seen[0]
+    models = list(lm_score._models(packed.toArrow().to_batches(), classes, small.value))
+    size = len(lm_score.PREDICTORS)
+    sums = sum(m.gradient(mixer.weights) for m in models)
+    slope = sums[:, 1 : 1 + size] - lm_score.FIRST_WEIGHT * (mixer.weights - 0.2)
+    curve = sums[:, 1 + size :].reshape(-1, size, size) + lm_score.FIRST_WEIGHT * np.eye(size)
+    # what one more Newton step would win
+    left = (slope * np.linalg.solve(curve, slope[..., None])[..., 0]).sum() / 2
+    assert 0 <= left <= 2 * lm_score.SETTLED * sums[:, 0].sum()
+    decisions, _ = sum(m.reached(mixer.weights) for m in models)
+    assert decisions.sum() == sum(8 * len(w + " ") for k, t, _ in rows if k % 5 != 1 for w in t.split() + [""])
+
+
+def test_frequent_contexts_keep_their_full_counts():
+    # one in 200 million: far below the least share that counts scaled to 60,000 could hold
+    found = lm_score.outcomes(np.array([7, 7]), np.array([65, 66]), np.array([[200_000_000], [1]]))
+    assert found[:, 8, 0].tolist() == [200_000_000, 1]
+    assert found[:, 6, 0].tolist() == [1, 200_000_000]  # 65 and 66 part at the seventh bit
+
+
 @needs_data
 def test_pipeline_stages(spark):
     sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
