@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecshelf.llm import decontaminate, language, lm_score, quality_model, quality_rules, toxicity
+from vecshelf.llm import collocations, decontaminate, language, lm_score, quality_model, quality_rules, toxicity
 from vecshelf.llm.chat import chat_digests
 from vecshelf.llm.common import fold, table
 from vecshelf.llm.packing import pack
@@ -81,6 +81,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
@@ -92,5 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op11_collocations": op11_collocations,
+}
+ORACLE: dict[str, str] = {
+    "op2_decontaminate": decontaminate.SQL,
+    "op11_collocations": collocations.SQL,
 }
-ORACLE: dict[str, str] = {"op2_decontaminate": decontaminate.SQL}
