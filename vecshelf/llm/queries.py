@@ -12,6 +12,7 @@ from vecshelf.llm import collocations, decontaminate, language, lm_score, qualit
 from vecshelf.llm.chat import chat_digests
 from vecshelf.llm.common import fold, table
 from vecshelf.llm.packing import pack
+from vecshelf.llm.repair import damaged_and_repaired
 from vecshelf.llm.simhash import simhash_components
 from vecshelf.llm.token_files import token_files
 
@@ -85,6 +86,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
     "op11_collocations": op11_collocations,
+    "op12_repair": op12_repair,
 }
 ORACLE: dict[str, str] = {
     "op2_decontaminate": decontaminate.SQL,
