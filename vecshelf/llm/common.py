@@ -19,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that ``columns`` doesn't hold."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def fold(key: str | Column, n: int) -> Column:
     """crc32 of the key as text, modulo ``n``; a NULL key falls in fold 0."""
     key = F.col(key) if isinstance(key, str) else key

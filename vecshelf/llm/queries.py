@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecshelf.llm import collocations, decontaminate, language, lm_score, quality_model, quality_rules, toxicity
+from vecshelf.llm import collocations, decontaminate, language, line_dedup, lm_score, quality_model, quality_rules, toxicity
 from vecshelf.llm.chat import chat_digests
 from vecshelf.llm.common import fold, table
 from vecshelf.llm.packing import pack
@@ -90,6 +90,11 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damaged_and_repaired(table(spark, sf_dir, "conversations"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
@@ -103,8 +108,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_collocations": op11_collocations,
     "op12_repair": op12_repair,
+    "op13_line_dedup": op13_line_dedup,
 }
 ORACLE: dict[str, str] = {
     "op2_decontaminate": decontaminate.SQL,
     "op11_collocations": collocations.SQL,
+    "op13_line_dedup": line_dedup.SQL,
 }

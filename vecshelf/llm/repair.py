@@ -5,7 +5,8 @@ given another role, or deleted, and empty rows are inserted; a Viterbi search
 keeps, for each state of the automaton, the survivor: the cheapest edits that
 lead there, of equal costs those whose letters come first in ASCII order.
 
-Survivors share a tree of back-pointers with reference counts. What no survivor
+A survivor is given up as soon as another one could follow whatever it does for
+less. The others share a tree of back-pointers with reference counts. What no survivor
 refers to is freed. As soon as all survivors descend from one node, the edits
 up to it are final: they are handed on with their rows, and the tree's root
 moves there. So a conversation is read once, in order, and a task holds only
@@ -70,6 +71,7 @@ class Machine:
                 raise ValueError(f"state {q} can go on with more than one of {rules.roles}")
         self.rules, self._known = rules, {}
         self._inserts = {q: self._inserted(q) for q in rules.moves}
+        self.lead = self._leads()
 
     def _inserted(self, q: int) -> list[tuple[int, tuple]]:
         """(state, roles) after no, one, two... inserted rows, no state twice."""
@@ -104,6 +106,27 @@ class Machine:
                 if role[0] in moves:
                     yield Step(cost + more + rules.rerole, letters + REROLE, (*roles, role), moves[role[0]])
 
+    def _leads(self) -> dict[tuple[int, int], int]:
+        """(p, q) -> c: whatever follows, going on from p costs at most c more
+        than going on from q. So a survivor of q that costs over c more than
+        that of p can neither win nor tie. Each way on from q, over any kind of
+        row, has an answer from p; c is what the worst sequence of them costs."""
+        states, initials = list(self.rules.moves), {r for moves in self.rules.moves.values() for r in moves} | {""}
+        kinds = [self.steps(r, *flags) for r in initials for flags in ((False, False), (False, True), (True, False))]
+        end = {q: min((s.cost for s in self.endings(q)), default=None) for q in states}
+        lead = {(p, q): max(0, end[p] - end[q]) for p in states for q in states if None not in (end[p], end[q])}
+        for _ in range(100):
+            more = {
+                (p, q): max(
+                    [c] + [min(a.cost + lead.get((a.to, s.to), 1 << 40) for a in kind[p]) - s.cost for kind in kinds for s in kind[q]]
+                )
+                for (p, q), c in lead.items()
+            }
+            if more == lead:
+                return lead
+            lead = more
+        return {}
+
     def endings(self, q: int) -> Iterator[Step]:
         for at, roles in self._inserts[q]:
             if at in self.rules.accepting:
@@ -141,7 +164,9 @@ class Search:
                 held = chosen.get(step.to)
                 if held is None or key < held[0]:
                     chosen[step.to] = (key, step, node)
-        order = sorted(chosen, key=lambda q: chosen[q][0][1:])
+        lead = self.machine.lead
+        hopeless = {q for q in chosen for p in chosen if chosen[p][0][0] + lead.get((p, q), 1 << 40) < chosen[q][0][0]}
+        order = sorted(chosen.keys() - hopeless, key=lambda q: chosen[q][0][1:])
         old, self.best = self.best, {}
         for rank, q in enumerate(order):
             key, step, node = chosen[q]

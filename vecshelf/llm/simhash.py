@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecshelf.llm.common import text_udf
+from vecshelf.llm.common import fresh, text_udf
 from vecshelf.llm.components import connected
 from vecshelf.session import written
 
@@ -241,7 +241,7 @@ def drop_near_duplicates(
     """The rows of ``docs``, one of each component: that with the smallest key
     (NULL last). Of repeated rows with that key any one stays, the rest go."""
     columns = docs.columns
-    own, mark = _fresh(columns, "print"), _fresh(columns, "row")
+    own, mark = fresh(columns, "print"), fresh(columns, "row")
     marked = docs.withColumn(own, fingerprint_column(text, shingle))
     marked = written(marked.withColumn(mark, F.monotonically_increasing_id()), "marked")
     narrow = marked.select(F.col(own).alias("print"), F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), F.col(mark).alias("row")).alias("at"))
@@ -249,11 +249,3 @@ def drop_near_duplicates(
     classes = first.join(group_fingerprints(narrow, distance, segments), "print")
     chosen = classes.groupBy("group").agg(F.min("at").alias("at")).select(F.col("at.row").alias(mark))
     return marked.join(chosen, mark, "left_semi").select(*columns)
-
-
-def _fresh(columns: list[str], name: str) -> str:
-    """A column name that ``columns`` doesn't hold."""
-    taken = {c.lower() for c in columns}
-    while name in taken:
-        name = "_" + name
-    return name
