@@ -9,18 +9,19 @@ phrase of up to ``longest`` words lies wholly in the chunk that owns its first
 word: all words but those of the window shared with the next chunk. So counts
 over distinct chunks, weighted with their frequencies, are the exact counts.
 
-Phrases are counted length by length. One of n words can reach ``least``
-occurrences only if both of its parts of n - 1 words do; those parts are sent
-to the tasks as a bitmap of hashes, at most 32 MB at any corpus size. A false
-hit, or a full bitmap, costs rows in the shuffle and never changes a count.
+Phrases that may be frequent are found length by length, by 64-bit hashes: one
+of n words can reach ``least`` occurrences only if both of its parts of n - 1
+words do; those are sent to the tasks as a bitmap, at most 32 MB at any corpus
+size. What is left is counted as text. Equal hashes, and a full bitmap, let
+more phrases through to that count and never change one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,72 +32,79 @@ from vecshelf.session import written
 
 #: All characters at which a text is cut into pieces become line feeds.
 CUTS = bytes.maketrans(b".,;:!?\x0b\x0c\x0d", b"\n" * 9)
-#: A window is a trigger if its hash is divisible by this.
-TRIGGER = 16
+#: A window is a trigger if its hash is divisible by this; a chunk owns so many words at least.
+TRIGGER, SHORTEST_CHUNK = 8, 8
 #: A chunk without a trigger ends after so many words, so that a piece of one
 #: endlessly repeated word gives small chunks as well.
 LONGEST_CHUNK = 256
 #: Rows and bytes a task holds before it hands its partial counts on.
 HELD, HELD_BYTES = 400_000, 48 << 20
+#: Hashes a task holds before it adds them up, and bytes of chunks looked at a time.
+HASHES, SLICE = 4_000_000, 1 << 20
 #: Bits of a bitmap for each phrase, and at most (32 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 28
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 
+_RNG = np.random.default_rng(11)
+_TABLES = _RNG.integers(0, 1 << 63, (2, 256), np.uint64)
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_M, _N = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x165667B19E3779F9)
 
-def chunks_of(words: list[bytes], overlap: int, trigger: int = TRIGGER, most: int = LONGEST_CHUNK) -> Iterator[tuple[int, int, bool]]:
+
+def chunks_of(
+    words: list[bytes], overlap: int, trigger: int = TRIGGER, least: int = SHORTEST_CHUNK, most: int = LONGEST_CHUNK
+) -> Iterator[tuple[int, int, bool]]:
     """(begin, end, last) of the chunks of a piece; neighbours share ``overlap`` words."""
     begin, n = 0, len(words)
-    for end in range(overlap + 1, n):
-        if end - begin > overlap and (
-            end - begin >= most + overlap or not overlap or crc32(b" ".join(words[end - overlap : end])) % trigger == 0
-        ):
+    end = begin + least + overlap
+    while end < n:
+        if end - begin >= most + overlap or crc32(b" ".join(words[end - overlap : end])) % trigger == 0:
             yield begin, end, False
             begin = end - overlap
+            end = begin + least + overlap
+        else:
+            end += 1
     if begin < n:
         yield begin, n, True
 
 
-class _Counts:
-    """Partial counts of one task, handed on as Arrow rows before they grow large."""
-
-    def __init__(self, names: list[str]) -> None:
-        self.names, self.held, self.bytes = names, {}, 0
-
-    def add(self, key: tuple, n: int) -> None:
-        held = self.held
-        if key in held:
-            held[key] += n
-        else:
-            held[key] = n
-            self.bytes += len(key[1])
-
-    def full(self) -> bool:
-        return len(self.held) >= HELD or self.bytes >= HELD_BYTES
+def _parse(overlap: int):
+    """(lang, chunk, last, n) of texts, added up for as many as a task may hold."""
 
-    def rows(self) -> pa.RecordBatch:
-        keys, n = list(self.held), pa.array(self.held.values(), pa.int64())
-        columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()).cast(pa.string())]
-        if len(self.names) == 4:
-            columns.append(pa.array([k[2] for k in keys], pa.bool_()))
-        self.held, self.bytes = {}, 0
-        return pa.RecordBatch.from_arrays([*columns, n], self.names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[dict, dict]] = {}
+        rows = size = 0
+        short = SHORTEST_CHUNK + overlap
 
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, tables in held.items():
+                for last, table in zip((False, True), tables, strict=True):
+                    chunks = pa.array(list(table), pa.binary()).cast(pa.string())
+                    same = [pa.array([v], t).take(pa.array(np.zeros(len(table), np.int32))) for v, t in ((lang, pa.string()), (last, pa.bool_()))]
+                    yield pa.RecordBatch.from_arrays([same[0], chunks, same[1], pa.array(table.values(), pa.int64())], ["lang", "chunk", "last", "n"])
 
-def _parse(overlap: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _Counts(["lang", "chunk", "last", "n"])
-        add = counts.add
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
+                inner, whole = held.setdefault(lang, ({}, {}))
+                before = len(inner) + len(whole)
                 for piece in text.lower().translate(CUTS).split(b"\n"):
                     words = piece.split()
-                    if not words:
+                    if len(words) <= short:
+                        if words:
+                            chunk = b" ".join(words)
+                            whole[chunk] = whole.get(chunk, 0) + 1
                         continue
                     for begin, end, last in chunks_of(words, overlap):
-                        add((lang, b" ".join(words[begin:end]), last), 1)
-                    if counts.full():
-                        yield counts.rows()
-        if counts.held:
-            yield counts.rows()
+                        chunk, table = b" ".join(words[begin:end]), whole if last else inner
+                        table[chunk] = table.get(chunk, 0) + 1
+                rows += len(inner) + len(whole) - before
+                size += len(text)
+                if rows >= HELD or size >= HELD_BYTES:
+                    yield from out()
+                    held.clear()
+                    rows = size = 0
+        yield from out()
 
     return run
 
@@ -110,60 +118,182 @@ def dictionary(docs: DataFrame, longest: int = 4, text: str = "text", lang: str
     return parsed.groupBy("lang", "chunk", "last").agg(F.sum("n").alias("n"))
 
 
-def bitmap(phrases: DataFrame, bits: int) -> bytes:
-    """Bits set at the hashes of (lang, phrase); built by Spark in blocks of 4 KB."""
-    at = F.pmod(F.xxhash64(F.concat("lang", F.lit("\n"), "phrase")), F.lit(bits))
-    blocks = phrases.select(at.alias("at")).groupBy(F.expr("at div 32768").alias("block")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base ** i and its inverse, modulo 2 ** 64."""
+    found = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        x = np.full(n, b, np.uint64)
+        x[0] = 1
+        found.append(np.multiply.accumulate(x))
+    return found[0], found[1]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * _M
+    return h ^ (h >> np.uint64(29))
+
+
+class Words:
+    """The words of some chunks, hashed in numpy."""
+
+    _known: dict[int, list] = {}
+
+    def __init__(self, langs: list[str], chunks: list[bytes], last: np.ndarray, weights: np.ndarray, overlap: int, hashes: int = 1) -> None:
+        self.data = b"\n".join(chunks)
+        flat = np.frombuffer(self.data, np.uint8)
+        line = flat == 10
+        ends = np.append(np.flatnonzero(line | (flat == 32)), len(flat))
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        counts = np.diff(np.concatenate(([0], np.searchsorted(ends, np.append(np.flatnonzero(line), len(flat))) + 1)))
+        self.starts, self.ends = starts, ends
+        self.chunk = np.repeat(np.arange(len(chunks)), counts)
+        place = np.arange(len(starts)) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.left = counts[self.chunk] - place  # words from this one to the chunk's end
+        self.owned = last[self.chunk] | (self.left > overlap)
+        self.weight = weights[self.chunk]
+        seeds = {name: xxhash.xxh64_intdigest(name.encode(), 7) for name in set(langs)}
+        seed = np.array([seeds[x] for x in langs], np.uint64)[self.chunk]
+        long = np.flatnonzero(ends - starts > LONG_WORD).tolist()
+        self.hashes = []
+        for k in range(hashes):
+            up, down = self._powers(len(flat), k)
+            sums = np.zeros(len(flat) + 1, np.uint64)
+            np.cumsum(_TABLES[k][flat] * up[: len(flat)], out=sums[1:])
+            h = (sums[ends] - sums[starts]) * down[starts]
+            for i in long:
+                h[i] = xxhash.xxh3_64_intdigest(self.data[starts[i] : ends[i]], 21 + k)
+            self.hashes.append(_mixed(h + seed))
+
+    @classmethod
+    def _powers(cls, n: int, k: int) -> list:
+        # a worker keeps the powers for one slice
+        if k not in cls._known or len(cls._known[k][0]) < n:
+            cls._known[k] = _powers(max(n, 2 * SLICE), _BASES[k])
+        return cls._known[k]
+
+    def phrases(self, n: int, k: int = 0) -> np.ndarray:
+        """Hashes of the phrases of ``n`` words from each word on; those that
+        reach beyond the data's end are cut off."""
+        h = self.hashes[k]
+        size = max(0, len(h) - n + 1)
+        g = h[:size]
+        for i in range(1, n):
+            g = _mixed(g * _N + h[i : i + size])
+        return g
+
+    def fits(self, n: int) -> np.ndarray:
+        return self.left[: max(0, len(self.left) - n + 1)] >= n
+
+
+def _slices(batch: pa.RecordBatch, overlap: int, hashes: int = 1) -> Iterator[tuple[Words, list[str]]]:
+    chunks, langs = raw(batch.column(1)), batch.column(0).to_pylist()
+    last, weights = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
+    sizes = np.cumsum([len(c) + 1 for c in chunks])
+    a = 0
+    while a < len(chunks):
+        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + SLICE)))
+        yield Words(langs[a:b], chunks[a:b], last[a:b], weights[a:b], overlap, hashes), langs[a:b]
+        a = b
+
+
+def _marked(field: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & np.uint64(8 * len(field) - 1)
+    return (field[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+
+
+def _hashed(n: int, overlap: int, sent):
+    """(hash, n): how often phrases of ``n`` words occur whose parts are marked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = np.frombuffer(sent.value, np.uint8) if n > 1 else None
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            hashes, weights = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(hashes)
+            hashes = hashes[order]
+            first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+            sums = np.add.reduceat(weights[order], first)
+            return pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array(sums)], ["hash", "n"])
+
+        for batch in batches:
+            for words, _ in _slices(batch, overlap):
+                good = words.fits(n) & words.owned[: len(words.owned) - n + 1] if len(words.owned) >= n else np.zeros(0, bool)
+                if n > 1 and len(good):
+                    part = _marked(field, words.phrases(n - 1))
+                    good &= part[:-1] & part[1:]
+                if good.any():
+                    held.append((words.phrases(n)[good], words.weight[: len(good)][good]))
+                    size += len(held[-1][0])
+                if size >= HASHES:
+                    yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
+
+    return run
+
+
+def bitmap(hashes: DataFrame, bits: int) -> bytes:
+    """Bits set at the hashes; built by Spark in blocks of 4 KB."""
+    at = F.col("hash").bitwiseAND(F.lit(bits - 1))
+    blocks = hashes.select(at.alias("at")).groupBy(F.expr("at div 32768").alias("block")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
     found = bytearray(max(bits // 8, 4096))
     for row in blocks.toLocalIterator():
         found[row["block"] * 4096 : (row["block"] + 1) * 4096] = row["bits"]
     return bytes(found)
 
 
-def _count(n: int, overlap: int, bits: int, sent):
-    """Counts of the phrases of ``n`` words in weighted chunks. For n = 1 a row
-    with an empty phrase carries all occurrences of words."""
+def _texts(longest: int, overlap: int, sent):
+    """(lang, phrase, words, a): partial counts of all phrases that are marked;
+    under no words, how many words there are. Phrases of one length are told
+    apart by 128 bits of hash within a task, and as texts beyond it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, known = _Counts(["lang", "phrase", "n"]), {}
-        field = sent.value if sent is not None else b""
-        add, digest, mask = counts.add, xxhash.xxh64_intdigest, bits - 1
-
-        def frequent(lang: str, prefix: bytes, phrase: bytes) -> bool:
-            at = digest(prefix + phrase, 42) & mask
-            return bool(field[at >> 3] >> (at & 7) & 1)
+        fields = [np.frombuffer(f, np.uint8) for f in sent.value]
+        held: dict[tuple, list] = {}
+        totals: dict[str, int] = {}
+
+        def out() -> pa.RecordBatch:
+            keys = list(held)
+            columns = [
+                pa.array([v[0] for v in held.values()], pa.string()),
+                pa.array([v[1] for v in held.values()], pa.binary()).cast(pa.string()),
+                pa.array([k[0] for k in keys], pa.int32()),
+                pa.array([v[2] for v in held.values()], pa.int64()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "a"])
 
         for batch in batches:
-            langs, chunks = batch.column(0).to_pylist(), raw(batch.column(1))
-            for lang, chunk, last, weight in zip(langs, chunks, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                words = chunk.split(b" ")
-                owned = len(words) if last else len(words) - overlap
-                if n == 1:
-                    for word in words[:owned]:
-                        add((lang, word), weight)
-                    add((lang, b""), weight * owned)
-                elif len(words) >= n:
-                    prefix = lang.encode() + b"\n"
-                    if n == 2:
-                        parts = words
-                    else:
-                        parts = [b" ".join(words[i : i + n - 1]) for i in range(len(words) - n + 2)]
-                    flags = []
-                    for part in parts:
-                        key = (lang, part)
-                        flag = known.get(key)
-                        if flag is None:
-                            if len(known) >= HELD:
-                                known.clear()
-                            flag = known[key] = frequent(lang, prefix, part)
-                        flags.append(flag)
-                    for i in range(min(owned, len(words) - n + 1)):
-                        if flags[i] and flags[i + 1]:
-                            add((lang, parts[i] + b" " + words[i + n - 1]), weight)
-                if counts.full():
-                    yield counts.rows()
-        if counts.held:
-            yield counts.rows()
+            for words, langs in _slices(batch, overlap, 2):
+                own = np.bincount(words.chunk, words.weight * words.owned, len(langs)).astype(np.int64)
+                for lang, x in zip(langs, own.tolist(), strict=True):
+                    totals[lang] = totals.get(lang, 0) + x
+                for n in range(1, longest + 1):
+                    if len(words.owned) < n:
+                        break
+                    good = words.fits(n) & words.owned[: len(words.owned) - n + 1]
+                    at = np.flatnonzero(good & _marked(fields[n - 1], words.phrases(n)))
+                    if not len(at):
+                        break
+                    h, g = words.phrases(n)[at], words.phrases(n, 1)[at]
+                    order = np.lexsort((g, h))
+                    h, g, at = h[order], g[order], at[order]
+                    first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
+                    sums = np.add.reduceat(words.weight[at], first).tolist()
+                    for i, x, y, a in zip(at[first].tolist(), h[first].tolist(), g[first].tolist(), sums, strict=True):
+                        key = (n, x, y)
+                        if key in held:
+                            held[key][2] += a
+                        else:
+                            held[key] = [langs[words.chunk[i]], words.data[words.starts[i] : words.ends[i + n - 1]], a]
+                if len(held) >= HELD:
+                    yield out()
+                    held = {}
+        for i, (lang, x) in enumerate(totals.items()):
+            held[0, i, 0] = [lang, b"", x]
+        if held:
+            yield out()
 
     return run
 
@@ -172,19 +302,20 @@ def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = 4, text: s
     """(lang, phrase, words, a): every phrase of 1 to ``longest`` words that
     occurs ``least`` times or more in its language, with its count; a row with
     ``words`` 0 holds the count of all words."""
-    spark = docs.sparkSession
+    context, overlap = docs.sparkSession.sparkContext, longest - 1
     chunks = written(dictionary(docs, longest, text, lang), "chunks")
-    levels, bits, sent = [], 1, None
+    fields, sent = [], None
     for n in range(1, longest + 1):
-        counted = chunks.mapInArrow(_count(n, longest - 1, bits, sent), "lang string, phrase string, n long")
-        found = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
-        found = found.where((F.col("a") >= least) | (F.col("phrase") == ""))
-        found = written(found.select("lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(n).alias("words"), "a"), f"phrases{n}")
-        levels.append(found)
+        counted = chunks.mapInArrow(_hashed(n, overlap, sent), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+        found = written(counted.where(F.col("n") >= least).select("hash"), "hashes")
         total = found.count()
-        bits = min(MOST_BITS, max(1 << 15, 1 << (BITS_EACH * total - 1).bit_length())) if total else 1 << 15
-        sent = spark.sparkContext.broadcast(bitmap(found, bits))
-    return reduce(DataFrame.union, levels)
+        bits = max(1 << 15, min(MOST_BITS, 1 << (BITS_EACH * max(total, 1) - 1).bit_length()))
+        fields.append(bitmap(found, bits))
+        sent = context.broadcast(fields[-1])
+    every = context.broadcast(fields)
+    counted = chunks.mapInArrow(_texts(longest, overlap, every), "lang string, phrase string, words int, a long")
+    found = counted.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"))
+    return written(found.where((F.col("a") >= least) | (F.col("words") == 0)), "phrases")
 
 
 def collocations(
