@@ -365,13 +365,43 @@ def label_clusters(members: DataFrame, meta: DataFrame, m: int = 3) -> DataFrame
     return labels.join(sizes, ["user", "cluster"])
 
 
-def cluster_quality(members: DataFrame, *by: str) -> DataFrame:
-    """``(user, *by, clusters, smallest, silhouette)``: the mean centroid
-    silhouette, 0 for a user with a single cluster."""
-    own, other = 1 - F.col("score"), 1 - F.col("next_score")
-    width = F.coalesce(F.try_divide(other - own, F.greatest(own, other)), F.lit(0.0))
-    per_cluster = members.groupBy("user", *by, "cluster").agg(
-        F.count("*").alias("size"), F.sum(width).alias("width")
+def silhouette_widths(members: DataFrame, vectors: DataFrame, *by: str) -> DataFrame:
+    """``(user, *by, cluster, input_text, width)``: each member's silhouette by
+    cosine distance, 0 for a cluster of one and a user with a single cluster.
+
+    The mean distance of a unit vector to a cluster is 1 less its product with
+    the sum of the cluster's unit vectors over their number, so no pair of
+    members is formed: a member meets its user's few cluster sums.
+    """
+    unit = vectors.select("input_text", l2_normalize("vec").alias("vec"))
+    placed = members.select("user", *by, "cluster", "input_text").join(unit, "input_text")
+    sums = vector_sum(placed, ["user", *by, "cluster"], "vec", F.count("*").alias("n"))
+    groups = sums.groupBy("user", *by).agg(F.collect_list(F.struct("cluster", "n", "vec")).alias("groups"))
+    seen = placed.join(groups, ["user", *by]).withColumn(
+        "near",
+        F.transform(
+            "groups",
+            lambda g: F.struct(
+                (g["cluster"] == F.col("cluster")).alias("own"), g["n"].cast("double").alias("n"), dot("vec", g["vec"]).alias("s")
+            ),
+        ),
+    )
+    own = F.element_at(F.filter("near", lambda g: g["own"]), 1)
+    others = F.transform(F.filter("near", lambda g: ~g["own"]), lambda g: 1 - g["s"] / g["n"])
+    mine = F.try_divide(own["n"] - 1 - (own["s"] - dot("vec", "vec")), own["n"] - 1)
+    measured = seen.select("user", *by, "cluster", "input_text", mine.alias("a"), F.array_min(others).alias("b"))
+    width = F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))
+    # try_divide and array_min are NULL for a cluster of one and without another cluster
+    whole = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.coalesce(width, F.lit(0.0))).otherwise(F.lit(0.0))
+    return measured.select("user", *by, "cluster", "input_text", whole.alias("width"))
+
+
+def cluster_quality(members: DataFrame, vectors: DataFrame, *by: str) -> DataFrame:
+    """``(user, *by, clusters, smallest, silhouette)``: the mean silhouette of
+    a user's members, 0 for a user with a single cluster."""
+    widths = silhouette_widths(members, vectors, *by)
+    per_cluster = aggregate(
+        widths, ["user", *by, "cluster"], F.count("*").alias("size"), F.sum("width").alias("width")
     )
     return per_cluster.groupBy("user", *by).agg(
         F.count("*").alias("clusters"),
@@ -397,7 +427,7 @@ def choose_k(
         -F.round("silhouette", SCORE_DIGITS),
         F.col("k"),
     ]
-    trials = cluster_quality(members, "k")
+    trials = cluster_quality(written(members, "trials"), vectors, "k")
     return canonical(trials, ["user"], order).select("user", "k", "silhouette")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecshelf.operators.grouping import aggregate, top_ranked
+from vecshelf.operators.hyperplanes import banded_pairs
 from vecshelf.operators.knn import within
 from vecshelf.session import written
 
@@ -50,7 +51,7 @@ def vector_classes(corpus: DataFrame, key: str = "work_key") -> DataFrame:
 
 
 def near_duplicates(
-    corpus: DataFrame, threshold: float = NEAR_DUPLICATE, key: str = "work_key"
+    corpus: DataFrame, threshold: float = NEAR_DUPLICATE, key: str = "work_key", recall: float | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """``(pairs, classes)`` of works whose cosine reaches ``threshold``.
 
@@ -59,10 +60,14 @@ def near_duplicates(
     ``(key, class_key)`` with all works of equal vectors in one class, which
     need no pair each. Every pair is found: blocks of the corpus are scored
     against each other, and only what reaches the threshold leaves a task.
+    With ``recall`` (0.999, say) only works that random hyperplanes put together
+    are compared, and a pair is found with that probability at least.
     """
     classes = written(vector_classes(corpus, key), "vector-classes")
     heads = classes.where(F.col(key) == F.col("class_key")).select(key)
     first = corpus.select(key, "vec").join(heads, key, "left_semi")
+    if recall is not None:
+        return banded_pairs(first, threshold, recall, key=key), classes
     found = within(first, first.select(F.col(key).alias("qid"), "vec"), threshold, key=key)
     pairs = found.where(F.col("qid") < F.col(key)).select(
         F.col("qid").alias("key_a"), F.col(key).alias("key_b"), "score"

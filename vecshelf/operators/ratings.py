@@ -33,15 +33,20 @@ def judged_ratings(changes: DataFrame, catalog: DataFrame) -> DataFrame:
     return changes.join(known, "work_key", "left").withColumn("reason", reason).drop("_listed")
 
 
-def fold_ratings(changes: DataFrame) -> DataFrame:
-    """The latest change per ``(user, work_key)``, deletes dropped after the pick.
+def latest_changes(changes: DataFrame) -> DataFrame:
+    """The latest change per ``(user, work_key)``, deletes among them.
 
     Event time then event id order the changes, so replayed and late rows lead
     to the same result. The pick is an aggregate and combines map-side.
     """
-    carried = [c for c in ("rating", "input_text", "ts") if c in changes.columns]
+    carried = [c for c in ("rating", "input_text", "ts", "event_id") if c in changes.columns]
     last = F.max_by(F.struct(*carried), F.struct("ts", "event_id")).alias("last")
-    folded = aggregate(changes, ["user", "work_key"], last).select("user", "work_key", "last.*")
+    return aggregate(changes, ["user", "work_key"], last).select("user", "work_key", "last.*")
+
+
+def fold_ratings(changes: DataFrame) -> DataFrame:
+    """The current ratings: the latest changes, deletes dropped after the pick."""
+    folded = latest_changes(changes).drop("event_id")
     return folded.where("rating is not null").withColumnRenamed("ts", "updated_at")
 
 

@@ -331,10 +331,14 @@ def _quality(k: int) -> str:
     rounds = "".join(_assign(i) + _move(i) for i in range(_ROUNDS)) + _assign(_ROUNDS)
     return (
         start + more + f", c0 as ({seeds})" + rounds + f""", widths as (
-  select x."user", x."cluster", case when y.score is null then 0 else
-    coalesce(((1 - y.score) - (1 - x.score)) / nullif(greatest(1 - y.score, 1 - x.score), 0), 0) end w
-  from a{_ROUNDS} x left join a{_ROUNDS} y on y."user" = x."user" and y.input_text = x.input_text and y.place = 2
-  where x.place = 1)
+  select "user", "cluster", input_text, coalesce((b - a) / nullif(greatest(a, b), 0), 0) w from (
+    select "user", "cluster", input_text, avg(d) filter (other = "cluster") a,
+           min(m) filter (other <> "cluster") b from (
+      select *, avg(d) over (partition by "user", input_text, other) m from (
+        select x."user", x."cluster", x.input_text, y."cluster" other,
+               case when x.input_text <> y.input_text then 1 - list_dot_product(x.vec, y.vec) end d
+        from a{_ROUNDS} x join a{_ROUNDS} y on y."user" = x."user" where x.place = 1 and y.place = 1))
+    group by all))
 select "user", {k}::bigint k, min(size) smallest, sum(w) / sum(size) silhouette from (
   select "user", "cluster", count(*) size, sum(w) w from widths group by all) group by "user" """
     )
@@ -346,7 +350,96 @@ def _chosen_k() -> str:
 qualify row_number() over (partition by "user" order by smallest < 2, -round(silhouette, 12), k) = 1"""
 
 
+# Eight cells of the whole corpus: four rounds of spherical k-means from the works with the smallest keys.
+_CELL_ROUNDS = 4
+
+
+def _in_cells(at: int) -> str:
+    return f""", p{at} as materialized (
+  select u.work_key, u.vec, k.cell, round(list_dot_product(u.vec, k.vec), 12) score,
+         row_number() over (partition by u.work_key order by round(list_dot_product(u.vec, k.vec), 12) desc, k.cell) place
+  from kunit u, k{at} k)"""
+
+
+def _next_cells(at: int) -> str:
+    return f""", s{at} as (
+  select cell, pos, sum(x) s from (
+    select cell, generate_subscripts(vec, 1) pos, unnest(vec) x from p{at} where place = 1) group by all),
+k{at + 1} as materialized (
+  select k.cell, coalesce(n.vec, k.vec) vec from k{at} k left join (
+    select cell, list(s / len order by pos) vec from (
+      select *, sqrt(sum(s * s) over (partition by cell)) len from s{at}) group by cell) n on n.cell = k.cell)"""
+
+
+_CELLS = """, kunit as (select work_key, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) vec from corpus),
+k0 as (select row_number() over (order by work_key) - 1 cell, vec from kunit qualify row_number() over (order by work_key) <= 8)""" + "".join(
+    _in_cells(i) + _next_cells(i) for i in range(_CELL_ROUNDS)
+) + _in_cells(_CELL_ROUNDS)
+
+
+def _probed(cells: int) -> str:
+    return f""", near as (
+  select q.work_key qid, c.work_key, c.score, row_number() over (partition by q.work_key order by c.score desc, c.work_key) rank
+  from (select * from p{_CELL_ROUNDS} where work_key % 50 = 0 and place <= {cells}) q
+  join (select work_key, cell from p{_CELL_ROUNDS} where place = 1) h on h.cell = q.cell
+  join exact_scores c on c.qid = q.work_key and c.work_key = h.work_key)"""
+
+
+_EXACT = """, exact_scores as (
+  select q.work_key qid, c.work_key, round(list_cosine_similarity(c.vec, q.vec), 12) score
+  from corpus q, corpus c where q.work_key % 50 = 0),
+exact as (select * from exact_scores qualify row_number() over (partition by qid order by score desc, work_key) <= 10)"""
+
+_COVARIANCE = """, flat as (select work_key, generate_subscripts(vec, 1) pos, unnest(vec) x from corpus),
+cov as materialized (
+  select list(line order by i) m, sum(diagonal) total from (
+    select i, list(c order by j) line, sum(c) filter (i = j) diagonal from (
+      select a.pos i, b.pos j, avg(a.x * b.x) - avg(a.x) * avg(b.x) c
+      from flat a join flat b on b.work_key = a.work_key group by all) group by i)),
+power as (
+  with recursive step(n, v) as (
+    select 0, list_transform(m, lambda r, i: 1 + i / 100.0::double) from cov
+    union all
+    select n + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) from (
+      select n, list_transform(m, lambda r: list_dot_product(r, v)) w from step, cov where n < 1500))
+  select v from step where n = 1500)"""
+
 ORACLE: dict[str, str] = {
+    "near_duplicates_banded": _BASE + f""", heads as (select min(work_key) work_key, vec from corpus group by vec)
+select a.work_key key_a, c.work_key key_b, round({_SCORE.format(q='a')}, 6) score
+from heads a join heads c on a.work_key < c.work_key
+where round({_SCORE.format(q='a')}, 12) >= 0.5""",
+    "cluster_corpus": _BASE + _CELLS + f"""
+select work_key, cell, round(score, 6) score from p{_CELL_ROUNDS} where place = 1""",
+    "knn_approx": _BASE + _CELLS + _EXACT + _probed(7) + """,
+share as (select e.qid, round(count(n.qid) / count(*), 6) recall
+  from exact e left join near n on n.qid = e.qid and n.work_key = e.work_key and n.rank <= 10 group by e.qid)
+select n.qid, n.work_key, round(n.score, 6) score, n.rank, s.recall
+from near n join share s on s.qid = n.qid where n.rank <= 10""",
+    "knn_approx_exact": _BASE + _EXACT + """
+select qid, work_key, round(score, 6) score, row_number() over (partition by qid order by score desc, work_key) rank from exact""",
+    "reduce_dims": _BASE + _COVARIANCE + """,
+middle as (select list(m order by pos) vec from (select pos, avg(x) m from flat group by pos)),
+centred as (select work_key, list_transform(c.vec, lambda x, i: x - m.vec[i]) vec from corpus c, middle m)
+select a.work_key, round(list_cosine_similarity(a.vec, b.vec), 6) cosine,
+  round((select list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) from power, cov), 6) "first",
+  round((select total from cov), 6) total
+from centred a join centred b on b.work_key = a.work_key + 1""",
+    "fit_projection": _BASE + """, xy as (select work_key, vec[1] a, vec[2] b, vec[3] y, vec[4] z from corpus),
+g as (
+  select avg(a) ma, avg(b) mb, avg(y) my, avg(z) mz, count(*) * var_pop(a) + 1 aa, count(*) * var_pop(b) + 1 bb,
+    count(*) * covar_pop(a, b) ab, count(*) * covar_pop(a, y) ay, count(*) * covar_pop(b, y) by_,
+    count(*) * covar_pop(a, z) az, count(*) * covar_pop(b, z) bz from xy where work_key % 5 <> 0),
+w as (
+  select *, (bb * ay - ab * by_) / det w00, (bb * az - ab * bz) / det w01,
+    (aa * by_ - ab * ay) / det w10, (aa * bz - ab * az) / det w11 from (select *, aa * bb - ab * ab det from g)),
+seen as (
+  select y, z, (a - ma) * w00 + (b - mb) * w10 + my p, (a - ma) * w01 + (b - mb) * w11 + mz q, w00, w01, w10, w11
+  from xy, w where work_key % 5 = 0)
+select count(*) n, round(avg((y * p + z * q) / (sqrt(y * y + z * z) * sqrt(p * p + q * q))), 6) mean_cosine,
+  round(any_value(w00), 6) w00, round(any_value(w01), 6) w01, round(any_value(w10), 6) w10, round(any_value(w11), 6) w11
+from seen""",
+    "kept_snapshot": _BASE + "select * from folded",
     "recommend_signed": _BASE + _signed(5),
     "recommend_signed_new_authors": _BASE + _signed(5, _NEW_AUTHORS),
     "recommend_signed_new_texts": _BASE + _signed(5, _NEW_TEXTS),
@@ -556,3 +649,16 @@ left join hvecs h on h.t = g.input_text""",
     "stream_ratings_snapshot": _BASE + "select * from folded",
     "stream_embed_texts": _TEXT_UNITS + _long("units", "input_sha256"),
 }
+
+# The table functions answer what the operators of these names do.
+ORACLE |= {
+    "sql_find_book": ORACLE["find"],
+    "sql_similar_to": ORACLE["similar_to"],
+    "sql_similar_to_other_authors": ORACLE["similar_to_other_authors"],
+    "sql_similar_between": ORACLE["similar_between"],
+    "sql_recommend": _BASE + """, liked as (select * from corpus where lower(title) like '%widget%')""" + _top(
+        f"""select 0 one, c.* exclude (vec), avg({_SCORE.format(q='l')}) score from liked l, corpus c
+  where c.work_key not in (select work_key from liked) group by all""", "one", 5, _META),
+    "sql_recommend_from_preferences": ORACLE["recommend_from_preferences"],
+    "sql_pref_matches": ORACLE["pref_matches"],
+}

@@ -8,9 +8,11 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecshelf import sql
 from vecshelf.functions import text, vector
 from vecshelf.operators import (
     catalog as cat,
+    cells,
     centroid,
     cluster,
     curate,
@@ -18,6 +20,7 @@ from vecshelf.operators import (
     evaluate,
     knn,
     present,
+    project,
     ratings as state,
     recommend,
     search,
@@ -27,7 +30,7 @@ from vecshelf.session import new_path, written
 from vecshelf.sources import cache as vector_cache
 from vecshelf.sources import preferences, tables
 from vecshelf.streaming.embed import stream_embed
-from vecshelf.streaming.ratings import rejected, snapshot, stream_ratings
+from vecshelf.streaming.ratings import keep_snapshot, kept_ratings, rejected, snapshot, stream_ratings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -700,6 +703,116 @@ def vector_classes(bed: Testbed) -> DataFrame:
     return present.vector_classes(bed.corpus)
 
 
+@query
+def near_duplicates_banded(bed: Testbed) -> DataFrame:
+    """Candidates from random hyperplanes; at this threshold all pairs are found."""
+    pairs, _ = present.near_duplicates(bed.corpus, 0.5, recall=0.9999)
+    return rounded(pairs)
+
+
+# --- cells and linear maps ---------------------------------------------------------------
+
+CELLS = 8
+
+
+def first_works(bed: Testbed) -> DataFrame:
+    """The seeds of the cells: the works with the smallest keys."""
+    return bed.corpus.select("work_key", "vec").orderBy("work_key").limit(CELLS)
+
+
+@query
+def cluster_corpus(bed: Testbed) -> DataFrame:
+    members, _ = cells.cluster_corpus(bed.corpus, CELLS, 4, first_works(bed))
+    return rounded(members)
+
+
+@query
+def knn_approx(bed: Testbed) -> DataFrame:
+    """Every 50th work against all, with each query's recall of the exact neighbours."""
+    queries = bed.corpus.where("work_key % 50 = 0").select(F.col("work_key").alias("qid"), "vec")
+    path = new_path(bed.spark, "cells")
+    index = cells.CellIndex.build(bed.corpus, path, CELLS, 4, first_works(bed))
+    found = written(index.search(queries, 10, 7), "found")
+    share = cells.recall(found, knn.knn(bed.corpus, queries, 10))
+    return rounded(found.join(share, "qid"), "score", "recall")
+
+
+@query
+def knn_approx_exact(bed: Testbed) -> DataFrame:
+    """The same index with every cell probed: exact neighbours."""
+    queries = bed.corpus.where("work_key % 50 = 0").select(F.col("work_key").alias("qid"), "vec")
+    index = cells.CellIndex.build(bed.corpus, new_path(bed.spark, "cells"), CELLS, 4, first_works(bed))
+    return rounded(index.search(queries, 10, None))
+
+
+@query
+def reduce_dims(bed: Testbed) -> DataFrame:
+    """Variance of the first component and of all, and what distances become of
+    neighbouring works once all components are kept: what they were."""
+    found = project.reduce_dims(bed.corpus, 64)
+    small = found.apply(bed.corpus.select("work_key", "vec"))
+    pairs = small.alias("a").join(small.alias("b"), F.expr("a.work_key + 1 = b.work_key"))
+    near = pairs.select(F.col("a.work_key").alias("work_key"), vector.cosine("a.vec", "b.vec").alias("cosine"))
+    return rounded(near.withColumns({"first": F.lit(float(found.explained[0])), "total": F.lit(float(found.explained.sum()))}), "cosine", "first", "total")
+
+
+@query
+def fit_projection(bed: Testbed) -> DataFrame:
+    """Two numbers of a vector learned from its first two by ridge regression on
+    works not divisible by five, and its quality on the others."""
+    pairs = bed.corpus.select("work_key", F.slice("vec", 1, 2).alias("source"), F.slice("vec", 3, 2).alias("target"))
+    fitted = project.fit_projection(pairs.where("work_key % 5 <> 0"), 1.0)
+    quality = project.projection_quality(fitted, pairs.where("work_key % 5 = 0"))
+    flat = {f"w{i}{j}": F.lit(float(fitted.matrix[i, j])) for i in range(2) for j in range(2)}
+    return rounded(quality.withColumns(flat), "mean_cosine", *flat)
+
+
+# --- SQL table functions -----------------------------------------------------------------
+
+
+def in_sql(bed: Testbed, call: str) -> DataFrame:
+    sql.register(bed.corpus, bed.catalog, preference_file(bed))
+    found = bed.spark.sql(f"select * from {call}")
+    return found.withColumn("rank", F.col("rank").cast("long")) if "rank" in found.columns else found
+
+
+@query
+def sql_find_book(bed: Testbed) -> DataFrame:
+    return in_sql(bed, "find_book('Brand#1|')")
+
+
+@query
+def sql_similar_to(bed: Testbed) -> DataFrame:
+    return rounded(in_sql(bed, "similar_to('WIDGET', n => 20)"))
+
+
+@query
+def sql_similar_to_other_authors(bed: Testbed) -> DataFrame:
+    return rounded(in_sql(bed, "similar_to('widget', same_author => false, n => 20)"))
+
+
+@query
+def sql_similar_between(bed: Testbed) -> DataFrame:
+    return rounded(in_sql(bed, "similar_between('widget', 'gear')"), "sim")
+
+
+@query
+def sql_recommend(bed: Testbed) -> DataFrame:
+    """The mean cosine to all works called a widget."""
+    liked = "(select array_agg(input_text) from shelf_vecs where lower(title) like '%widget%')"
+    return rounded(in_sql(bed, f"recommend({liked}, n => 5)"))
+
+
+@query
+def sql_recommend_from_preferences(bed: Testbed) -> DataFrame:
+    return rounded(in_sql(bed, "recommend_from_preferences()"))
+
+
+@query
+def sql_pref_matches(bed: Testbed) -> DataFrame:
+    return in_sql(bed, "pref_matches()")
+
+
 # --- taste clusters ------------------------------------------------------------------
 
 
@@ -784,6 +897,20 @@ def stream_ratings_snapshot(bed: Testbed) -> DataFrame:
     return folded.withColumn("rating", F.col("rating").cast("long"))
 
 
+@query
+def kept_snapshot(bed: Testbed) -> DataFrame:
+    """The log in two halves, each folded into the state when it has come."""
+    source, log, state_dir = (new_path(bed.spark, n) for n in ("incoming", "log", "state"))
+    marks = [new_path(bed.spark, "mark") for _ in range(2)]
+    events = bed.table("events")
+    for half in (0, 1):
+        events.where(F.col("event_id") % 2 == half).write.mode("append").parquet(source)
+        arrived = bed.spark.readStream.schema(events.schema).parquet(source)
+        stream_ratings(changes_of(arrived), bed.catalog, log, marks[0]).awaitTermination()
+        keep_snapshot(bed.spark, log, state_dir, marks[1]).awaitTermination()
+    return kept_ratings(bed.spark, state_dir).drop("input_text").withColumn("rating", F.col("rating").cast("long"))
+
+
 @query
 def stream_ratings_rejected(bed: Testbed) -> DataFrame:
     """The stream with every view turned into a rating of a work nobody lists,

@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Without that setting it is a folder in the warehouse, which is shared too.
+    Without that setting it is a folder in the warehouse; on a cluster that must
+    not be one of the driver's own disk.
     """
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
         path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/vecshelf-shared"
+        if path.startswith(("file:", "/")) and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
     if not context.getCheckpointDir():
         context.setCheckpointDir(path)
     return path.rstrip("/")
@@ -34,6 +37,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(context._jsc.hadoopConfiguration()).exists(target)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none where there is no such folder."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(context._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(target)] if files.exists(target) else []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, lineage cut,
     and with file sizes that later joins can plan on."""

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vecshelf.functions.text import content_key
-from vecshelf.operators.embed import BATCH, Embedder, embed_texts
-from vecshelf.sources.cache import RECORDS_PER_FILE, VectorCache
+from vecshelf.operators.embed import BATCH, Embedder, embed_missing, keyed
+from vecshelf.sources.cache import VectorCache
 
 
 def stream_embed(
@@ -21,28 +19,18 @@ def stream_embed(
 ) -> StreamingQuery:
     """Embed each ``input_text`` of a streaming frame that the cache does not hold.
 
-    A text already seen by the stream is known by its content key, one already
-    cached before the start by the anti-join; state grows with distinct texts.
+    Each micro-batch is compared with the cache's keys as they are then, so the
+    stream keeps no state however many texts have passed, and a batch that is
+    run again after a failure finds what it appended before and adds the rest.
     """
-    fresh = (
-        texts.where("input_text is not null")
-        .select("input_text", content_key("input_text").alias("input_sha256"))
-        .dropDuplicates(["input_sha256"])
-        .join(cache.keys(), "input_sha256", "left_anti")
-    )
-    rows = embed_texts(fresh, embedder, batch, dim).select(
-        "input_text",
-        "input_sha256",
-        "vec",
-        F.current_timestamp().alias("created_at"),
-        F.lit(cache.model_id).alias("model_id"),
-    )
+
+    def absorb(part: DataFrame, _number: int) -> None:
+        embed_missing(keyed(part.select("input_text")), cache, embedder, batch, dim)
+
     return (
-        rows.writeStream.format("parquet")
-        .option("path", cache.streamed)
+        texts.select("input_text")
+        .writeStream.foreachBatch(absorb)
         .option("checkpointLocation", checkpoint)
-        .option("maxRecordsPerFile", RECORDS_PER_FILE)
-        .partitionBy("model_id")
         .trigger(availableNow=True)
         .start()
     )
