@@ -19,6 +19,7 @@ more phrases through to that count and never change one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -40,7 +41,7 @@ LONGEST_CHUNK = 256
 #: Rows and bytes a task holds before it hands its partial counts on.
 HELD, HELD_BYTES = 400_000, 48 << 20
 #: Hashes a task holds before it adds them up, and bytes of chunks looked at a time.
-HASHES, SLICE = 4_000_000, 1 << 20
+HASHES, SLICE = 4_000_000, 2 << 20
 #: Bits of a bitmap for each phrase, and at most (32 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 28
 #: Words of more bytes are hashed one by one.
@@ -92,11 +93,11 @@ def _parse(overlap: int):
                     words = piece.split()
                     if len(words) <= short:
                         if words:
-                            chunk = b" ".join(words)
+                            chunk = b" ".join(words) + b"\n"
                             whole[chunk] = whole.get(chunk, 0) + 1
                         continue
                     for begin, end, last in chunks_of(words, overlap):
-                        chunk, table = b" ".join(words[begin:end]), whole if last else inner
+                        chunk, table = b" ".join(words[begin:end]) + b"\n", whole if last else inner
                         table[chunk] = table.get(chunk, 0) + 1
                 rows += len(inner) + len(whole) - before
                 size += len(text)
@@ -111,7 +112,8 @@ def _parse(overlap: int):
 
 def dictionary(docs: DataFrame, longest: int = 4, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, chunk, last, n): the distinct chunks of the parse and how often
-    each occurs. ``last`` chunks end their piece and own all of their words."""
+    each occurs. A space stands between the words of a chunk and a line feed at
+    its end. ``last`` chunks end their piece and own all of their words."""
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     rows = rows.where(F.col("text").isNotNull())
     parsed = rows.mapInArrow(_parse(longest - 1), "lang string, chunk string, last boolean, n long")
@@ -138,21 +140,25 @@ class Words:
 
     _known: dict[int, list] = {}
 
-    def __init__(self, langs: list[str], chunks: list[bytes], last: np.ndarray, weights: np.ndarray, overlap: int, hashes: int = 1) -> None:
-        self.data = b"\n".join(chunks)
-        flat = np.frombuffer(self.data, np.uint8)
-        line = flat == 10
-        ends = np.append(np.flatnonzero(line | (flat == 32)), len(flat))
+    def __init__(self, rows: pa.Table, overlap: int, hashes: int = 1) -> None:
+        lang = rows["lang"].combine_chunks().dictionary_encode()
+        self.langs, codes = lang.dictionary.to_pylist(), lang.indices.to_numpy()
+        # the chunks lie one behind the other, each with its line feed
+        chunks = rows["chunk"].combine_chunks().cast(pa.binary())
+        offsets = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset : chunks.offset + len(chunks) + 1]
+        flat = np.frombuffer(chunks.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        self.data = memoryview(flat)
+        ends = np.flatnonzero((flat == 10) | (flat == 32))
         starts = np.concatenate(([0], ends[:-1] + 1))
-        counts = np.diff(np.concatenate(([0], np.searchsorted(ends, np.append(np.flatnonzero(line), len(flat))) + 1)))
+        counts = np.diff(np.searchsorted(ends, offsets - offsets[0]))
         self.starts, self.ends = starts, ends
-        self.chunk = np.repeat(np.arange(len(chunks)), counts)
+        chunk = np.repeat(np.arange(len(counts)), counts)
         place = np.arange(len(starts)) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.left = counts[self.chunk] - place  # words from this one to the chunk's end
-        self.owned = last[self.chunk] | (self.left > overlap)
-        self.weight = weights[self.chunk]
-        seeds = {name: xxhash.xxh64_intdigest(name.encode(), 7) for name in set(langs)}
-        seed = np.array([seeds[x] for x in langs], np.uint64)[self.chunk]
+        self.left = counts[chunk] - place  # words from this one to the chunk's end
+        self.owned = rows["last"].to_numpy()[chunk] | (self.left > overlap)
+        self.weight = rows["n"].to_numpy()[chunk]
+        self.lang = codes[chunk]
+        seed = np.array([xxhash.xxh64_intdigest(x.encode(), 7) for x in self.langs], np.uint64)[self.lang]
         long = np.flatnonzero(ends - starts > LONG_WORD).tolist()
         self.hashes = []
         for k in range(hashes):
@@ -185,15 +191,16 @@ class Words:
         return self.left[: max(0, len(self.left) - n + 1)] >= n
 
 
-def _slices(batch: pa.RecordBatch, overlap: int, hashes: int = 1) -> Iterator[tuple[Words, list[str]]]:
-    chunks, langs = raw(batch.column(1)), batch.column(0).to_pylist()
-    last, weights = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
-    sizes = np.cumsum([len(c) + 1 for c in chunks])
-    a = 0
-    while a < len(chunks):
-        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + SLICE)))
-        yield Words(langs[a:b], chunks[a:b], last[a:b], weights[a:b], overlap, hashes), langs[a:b]
-        a = b
+def _slices(batches: Iterator[pa.RecordBatch], overlap: int, hashes: int = 1) -> Iterator[Words]:
+    """The rows of (lang, chunk, last, n), so many at a time as make a slice."""
+    held, size = [], 0
+    for batch in chain(batches, [None]):
+        if held and (batch is None or size + batch.nbytes > SLICE):
+            yield Words(pa.Table.from_batches(held), overlap, hashes)
+            held, size = [], 0
+        if batch is not None and batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
 
 
 def _marked(field: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -216,18 +223,17 @@ def _hashed(n: int, overlap: int, sent):
             sums = np.add.reduceat(weights[order], first)
             return pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array(sums)], ["hash", "n"])
 
-        for batch in batches:
-            for words, _ in _slices(batch, overlap):
-                good = words.fits(n) & words.owned[: len(words.owned) - n + 1] if len(words.owned) >= n else np.zeros(0, bool)
-                if n > 1 and len(good):
-                    part = _marked(field, words.phrases(n - 1))
-                    good &= part[:-1] & part[1:]
-                if good.any():
-                    held.append((words.phrases(n)[good], words.weight[: len(good)][good]))
-                    size += len(held[-1][0])
-                if size >= HASHES:
-                    yield out()
-                    held, size = [], 0
+        for words in _slices(batches, overlap):
+            good = words.fits(n) & words.owned[: len(words.owned) - n + 1] if len(words.owned) >= n else np.zeros(0, bool)
+            if n > 1 and len(good):
+                part = _marked(field, words.phrases(n - 1))
+                good &= part[:-1] & part[1:]
+            if good.any():
+                held.append((words.phrases(n)[good], words.weight[: len(good)][good]))
+                size += len(held[-1][0])
+            if size >= HASHES:
+                yield out()
+                held, size = [], 0
         if size:
             yield out()
 
@@ -246,52 +252,42 @@ def bitmap(hashes: DataFrame, bits: int) -> bytes:
 
 def _texts(longest: int, overlap: int, sent):
     """(lang, phrase, words, a): partial counts of all phrases that are marked;
-    under no words, how many words there are. Phrases of one length are told
-    apart by 128 bits of hash within a task, and as texts beyond it."""
+    under no words, how many words there are. Phrases are told apart by 128 bits
+    of hash within a slice, and as texts beyond it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [np.frombuffer(f, np.uint8) for f in sent.value]
-        held: dict[tuple, list] = {}
+        held: dict[tuple, int] = {}
         totals: dict[str, int] = {}
 
         def out() -> pa.RecordBatch:
-            keys = list(held)
-            columns = [
-                pa.array([v[0] for v in held.values()], pa.string()),
-                pa.array([v[1] for v in held.values()], pa.binary()).cast(pa.string()),
-                pa.array([k[0] for k in keys], pa.int32()),
-                pa.array([v[2] for v in held.values()], pa.int64()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "a"])
-
-        for batch in batches:
-            for words, langs in _slices(batch, overlap, 2):
-                own = np.bincount(words.chunk, words.weight * words.owned, len(langs)).astype(np.int64)
-                for lang, x in zip(langs, own.tolist(), strict=True):
-                    totals[lang] = totals.get(lang, 0) + x
-                for n in range(1, longest + 1):
-                    if len(words.owned) < n:
-                        break
-                    good = words.fits(n) & words.owned[: len(words.owned) - n + 1]
-                    at = np.flatnonzero(good & _marked(fields[n - 1], words.phrases(n)))
-                    if not len(at):
-                        break
-                    h, g = words.phrases(n)[at], words.phrases(n, 1)[at]
-                    order = np.lexsort((g, h))
-                    h, g, at = h[order], g[order], at[order]
-                    first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
-                    sums = np.add.reduceat(words.weight[at], first).tolist()
-                    for i, x, y, a in zip(at[first].tolist(), h[first].tolist(), g[first].tolist(), sums, strict=True):
-                        key = (n, x, y)
-                        if key in held:
-                            held[key][2] += a
-                        else:
-                            held[key] = [langs[words.chunk[i]], words.data[words.starts[i] : words.ends[i + n - 1]], a]
-                if len(held) >= HELD:
-                    yield out()
-                    held = {}
-        for i, (lang, x) in enumerate(totals.items()):
-            held[0, i, 0] = [lang, b"", x]
+            langs, words, phrases = zip(*held, strict=True)
+            columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(words, pa.int32())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(held.values(), pa.int64())], ["lang", "phrase", "words", "a"])
+
+        for words in _slices(batches, overlap, 2):
+            own = np.bincount(words.lang, words.weight * words.owned, len(words.langs)).astype(np.int64)
+            for lang, x in zip(words.langs, own.tolist(), strict=True):
+                totals[lang] = totals.get(lang, 0) + x
+            for n in range(1, min(longest, len(words.owned)) + 1):
+                h = words.phrases(n)
+                at = np.flatnonzero(words.fits(n) & words.owned[: len(h)] & _marked(fields[n - 1], h))
+                if not len(at):
+                    break
+                h, g = h[at], words.phrases(n, 1)[at]
+                order = np.lexsort((g, h))
+                h, g, at = h[order], g[order], at[order]
+                first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
+                sums = np.add.reduceat(words.weight[at], first).tolist()
+                at = at[first]
+                places = zip(words.lang[at].tolist(), words.starts[at].tolist(), words.ends[at + n - 1].tolist(), sums, strict=True)
+                for code, a, b, x in places:
+                    key = (words.langs[code], n, bytes(words.data[a:b]))
+                    held[key] = held.get(key, 0) + x
+            if len(held) >= HELD:
+                yield out()
+                held = {}
+        held |= {(lang, 0, b""): x for lang, x in totals.items()}
         if held:
             yield out()
 
