@@ -14,16 +14,6 @@ SF_DIR = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="needs the given tables")
 
 
-@pytest.fixture(scope="module", autouse=True)
-def small():
-    """Small count tables, so that the tests are quick."""
-    keep = lm_score.PREDICTORS, lm_score.OFFSETS
-    lm_score.PREDICTORS = tuple((n, own, min(bits, 16)) for n, own, bits in keep[0])
-    lm_score.OFFSETS = np.cumsum([0, *(1 << bits for _, _, bits in lm_score.PREDICTORS)]).tolist()
-    yield
-    lm_score.PREDICTORS, lm_score.OFFSETS = keep
-
-
 def texts(n, seed=1):
     rng = random.Random(seed)
     langs = {"a": "the of and Is to in that".split(), "b": "der die und das nicht ein".split()}
@@ -82,83 +72,100 @@ def test_repeated_rows_and_empty_tables(spark):
     assert all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in untrained)
 
 
-def test_probabilities_sum_to_less_than_one():
-    words = sorted({w for _, t, _ in texts(100) for w in t.lower().encode().split()}) + [b""]
-    counts = np.zeros((lm_score.OFFSETS[-1], 2), np.float32)
-    lm_score.count_contexts(words, np.full((len(words), 2), 3.0), counts)
-    mixer = lm_score.tune([(w, i % 2) for i, w in enumerate(words)] * 3, counts)
-    more = [w + s for w in words for s in (b"q", b"zz")]
-    for g in range(2):
-        p = 10 ** mixer.log10(words + more, 2)[g]
-        assert 0.2 < p[: len(words)].sum() and p.sum() <= 1 + 1e-9
+def model_of(spark, words, counts):
+    """The model of one range over a vocabulary, as the query builds it, and a mixer it has taught."""
+    rows = [(bytearray(w), c + 1, c) for w, c in zip(words, counts)]
+    vocabulary = spark.createDataFrame(rows, "word binary, n long, c long")
+    packed, small = lm_score._ranges(vocabulary, len(words), sum(map(len, words)) + 2 * len(words))
+    context = spark.sparkContext
+    mixer = lm_score._learned(packed, context.broadcast(small))
+    return list(lm_score._models(packed.toArrow().to_batches(), small)), mixer
 
 
-def test_one_symbol_is_a_distribution():
-    # after any beginning, the probabilities of all 256 next symbols sum to 1
-    words = [b"abc", b"abd", b"xyz"]
-    counts = np.zeros((lm_score.OFFSETS[-1], 2), np.float32)
-    lm_score.count_contexts(words, np.ones((3, 1)), counts)
-    mixer = lm_score.tune([(w, 0) for w in words], counts)
+def test_next_symbols_are_a_distribution(spark):
+    # every symbol after "ab", most of them never seen
     ends = [bytes([c]) for c in range(256) if c != lm_score.MARK]
-    one = 10 ** mixer.log10([b"ab" + e for e in ends] + [b"ab"], 1)[0]
-    # each holds the same beginning, then one symbol, then an end mark that is certain to cost something
-    assert one.sum() < 1
-
-
-def test_slices_do_not_change_scores(monkeypatch):
-    words = [w.encode() for w in "some words of several lengths and averyveryverylongone".split()]
-    counts = np.zeros((lm_score.OFFSETS[-1], 2), np.float32)
-    lm_score.count_contexts(words, np.ones((len(words), 1)), counts)
-    mixer = lm_score.tune([(w, 0) for w in words], counts)
-    whole = mixer.log10(words, 1)
-    monkeypatch.setattr(lm_score, "SLICE", 5)
-    again = np.zeros_like(counts)
-    lm_score.count_contexts(words, np.ones((len(words), 1)), again)
-    assert np.allclose(counts, again)
-    assert np.allclose(mixer.log10(words, 1), whole)
-
-
-def test_contexts_are_told_apart_exactly(spark, monkeypatch):
-    docs = spark.createDataFrame(texts(60) + [(61, "unheard quuxes", "a")], "doc_id long, text string, lang string")
+    words = sorted([b"ab" + e for e in ends] + [b"ab", b"a", b"xyz", lm_score.END])
+    counts = [9 if w in (b"abc", b"ab", lm_score.END) else int(w in (b"abd", b"xyz")) for w in words]
+    (model,), mixer = model_of(spark, words, counts)
+    logs, steps = model.step_logs(mixer), model.steps
+    at = steps.of[steps.word == words.index(b"abz")][2]
+    after = steps.whole == steps.whole[at]
+    assert after.sum() == 256  # the end mark is the last of them
+    assert (10.0 ** logs[after]).sum() == pytest.approx(1, abs=1e-6)
+    # so the words' probabilities sum to less than 1
+    p = 10.0 ** model.log10(mixer)
+    assert 0.3 < p.sum() < 1
+    assert p[words.index(b"abc")] > 3 * p[words.index(b"abd")]
+
+
+def test_slices_and_ranges_do_not_change_scores(spark, monkeypatch):
+    docs = spark.createDataFrame(texts(60) + [(61, "unheard quuxes " + "x" * 3000, "a")], "doc_id long, text string, lang string")
+    mixers = []
+    learned = lm_score._learned
+    monkeypatch.setattr(lm_score, "_learned", lambda *a: mixers.append(learned(*a)) or mixers[0])
     want = {r.doc_id: r.score for r in score(docs).collect()}
-    # 64 hashed places a predictor, and ranges of a few words: nothing may hang on either
-    monkeypatch.setattr(lm_score, "PREDICTORS", tuple((n, own, 6) for n, own, _ in lm_score.PREDICTORS))
-    monkeypatch.setattr(lm_score, "OFFSETS", [64 * k for k in range(len(lm_score.PREDICTORS) + 1)])
+    # ranges of a few words, and of one where a word is long; under the same weights nothing hangs on them
     monkeypatch.setattr(lm_score, "WORDS_A_TASK", 5)
+    monkeypatch.setattr(lm_score, "SYMBOLS_A_TASK", 40)
+    monkeypatch.setattr(lm_score, "SLICE", 64)
     got = {r.doc_id: r.score for r in score(docs).collect()}
     assert got == pytest.approx(want, rel=1e-6)
-
-
-def test_weights_are_the_best_over_all_training_tokens(spark, monkeypatch):
-    seen = []
-    learned = lm_score._learned
-
-    def watched(packed, small, classes):
-        seen.append((packed, small, classes, learned(packed, small, classes)))
-        return seen[0][3]
-
-    monkeypatch.setattr(lm_score, "_learned", watched)
-    rows = texts(60)
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    score(docs)
-    packed, small, classes, mixer = seen[0]
-    models = list(lm_score._models(packed.toArrow().to_batches(), classes, small.value))
-    size = len(lm_score.PREDICTORS)
-    sums = sum(m.gradient(mixer.weights) for m in models)
-    slope = sums[:, 1 : 1 + size] - lm_score.FIRST_WEIGHT * (mixer.weights - 0.2)
-    curve = sums[:, 1 + size :].reshape(-1, size, size) + lm_score.FIRST_WEIGHT * np.eye(size)
-    # what one more Newton step would win
-    left = (slope * np.linalg.solve(curve, slope[..., None])[..., 0]).sum() / 2
-    assert 0 <= left <= 2 * lm_score.SETTLED * sums[:, 0].sum()
-    decisions, _ = sum(m.reached(mixer.weights) for m in models)
-    assert decisions.sum() == sum(8 * len(w + " ") for k, t, _ in rows if k % 5 != 1 for w in t.split() + [""])
+    # and weights learned in many small ranges are as good
+    loss = lambda m: -sum(x.c @ x.log10(m) for x in models)
+    counted = Counter(w for _, t, _ in texts(60) for w in [*t.lower().encode().split(), b""])
+    models, _ = model_of(spark, sorted(counted), [counted[w] for w in sorted(counted)])
+    assert loss(mixers[1]) < 1.03 * loss(mixers[0])
+    assert loss(mixers[0]) < loss(lm_score.Mixer.first())
+
+
+def test_online_learning_comes_near_the_best_weights(spark):
+    counted = Counter(w for _, t, _ in texts(200) for w in [*t.lower().encode().split(), b""])
+    words = sorted(counted)
+    (model,), mixer = model_of(spark, words, [counted[w] for w in words])
+
+    def loss(weights):
+        total = 0.0
+        for rows, _, u, gate in model.slices(True):
+            z = np.einsum("ij,ji->i", weights[gate], u)
+            total += np.repeat(model.steps.counts[rows], 8) @ np.logaddexp(0, -z)
+        return total
+
+    # Newton's method over all training tokens at once, started from the result
+    best = mixer.weights.copy()
+    for _ in range(8):
+        step = lm_score.Online(best)
+        slope = np.zeros_like(best)
+        for rows, _, u, gate in model.slices(True):
+            often = np.repeat(model.steps.counts[rows], 8)
+            p = lm_score.squash(np.einsum("ij,ji->i", best[gate], u))
+            for g in np.unique(gate):
+                v = u[:, gate == g].astype(float)
+                slope[g] += v @ (often * (1 - p))[gate == g]
+                step.curve[g] += (v * (often * p * (1 - p))[gate == g]) @ v.T
+        best += np.linalg.solve(step.curve, slope[..., None])[..., 0]
+    first = loss(lm_score.Mixer.first().weights)
+    assert loss(best) <= loss(mixer.weights) < first
+    assert loss(mixer.weights) - loss(best) < 0.15 * (first - loss(best))
+    # every training decision went into the map
+    online = lm_score.Online(mixer.weights)
+    model.teach(online)
+    assert online.coded.sum() == sum(8 * (len(w) + 1) * c for w, c in counted.items())
 
 
 def test_frequent_contexts_keep_their_full_counts():
     # one in 200 million: far below the least share that counts scaled to 60,000 could hold
-    found = lm_score.outcomes(np.array([7, 7]), np.array([65, 66]), np.array([[200_000_000], [1]]))
-    assert found[:, 8, 0].tolist() == [200_000_000, 1]
-    assert found[:, 6, 0].tolist() == [1, 200_000_000]  # 65 and 66 part at the seventh bit
+    found = lm_score.outcomes(np.array([7, 7]), np.array([65, 66]), np.array([200_000_000, 1]))
+    assert found[:, 8].tolist() == [200_000_000, 1]
+    assert found[:, 6].tolist() == [1, 200_000_000]  # 65 and 66 part at the seventh bit
+
+
+def test_head_is_all_words_from_a_count_on(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "HEAD", 4)
+    words = spark.createDataFrame([(bytearray(w), n) for w, n in ((b"a", 9), (b"b", 7), (b"c", 7), (b"d", 3), (b"e", 3), (b"f" * 99, 8))], "word binary, n long")
+    assert {bytes(r.word) for r in lm_score._head(words).collect()} == {b"a", b"b", b"c"}
+    monkeypatch.setattr(lm_score, "HEAD", 0)
+    assert lm_score._head(words).count() == 0
 
 
 @needs_data

@@ -2,33 +2,46 @@
 
 A token (a word, or the end of a text) is coded as its bytes and an end mark,
 each symbol as eight binary decisions. Several predictors give each decision a
-probability from counts under a context: the symbols before it in the word, of
-several lengths, over all texts or over those of one class. Their logits are
-mixed with weights that a gate selects (how much the longest contexts have
-seen, and where in the word), and the mixed probability is refined by a map.
-The sum of the decisions' logarithms is a token's log probability under a
-class; over a text, the classes are weighed by what the tokens so far say,
-which sums up to a mixture.
-
-Counts, weights and map cover every training token. Contexts are told apart
-exactly, at any size of the vocabulary: the distinct words are cut into sorted
-ranges, so the words with the same beginning lie in one range, except for the
-few beginnings that a cut goes through; shorter contexts are counted by Spark
-and each range is sent those that it has. Under a class a token's probability
-depends on the token alone, so each distinct word is scored once and the texts
-look their words up: frequent ones in a bounded table that is broadcast, the
-others by a join.
+probability from counts under a hashed context: the symbols before it in the
+word, of several lengths, and the place in the word. Their logits are mixed
+with weights that a gate selects (how much two of the contexts have seen, and
+where in the word), and the mixed probability is refined by a map that adapts
+to what came of it. The sum of the decisions' logarithms is a token's log
+probability, and their total over a text gives its bits per byte.
+
+The weights are learned online: a task goes through the training tokens of its
+share once, predicts, and takes an online Newton step in each gate; what the
+tasks have learned is averaged by how sure each is. A second round begins there
+and keeps the map's counts as it goes. Counts, weights and map cover every
+training token, each predicted from counts that it is taken out of.
+
+A text has a class, its language say, that isn't known when it is scored. What
+is learned of a class are its tokens' counts, with the mixing model for what it
+hasn't seen (Witten and Bell's weight): ``(c + V * p) / (N + V)``. A text is
+scored by the mixture over all classes. Apart from a factor of its own, a class
+differs from the model only by the tokens it has seen, so sums of those few
+terms are all a text needs, whatever the number of classes.
+
+Contexts of 64 bits of hash are counted exactly, at any size of the vocabulary:
+the distinct words are cut into sorted ranges, so the words with the same
+beginning lie in one range, except for the few beginnings that a cut goes
+through; shorter contexts are counted by Spark and each range is sent those
+that it has. A token's probability depends on the token alone, so each
+distinct word is scored once and the texts look their words up: frequent ones
+in a bounded table that is broadcast, the others by a join.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,29 +49,24 @@ from vecshelf.llm.common import raw
 from vecshelf.session import written
 
 WHOLE = 99
-#: Length of each predictor's context (0: the place in the word only, WHOLE: all
-#: of the word so far), whether it is of one class, and bits of its hashed places
-#: where a few words are counted in memory (count_contexts); score_texts hashes none.
-PREDICTORS = ((0, False, 16), (1, False, 18), (2, False, 20), (3, False, 20), (4, False, 21), (WHOLE, False, 22), (1, True, 18), (3, True, 21), (WHOLE, True, 22))
-OFFSETS = np.cumsum([0, *(1 << bits for _, _, bits in PREDICTORS)]).tolist()
-LONGEST = max(n for n, _, _ in PREDICTORS if n != WHOLE)
-GLOBAL = [k for k, (_, own, _) in enumerate(PREDICTORS) if not own]
-OWN = [k for k, (_, own, _) in enumerate(PREDICTORS) if own]
-#: Symbols computed on at a time, and distinct words counted before a task sends them on.
+#: Length of each predictor's context (0: the place in the word only, WHOLE: all of the word so far).
+LENGTHS = (0, 1, 2, 3, 4, WHOLE)
+LONGEST = max(n for n in LENGTHS if n != WHOLE)
+#: The two contexts whose counts select the gate.
+GATED = (3, WHOLE)
+#: Decisions computed on at a time, and distinct words counted before a task sends them on.
 SLICE, FLUSH = 1 << 15, 300_000
-#: The weights are settled when a pass over all training tokens promises less than this
-#: share of the loss; how many decisions the weights' and map's first state counts for.
-SETTLED, FIRST_WEIGHT = 1e-5, 50.0
-#: Classes of training texts, at most: the most frequent ones, and all others as one.
-CLASSES = 8
+#: How often all training tokens are learned from, and how many decisions the
+#: weights' and map's first state counts for.
+ROUNDS, FIRST_WEIGHT, FIRST = 2, 50.0, 0.25
 #: Most frequent words sent to all tasks, and the longest such word in bytes.
 HEAD, HEAD_BYTES = 100_000, 64
-#: Words of one sorted range, about.
-WORDS_A_TASK = 50_000
+#: Words of one sorted range, and symbols, about; a longer word is a range of its own.
+WORDS_A_TASK, SYMBOLS_A_TASK = 50_000, 1 << 19
 #: Symbols whose contexts a task adds up before it sends them on.
 GATHERED = 1 << 21
 MARK = 0x20
-#: Gate: how many tokens the two whole-word contexts have seen (by these limits), and the place in the word.
+#: Gate: how many tokens the two contexts have seen (by these limits), and the place in the word.
 SEEN, PLACES = np.array([1.5, 7.5, 31.5, 255.5], np.float32), 4
 GATES, STEPS = (len(SEEN) + 1) ** 2 * PLACES, 33
 END = b""
@@ -75,105 +83,35 @@ def stream(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.cumsum(sizes) - sizes
 
 
-@dataclass
-class Decisions:
-    """The symbols of a slice of a stream, with the hash of each context length."""
-
-    word: np.ndarray
-    place: np.ndarray
-    symbol: np.ndarray
-    hashes: dict[int, np.ndarray]
-
-    def slots(self, k: int, bit: int, group: np.ndarray | int = 0) -> np.ndarray:
-        """Where predictor ``k`` has its counts for one bit of each symbol."""
-        length, own, bits = PREDICTORS[k]
-        node = ((1 << bit) | (self.symbol >> (8 - bit))).astype(np.uint64) * _B
-        if own:
-            node = node + (np.asarray(group, np.uint64) + np.uint64(1)) * _D
-        mixed = (self.hashes[length] + node) * _C
-        return (mixed >> np.uint64(64 - bits)).astype(np.int64) + OFFSETS[k]
-
-    def outcome(self, bit: int) -> np.ndarray:
-        return (self.symbol >> (7 - bit)) & 1
-
-
-def decisions(flat: np.ndarray, starts: np.ndarray) -> Iterator[Decisions]:
-    """The stream in slices; a context reaches back over a slice's edge."""
-    whole_before = None
-    for a in range(0, len(flat), SLICE):
-        at = np.arange(a, min(a + SLICE, len(flat)))
-        word = np.searchsorted(starts, at, side="right") - 1
-        place = at - starts[word]
-        whole, whole_before = _prefixes(flat[a : at[-1] + 1], place, whole_before)
-        own = place > 0
-        at, word, place = at[own], word[own], place[own]
-        hashes = {0: np.minimum(place, 7).astype(np.uint64) * _A, WHOLE: whole[own]}
-        h = np.zeros(len(at), np.uint64)
-        for i in range(1, LONGEST + 1):
-            before = np.where(place >= i, flat[np.maximum(at - i, 0)], 0).astype(np.uint64)
-            h = (h + before + np.uint64(1)) * _A
-            h ^= h >> np.uint64(31)
-            hashes[i] = h + np.uint64(i)
-        yield Decisions(word, place, flat[at].astype(np.int64), hashes)
-
-
-def _prefixes(symbols: np.ndarray, place: np.ndarray, carried: tuple | None) -> tuple[np.ndarray, tuple]:
+def _prefixes(symbols: np.ndarray, place: np.ndarray) -> np.ndarray:
     """A hash of the word so far at each symbol, that symbol excluded: the sum
-    of the symbols' hashes by place. ``carried``: the sum up to the slice, and
-    that before the word that the slice begins in."""
+    of the symbols' hashes by place."""
     power = (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * _A
     power ^= power >> np.uint64(29)
     terms = (symbols.astype(np.uint64) + np.uint64(1)) * power * _D
-    total, base = carried or (np.zeros(1, np.uint64), np.zeros(1, np.uint64))
-    before = total + np.cumsum(terms) - terms
-    begins = place == 0
-    first = np.maximum.accumulate(np.where(begins, np.arange(len(place)), -1))
-    bases = np.where(first >= 0, before[np.maximum(first, 0)], base)
-    h = before - bases
+    before = np.cumsum(terms) - terms
+    h = before - before[np.maximum.accumulate(np.where(place == 0, np.arange(len(place)), 0))]
     h ^= h >> np.uint64(32)
-    return h * _A, (before[-1:] + terms[-1:], bases[-1:])
-
-
-def count_contexts(words: list[bytes], weights: np.ndarray, counts: np.ndarray) -> None:
-    """Adds each word's decisions to ``counts[slot, outcome]``; ``weights``:
-    how often the word comes in each class."""
-    flat, starts = stream(words)
-    weights = weights.astype(np.float32)
-    every = weights.sum(axis=1)
-    for d in decisions(flat, starts):
-        of_all = every[d.word]
-        for bit in range(8):
-            y = d.outcome(bit)
-            for k, (_, own, bits) in enumerate(PREDICTORS):
-                part = counts[OFFSETS[k] : OFFSETS[k + 1]].reshape(-1)
-                for group in range(weights.shape[1]) if own else (0,):
-                    w = weights[d.word, group] if own else of_all
-                    at = np.flatnonzero(w)
-                    np.add.at(part, 2 * (d.slots(k, bit, group)[at] - OFFSETS[k]) + y[at], w[at])
+    return h * _A
 
 
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -16, 16)))
 
 
-def inputs(counts: np.ndarray) -> np.ndarray:
-    """Logits of smoothed counts (..., 2); nothing seen is 0."""
-    return np.log((counts[..., 1] + np.float32(0.4)) / (counts[..., 0] + np.float32(0.4)))
-
-
 @dataclass
 class Mixer:
-    logits: np.ndarray  # of each slot, float16
-    seen: np.ndarray  # of each slot, by the limits of SEEN
     weights: np.ndarray  # gate, predictor
     refined: np.ndarray  # gate, step of the mixed logit
 
     @staticmethod
-    def gate(all_seen: np.ndarray, own_seen: np.ndarray, place: np.ndarray) -> np.ndarray:
-        return (all_seen.astype(np.int64) * (len(SEEN) + 1) + own_seen) * PLACES + np.minimum(place, PLACES) - 1
+    def first() -> Mixer:
+        curve = squash(np.linspace(-12, 12, STEPS))
+        return Mixer(np.full((GATES, len(LENGTHS)), FIRST), np.tile(curve, (GATES, 1)))
 
-    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.einsum("ij,ji->i", self.weights[gate], x)
+    @staticmethod
+    def gate(seen: list[np.ndarray], place: np.ndarray) -> np.ndarray:
+        return (seen[0].astype(np.int64) * (len(SEEN) + 1) + seen[1]) * PLACES + np.minimum(place, PLACES) - 1
 
     @staticmethod
     def step(logit: np.ndarray) -> np.ndarray:
@@ -184,112 +122,41 @@ class Mixer:
         p = (squash(logit) + self.refined[gate, self.step(logit)]) / 2
         return np.clip(p, 1e-6, 1 - 1e-6)
 
-    def log10(self, words: list[bytes], groups: int) -> np.ndarray:
-        """log10 of the probability of each word in each class, its end mark included."""
-        out = np.zeros((groups, len(words)))
-        flat, starts = stream(words)
-        for d in decisions(flat, starts):
-            total = np.zeros((groups, len(d.word)))
-            x = np.zeros((len(PREDICTORS), len(d.word)), np.float32)
-            for bit in range(8):
-                one = d.outcome(bit) == 1
-                for k in GLOBAL:
-                    slots = d.slots(k, bit)
-                    x[k] = self.logits[slots]
-                    if PREDICTORS[k][0] == WHOLE:
-                        all_seen = self.seen[slots]
-                for g in range(groups):
-                    for k in OWN:
-                        slots = d.slots(k, bit, g)
-                        x[k] = self.logits[slots]
-                        if PREDICTORS[k][0] == WHOLE:
-                            own_seen = self.seen[slots]
-                    gate = self.gate(all_seen, own_seen, d.place)
-                    p = self.final(self.mixed(x, gate), gate)
-                    total[g] += np.log10(np.where(one, p, 1 - p))
-            for g in range(groups):
-                out[g] += np.bincount(d.word, total[g], len(words))
-        return out
-
-
-def tune(tokens: list[tuple[bytes, int]], counts: np.ndarray, seed: int = 5) -> Mixer:
-    """Learns the weights and the map online over a sample of tokens with
-    their classes, each predicted from counts that it is taken out of."""
-    flat_map = squash(np.linspace(-12, 12, STEPS))[None, :].repeat(GATES, axis=0)
-    mixer = Mixer(np.zeros(0), np.zeros(0), np.full((GATES, len(PREDICTORS)), 0.2), flat_map)
-    order = np.random.default_rng(seed).permutation(len(tokens))
-    lanes, whole = 48, [k for k, (n, _, _) in enumerate(PREDICTORS) if n == WHOLE]
-    for refine in (False, True):
-        for first in range(0, len(order), lanes):
-            part = [tokens[i] for i in order[first : first + lanes]]
-            flat, starts = stream([w for w, _ in part])
-            group = np.array([g for _, g in part])
-            rate = 0.02 / (1 + 4 * first / max(1, len(order)))
-            for d in decisions(flat, starts):
-                for bit in range(8):
-                    y = d.outcome(bit)
-                    slots = np.array([d.slots(k, bit, group[d.word]) for k in range(len(PREDICTORS))])
-                    left = counts[slots].astype(np.float32)
-                    left[:, np.arange(len(y)), y] = np.maximum(left[:, np.arange(len(y)), y] - 1, 0)
-                    x = inputs(left)
-                    seen = [np.searchsorted(SEEN, left[k].sum(axis=-1)) for k in whole]
-                    gate = mixer.gate(*seen, d.place)
-                    logit = mixer.mixed(x, gate)
-                    if refine:
-                        at = (gate, mixer.step(logit))
-                        np.add.at(mixer.refined, at, 0.02 * (y - mixer.refined[at]))
-                    else:
-                        np.add.at(mixer.weights, gate, rate / 4 * ((y - squash(logit)) * x).T)
-    mixer.logits, mixer.seen = np.empty(len(counts), np.float16), np.empty(len(counts), np.uint8)
-    for i in range(0, len(counts), 1 << 18):
-        part = counts[i : i + (1 << 18)].astype(np.float32)
-        mixer.logits[i : i + len(part)] = inputs(part)
-        mixer.seen[i : i + len(part)] = np.searchsorted(SEEN, part.sum(axis=1))
-    return mixer
-
-
-def _counted(classes: int):
-    """(word, tokens, training tokens of each class), added up for many texts at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # one for each class, and one for the texts that aren't learned from
-        counters = [Counter() for _ in range(classes + 1)]
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, class, tokens), added up for many texts at a time; no class: not learned from."""
+    counters: dict[str | None, Counter] = {}
 
-        def out() -> pa.RecordBatch:
-            words = list(set().union(*counters))
-            columns = [np.fromiter((c.get(w, 0) for w in words), np.int64, len(words)) for c in counters]
-            arrays = [pa.array(c) for c in (sum(columns), *columns[:classes])]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *arrays], ["word", "n", *(f"c{g}" for g in range(classes))])
+    def out() -> Iterator[pa.RecordBatch]:
+        for group, counter in counters.items():
+            same = pa.array([group], pa.string()).take(pa.array(np.zeros(len(counter), np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counter), pa.binary()), same, pa.array(counter.values(), pa.int64())], ["word", "group", "n"])
 
-        for batch in batches:
-            for group, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
-                words = (text or b"").lower().split()
-                words.append(END)
-                counters[classes if group is None else group].update(words)
-                if sum(map(len, counters)) >= FLUSH:
-                    yield out()
-                    for c in counters:
-                        c.clear()
-        if any(counters):
-            yield out()
-
-    return run
+    for batch in batches:
+        for group, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
+            words = (text or b"").lower().split()
+            words.append(END)
+            counters.setdefault(group, Counter()).update(words)
+            if sum(map(len, counters.values())) >= FLUSH:
+                yield from out()
+                counters.clear()
+    yield from out()
 
 
 def outcomes(context: np.ndarray, symbol: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """(row, 9, column) from counts (row, column) of symbols under contexts, in
-    order of context and symbol: for each bit of the symbol how often it came
-    out the other way after the same earlier bits, and how often the symbol came."""
+    """(row, 9) from counts of symbols under contexts, in order of context and
+    symbol: for each bit of the symbol how often it came out the other way
+    after the same earlier bits, and how often the symbol came."""
     if not len(context):
-        return np.zeros((0, 9, counts.shape[1]), np.float32)
+        return np.zeros((0, 9), np.float32)
     fresh = np.r_[True, context[1:] != context[:-1]]
     key = (np.cumsum(fresh) << 8) | symbol
-    out = np.empty((len(key), 9, counts.shape[1]), np.float32)
+    out = np.empty((len(key), 9), np.float32)
     above = None
     for b in range(9):
         node = key >> (8 - b)
         first = np.r_[True, node[1:] != node[:-1]]
-        total = np.add.reduceat(counts, np.flatnonzero(first), axis=0)[np.cumsum(first) - 1]
+        total = np.add.reduceat(counts, np.flatnonzero(first))[np.cumsum(first) - 1]
         if b:
             out[:, b - 1] = above - total
         above = total
@@ -308,14 +175,14 @@ class Steps:
     place: np.ndarray
     symbol: np.ndarray
     last: np.ndarray  # the last four symbols of the beginning, as one number
-    counts: np.ndarray  # step, class
+    counts: np.ndarray  # training tokens with the step
 
     @staticmethod
     def taken(words: list[bytes], weights: np.ndarray) -> Steps:
         flat, starts = stream(words)
         word = np.repeat(np.arange(len(words)), np.diff(np.append(starts, len(flat))))
         place = np.arange(len(flat)) - starts[word]
-        whole, _ = _prefixes(flat, place, None)
+        whole = _prefixes(flat, place)
         last = np.zeros(len(flat), np.int64)
         for i in range(1, LONGEST + 1):
             before = np.zeros(len(flat), np.int64)
@@ -325,7 +192,7 @@ class Steps:
         word, place, whole, last, symbol = word[own], place[own], whole[own], last[own], flat[own].astype(np.int64)
         key = (whole + (symbol.astype(np.uint64) + np.uint64(1)) * _D) * _C
         key, first, of = np.unique(key, return_index=True, return_inverse=True)
-        counts = np.array([np.bincount(of, weights[word, g], len(key)) for g in range(weights.shape[1])]).T
+        counts = np.bincount(of, weights[word], len(key))
         return Steps(of, word, key, whole[first], place[first], symbol[first], last[first], counts)
 
 
@@ -336,11 +203,9 @@ def _short(steps: Steps) -> np.ndarray:
 _LAST, _PLACE, _SHARED = range(3)
 
 
-def _gathered(shared, classes: int):
+def _gathered(shared):
     """Counts of the contexts that reach beyond a range of words: by the last
     symbols, by place, and by the beginnings that a cut goes through."""
-    names = ["p", "kind", "context", "symbol", *(f"c{g}" for g in range(classes))]
-
     def out(p: int, words: list[bytes], weights: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         steps = Steps.taken(words, np.concatenate(weights))
         cut = np.isin(steps.whole, shared.value)
@@ -352,9 +217,9 @@ def _gathered(shared, classes: int):
             order = np.lexsort((symbol, context))
             context, symbol, counts = context[order], symbol[order], counts[order]
             first = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])])
-            sums = np.add.reduceat(counts, first, axis=0).astype(np.int64)
-            fixed = [pa.array(np.full(len(first), v, np.int32)) for v in (p, kind)]
-            yield pa.RecordBatch.from_arrays([*fixed, pa.array(context[first]), pa.array(symbol[first]), *(pa.array(c) for c in sums.T)], names)
+            sums = np.add.reduceat(counts, first).astype(np.int64)
+            fixed = [pa.array(np.full(len(first), p, np.int64)), pa.array(np.full(len(first), kind, np.int32))]
+            yield pa.RecordBatch.from_arrays([*fixed, pa.array(context[first]), pa.array(symbol[first]), pa.array(sums)], ["p", "kind", "context", "symbol", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, words, weights, held = None, [], [], 0
@@ -371,16 +236,16 @@ def _gathered(shared, classes: int):
                 part = batch.slice(a, b - a)
                 fresh = part.column(1).to_pylist()
                 words += fresh
-                weights.append(np.column_stack([c.to_numpy() for c in part.columns[2:]]))
+                weights.append(part.column(2).to_numpy())
                 held += sum(map(len, fresh)) + 2 * len(fresh)
         if words:
             yield from out(number, words, weights)
 
-    return run, "p int, kind int, context long, symbol long, " + ", ".join(f"c{g} long" for g in range(classes))
+    return run
 
 
-def _told(rows: DataFrame, classes: int, own: bool) -> DataFrame:
-    """(context, symbol, outcomes) from (context, symbol, c0, ...): over all classes, and with ``own`` of each."""
+def _told(rows: DataFrame) -> DataFrame:
+    """(context, symbol, outcomes) from (context, symbol, c)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -395,23 +260,20 @@ def _told(rows: DataFrame, classes: int, own: bool) -> DataFrame:
             yield out(held)
 
     def out(table: np.ndarray) -> pa.RecordBatch:
-        counts = table[:, 2:]
-        every = counts.sum(axis=1, keepdims=True)
-        found = outcomes(table[:, 0], table[:, 1], np.hstack([every, counts]) if own else every)
+        found = outcomes(table[:, 0], table[:, 1], table[:, 2])
         blobs = pa.array([row.tobytes() for row in found], pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1]), blobs], ["context", "symbol", "t"])
 
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.select("context", "symbol", *(f"c{g}" for g in range(classes))).repartition(parts, "context")
+    ordered = rows.select("context", "symbol", "c").repartition(parts, "context")
     return ordered.sortWithinPartitions("context", "symbol").mapInArrow(run, "context long, symbol long, t binary")
 
 
-def _collected(rows: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts and symbols in order, and outcomes over all classes and of each."""
-    table = rows.select("context", "symbol", *(f"c{g}" for g in range(classes))).orderBy("context", "symbol").toArrow()
-    columns = [c.to_numpy() for c in table.columns]
-    counts = np.column_stack(columns[2:])
-    return columns[0], columns[1], outcomes(columns[0], columns[1], np.hstack([counts.sum(axis=1, keepdims=True), counts]))
+def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts and symbols in order, and their outcomes."""
+    table = rows.select("context", "symbol", "c").orderBy("context", "symbol").toArrow()
+    context, symbol, counts = (c.to_numpy() for c in table.columns)
+    return context, symbol, outcomes(context, symbol, counts)
 
 
 def _cuts(ranges: DataFrame) -> np.ndarray:
@@ -421,22 +283,62 @@ def _cuts(ranges: DataFrame) -> np.ndarray:
     for left, right in zip(ends, ends[1:]):
         x, y = bytes(left["b"]), bytes(right["a"])
         same = next((i for i, (s, t) in enumerate(zip(x, y)) if s != t), min(len(x), len(y)))
-        flat, starts = stream([x[:same]])
-        found.append(_prefixes(flat, np.arange(len(flat)), None)[0][1:])
+        flat, _ = stream([x[:same]])
+        found.append(_prefixes(flat, np.arange(len(flat)))[1:])
     return np.unique(np.concatenate(found))
 
 
+class Online:
+    """What a task has learned so far: weights, how sure each gate is of them
+    (the curvature of the loss it has seen), and what came of mixed logits."""
+
+    def __init__(self, weights: np.ndarray) -> None:
+        size = len(LENGTHS)
+        self.weights = weights.copy()
+        self.curve = np.tile(FIRST_WEIGHT * np.eye(size), (GATES, 1, 1))
+        self.coded, self.ones = np.zeros((2, GATES * STEPS))
+
+    def learn(self, u: np.ndarray, gate: np.ndarray, often: np.ndarray, ones: np.ndarray) -> None:
+        """A slice of decisions: predict, note what came of it, and step.
+        ``u`` are logits of the side taken (predictor, decision)."""
+        z = np.einsum("ij,ji->i", self.weights[gate], u)
+        at = gate * STEPS + Mixer.step(np.where(ones, z, -z))
+        self.coded += np.bincount(at, often, GATES * STEPS)
+        self.ones += np.bincount(at, often * ones, GATES * STEPS)
+        p = squash(z)
+        order = np.argsort(gate, kind="stable")
+        ends = np.r_[0, np.flatnonzero(np.diff(gate[order])) + 1, len(order)]
+        for a, b in zip(ends, ends[1:]):
+            rows = order[a:b]
+            g, v = gate[rows[0]], u[:, rows].astype(np.float64)
+            self.curve[g] += (v * (often[rows] * p[rows] * (1 - p[rows]))) @ v.T
+            self.weights[g] += np.linalg.solve(self.curve[g], v @ (often[rows] * (1 - p[rows])))
+
+    def packed(self) -> np.ndarray:
+        pull = np.einsum("gij,gj->gi", self.curve, self.weights)
+        return np.concatenate([self.curve.ravel(), pull.ravel(), self.coded, self.ones])
+
+    @staticmethod
+    def merged(total: np.ndarray) -> Mixer:
+        """The tasks' weights, averaged by how sure they are, and the map."""
+        size = len(LENGTHS)
+        curve, pull, coded, ones = np.split(total, np.cumsum([GATES * size * size, GATES * size, GATES * STEPS]))
+        weights = np.linalg.solve(curve.reshape(GATES, size, size), pull.reshape(GATES, size)[..., None])[..., 0]
+        first = squash(np.linspace(-12, 12, STEPS))
+        coded, ones = coded.reshape(GATES, STEPS), ones.reshape(GATES, STEPS)
+        return Mixer(weights, (ones + FIRST_WEIGHT * first) / (coded + FIRST_WEIGHT))
+
+
 class Exact:
-    """The model of the words of one range: all counts that their decisions need."""
+    """The words of one range with all counts that their decisions need."""
 
-    def __init__(self, packed: bytes, classes: int, small: tuple):
-        words, self.n, weights, keys, last = pickle.loads(packed)
-        self.words, self.weights, self.classes = words, weights, classes
-        steps = self.steps = Steps.taken(words, weights)
+    def __init__(self, packed: bytes, small: tuple):
+        words, self.n, self.c, keys, last = pickle.loads(packed)
+        self.words = words
+        steps = self.steps = Steps.taken(words, self.c)
         order = np.lexsort((steps.symbol, steps.whole))
-        every = np.hstack([steps.counts.sum(axis=1, keepdims=True), steps.counts])
-        whole = np.empty((len(order), 9, 1 + classes), np.float32)
-        whole[order] = outcomes(steps.whole[order], steps.symbol[order], every[order])
+        whole = np.empty((len(order), 9), np.float32)
+        whole[order] = outcomes(steps.whole[order], steps.symbol[order], steps.counts[order])
         (place_keys, by_place), (one_keys, by_one), (shared, shared_keys, by_shared) = small
         cut = np.flatnonzero(np.isin(steps.whole, shared))
         if len(cut):
@@ -444,109 +346,94 @@ class Exact:
         at = np.searchsorted(keys, (steps.last << 8) | steps.symbol)
         one_at = np.searchsorted(one_keys, ((steps.last & 0xFF) << 8) | steps.symbol)
         place_at = np.searchsorted(place_keys, _short(steps))
-        three = last[:, 9 : 9 * (2 + classes)].reshape(-1, 9, 1 + classes)
         # table, and the row of each step in it
-        self.tables = {0: (by_place, place_at), 1: (by_one, one_at), 2: (last[:, :9, None], at), 3: (three, at), 4: (last[:, -9:, None], at), WHOLE: (whole, None)}
-
-    def told(self, k: int, group: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each step and bit, how often it came out as it does, and the other way."""
-        length, own, _ = PREDICTORS[k]
-        table, at = self.tables[length]
-        t = table[rows if at is None else at[rows], :, 1 + group if own else 0]
-        return t[:, 8:] + np.cumsum(t[:, 7::-1], axis=1)[:, ::-1] - t[:, :8], t[:, :8]
-
-    def slices(self, group: int, left_out: bool) -> Iterator[tuple]:
-        """(rows, ones, inputs of the taken side (predictor, decision), gates) of
-        steps, eight decisions each; ``left_out``: of the training tokens, each
-        taken out of the counts."""
+        self.tables = {0: (by_place, place_at), 1: (by_one, one_at), WHOLE: (whole, None)}
+        self.tables |= {n: (last[:, 9 * i : 9 * i + 9], at) for i, n in enumerate((2, 3, 4))}
+
+    def slices(self, left_out: bool) -> Iterator[tuple]:
+        """(steps, ones, inputs of the side taken (predictor, decision), gates),
+        eight decisions a step; ``left_out``: of the training tokens, each taken
+        out of the counts."""
         steps = self.steps
-        chosen = np.flatnonzero(steps.counts[:, group] > 0) if left_out else np.arange(len(steps.key))
+        chosen = np.flatnonzero(steps.counts > 0) if left_out else np.arange(len(steps.key))
         size = max(1, SLICE // 8)
         for i in range(0, len(chosen), size):
             rows = chosen[i : i + size]
-            u, seen = np.empty((len(PREDICTORS), 8 * len(rows)), np.float32), {}
-            for k, (length, own, _) in enumerate(PREDICTORS):
-                same, other = self.told(k, group, rows)
+            u, seen = np.empty((len(LENGTHS), 8 * len(rows)), np.float32), []
+            for k, length in enumerate(LENGTHS):
+                table, at = self.tables[length]
+                t = table[rows if at is None else at[rows]]
+                other = t[:, :8]
+                # how often a bit came out as it does: the symbol's count and what parts from it later
+                same = t[:, 8:] + np.cumsum(t[:, 7::-1], axis=1)[:, ::-1] - other
                 if left_out:
                     same = np.maximum(same - 1, 0)
                 u[k] = np.log((same + np.float32(0.4)) / (other + np.float32(0.4))).ravel()
-                if length == WHOLE:
-                    seen[own] = np.searchsorted(SEEN, (same + other).ravel())
+                if length in GATED:
+                    seen.append(np.searchsorted(SEEN, (same + other).ravel()))
             ones = ((steps.symbol[rows, None] >> np.arange(7, -1, -1)) & 1).ravel().astype(bool)
-            yield rows, ones, u, Mixer.gate(seen[False], seen[True], np.repeat(steps.place[rows], 8))
-
-    def gradient(self, weights: np.ndarray) -> np.ndarray:
-        """Gate by gate, the training tokens' loss, its downward gradient and its Hessian."""
-        size = len(PREDICTORS)
-        out = np.zeros((GATES, 1 + size + size * size))
-        for g in range(self.classes):
-            for rows, _, u, gate in self.slices(g, True):
-                often = np.repeat(self.steps.counts[rows, g], 8)
-                z = np.einsum("ij,ji->i", weights[gate], u)
-                p = squash(z)
-                out[:, 0] += np.bincount(gate, often * np.logaddexp(0, -z), GATES)
-                order = np.argsort(gate, kind="stable")
-                ends = np.r_[0, np.flatnonzero(np.diff(gate[order])) + 1, len(order)]
-                for a, b in zip(ends, ends[1:]):
-                    at = order[a:b]
-                    v = u[:, at].astype(np.float64)
-                    own = out[gate[at[0]]]
-                    own[1 : 1 + size] += v @ (often[at] * (1 - p[at]))
-                    own[1 + size :] += ((v * (often[at] * p[at] * (1 - p[at]))) @ v.T).ravel()
-        return out
-
-    def reached(self, weights: np.ndarray) -> np.ndarray:
-        """By gate and step of the mixed logit, the training tokens' decisions and those for one."""
-        out = np.zeros((2, GATES * STEPS))
-        for g in range(self.classes):
-            for rows, ones, u, gate in self.slices(g, True):
-                often = np.repeat(self.steps.counts[rows, g], 8)
-                z = np.einsum("ij,ji->i", weights[gate], u)
-                at = gate * STEPS + Mixer.step(np.where(ones, z, -z))
-                out += np.bincount(at, often, GATES * STEPS), np.bincount(at, often * ones, GATES * STEPS)
-        return out
+            yield rows, ones, u, Mixer.gate(seen, np.repeat(steps.place[rows], 8))
+
+    def teach(self, online: Online) -> None:
+        for rows, ones, u, gate in self.slices(True):
+            online.learn(u, gate, np.repeat(self.steps.counts[rows], 8), ones)
+
+    def step_logs(self, mixer: Mixer) -> np.ndarray:
+        """log10 of the probability of each step's symbol after its beginning."""
+        logs = np.empty(len(self.steps.key))
+        for rows, ones, u, gate in self.slices(False):
+            z = np.einsum("ij,ji->i", mixer.weights[gate], u)
+            p = mixer.final(np.where(ones, z, -z), gate)
+            logs[rows] = np.log10(np.where(ones, p, 1 - p)).reshape(-1, 8).sum(axis=1)
+        return logs
 
     def log10(self, mixer: Mixer) -> np.ndarray:
-        """log10 of the probability of each word in each class, its end mark included."""
-        out = np.empty((self.classes, len(self.words)))
-        for g in range(self.classes):
-            logs = np.empty(len(self.steps.key))
-            for rows, ones, u, gate in self.slices(g, False):
-                z = np.einsum("ij,ji->i", mixer.weights[gate], u)
-                p = mixer.final(np.where(ones, z, -z), gate)
-                logs[rows] = np.log10(np.where(ones, p, 1 - p)).reshape(-1, 8).sum(axis=1)
-            out[g] = np.bincount(self.steps.word, logs[self.steps.of], len(self.words))
-        return out
-
-
-def _ranges(vocabulary: DataFrame, words: int, classes: int) -> tuple[DataFrame, tuple]:
-    """(packed) for each sorted range of the vocabulary, its words and the counts of
+        """log10 of the probability of each word, its end mark included."""
+        return np.bincount(self.steps.word, self.step_logs(mixer)[self.steps.of], len(self.words))
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted words of a task with the number of their range: a new one begins
+    where the words or the symbols of the last are enough."""
+    first = TaskContext.get().partitionId() << 32
+    number = words = symbols = 0
+    for batch in batches:
+        p = []
+        for word in batch.column(0).to_pylist():
+            if words and (words >= WORDS_A_TASK or symbols + len(word) + 2 > SYMBOLS_A_TASK):
+                number, words, symbols = number + 1, 0, 0
+            words, symbols = words + 1, symbols + len(word) + 2
+            p.append(first + number)
+        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), *batch.columns], ["p", "word", "n", "c"])
+
+
+def _ranges(vocabulary: DataFrame, words: int, symbols: int) -> tuple[DataFrame, tuple]:
+    """(size, packed) for each sorted range of the vocabulary, its words and the counts of
     the contexts they share with other ranges; and the few small tables that all ranges read."""
     spark = vocabulary.sparkSession
-    own = [f"c{g}" for g in range(classes)]
-    parts = max(1, -(-words // WORDS_A_TASK))
-    ranges = vocabulary.repartitionByRange(parts, "word").sortWithinPartitions("word")
-    ranges = written(ranges.select(F.spark_partition_id().alias("p"), "word", "n", *own), "ranges")
+    parts = max(1, -(-words // WORDS_A_TASK), -(-symbols // SYMBOLS_A_TASK))
+    ranges = vocabulary.select("word", "n", "c").repartitionByRange(parts, "word").sortWithinPartitions("word")
+    ranges = written(ranges.mapInArrow(_numbered, "p long, word binary, n long, c long"), "ranges")
     shared = _cuts(ranges)
-    gather, kinds = _gathered(spark.sparkContext.broadcast(shared), classes)
-    gathered = ranges.select("p", "word", *own).mapInArrow(gather, kinds)
-    sums = [F.sum(c).alias(c) for c in own]
-    gathered = written(gathered.groupBy("p", "kind", "context", "symbol").agg(*sums), "contexts")
+    gather = _gathered(spark.sparkContext.broadcast(shared))
+    gathered = ranges.select("p", "word", "c").mapInArrow(gather, "p long, kind int, context long, symbol long, c long")
+    total = F.sum("c").alias("c")
+    gathered = written(gathered.groupBy("p", "kind", "context", "symbol").agg(total), "contexts")
 
     def shorter(rows: DataFrame, symbols: int) -> DataFrame:
         kept = F.col("context").bitwiseAND(F.lit((1 << 8 * symbols) - 1)).alias("context")
-        return rows.select(kept, "symbol", *own).groupBy("context", "symbol").agg(*sums)
+        return rows.select(kept, "symbol", "c").groupBy("context", "symbol").agg(total)
 
-    four = written(gathered.where(F.col("kind") == _LAST).groupBy("context", "symbol").agg(*sums), "four")
+    four = written(gathered.where(F.col("kind") == _LAST).groupBy("context", "symbol").agg(total), "four")
     three = shorter(four, 3)
     two = shorter(three, 2)
     # by place and by one symbol there are 2^16 rows at most; the beginnings are those at the cuts
     by_place, by_one, by_shared = (
-        _collected(rows, classes)
+        _collected(rows)
         for rows in (
-            gathered.where(F.col("kind") == _PLACE).groupBy("context", "symbol").agg(*sums),
+            gathered.where(F.col("kind") == _PLACE).groupBy("context", "symbol").agg(total),
             shorter(two, 1),
-            gathered.where(F.col("kind") == _SHARED).groupBy("context", "symbol").agg(*sums),
+            gathered.where(F.col("kind") == _SHARED).groupBy("context", "symbol").agg(total),
         )
     )
     keys = (by_shared[0].view(np.uint64) + (by_shared[1].astype(np.uint64) + np.uint64(1)) * _D) * _C
@@ -558,28 +445,28 @@ def _ranges(vocabulary: DataFrame, words: int, classes: int) -> tuple[DataFrame,
     )
 
     def cut(symbols: int, name: str) -> DataFrame:
-        told = _told({2: two, 3: three}[symbols], classes, symbols == 3)
+        told = _told({2: two, 3: three}[symbols])
         return told.select(F.col("context").alias(f"context{symbols}"), "symbol", F.col("t").alias(name))
 
     # a context is the end of 257 contexts that are one symbol longer, at most, so none of these keys is hot
-    chain = _told(four, classes, False).withColumnRenamed("t", "t4")
+    chain = _told(four).withColumnRenamed("t", "t4")
     chain = chain.withColumn("context3", F.col("context").bitwiseAND(F.lit(0xFFFFFF)))
     near = cut(3, "t3").withColumn("context2", F.col("context3").bitwiseAND(F.lit(0xFFFF))).join(cut(2, "t2"), ["context2", "symbol"])
     chain = chain.join(near, ["context3", "symbol"]).select("context", "symbol", F.concat("t2", "t3", "t4").alias("t"))
     chain = written(chain, "chain")
     asked = gathered.where(F.col("kind") == _LAST).select("p", "context", "symbol").join(chain, ["context", "symbol"])
     key = F.shiftleft("context", 8).bitwiseOR(F.col("symbol"))
-    sides = ranges.select("p", F.lit(0).alias("side"), F.lit(0).cast("long").alias("key"), "word", "n", *own).unionByName(
+    sides = ranges.select("p", F.lit(0).alias("side"), F.lit(0).cast("long").alias("key"), "word", "n", "c").unionByName(
         asked.select("p", F.lit(1).alias("side"), key.alias("key"), "t"), allowMissingColumns=True
     )
-    sides = sides.repartitionById(parts, F.col("p")).sortWithinPartitions("p", "side", "key", "word")
+    sides = sides.repartition(parts, "p").sortWithinPartitions("p", "side", "key", "word")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, words, weights, keys, told = None, [], [], [], []
 
         def out() -> pa.RecordBatch:
             table = np.concatenate(weights)
-            data = (words, table[:, 0], table[:, 1:], np.concatenate(keys), np.concatenate(told))
+            data = (words, table[:, 0], table[:, 1], np.concatenate(keys), np.concatenate(told))
             data = pickle.dumps(data, protocol=5)
             return pa.RecordBatch.from_arrays(
                 [pa.array([len(data)]), pa.array([pa.compress(data, "zstd", asbytes=True)], pa.binary())], ["size", "packed"]
@@ -600,126 +487,122 @@ def _ranges(vocabulary: DataFrame, words: int, classes: int) -> tuple[DataFrame,
                     told.append(np.frombuffer(b"".join(part["t"].to_pylist()), np.float32).reshape(b - a, -1))
                 else:
                     words = words + part["word"].to_pylist()
-                    weights.append(np.column_stack([part[c].to_numpy() for c in ("n", *own)]))
+                    weights.append(np.column_stack([part[c].to_numpy() for c in ("n", "c")]))
         if words:
             yield out()
 
     return written(sides.mapInArrow(pack, "size long, packed binary"), "packed"), small
 
 
-def _models(batches: Iterator[pa.RecordBatch], classes: int, small: tuple) -> Iterator[Exact]:
+def _models(batches: Iterator[pa.RecordBatch], small: tuple) -> Iterator[Exact]:
     for batch in batches:
         for size, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            yield Exact(pa.decompress(packed.as_buffer(), size, "zstd", asbytes=True), classes, small)
-
-
-def settled(sums_at: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """The weights of least loss, by Newton's method in each gate; a step that
-    doesn't lower its gate's loss is taken back and made shorter."""
-    size = len(PREDICTORS)
-    tried = np.full((GATES, size), 0.2)
-    best, damping = tried.copy(), np.zeros(GATES)
-    loss, slope, curve = np.full(GATES, np.inf), np.zeros((GATES, size)), np.zeros((GATES, size, size))
-    while True:
-        sums = sums_at(tried)
-        off = tried - 0.2
-        found = sums[:, 0] + FIRST_WEIGHT / 2 * (off**2).sum(axis=1)
-        better = found <= loss
-        best[better], loss[better] = tried[better], found[better]
-        slope[better] = (sums[:, 1 : 1 + size] - FIRST_WEIGHT * off)[better]
-        curve[better] = (sums[:, 1 + size :].reshape(GATES, size, size) + FIRST_WEIGHT * np.eye(size))[better]
-        damping = np.where(better, np.where(damping > 0.01, damping / 5, 0), np.maximum(damping * 10, 0.1))
-        full = np.linalg.solve(curve, slope[..., None])[..., 0]
-        if (slope * full).sum() / 2 <= SETTLED * loss.sum():
-            return best
-        held = curve + damping[:, None, None] * np.eye(size) * np.einsum("gii->gi", curve)[:, None, :]
-        tried = best + np.linalg.solve(held, slope[..., None])[..., 0]
-
-
-def _learned(packed: DataFrame, small, classes: int) -> Mixer:
-    """Weights and map over all training tokens, each predicted from counts
-    that it is taken out of."""
-    size = len(PREDICTORS)
-
-    def summed(of: str, weights: np.ndarray, length: int) -> np.ndarray:
+            yield Exact(pa.decompress(packed.as_buffer(), size, "zstd", asbytes=True), small)
+
+
+def _learned(packed: DataFrame, small) -> Mixer:
+    """Weights and map after ``ROUNDS`` rounds over all training tokens."""
+    mixer = Mixer.first()
+    for _ in range(ROUNDS):
+        weights = mixer.weights
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(length)
-            for model in _models(batches, classes, small.value):
-                total += getattr(model, of)(weights).ravel()
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["i", "v"])
+            online = Online(weights)
+            for model in _models(batches, small.value):
+                model.teach(online)
+            found = online.packed()
+            at = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["i", "v"])
 
-        out = np.zeros(length)
         sums = packed.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-        out[sums.column("i").to_numpy()] = sums.column("v").to_numpy()
-        return out
-
-    weights = settled(lambda w: summed("gradient", w, GATES * (1 + size + size * size)).reshape(GATES, -1))
-    coded, ones = summed("reached", weights, 2 * GATES * STEPS).reshape(2, GATES, STEPS)
-    first = squash(np.linspace(-12, 12, STEPS))[None, :]
-    refined = (ones + FIRST_WEIGHT * first) / (coded + FIRST_WEIGHT)
-    return Mixer(np.zeros(0), np.zeros(0), weights, refined)
+        if not sums.num_rows:
+            break
+        total = np.zeros(len(Online(weights).packed()))
+        total[sums.column("i").to_numpy()] = sums.column("v").to_numpy()
+        mixer = Online.merged(total)
+    return mixer
 
 
-def _classes(rows: DataFrame) -> tuple[list, np.ndarray]:
-    """The most frequent classes of training rows, and each one's share; the last one holds all others."""
-    sizes = rows.where("train").groupBy("group").agg(F.count("*").alias("n"))
-    total = rows.where("train").count()
-    top = [(r["group"], r["n"]) for r in sizes.orderBy(F.desc("n"), "group").limit(CLASSES - 1).collect()]
-    rest = total - sum(n for _, n in top)
-    shares = [n for _, n in top] + ([rest] if rest or not top else [])
-    return [g for g, _ in top], np.log10((np.array(shares) + 0.5) / (total + 0.5 * len(shares)))
+def _head(words: DataFrame) -> DataFrame:
+    """The most frequent words, ``HEAD`` at most: all from some count on, found in the counts' histogram."""
+    held, least = 0, None
+    for row in words.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        held += row["words"]
+        if held > HEAD:
+            break
+        least = row["n"]
+    short = words.where(F.octet_length("word") <= HEAD_BYTES)
+    return short.where(F.col("n") >= least) if least is not None else short.where("false")
 
 
 def score_texts(docs: DataFrame, train: Column, group: Column | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, train, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of each row.
 
-    Learns from the rows where ``train`` holds (NULL: doesn't), by classes of
-    ``group`` (none: one class); when scoring, a text's class isn't known and
-    all classes are weighed. Tokens are the words of the text, A-Z in lower
+    Learns from the rows where ``train`` holds (NULL: doesn't), with a class
+    for each value of ``group`` among them (none: one class); when scoring, a
+    text's class isn't read. Tokens are the words of the text, A-Z in lower
     case, and one end, so NULL and empty texts have the end alone.
     ``base_score`` is the add-half unigram score, ``score`` the model's; both
-    are log10 of a probability. Without training rows nothing is known and all
-    words go by the mixer's first state. NULL keys and repeated rows are kept.
+    are log10 of a probability. The order of a text's words doesn't count.
+    Without training rows nothing is known and all words go by the mixer's
+    first state. NULL keys and repeated rows are kept. A word takes some 250
+    bytes of a task's memory for each of its bytes.
     """
     spark = docs.sparkSession
     group = F.lit("") if group is None else F.coalesce(group.cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(train, F.lit(False)).alias("train"), group.alias("group"), F.col(text).alias("text"))
-    names, shares = _classes(rows)
-    classes = len(shares)
-    number = F.lit(classes - 1)
-    for g, name in enumerate(names):
-        number = F.when(F.col("group") == name, F.lit(g)).otherwise(number)
-    own = [f"c{g}" for g in range(classes)]
-    counted = rows.select(F.when(F.col("train"), number).cast("int").alias("group"), "text")
-    counted = counted.mapInArrow(_counted(classes), ", ".join(["word binary", "n long", *(f"{c} long" for c in own)]))
-    sums = counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", *own)))
-    vocabulary = written(sums.withColumn("c", sum((F.col(c) for c in own), F.lit(0))), "vocabulary")
-    total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count("*").alias("words")).first()
+    train = F.coalesce(train, F.lit(False))
+    rows = docs.select(F.col(key).alias("key"), train.alias("train"), F.when(train, group).alias("group"), F.col(text).alias("text"))
+    counted = rows.select("group", "text").mapInArrow(_counted, "word binary, group string, n long")
+    tokens = written(counted.groupBy("word", "group").agg(F.sum("n").alias("n")), "tokens")
+    # one narrow row a class: documents, tokens and distinct tokens
+    sizes = tokens.where(F.col("group").isNotNull()).groupBy("group").agg(F.sum("n").alias("tokens"), F.count("*").alias("kinds"))
+    sizes = sizes.join(rows.where("train").groupBy("group").agg(F.count("*").alias("texts")), "group").orderBy("group").collect()
+    names = [r["group"] for r in sizes] or [""]
+    total_texts = sum(r["texts"] for r in sizes)
+    shares = np.array([math.log10(r["texts"] / total_texts) for r in sizes] or [0.0])
+    kinds = np.array([r["kinds"] for r in sizes] or [1], float)
+    # what each token costs in a class that hasn't seen it, beside the model's probability
+    unseen = np.array([math.log10(r["kinds"] / (r["tokens"] + r["kinds"])) for r in sizes] or [0.0])
+
+    number = spark.createDataFrame([(x, g) for g, x in enumerate(names)], "group string, g int")
+    own = F.filter(F.collect_list(F.when(F.col("g").isNotNull(), F.struct("g", F.col("n").alias("c")))), lambda x: x.isNotNull())
+    seen = F.sum(F.when(F.col("g").isNotNull(), F.col("n")).otherwise(0))
+    vocabulary = tokens.join(F.broadcast(number), "group", "left").groupBy("word").agg(F.sum("n").alias("n"), seen.alias("c"), own.alias("own"))
+    vocabulary = written(vocabulary, "vocabulary")
+    total = vocabulary.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
+        F.count_if(F.col("c") > 0).alias("v"),
+        F.count("*").alias("words"),
+        F.coalesce(F.sum(F.octet_length("word") + 2), F.lit(0)).alias("symbols"),
+    ).first()
     n, v = int(total["n"]), int(total["v"])
 
-    packed, small = _ranges(vocabulary, int(total["words"]), classes)
+    packed, small = _ranges(vocabulary, int(total["words"]), int(total["symbols"]))
     small = spark.sparkContext.broadcast(small)
-    mixer = _learned(packed, small, classes)
+    mixer = _learned(packed, small)
     floor = n + 0.5 * (v + 1)
 
     def scored(batches):
-        for model in _models(batches, classes, small.value):
-            scores = pa.array(list(model.log10(mixer).T), pa.list_(pa.float64()))
-            counts = [pa.array(c) for c in (model.n, model.weights.sum(axis=1))]
-            yield pa.RecordBatch.from_arrays([pa.array(model.words, pa.binary()), *counts, scores], ["word", "n", "c", "scores"])
-
-    words = packed.mapInArrow(scored, "word binary, n long, c long, scores array<double>")
-    words = written(words.withColumn("base", F.log10((F.col("c") + 0.5) / F.lit(floor))), "words")
-
-    # the bound of what is broadcast: HEAD words of HEAD_BYTES at most
-    top = words.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD).select("word", "c", "base", "scores").toArrow()
-    scores = top.column("scores").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, classes)
-    values = np.column_stack(((top.column("c").to_numpy() > 0).astype(float), top.column("base").to_numpy(), scores))
-    head = spark.sparkContext.broadcast(({w: i for i, w in enumerate(top.column("word").to_pylist())}, values))
+        for model in _models(batches, small.value):
+            yield pa.RecordBatch.from_arrays([pa.array(model.words, pa.binary()), pa.array(model.log10(mixer))], ["word", "score"])
+
+    words = packed.mapInArrow(scored, "word binary, score double").join(vocabulary, "word")
+    more = F.expr(f"transform(own, x -> struct(x.g as g, log10(1 + x.c / (element_at(array({', '.join(f'{x}D' for x in kinds)}), x.g + 1) * pow(10D, score))) as more))")
+    words = words.select("word", "n", "c", F.log10((F.col("c") + 0.5) / F.lit(floor)).alias("base"), "score", more.alias("own"))
+    words = written(words, "words")
+
+    # the bound of what is broadcast: HEAD words of HEAD_BYTES at most, each with the classes it is seen in
+    top = _head(words).select("word", "c", "base", "score", "own").toArrow()
+    values = np.column_stack(((top.column("c").to_numpy() > 0).astype(float), top.column("base").to_numpy(), top.column("score").to_numpy()))
+    lists = top.column("own").combine_chunks()
+    ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))) if len(lists) else np.zeros(1)
+    flat = lists.flatten()
+    sparse = ends.astype(np.int64), flat.field("g").to_numpy(), flat.field("more").to_numpy()
+    head = spark.sparkContext.broadcast(({w: i for i, w in enumerate(top.column("word").to_pylist())}, values, sparse))
+    classes = len(names)
 
     def looked_up(batches):
-        places, values = head.value
+        places, values, (ends, of, more) = head.value
         for batch in batches:
             out = []
             for text in raw(batch.column(2)):
@@ -728,35 +611,52 @@ def score_texts(docs: DataFrame, train: Column, group: Column | None = None, key
                 times = Counter(tokens)
                 at = np.fromiter((places.get(w, -1) for w in times), np.int64, len(times))
                 often = np.fromiter(times.values(), np.float64, len(times))
-                known = often[at >= 0] @ values[at[at >= 0]]
+                here = at[at >= 0]
+                known = often[at >= 0] @ values[here]
+                lengths = ends[here + 1] - ends[here]
+                terms = np.repeat(ends[here] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+                own = np.bincount(of[terms], more[terms] * np.repeat(often[at >= 0], lengths), classes)
                 rest = [{"word": w, "times": k} for (w, k), i in zip(times.items(), at.tolist(), strict=True) if i < 0]
-                out.append((len(tokens), len(text or b""), int(known[0]), known[1], known[2:].tolist(), rest))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))
+                out.append((len(tokens), len(text or b""), int(known[0]), known[1], known[2], own, rest))
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            number, real = pa.int64(), pa.float64()
+            kinds = (number, number, number, real, real, pa.list_(real), pa.list_(pa.struct([("word", pa.binary()), ("times", number)])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))],
-                ["key", "train", "n_tokens", "n_bytes", "found", "base", "scores", "rest"],
+                ["key", "train", "n_tokens", "n_bytes", "found", "base", "score", "own", "rest"],
             )
 
     kind = docs.schema[key].dataType.simpleString()
     looked = rows.select("key", "train", "text").mapInArrow(
         looked_up,
-        f"key {kind}, train boolean, n_tokens long, n_bytes long, found long, base double, scores array<double>, rest array<struct<word:binary,times:long>>",
+        f"key {kind}, train boolean, n_tokens long, n_bytes long, found long, base double, score double, own array<double>, rest array<struct<word:binary,times:long>>",
     )
     looked = written(looked.withColumn("row", F.monotonically_increasing_id()), "looked-up")
     rare = looked.select("row", F.explode("rest").alias("t")).select("row", "t.word", "t.times")
-    # words beyond the head are rarer than its last one, so none of these keys is hot
-    met = rare.join(words.select("word", "c", F.col("base").alias("b"), F.col("scores").alias("s")), "word")
-    rare_sums = met.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("times") * F.col("b")).alias("rare_base"),
-        *(F.sum(F.col("times") * F.col("s")[g]).alias(f"rare_{g}") for g in range(classes)),
+    # words beyond the head are rarer than all of it, so none of these keys is hot
+    met = rare.join(words, "word")
+    # a word's own figures go under class -1, beside what each class that has seen it adds
+    terms = F.concat(F.array(F.struct(F.lit(-1).alias("g"), F.lit(0.0).alias("more"))), F.col("own"))
+    met = met.select("row", "times", "c", "base", "score", F.explode(terms).alias("x"))
+    single = F.col("g") == -1
+    sums = met.select("row", "times", "c", "base", "score", "x.g", "x.more").groupBy("row", "g").agg(
+        F.sum(F.when(single & (F.col("c") > 0), F.col("times")).otherwise(0)).alias("known"),
+        F.sum(F.when(single, F.col("times") * F.col("base"))).alias("base"),
+        F.sum(F.when(single, F.col("times") * F.col("score"))).alias("score"),
+        F.sum(F.col("times") * F.col("more")).alias("more"),
+    )
+    # one entry a class
+    of_row = sums.groupBy("row").agg(
+        *(F.max(F.when(single, F.col(c))).alias(f"rare_{c}") for c in ("known", "base", "score")),
+        F.map_from_entries(F.collect_list(F.struct("g", "more"))).alias("rare_own"),
     )
-    both = looked.drop("rest").join(rare_sums, "row", "left")
-    logs = F.array(*(F.col("scores")[g] + F.coalesce(f"rare_{g}", F.lit(0.0)) + float(shares[g]) for g in range(classes)))
-    both = both.withColumn("logs", logs).withColumn("best", F.array_max("logs"))
+    both = looked.drop("rest").join(of_row, "row", "left")
+    fixed = F.array(*(F.lit(float(x)) for x in shares)), F.array(*(F.lit(float(x)) for x in unseen))
+    both = both.withColumns({"score": F.col("score") + F.coalesce("rare_score", F.lit(0.0)), "shares": fixed[0], "unseen": fixed[1]})
+    logs = "transform(own, (x, g) -> x + coalesce(rare_own[g], 0D) + element_at(shares, g + 1) + n_tokens * element_at(unseen, g + 1))"
+    both = both.withColumn("logs", F.expr(logs)).withColumn("best", F.array_max("logs"))
     # the mixture over the classes, from its largest term
-    score = F.col("best") + F.log10(F.expr("aggregate(logs, 0D, (a, x) -> a + pow(10D, x - best))"))
+    score = F.col("score") + F.col("best") + F.log10(F.expr("aggregate(logs, 0D, (a, x) -> a + pow(10D, x - best))"))
     return both.select(
         F.col("key").alias(key),
         "train",
