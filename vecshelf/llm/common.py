@@ -48,23 +48,36 @@ def text_udf(function: Callable[[list[bytes | None]], pa.Array], returns: str):
     return F.arrow_udf(run, returns)
 
 
+def drawn(seed: int, share: float, *columns: str | Column) -> Column:
+    """Whether the hash of some columns is among the lowest ``share`` of all hashes."""
+    if share >= 1:
+        return F.lit(True)
+    return F.xxhash64(F.lit(seed), *columns) < F.lit(int((max(share, 0.0) - 0.5) * (1 << 64)))
+
+
+def within_bound(bound: int, total: int) -> float:
+    """The share to draw of ``total`` so that at most ``bound`` come out, five deviations sure."""
+    return 1.0 if total <= bound else max(0.0, bound - 5 * bound**0.5) / total
+
+
 def labelled(
     docs: DataFrame, labels: DataFrame, label: str, bound: int, where: Column | None = None
 ) -> DataFrame:
-    """(label, text) of labelled documents, about ``bound`` rows at most.
+    """(label, text) of labelled documents, ``bound`` rows at most.
 
-    Where more are labelled, ids are chosen by the order of their hash, which
-    is the same on each run. A repeated id counts once, with its highest
-    label; rows with a NULL id or label are no labels. The chosen ids are at
-    most ``bound`` narrow rows by construction, so they are broadcast.
+    Where more are labelled, ids are drawn by hash, the same on each run, and
+    after that rows by hash of id and text: an id with very many rows gives no
+    more than its share. Equal rows of an id are one row. A repeated id in
+    ``labels`` counts once, with its highest label; rows with a NULL id or
+    label are no labels. The drawn ids are narrow and bounded, so they are broadcast.
     """
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     ids = ids if where is None else ids.where(where)
     ids = ids.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
-    total = ids.count()
-    if total > bound:
-        # five deviations below the bound, so the draw stays within it
-        rate = max(0.0, bound - 5 * bound**0.5) / total
-        low = -(1 << 63)
-        ids = ids.where(F.xxhash64("doc_id") < F.lit(low + int(rate * (1 << 64))))
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("_label", "text")
+    ids = ids.where(drawn(1, within_bound(bound, ids.count()), "doc_id"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).join(F.broadcast(ids), "doc_id")
+    kinds = rows.groupBy("doc_id", "_text").count().agg(F.count("*").alias("kinds"), F.coalesce(F.sum("count"), F.lit(0)).alias("rows")).first()
+    rows = rows.where(drawn(2, within_bound(bound, kinds["kinds"]), "doc_id", "_text"))
+    if kinds["rows"] > kinds["kinds"]:
+        rows = rows.dropDuplicates(["doc_id", "_text"])
+    return rows.select("_label", "text")

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecshelf.llm.tokens import encoder, read_spec
+from vecshelf.llm.common import drawn, within_bound
+from vecshelf.llm.tokens import Encoder, encoder, read_spec
 from vecshelf.session import new_path
 
 MAGIC = b"EFT1"
@@ -38,6 +40,8 @@ MAGIC = b"EFT1"
 SHARD_IDS = 2_000_000
 #: One position of the unary bits is kept for so many values.
 SAMPLE = 64
+#: Rows drawn for each range of keys.
+SAMPLED = 100
 _HEAD, _SEQUENCE = "<4sI5q", "<4q"
 
 
@@ -71,26 +75,25 @@ class EliasFano:
         weights = np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64)
         return (bits.reshape(-1, self.low_bits).astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64)
 
-    def all(self) -> np.ndarray:
-        """Every value, as int64."""
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.size]
-        return (((at - np.arange(self.size)).astype(np.uint64) << np.uint64(self.low_bits)) | self._lows(0, self.size)).astype(np.int64)
+    def span(self, first: int, last: int) -> np.ndarray:
+        """Values ``first`` to ``last - 1`` as int64, from the nearest sample on,
+        without decoding what comes before or after."""
+        if not 0 <= first < last <= self.size:
+            return np.zeros(0, np.int64)
+        start = int(self.samples[first // SAMPLE])
+        end = int(self.samples[(last - 1) // SAMPLE + 1]) if (last - 1) // SAMPLE + 1 < len(self.samples) else 8 * len(self.high)
+        byte = start // 8
+        bits = np.unpackbits(self.high[byte : -(-end // 8)], bitorder="little")
+        bits[: start % 8] = 0
+        skipped = first % SAMPLE
+        at = np.flatnonzero(bits)[skipped : skipped + last - first] + 8 * byte
+        return (((at - np.arange(first, last)).astype(np.uint64) << np.uint64(self.low_bits)) | self._lows(first, last)).astype(np.int64)
 
     def select(self, i: int) -> int:
-        """Value ``i``, from the nearest sample on, without decoding the rest."""
+        """Value ``i``."""
         if not 0 <= i < self.size:
             raise IndexError(i)
-        start = int(self.samples[i // SAMPLE])
-        need, byte = i % SAMPLE, start // 8
-        window = self.high[byte : byte + 1] & np.uint8(0xFF << start % 8 & 0xFF)
-        while True:
-            ones = int(np.bitwise_count(window).sum())
-            if ones > need:
-                break
-            need, byte = need - ones, byte + len(window)
-            window = self.high[byte : byte + 64]
-        at = byte * 8 + int(np.flatnonzero(np.unpackbits(window, bitorder="little"))[need])
-        return (at - i) << self.low_bits | int(self._lows(i, i + 1)[0])
+        return int(self.span(i, i + 1)[0])
 
     def dump(self) -> bytes:
         low, high = self.low.tobytes(), self.high.tobytes()
@@ -140,16 +143,39 @@ class Shard:
         return Shard(np.frombuffer(view[at : at + width * n], f"<u{width}"), starts, above, nulls, first, before)
 
     def keys(self) -> list[int | None]:
-        return [None] * self.nulls + (self.keys_above.all() + self.first_key).tolist()
+        return [None] * self.nulls + (self.keys_above.span(0, self.keys_above.size) + self.first_key).tolist()
 
     def document(self, i: int) -> np.ndarray:
         """The ids of document ``i`` of the shard."""
         return self.ids[self.starts.select(i) : self.starts.select(i + 1)]
 
 
-def _shards(spec: str, end: int):
+def _order(key: int | None, tie: int) -> tuple[bool, int, int]:
+    """NULL keys first, then by key; rows of one key by the hash of their text."""
+    return key is not None, key or 0, tie
+
+
+def _encoded(spec, end: int, bounds):
+    """(range, key, tie, ids) of texts; ``ids`` are bytes, in the tokenizer's width."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, cuts = encoder(spec.value, end), bounds.value
+        for batch in batches:
+            keys, ties = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            places = [bisect_right(cuts, _order(k, t)) for k, t in zip(keys, ties, strict=True)]
+            ids = [coder.encode(t).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(places, pa.int32()), batch.column(0), batch.column(2), pa.array(ids, pa.binary())], ["range", "key", "tie", "ids"]
+            )
+
+    return run
+
+
+def _shards(width: int):
+    """Rows (key, ids) in order -> shards. A task holds the ids of one shard."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task = encoder(spec, end), TaskContext.get().partitionId()
+        task, dtype = TaskContext.get().partitionId(), np.dtype(f"<u{width}")
         keys, docs, held, before, number = [], [], 0, 0, 0
 
         def closed() -> pa.RecordBatch:
@@ -159,9 +185,9 @@ def _shards(spec: str, end: int):
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], ["task", "number", "n_docs", "n_ids", "shard"])
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keys.append(key)
-                docs.append(coder.encode(text))
+                docs.append(np.frombuffer(ids, dtype))
                 held += len(docs[-1])
                 if held >= SHARD_IDS:
                     yield closed()
@@ -173,42 +199,60 @@ def _shards(spec: str, end: int):
     return run
 
 
+def _bounds(rows: DataFrame, parts: int) -> list[tuple]:
+    """``parts - 1`` cuts of the rows' order, from about ``SAMPLED`` keys a part
+    drawn by hash. Only keys and hashes of the drawn rows come to the driver."""
+    total = rows.count()
+    sample = rows.where(drawn(5, within_bound(SAMPLED * parts, total), "key", "tie")).select("key", "tie").limit(2 * SAMPLED * parts).toArrow()
+    found = sorted(map(_order, sample["key"].to_pylist(), sample["tie"].to_pylist()))
+    return [found[len(found) * i // parts] for i in range(1, parts)] if found else []
+
+
 def write_token_files(docs: DataFrame, path: str, spec_path: str, end: int = 0, key: str = "doc_id", text: str = "text") -> None:
     """Writes the shards of all documents, by ascending key, NULL keys first.
 
     NULL and empty texts have the end id alone; rows with the same key follow
-    each other in a fixed order. The key must be an integer. Rows are dealt by
-    ranges of the key, and by a hash of the text where one key has very many.
+    each other in a fixed order. The key must be an integer. Texts are encoded
+    where they are read; ids go on, by ranges of the key, and of a hash of the
+    text where one key has very many rows. The ranges come from a sample of
+    the keys and only decide how even the tasks are.
     """
     spark = docs.sparkSession
-    spec = spark.sparkContext.broadcast(read_spec(spec_path))
-
-    def run(batches):
-        yield from _shards(spec.value, end)(batches)
-
+    text_of_spec = read_spec(spec_path)
+    width = Encoder(text_of_spec, end).dtype.itemsize
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tie"))
+    sent = [spark.sparkContext.broadcast(x) for x in (text_of_spec, _bounds(rows, parts))]
+    coded = rows.mapInArrow(_encoded(sent[0], end, sent[1]), "range int, key long, tie long, ids binary")
     # copies of one row are equal, so their order among each other doesn't matter
-    dealt = rows.repartitionByRange(parts, "key", "tie").sortWithinPartitions("key", "tie")
-    dealt.select("key", "text").mapInArrow(run, "task int, number int, n_docs long, n_ids long, shard binary").write.parquet(path)
+    dealt = coded.repartitionById(parts, F.col("range")).sortWithinPartitions("key", "tie")
+    dealt.select("key", "ids").mapInArrow(_shards(width), "task int, number int, n_docs long, n_ids long, shard binary").write.parquet(path)
+
+
+#: Documents whose boundaries are looked up at a time when a shard is read.
+DOCS = 4096
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for base, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             shard = Shard.load(blob)
-            bounds = shard.starts.all()
-            wide = shard.ids.astype("<u4")
-            sums = [zlib.crc32(wide[a:b].tobytes()) for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(shard.keys(), pa.int64()),
-                    pa.array(bounds[:-1] + base + shard.before),
-                    pa.array(np.diff(bounds)),
-                    pa.array(sums, pa.int64()),
-                ],
-                ["key", "start", "n_tokens", "ids_crc32"],
-            )
+            keys = shard.keys()
+            for first in range(0, len(keys), DOCS):
+                last = min(first + DOCS, len(keys))
+                bounds = shard.starts.span(first, last + 1)
+                wide = memoryview(shard.ids[bounds[0] : bounds[-1]].astype("<u4")).cast("B")
+                cuts = (4 * (bounds - bounds[0])).tolist()
+                sums = [zlib.crc32(wide[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(keys[first:last], pa.int64()),
+                        pa.array(bounds[:-1] + base + shard.before),
+                        pa.array(np.diff(bounds)),
+                        pa.array(sums, pa.int64()),
+                    ],
+                    ["key", "start", "n_tokens", "ids_crc32"],
+                )
 
 
 def read_token_index(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
