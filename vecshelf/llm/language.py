@@ -11,11 +11,12 @@ against the rest. Texts are scored in blocks by matrix products.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecshelf.llm.common import raw, text_udf
@@ -95,30 +96,39 @@ def fit(packed: np.ndarray, labels: list[str]) -> KernelRidge:
 def train(docs: DataFrame, where: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> KernelRidge:
     """Learns from rows with a language and a letter that pass ``where``.
 
-    Each language gives its share of ``SAMPLE`` texts, at least 16, in the
-    order of the hash of key and language. The texts' presence bits, 2 KB
-    each, come to the driver.
+    Each language gives its share of ``SAMPLE`` different texts at most, or 16
+    where there are very many languages, drawn by the hash of language and
+    text; a text that is repeated, under one key or several, counts once. A
+    language of 16 texts or fewer gives all of them. The texts' presence bits,
+    2 KB each, come to the driver.
     """
     rows = docs if where is None else docs.where(where)
-    rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    names = rows.select("lang").distinct().count()
-    each = max(16, SAMPLE // max(names, 1))
-    # only keys and languages are ranked; the texts of the chosen are read after that
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("key").cast("string")), "key")
-    chosen = rows.select("key", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each)
-    chosen = chosen.groupBy("key", "lang").agg(F.min("rank").alias("rank"))
-    picked = rows.join(F.broadcast(chosen), ["key", "lang"])
+    rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    sizes = {r["lang"]: r["count"] for r in rows.select("lang", "hash").distinct().groupBy("lang").count().collect()}
+    each = max(16, SAMPLE // max(len(sizes), 1))
+    # the draw takes some more than wanted of a small share, and the first of those by hash
+    shares = [(name, min(1.0, (each + 5 * each**0.5) / n)) for name, n in sizes.items()]
+    shares = docs.sparkSession.createDataFrame(shares, "lang string, share double")
+    place = F.xxhash64(F.lit(3), "lang", "hash")
+    picked = rows.join(F.broadcast(shares), "lang").where((place / float(1 << 64) + 0.5 <= F.col("share")))
 
     def measured(batches):
         for batch in batches:
             texts = raw(batch.column(2))
             bits = [np.packbits(presence(t)).tobytes() if has_letter(t) else None for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], ["lang", "rank", "bits"])
-
-    got = picked.select("lang", "rank", "text").mapInArrow(measured, "lang string, rank int, bits binary").where("bits is not null").toArrow()
-    seen = sorted(set(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), got.column(2).to_pylist(), strict=True)))
-    packed = np.frombuffer(b"".join(x[2] for x in seen), np.uint8).reshape(-1, PLACES // 8)
-    return fit(packed, [x[0] for x in seen])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], ["lang", "place", "bits"])
+
+    found = picked.select("lang", place.alias("place"), "text").mapInArrow(measured, "lang string, place long, bits binary")
+    got = found.where("bits is not null").groupBy("lang", "place").agg(F.first("bits").alias("bits")).toArrow()
+    seen = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), got.column(2).to_pylist(), strict=True))
+    taken, names = [], Counter()
+    for row in seen:
+        names[row[0]] += 1
+        if names[row[0]] <= each:
+            taken.append(row)
+    packed = np.frombuffer(b"".join(x[2] for x in taken), np.uint8).reshape(-1, PLACES // 8)
+    return fit(packed, [x[0] for x in taken])
 
 
 def predict_column(model: KernelRidge, text: str = "text") -> Column:
