@@ -26,6 +26,10 @@ GRAM = 5
 SAMPLE = 20_000
 #: Hashed terms kept: those that set the classes apart most, by z-score.
 TERMS, LEAST_Z, LEAST_TEXTS = 4096, 3.5, 5
+#: Frequent words that are looked at in pairs, and the z-score from which two of
+#: them are kept because of what they do together, alone without effect or not
+#: (five and a half deviations: two million pairs are tested).
+PAIRED, LEAST_PAIR_Z = 2048, 5.5
 FACTORS, EPOCHS, BATCH, RATE, SHRINK = 8, 30, 128, 0.02, 1e-4
 #: Words whose terms are kept per task; at more, the task starts a new table.
 KEPT = 200_000
@@ -38,11 +42,15 @@ def words_of(text: bytes | None) -> set[bytes]:
     return set((text or b"").lower().translate(_APART).split())
 
 
+def word_bucket(word: bytes) -> int:
+    return zlib.crc32(b" " + word) % BUCKETS
+
+
 def hashed(word: bytes) -> np.ndarray:
     """The buckets of a word and of the 5-grams of the marked word."""
     marked = b"<" + word + b">"
     grams = {marked[i : i + GRAM] for i in range(len(marked) - GRAM + 1)}
-    return np.unique(np.array([zlib.crc32(t) % BUCKETS for t in (b" " + word, *grams)], np.int64))
+    return np.unique(np.array([word_bucket(word), *(zlib.crc32(t) % BUCKETS for t in grams)], np.int64))
 
 
 class Terms:
@@ -124,9 +132,37 @@ def fit(texts: list[list[int]], labels: np.ndarray, kept: np.ndarray, seed: int
     return m
 
 
+def paired_terms(texts: list[list[int]], labels: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` terms are in a pair whose effect isn't the sum of the two.
+
+    ``texts`` are lists of term numbers. A pair's texts fall in four cells by
+    which of the two they have; of the cells' shares of label 1, with one text
+    in two added to each, the interaction ``p11 - p10 - p01 + p00`` is compared
+    with its deviation. Each cell must have ``LEAST_TEXTS`` texts.
+    """
+    n, y = len(texts), labels.astype(np.float32)
+    every, ones = np.zeros((size, size)), np.zeros((size, size))
+    for first in range(0, n, 1024):
+        part = texts[first : first + 1024]
+        x = np.zeros((len(part), size), np.float32)
+        for i, t in enumerate(part):
+            x[i, t] = 1
+        every += x.T @ x
+        ones += x.T @ (x * y[first : first + 1024, None])
+    own, own_ones = np.diag(every), np.diag(ones)
+    cells = [(every, ones), (own[:, None] - every, own_ones[:, None] - ones), (own - every, own_ones - ones)]
+    cells.append((n - sum(c for c, _ in cells), float(y.sum()) - sum(c for _, c in cells)))
+    shares = [(c1 + 0.5) / (c + 1) for c, c1 in cells]
+    spread = np.sqrt(sum(p * (1 - p) / (c + 1) for p, (c, _) in zip(shares, cells, strict=True)))
+    z = np.abs(shares[0] - shares[1] - shares[2] + shares[3]) / spread
+    z[np.minimum.reduce([c for c, _ in cells]) < LEAST_TEXTS] = 0
+    np.fill_diagonal(z, 0)
+    return np.flatnonzero(z.max(axis=0, initial=0) >= LEAST_PAIR_Z)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task and bucket, the labelled texts of each class that have it."""
-    counts = np.zeros((2, BUCKETS), np.int64)
+    """Per task and bucket, the labelled texts of each class that have it, and those that have it as a word."""
+    counts = np.zeros((3, BUCKETS), np.int64)
     known: dict[bytes, np.ndarray] = {}
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
@@ -138,38 +174,53 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known.update((w, hashed(w)) for w in fresh)
             if words:
                 counts[1 if label else 0][np.unique(np.concatenate([known[w] for w in words]))] += 1
+                counts[2][np.unique(np.array([word_bucket(w) for w in words]))] += 1
     at = np.flatnonzero(counts.sum(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0][at]), pa.array(counts[1][at])], ["bucket", "clean", "toxic"])
+    yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(c[at]) for c in counts)], ["bucket", "clean", "toxic", "words"])
 
 
 def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, label: str = "toxic", sample: int = SAMPLE) -> Machine:
     """A machine for ``label`` of ``labels(doc_id, label)``, of rows that pass ``where``.
 
     The chosen texts are read once and written; the counts that choose the
-    terms are summed by Spark. Only at most ``TERMS`` bucket numbers and each
-    chosen text's few kept terms come to the driver.
+    terms are summed by Spark. Kept are terms that set the classes apart by
+    themselves, and of the ``PAIRED`` most frequent words those that do in a
+    pair. Only bucket numbers and, for each chosen text, which of those terms
+    it has come to the driver.
     """
     rows = written(labelled(docs, labels, label, sample, where), "toxic-sample")
     sizes = {r["_label"] != 0: r["n"] for r in rows.groupBy((F.col("_label") != 0).cast("int").alias("_label")).agg(F.count("*").alias("n")).collect()}
     clean, toxic = sizes.get(False, 0), sizes.get(True, 0)
-    kept = np.zeros(0, np.int64)
+    apart = frequent = np.zeros(0, np.int64)
     if clean and toxic:
-        counted = rows.mapInArrow(_counted, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+        counted = rows.mapInArrow(_counted, "bucket long, clean long, toxic long, words long")
+        counted = counted.groupBy("bucket").agg(*(F.sum(a).alias(b) for a, b in (("clean", "c"), ("toxic", "t"), ("words", "w"))))
+        counted = written(counted.where(F.col("c") + F.col("t") >= LEAST_TEXTS), "toxic-terms")
         share = (F.col("c") + F.col("t")) / (clean + toxic)
         spread = F.sqrt(share * (1 - share) * (1 / clean + 1 / toxic))
         z = (F.col("t") / toxic - F.col("c") / clean) / spread
-        best = counted.where(F.col("c") + F.col("t") >= LEAST_TEXTS).where(share < 1).withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z)
-        kept = np.sort(np.array([r["bucket"] for r in best.orderBy(F.desc("z"), "bucket").limit(TERMS).select("bucket").collect()], np.int64))
+        best = counted.where(share < 1).withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "bucket").limit(TERMS)
+        often = counted.where((share < 1) & (F.col("w") >= LEAST_TEXTS)).orderBy(F.desc("w"), "bucket").limit(PAIRED)
+        apart, frequent = (np.sort(np.array([r["bucket"] for r in x.select("bucket").collect()], np.int64)) for x in (best, often))
+    looked_at = np.union1d(apart, frequent)
 
     def found(batches):
-        terms = Terms(kept)
+        terms = Terms(looked_at)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([terms.of(t) for t in raw(batch.column(1))], pa.list_(pa.int32()))], ["label", "terms"])
 
     got = rows.mapInArrow(found, "label int, terms array<int>").toArrow()
-    texts, y = got.column("terms").to_pylist(), got.column("label").to_numpy()
+    texts, y = got.column("terms").to_pylist(), got.column("label").to_numpy() != 0
+    # numbers among the frequent words, and then among all that are kept
+    place = np.full(len(looked_at), -1)
+    place[np.searchsorted(looked_at, frequent)] = np.arange(len(frequent))
+    pairs = paired_terms([[p for p in place[t].tolist() if p >= 0] for t in texts], y, len(frequent)) if len(frequent) else np.zeros(0, np.int64)
+    kept = np.union1d(apart, frequent[pairs])
+    place = np.full(len(looked_at), -1)
+    place[np.searchsorted(looked_at, kept)] = np.arange(len(kept))
+    texts = [[p for p in place[t].tolist() if p >= 0] for t in texts]
     order = sorted(range(len(texts)), key=lambda i: (y[i], texts[i]))  # the same fit for any order of rows
-    return fit([texts[i] for i in order], (y != 0)[order] if len(order) else np.zeros(0), kept)
+    return fit([texts[i] for i in order], y[order] if len(order) else np.zeros(0), kept)
 
 
 def score_column(machine: Machine, text: str = "text") -> Column:
