@@ -37,7 +37,7 @@ def banding(threshold: float, rows: int, recall: float) -> tuple[int, int]:
     tables = 0
     while bits:
         met = agree**bits
-        tables = 1 if met >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+        tables = 1 if met >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log1p(-met)))
         if tables <= 64 or bits == 1:
             break
         bits -= 1

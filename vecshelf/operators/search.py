@@ -1,13 +1,14 @@
 """Substring lookup over the catalog and the corpus.
 
 Matching is literal and case-insensitive. Many needles are matched at once: a
-bounded set is carried into the scan as a constant, a larger one meets the rows
-through an equi-join on character grams. Neither compares every row with every
-needle through a join.
+few are carried into the scan as conditions, more as an automaton that passes
+over each text once, and very many meet the rows through an equi-join on
+character grams. None compares every row with every needle through a join.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +18,11 @@ from vecshelf.operators.catalog import popularity_order
 from vecshelf.operators.grouping import canonical, top_ranked
 from vecshelf.operators.knn import knn
 
-# Needles carried inside the scan; more of them go through the gram join, where
-# they are broadcast if all their letters together stay within the bound.
-INLINE_NEEDLES = 256
+# Needles that become conditions of the scan. More are sent to it as automata of
+# a bounded size each, as long as these are few; the rest go through the gram join,
+# where they are broadcast if all their letters together stay within the bound.
+INLINE_NEEDLES = 16
+AUTOMATON_BYTES, NEEDLE_BYTES, MOST_BLOCKS = 16 << 20, 64, 8
 BROADCAST_CHARS = 4_000_000
 GRAM = 3
 
@@ -42,12 +45,72 @@ def needles_from(spark: SparkSession, queries: list[str] | DataFrame) -> DataFra
 def substring_pairs(
     rows: DataFrame, columns: list[str], needles: DataFrame, inline: int = INLINE_NEEDLES
 ) -> DataFrame:
-    """``rows`` with a ``query`` column, one row per needle found in any of ``columns``."""
+    """``rows`` with a ``query`` column, one row per needle found in any of ``columns``.
+
+    A few needles become conditions of the scan. More are looked for by an
+    automaton in one pass over each text, sent in blocks of bounded size; past
+    some number of blocks, and with ``inline=0``, rows and needles meet by grams.
+    """
     lowered = needles.select("query", F.lower("query").alias("needle"))
-    small = lowered.limit(inline + 1).collect() if inline else []
-    if inline and len(small) <= inline:
+    if not inline:
+        return _gram_pairs(rows, columns, lowered)
+    small = lowered.limit(inline + 1).collect()
+    if len(small) <= inline:
         return _inline_pairs(rows, columns, [(r.query, r.needle) for r in small])
-    return _gram_pairs(rows, columns, lowered)
+    size = lowered.agg(F.sum(F.octet_length("needle") + F.octet_length("query") + NEEDLE_BYTES)).first()[0] or 0
+    blocks = -(-size // AUTOMATON_BYTES)
+    if blocks > MOST_BLOCKS:
+        return _gram_pairs(rows, columns, lowered)
+    return _automaton_pairs(rows, columns, lowered, blocks)
+
+
+def _automaton_pairs(rows: DataFrame, columns: list[str], needles: DataFrame, blocks: int) -> DataFrame:
+    """One scan for each block of needles, which is what comes to the driver at a time."""
+    spark, found = rows.sparkSession, None
+    for number in range(blocks):
+        part = needles.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == number) if blocks > 1 else needles
+        block = part.where("query is not null").distinct().toArrow()
+        sent = spark.sparkContext.broadcast((block["needle"].to_pylist(), block["query"].to_pylist()))
+        hits = rows.withColumn("query", F.explode(_matcher(sent)(*[F.lower(c) for c in columns])))
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def _matcher(sent):
+    state: dict = {}
+
+    def automaton():
+        import ahocorasick
+
+        queries: dict[str, list[str]] = {}
+        for needle, query in zip(*sent.value, strict=True):
+            queries.setdefault(needle, []).append(query)
+        everywhere = queries.pop("", [])
+        found = ahocorasick.Automaton()
+        for needle, own in queries.items():
+            found.add_word(needle, own)
+        if queries:
+            found.make_automaton()
+        return everywhere, found if queries else None
+
+    def run(*texts: pa.Array) -> pa.Array:
+        if not state:
+            state["all"], state["found"] = automaton()
+        everywhere, found = state["all"], state["found"]
+        out = []
+        for own in zip(*(t.to_pylist() for t in texts), strict=True):
+            hits = set()
+            for text in own:
+                if text is not None:
+                    hits.update(everywhere)
+                    if found is not None:
+                        for _, queries in found.iter(text):
+                            hits.update(queries)
+            out.append(list(hits))
+        return pa.array(out, pa.list_(pa.string()))
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<string>")
 
 
 def _inline_pairs(rows: DataFrame, columns: list[str], needles: list[tuple[str, str]]) -> DataFrame:
