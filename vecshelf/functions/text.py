@@ -60,22 +60,31 @@ def unwrap_text(variant: Column | str, field: str) -> Column:
     ).otherwise(json_field(variant, f"$.{field}"))
 
 
-def subject_match(
-    variant: Column | str, word: str = "fiction", whole_word: bool = False
-) -> Column:
-    """Whether the serialized ``subjects`` of a parsed document hold ``word``.
+def subjects_text(variant: Column | str) -> Column:
+    """The serialized ``subjects`` of a parsed document in lower case."""
+    return F.lower(F.to_json(F.try_variant_get(_col(variant), "$.subjects", "variant")))
+
+
+def subject_in(serialized: Column | str, word: str = "fiction", whole_word: bool = False) -> Column:
+    """Whether serialized subjects hold ``word``.
 
     The default is a substring test ("nonfiction" passes); ``whole_word`` asks
     for a word boundary on both sides. Missing subjects give False.
     """
-    subjects = F.lower(F.to_json(F.try_variant_get(_col(variant), "$.subjects", "variant")))
     if whole_word:
-        hit = subjects.rlike(rf"\b\Q{word.lower()}\E\b")
+        hit = _col(serialized).rlike(rf"\b\Q{word.lower()}\E\b")
     else:
-        hit = F.contains(subjects, F.lit(word.lower()))
+        hit = F.contains(_col(serialized), F.lit(word.lower()))
     return F.coalesce(hit, F.lit(False))
 
 
+def subject_match(
+    variant: Column | str, word: str = "fiction", whole_word: bool = False
+) -> Column:
+    """``subject_in`` of a parsed document."""
+    return subject_in(subjects_text(variant), word, whole_word)
+
+
 def text_match(columns: list[Column | str], query: Column | str) -> Column:
     """Case-insensitive literal substring match on any of ``columns``."""
     needle = F.lower(F.lit(query) if isinstance(query, str) else query)

@@ -1,35 +1,27 @@
-"""From raw typed records to the curated books, authors and junction tables."""
+"""From landed typed records to the curated books, authors and junction tables.
+
+Frames with the JSON alone are taken as well; their fields are parsed here.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecshelf.functions.text import (
-    extract_year,
-    json_field,
-    json_string_array,
-    strip_prefix,
-    subject_match,
-    unwrap_text,
-)
-
-
-def _parsed(df: DataFrame) -> DataFrame:
-    """Parse once; every field is then read from the binary form."""
-    return df.withColumn("doc", F.try_parse_json("json"))
+from vecshelf.functions.records import typed
+from vecshelf.functions.text import extract_year, strip_prefix, subject_in
 
 
 def edition_aggregates(
     editions: DataFrame, subject: str = "fiction", whole_word: bool = False
 ) -> DataFrame:
     """``(work_key, edition_count, min_year, ed_fiction, isbn13, ed_desc)`` per work."""
-    rows = _parsed(editions.where("work_key is not null")).select(
+    rows = typed(editions, "editions").where("work_key is not null").select(
         "work_key",
-        extract_year(json_field("doc", "$.publish_date")).alias("year"),
-        subject_match("doc", subject, whole_word).alias("fiction"),
-        json_field("doc", "$.isbn_13[0]").alias("isbn13"),
-        unwrap_text("doc", "description").alias("description"),
+        extract_year("publish_date").alias("year"),
+        subject_in("subjects_text", subject, whole_word).alias("fiction"),
+        "isbn13",
+        "description",
     )
     return rows.groupBy("work_key").agg(
         F.count("*").alias("edition_count"),
@@ -43,18 +35,13 @@ def edition_aggregates(
 def edition_facets(editions: DataFrame) -> DataFrame:
     """``(work_key, facet, value, n)``: in how many editions of a work each
     ``language`` and each ``genre`` is named."""
-    doc = F.col("doc")
-    languages = F.transform(
-        F.try_variant_get(doc, "$.languages", "array<variant>"),
-        lambda x: F.struct(F.lit("language").alias("facet"), json_field(x, "$.key").alias("value")),
-    )
-    genres = F.transform(
-        json_string_array("doc", "$.genres", "json"),
-        lambda x: F.struct(F.lit("genre").alias("facet"), x.alias("value")),
-    )
-    none = F.array().cast("array<struct<facet:string,value:string>>")
-    named = F.array_distinct(F.concat(F.coalesce(languages, none), F.coalesce(genres, none)))
-    rows = _parsed(editions.where("work_key is not null")).select("work_key", F.inline(named))
+
+    def named(facet: str, column: str):
+        each = F.transform(column, lambda x: F.struct(F.lit(facet).alias("facet"), x.alias("value")))
+        return F.coalesce(each, F.array().cast("array<struct<facet:string,value:string>>"))
+
+    facets = F.array_distinct(F.concat(named("language", "languages"), named("genre", "genres")))
+    rows = typed(editions, "editions").where("work_key is not null").select("work_key", F.inline(facets))
     return (
         rows.where("value is not null").groupBy("work_key", "facet", "value").agg(F.count("*").alias("n"))
     )
@@ -67,27 +54,37 @@ def select_works(
     subject: str = "fiction",
     whole_word: bool = False,
 ) -> DataFrame:
-    """Works on the subject, by their own subjects or an edition's, with enough editions."""
-    on_subject = subject_match("doc", subject, whole_word).alias("fiction")
-    kept = _parsed(works).select(F.col("key").alias("work_key"), "json", on_subject)
+    """Works on the subject, by their own subjects or an edition's, with enough
+    editions: the works' typed fields beside the aggregates of their editions."""
+    on_subject = subject_in("subjects_text", subject, whole_word).alias("fiction")
+    kept = typed(works, "works").select(
+        F.col("key").alias("work_key"),
+        "title",
+        "subtitle",
+        "first_publish_date",
+        "description",
+        "subjects",
+        "author_keys",
+        "cover_id",
+        on_subject,
+    )
     counted = ed_agg.where(F.col("edition_count") >= min_editions)
     return kept.join(counted, "work_key").where("fiction or ed_fiction").drop("fiction")
 
 
 def build_books(selected: DataFrame) -> DataFrame:
     """One flat row per selected work."""
-    own_year = extract_year(json_field("doc", "$.first_publish_date"))
-    return _parsed(selected).select(
+    return selected.select(
         "work_key",
         strip_prefix("work_key").alias("ol_id"),
-        json_field("doc", "$.title").alias("title"),
-        json_field("doc", "$.subtitle").alias("subtitle"),
-        F.coalesce(own_year, "min_year").alias("first_publish_year"),
+        "title",
+        "subtitle",
+        F.coalesce(extract_year("first_publish_date"), "min_year").alias("first_publish_year"),
         "edition_count",
-        F.coalesce(unwrap_text("doc", "description"), "ed_desc").alias("description"),
-        json_string_array("doc", "$.subjects", "json").alias("subjects"),
-        json_field("doc", "$.authors[0].author.key").alias("primary_author_key"),
-        json_field("doc", "$.covers[0]").try_cast("int").alias("cover_id"),
+        F.coalesce("description", "ed_desc").alias("description"),
+        "subjects",
+        F.get("author_keys", F.lit(0)).alias("primary_author_key"),
+        "cover_id",
         "isbn13",
     )
 
@@ -95,28 +92,16 @@ def build_books(selected: DataFrame) -> DataFrame:
 def build_book_authors(selected: DataFrame) -> DataFrame:
     """``(work_key, author_key, position)``; positions count from 1 and entries
     without a key leave a gap."""
-    entries = F.try_variant_get(F.try_parse_json("json"), "$.authors", "array<variant>")
     return (
-        selected.select("work_key", F.posexplode(entries).alias("at", "entry"))
-        .select(
-            "work_key",
-            json_field("entry", "$.author.key").alias("author_key"),
-            (F.col("at") + 1).cast("long").alias("position"),
-        )
+        selected.select("work_key", F.posexplode("author_keys").alias("at", "author_key"))
+        .select("work_key", "author_key", (F.col("at") + 1).cast("long").alias("position"))
         .where("author_key is not null")
     )
 
 
 def build_authors(authors: DataFrame, book_authors: DataFrame) -> DataFrame:
     """Authors named by at least one selected work."""
-    named = authors.withColumnRenamed("key", "author_key").join(
+    named = typed(authors, "authors").withColumnRenamed("key", "author_key").join(
         book_authors.select("author_key").distinct(), "author_key", "left_semi"
     )
-    return _parsed(named.select("author_key", "json")).select(
-        "author_key",
-        json_field("doc", "$.name").alias("name"),
-        json_field("doc", "$.birth_date").alias("birth_date"),
-        json_field("doc", "$.death_date").alias("death_date"),
-        unwrap_text("doc", "bio").alias("bio"),
-        json_string_array("doc", "$.alternate_names", "json").alias("alternate_names"),
-    )
+    return named.select("author_key", "name", "birth_date", "death_date", "bio", "alternate_names")

@@ -6,9 +6,11 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecshelf.functions.records import FIELDS, landed_fields
+
 COLUMNS = ["type", "key", "revision", "ts", "json"]
 
 # The record types of the dump and the short names used here.
@@ -84,15 +86,10 @@ def read_dump(
 
 
 def split_by_type(headed: DataFrame) -> dict[str, DataFrame]:
-    """Authors, works and editions of a landed dump, each with its own header
-    columns beside the JSON; records of other types are left out."""
-    columns = {
-        "authors": ["key", "name", "json"],
-        "works": ["key", "title", "json"],
-        "editions": ["key", "title", "work_key", "author_key", "json"],
-    }
+    """Authors, works and editions of a landed dump, each with its key and typed
+    fields beside the JSON; records of other types are left out."""
     return {
-        table: headed.where(F.col("type") == record_type).select(*columns[table])
+        table: headed.where(F.col("type") == record_type).select("key", *FIELDS[table], "json")
         for record_type, table in RECORD_TYPES.items()
     }
 
@@ -103,8 +100,9 @@ def land_dump(
     """Write the three record types and the quarantine in one scan, a folder each,
     and read them back: ``authors``, ``works``, ``editions`` and ``quarantine``.
 
-    Each line is parsed once: unusable ones are not filtered out but written
-    under a type of their own. So are documents that repeat a key; these few are
+    Each line is parsed once, and all fields that later steps read are landed as
+    columns, so none of them parses JSON again. Unusable lines are not filtered
+    out but written under a type of their own. So are documents that repeat a key; these few are
     then mended, with the first value of the key, and added to their type.
     """
     _headed(_parsed_lines(spark, path, partitions)).write.mode("overwrite").partitionBy(
@@ -129,16 +127,12 @@ def land_dump(
 def _headed(rows: DataFrame) -> DataFrame:
     """The landed columns of judged lines; those with a reason go under ``quarantine``."""
 
-    def field(path: str) -> Column:
-        return F.try_variant_get("doc", path, "string")
-
     wanted = F.col("type").isin(*RECORD_TYPES) | F.col("json").isNull()
+    table = F.create_map(*[F.lit(x) for pair in RECORD_TYPES.items() for x in pair])[F.col("type")]
+    kind = F.when(F.col("reason").isNull(), table)
     return rows.where(wanted).select(
         "key",
-        field("$.name").alias("name"),
-        field("$.title").alias("title"),
-        field("$.works[0].key").alias("work_key"),
-        field("$.authors[0].key").alias("author_key"),
+        *landed_fields(kind),
         F.when(F.col("reason").isNull(), F.col("json")).otherwise(F.col("line")).alias("json"),
         "reason",
         F.when(F.col("reason").isNull(), F.col("type")).otherwise("quarantine").alias("type"),
