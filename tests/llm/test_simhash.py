@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given
@@ -127,3 +128,37 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.simhash_components(docs).count() == 0
     assert simhash.drop_near_duplicates(docs).count() == 0
+
+
+def test_a_key_with_very_many_rows_is_taken_apart(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HELD", 25)
+    rng = random.Random(5)
+    # all under one key: 300 fingerprints that differ in their upper 24 bits only, some of them chained
+    low, values = rng.getrandbits(40), []
+    for _ in range(60):
+        at = rng.getrandbits(24)
+        for _ in range(5):
+            values.append(low | at << 40)
+            at ^= 1 << rng.randrange(24) | 1 << rng.randrange(24)
+    values = sorted(set(values))
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    rows = spark.createDataFrame([(v,) for v in signed], "print long").repartition(3)
+    got = {r.print: r.group for r in simhash.group_fingerprints(rows).collect()}
+    groups, wanted = {}, {}
+    for v, w in zip(signed, components(values, 4), strict=True):
+        groups.setdefault(got[v], set()).add(v)
+        wanted.setdefault(w, set()).add(v)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
+
+
+def test_rows_of_a_large_key_stream_past(monkeypatch):
+    prints = np.arange(1_000_000, dtype=np.int64)
+    keys = np.concatenate(([3] * 10, [7] * 999_980, [9] * 10)).astype(np.int64)
+    batches = (pa.RecordBatch.from_arrays([pa.array(keys[i : i + 1000]), pa.array(prints[i : i + 1000])], ["key", "print"]) for i in range(0, 1_000_000, 1000))
+    seen = 0
+    for out in simhash._link(simhash.Ring(4, 5), 5000)(batches):
+        assert out.num_rows <= 6000
+        off = out.column(2).to_numpy(zero_copy_only=False)
+        seen += int(off.sum())
+        assert set(out.column(0).to_numpy()[off].tolist()) <= {7}
+    assert seen == 999_980

@@ -29,6 +29,8 @@ BITS = 64
 SLICE = 200_000
 #: Rows of one key up to which all pairs are looked at side by side.
 FEW = 64
+#: Rows of one key that a task holds; a key with more is put off and cut into blocks of so many.
+HELD = 100_000
 
 
 def fingerprint(text: bytes | None, shingle: int = 4) -> int:
@@ -167,41 +169,107 @@ def _expand(ring: Ring):
     return run
 
 
-def _link(ring: Ring):
+_LINKS = ["a", "b", "put_off"]
+
+
+def _rows(a: np.ndarray, b: np.ndarray, put_off: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), put_off))], _LINKS
+    )
+
+
+def _link(ring: Ring, most: int):
+    """(key, print) rows sorted by key -> links. Rows of a key that has more
+    than ``most`` come out as they are, ``put_off``, so nothing grows with a key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = prints = np.zeros(0, np.uint64)
+        large = None
         for batch in chain(batches, [None]):
             if batch is not None:
                 k, p = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+                if large is not None and len(k):
+                    more = int(np.searchsorted(k.view(np.int64), large, "right"))
+                    yield _rows(k[:more], p[:more], True)
+                    k, p = k[more:], p[more:]
                 keys, prints = np.concatenate((keys, k)), np.concatenate((prints, p))
                 if not keys.size:
                     continue
-                # the last key may go on in the next batch
-                done = int(np.searchsorted(keys, keys[-1]))
+                # the last key may go on in the next batch; Spark sorts keys as signed numbers
+                large, done = None, int(np.searchsorted(keys.view(np.int64), keys.view(np.int64)[-1]))
             else:
                 done = keys.size
             if done:
-                a, b = _links_of(keys[:done], prints[:done], ring)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+                yield _rows(*_links_of(keys[:done], prints[:done], ring), False)
                 keys, prints = keys[done:], prints[done:]
+            if keys.size > most:
+                yield _rows(keys, prints, True)
+                large, keys, prints = keys.view(np.int64)[0], keys[:0], prints[:0]
 
     return run
 
 
+def _forests(distance: int):
+    """(key, i, j, print) rows in order of the first three -> links that connect each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def out() -> pa.RecordBatch:
+            links = np.array(forest(np.unique(np.concatenate(held)), distance), np.uint64).reshape(-1, 2)
+            return _rows(links[:, 0].copy(), links[:, 1].copy(), False)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            prints = batch.column(3).to_numpy().view(np.uint64)
+            edges = [0, *(np.flatnonzero((np.diff(place, axis=0) != 0).any(axis=1)) + 1).tolist(), len(place)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if tuple(place[a]) != now:
+                    if held:
+                        yield out()
+                    now, held = tuple(place[a]), []
+                held.append(prints[a:b])
+        if held:
+            yield out()
+
+    return run
+
+
+def _large_keys(rows: DataFrame, ring: Ring) -> DataFrame:
+    """Links of the keys that were put off: their rows are cut into blocks by hash
+    of the fingerprint, and each pair of blocks meets in a cell of its own, which
+    gives a spanning forest. What is linked within a cell is linked, and any two
+    fingerprints of a key share a cell."""
+    sizes = rows.groupBy("key").count().select("key", F.ceil(F.col("count") / HELD).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("print"), "blocks").cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    placed = rows.join(sizes, "key").withColumn("own", own).select("key", "print", F.explode(cells).alias("c"))
+    dealt = placed.select("key", "c.i", "c.j", "print").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(_forests(ring.distance), "a long, b long, put_off boolean").select("a", "b")
+
+
 def link_fingerprints(prints: DataFrame, distance: int = 4, segments: int = 5) -> DataFrame:
     """(a, b) links that connect exactly the distinct fingerprints (one long
     column) which chains of steps of at most ``distance`` bits connect.
 
     Each fingerprint is sent out under about 37 narrow keys; the rows of a key
     are read in sort order as a stream. A key's rows give links between
-    neighbours, or a spanning forest where they are many, never all pairs.
+    neighbours, or a spanning forest where they are many, never all pairs. A
+    key with more than ``HELD`` rows is taken apart into pairs of blocks, so
+    that no task holds more than two blocks, whatever a key holds.
     """
     ring = Ring(distance, segments)
     spark = prints.sparkSession
     keyed = prints.mapInArrow(_expand(ring), "key long, print long")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = keyed.repartition(parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_link(ring), "a long, b long")
+    found = written(dealt.mapInArrow(_link(ring, HELD), "a long, b long, put_off boolean"), "met")
+    links, large = found.where("not put_off").select("a", "b"), found.where("put_off").select(F.col("a").alias("key"), F.col("b").alias("print"))
+    if large.isEmpty():
+        return links
+    return links.union(_large_keys(large, ring))
 
 
 def group_fingerprints(rows: DataFrame, distance: int = 4, segments: int = 5) -> DataFrame:
