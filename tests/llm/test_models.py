@@ -82,7 +82,70 @@ def test_sample_bound(corpus):
     from vecshelf.llm.common import labelled
 
     assert labelled(docs, labels, "toxic", 100).count() <= 100
-    assert labelled(docs, labels, "toxic", 10_000).count() == 701  # doc 3 comes twice
+    assert labelled(docs, labels, "toxic", 10_000).count() == 700  # equal rows of document 3 are one
+
+
+def test_samples_when_one_id_has_a_third_of_all_rows(spark, corpus):
+    """Neither the copies of one text nor many texts under one id fill a sample."""
+    docs, labels, truth = corpus
+    from vecshelf.llm.common import labelled
+
+    plain = docs.select("doc_id", "text", "lang")
+    copies = spark.range(400).selectExpr("3L doc_id", "'the of and fiends' text", "'en' lang")
+    others = spark.range(400).selectExpr("4L doc_id", "concat('the of text ', id) text", "'en' lang")
+    for hot in (copies, others):
+        every = plain.union(hot)
+        rows = labelled(every, labels, "toxic", 300)
+        assert rows.count() <= 300 and rows.where("text like 'the of text%' or text = 'the of and fiends'").count() < 200
+        held = lambda column: [r for r in scored(plain, column) if r.doc_id in truth and r.doc_id not in (3, 4) and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+        where = fold("doc_id", 5) != 0
+        found = held(toxicity.score_column(toxicity.train(every, labels, where)))
+        assert np.mean([(r.found >= 0.5) == bool(truth[r.doc_id][1]) for r in found]) > 0.95
+        found = held(quality_model.score_column(quality_model.train(every, labels, where)))
+        assert np.mean([(r.found >= 0.3) == bool(truth[r.doc_id][0]) for r in found]) > 0.95
+        model = language.train(every, fold("doc_id", 4) != 2)
+        right = plain.where("lang is not null and doc_id < 700").select((language.predict_column(model)["lang_pred"] == F.col("lang")).alias("x"))
+        assert right.agg(F.avg(F.col("x").cast("int"))).first()[0] > 0.97
+
+
+def test_language_sample_counts_different_texts(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 60)
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda packed, labels: seen.append((packed, labels)))
+    one = spark.range(1000).selectExpr("id", "concat('text ', id % 500) text", "'en' lang")
+    hot = spark.range(1000).selectExpr("7L id", "'always the same' text", "'en' lang")
+    few = spark.range(5).selectExpr("id", "concat('wort ', id) text", "'de' lang")
+    language.train(one.union(hot).union(few), key="id")
+    packed, names = seen[0]
+    assert names.count("en") == 30 and names.count("de") == 5
+    assert len({row.tobytes() for row in packed}) == 35
+
+
+def test_toxicity_learns_an_exclusive_or(spark):
+    """Two words that are balanced in both classes: only the pair tells."""
+    rng, rows, labels = random.Random(5), [], []
+    for i in range(2400):
+        one, other = rng.random() < 0.5, rng.random() < 0.5
+        words = prose(rng, "en", rng.randint(10, 30)).split()
+        for w, here in (("crimson", one), ("harbour", other)):
+            if here:
+                words.insert(rng.randint(0, len(words)), w)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(one != other)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    machine = toxicity.train(docs, labels, fold("doc_id", 5) != 0)
+    found = docs.where(fold("doc_id", 5) == 0).join(labels, "doc_id").select((toxicity.score_column(machine) >= 0.5).cast("int").alias("x"), "toxic").collect()
+    assert np.mean([r.x == r.toxic for r in found]) > 0.9
+
+
+def test_paired_terms_by_hand():
+    rng = np.random.default_rng(1)
+    x = rng.random((2000, 12)) < 0.3
+    y = (x[:, 2] & x[:, 7]) | (rng.random(2000) < 0.05)  # together only
+    texts = [np.flatnonzero(row).tolist() for row in x]
+    assert {2, 7} <= set(toxicity.paired_terms(texts, y, 12).tolist()) and len(toxicity.paired_terms(texts, y, 12)) < 5
+    assert len(toxicity.paired_terms(texts, rng.random(2000) < 0.4, 12)) == 0
+    assert len(toxicity.paired_terms([], np.zeros(0), 0)) == 0
 
 
 def test_quality_model(corpus):
