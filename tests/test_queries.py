@@ -22,6 +22,17 @@ SAMPLE = [
     "analogy_rank",
     "apply_dislikes_filter",
     "stream_ratings_snapshot",
+    "edition_facets",
+    "weighted_centroid",
+    "choose_k",
+    "cluster_corpus",
+    "knn_approx",
+    "near_duplicates_banded",
+    "reduce_dims",
+    "fit_projection",
+    "kept_snapshot",
+    "sql_similar_to_other_authors",
+    "sql_recommend_from_preferences",
 ]
 
 needs_data = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="needs the given tables")

@@ -29,7 +29,7 @@ METRICS = ("cosine", "dot", "mean_cosine", "l2")
 # FIRST_LOOK queries; more are written out and measured before they are read.
 FIRST_LOOK = 4096
 BROADCAST_BYTES = 64 << 20
-BROADCAST_EXCLUSIONS = 1_000_000
+BROADCAST_EXCLUSIONS, EXCLUSION_BYTES = 1_000_000, 64 << 20
 # A corpus up to this size is sent to the queries where those are too many.
 CORPUS_BYTES = 128 << 20
 # A grid cell holds this many bytes of query vectors, and about this many
@@ -170,11 +170,15 @@ def _vector_bytes(queries: DataFrame) -> int:
 
 
 def _pairs(df: DataFrame | None, column: str):
+    """All (query, value) pairs, if their number and bytes are counted to be few."""
     if df is None:
         return np.empty(0, object), np.empty(0, object)
-    table = _bounded(df.select("qid", column), BROADCAST_EXCLUSIONS)
-    if table is None:
+    pairs = df.select("qid", column)
+    size = F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in pairs.columns), F.lit(0)))
+    count, size = pairs.agg(F.count("*"), size).first()
+    if count > BROADCAST_EXCLUSIONS or (size or 0) > EXCLUSION_BYTES:
         return None
+    table = pairs.toArrow()
     return to_keys(table["qid"]), to_keys(table[column])
 
 

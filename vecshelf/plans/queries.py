@@ -657,12 +657,14 @@ def render_formats(bed: Testbed) -> DataFrame:
 
 
 def embedded_concepts(bed: Testbed) -> tuple[DataFrame, DataFrame]:
-    """The concepts, and hash vectors of all their renderings and of all works."""
-    concepts = written(bed.concepts, "concepts")
-    cache = hash_cache(bed)
-    texts = evaluate.format_texts(concepts).unionByName(bed.catalog.select("input_text"))
-    embed.embed_missing(embed.keyed(texts), cache, embed.hash_embedder, dim=HASH_DIM)
-    return concepts, cache.read()
+    """The concepts, and hash vectors of all their renderings and of all works,
+    which stay in the bed's cache once they are there."""
+    cache = vector_cache.VectorCache(bed.spark, bed.cache_path, "sha256/centred")
+    texts = evaluate.format_texts(bed.kept_concepts).unionByName(bed.catalog.select("input_text"))
+    if not bed.embedded:
+        embed.embed_missing(embed.keyed(texts), cache, embed.hash_embedder, dim=HASH_DIM)
+        bed.embedded = True
+    return bed.kept_concepts, cache.read()
 
 
 @query

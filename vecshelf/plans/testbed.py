@@ -25,6 +25,8 @@ class Testbed:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        #: whether the concepts' renderings are in the cache at ``cache_path``
+        self.embedded = False
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -163,6 +165,14 @@ class Testbed:
             )
         )
 
+    @cached_property
+    def kept_concepts(self) -> DataFrame:
+        return written(self.concepts, "concepts")
+
+    @cached_property
+    def cache_path(self) -> str:
+        return new_path(self.spark, "cache")
+
     @cached_property
     def dump_path(self) -> str:
         path = new_path(self.spark, "dump")
