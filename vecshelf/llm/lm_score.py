@@ -55,7 +55,7 @@ LONGEST = max(n for n in LENGTHS if n != WHOLE)
 #: The two contexts whose counts select the gate.
 GATED = (3, WHOLE)
 #: Decisions computed on at a time, and distinct words counted before a task sends them on.
-SLICE, FLUSH = 1 << 15, 300_000
+SLICE, FLUSH = 1 << 16, 300_000
 #: How often all training tokens are learned from, and how many decisions the
 #: weights' and map's first state counts for.
 ROUNDS, FIRST_WEIGHT, FIRST = 2, 50.0, 0.25
@@ -301,18 +301,20 @@ class Online:
     def learn(self, u: np.ndarray, gate: np.ndarray, often: np.ndarray, ones: np.ndarray) -> None:
         """A slice of decisions: predict, note what came of it, and step.
         ``u`` are logits of the side taken (predictor, decision)."""
-        z = np.einsum("ij,ji->i", self.weights[gate], u)
+        order = np.argsort(gate, kind="stable")
+        gate, often, ones = gate[order], often[order], ones[order]
+        u, z = u[:, order].astype(np.float64), np.empty(len(gate))
+        ends = np.r_[0, np.flatnonzero(np.diff(gate)) + 1, len(gate)]
+        for a, b in zip(ends, ends[1:]):
+            g, v = gate[a], u[:, a:b]
+            z[a:b] = self.weights[g] @ v
+            p = squash(z[a:b])
+            missed = often[a:b] * (1 - p)
+            self.curve[g] += (v * (missed * p)) @ v.T
+            self.weights[g] += np.linalg.solve(self.curve[g], v @ missed)
         at = gate * STEPS + Mixer.step(np.where(ones, z, -z))
         self.coded += np.bincount(at, often, GATES * STEPS)
         self.ones += np.bincount(at, often * ones, GATES * STEPS)
-        p = squash(z)
-        order = np.argsort(gate, kind="stable")
-        ends = np.r_[0, np.flatnonzero(np.diff(gate[order])) + 1, len(order)]
-        for a, b in zip(ends, ends[1:]):
-            rows = order[a:b]
-            g, v = gate[rows[0]], u[:, rows].astype(np.float64)
-            self.curve[g] += (v * (often[rows] * p[rows] * (1 - p[rows]))) @ v.T
-            self.weights[g] += np.linalg.solve(self.curve[g], v @ (often[rows] * (1 - p[rows])))
 
     def packed(self) -> np.ndarray:
         pull = np.einsum("gij,gj->gi", self.curve, self.weights)
@@ -597,32 +599,41 @@ def score_texts(docs: DataFrame, train: Column, group: Column | None = None, key
     lists = top.column("own").combine_chunks()
     ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))) if len(lists) else np.zeros(1)
     flat = lists.flatten()
-    sparse = ends.astype(np.int64), flat.field("g").to_numpy(), flat.field("more").to_numpy()
+    ends = ends.astype(np.int64)
+    sparse = ends[:-1], ends[1:], flat.field("g").to_numpy(), flat.field("more").to_numpy()
     head = spark.sparkContext.broadcast(({w: i for i, w in enumerate(top.column("word").to_pylist())}, values, sparse))
     classes = len(names)
 
     def looked_up(batches):
-        places, values, (ends, of, more) = head.value
+        places, values, (starts, ends, of, more) = head.value
+        find = places.get
         for batch in batches:
-            out = []
+            numbers, sums, owns, rare, counts, ends_of_rare = [], [], [], [], [], [0]
             for text in raw(batch.column(2)):
                 tokens = (text or b"").lower().split()
                 tokens.append(END)
                 times = Counter(tokens)
-                at = np.fromiter((places.get(w, -1) for w in times), np.int64, len(times))
+                at = np.array([find(w, -1) for w in times], np.int64)
                 often = np.fromiter(times.values(), np.float64, len(times))
-                here = at[at >= 0]
-                known = often[at >= 0] @ values[here]
-                lengths = ends[here + 1] - ends[here]
-                terms = np.repeat(ends[here] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-                own = np.bincount(of[terms], more[terms] * np.repeat(often[at >= 0], lengths), classes)
-                rest = [{"word": w, "times": k} for (w, k), i in zip(times.items(), at.tolist(), strict=True) if i < 0]
-                out.append((len(tokens), len(text or b""), int(known[0]), known[1], known[2], own, rest))
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            number, real = pa.int64(), pa.float64()
-            kinds = (number, number, number, real, real, pa.list_(real), pa.list_(pa.struct([("word", pa.binary()), ("times", number)])))
+                missing = at < 0
+                here, often_here = at[~missing], often[~missing]
+                known = often_here @ values[here]
+                first, lengths = starts[here], ends[here] - starts[here]
+                terms = np.repeat(first - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+                owns.append(np.bincount(of[terms], more[terms] * np.repeat(often_here, lengths), classes))
+                numbers.append((len(tokens), len(text or b""), int(known[0])))
+                sums.append((known[1], known[2]))
+                words_here = list(times)
+                rare += [words_here[i] for i in np.flatnonzero(missing).tolist()]
+                counts.append(often[missing])
+                ends_of_rare.append(len(rare))
+            whole, real = np.array(numbers, np.int64).reshape(-1, 3).T, np.array(sums).reshape(-1, 2).T
+            rest = pa.StructArray.from_arrays(
+                [pa.array(rare, pa.binary()), pa.array(np.concatenate([*counts, np.zeros(0)]).astype(np.int64))], ["word", "times"]
+            )
+            own = pa.ListArray.from_arrays(pa.array(np.arange(len(owns) + 1) * classes, pa.int32()), pa.array(np.concatenate([*owns, np.zeros(0)])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))],
+                [*batch.columns[:2], *map(pa.array, whole), *map(pa.array, real), own, pa.ListArray.from_arrays(pa.array(ends_of_rare, pa.int32()), rest)],
                 ["key", "train", "n_tokens", "n_bytes", "found", "base", "score", "own", "rest"],
             )
 
@@ -635,19 +646,20 @@ def score_texts(docs: DataFrame, train: Column, group: Column | None = None, key
     rare = looked.select("row", F.explode("rest").alias("t")).select("row", "t.word", "t.times")
     # words beyond the head are rarer than all of it, so none of these keys is hot
     met = rare.join(words, "word")
-    # a word's own figures go under class -1, beside what each class that has seen it adds
-    terms = F.concat(F.array(F.struct(F.lit(-1).alias("g"), F.lit(0.0).alias("more"))), F.col("own"))
-    met = met.select("row", "times", "c", "base", "score", F.explode(terms).alias("x"))
-    single = F.col("g") == -1
-    sums = met.select("row", "times", "c", "base", "score", "x.g", "x.more").groupBy("row", "g").agg(
-        F.sum(F.when(single & (F.col("c") > 0), F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.when(single, F.col("times") * F.col("base"))).alias("base"),
-        F.sum(F.when(single, F.col("times") * F.col("score"))).alias("score"),
-        F.sum(F.col("times") * F.col("more")).alias("more"),
+    # a word's own figures go with the first class that has seen it, or under class -1
+    none = F.array(F.struct(F.lit(-1).alias("g"), F.lit(0.0).alias("more")))
+    terms = F.when(F.size("own") > 0, F.col("own")).otherwise(none)
+    met = met.select("row", "times", "c", "base", "score", F.posexplode(terms).alias("at", "x"))
+    once = F.when(F.col("at") == 0, F.col("times")).otherwise(0)
+    sums = met.groupBy("row", F.col("x.g").alias("g")).agg(
+        F.sum(F.when(F.col("c") > 0, once).otherwise(0)).alias("known"),
+        F.sum(once * F.col("base")).alias("base"),
+        F.sum(once * F.col("score")).alias("score"),
+        F.sum(F.col("times") * F.col("x.more")).alias("more"),
     )
     # one entry a class
     of_row = sums.groupBy("row").agg(
-        *(F.max(F.when(single, F.col(c))).alias(f"rare_{c}") for c in ("known", "base", "score")),
+        *(F.sum(c).alias(f"rare_{c}") for c in ("known", "base", "score")),
         F.map_from_entries(F.collect_list(F.struct("g", "more"))).alias("rare_own"),
     )
     both = looked.drop("rest").join(of_row, "row", "left")
