@@ -60,6 +60,7 @@ class Encoder:
             and not before.get("add_prefix_space")
         )
         self.letters = _byte_letters()
+        self.ends = dict(zip(".,;:!?", self._whole(list(".,;:!?")), strict=True))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -83,6 +84,33 @@ class Encoder:
                 known = ChainMap(found, known)
         return [known[c[0]] if len(c) == 1 else b"".join([known[x] for x in c]) for c in cut]
 
+    def _words(self, fresh: set[str]) -> dict[str, bytes]:
+        """The ids of words with a space before them. One of letters alone is
+        one piece and goes to the model as it is; others are cut into chunks."""
+        found, others = {}, []
+        tokenize, letters, code, space = self.tokenizer.model.tokenize, self.letters, self.code, self.letters[0x20]
+        ends = self.ends
+        for w in fresh:
+            if not self.by_chunk or not w:
+                others.append(w)
+                continue
+            last = ends.get(w[-1]) if len(w) > 1 else None
+            if last is not None and w.isascii() and w[:-1].isalpha():
+                # the mark behind the letters is a piece of its own
+                own = self.words.get(w[:-1]) or array(code, [t.id for t in tokenize(space + w[:-1])]).tobytes()
+                found[w] = own + last
+                continue
+            if w.isascii() and w.isalpha():
+                piece = space + w
+            elif _LETTERS.fullmatch(w) and w[0] != " ":
+                piece = space + w.encode().decode("latin-1").translate(letters)
+            else:
+                others.append(w)
+                continue
+            found[w] = array(code, [t.id for t in tokenize(piece)]).tobytes()
+        found.update(zip(others, self._of([" " + w for w in others]), strict=True))
+        return found
+
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text (None: empty), then the end id."""
         text = text or ""
@@ -95,14 +123,14 @@ class Encoder:
             rest = text.split(" ")
             first = rest.pop(0)
             words = self.words
-            fresh = list(set(rest).difference(words))
-            found = dict(zip(fresh, self._of([" " + w for w in fresh]), strict=True))
-            if len(words) + len(found) <= KEPT:
-                words.update(found)
+            fresh = self._words(set(rest).difference(words))
+            ids = self._of([first])[0]
+            if len(words) + len(fresh) <= KEPT:
+                words.update(fresh)
+                ids += b"".join(map(words.__getitem__, rest))
             else:
-                # look the new ones up first, in a table for this text alone
-                words = {w: found[w] if w in found else words[w] for w in set(rest)}
-            ids = self._of([first])[0] + b"".join(map(words.__getitem__, rest))
+                known = words.get
+                ids += b"".join([known(w) or fresh[w] for w in rest])
         return np.frombuffer(ids + self.end, self.dtype)
 
 
