@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +150,42 @@ def test_paired_terms_by_hand():
     assert len(toxicity.paired_terms([], np.zeros(0), 0)) == 0
 
 
+def test_pairs_are_tested_some_rows_at_a_time(monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.random((600, 1024)) < 0.2
+    y = (x[:, 2] & x[:, 700]) | (rng.random(600) < 0.05)
+    texts = [np.flatnonzero(row) for row in x]
+    tracemalloc.start()
+    found = toxicity.paired_terms(texts, y, 1024)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the counts of pairs, a product on its way to them, a slice of texts and the tests of some rows
+    assert {2, 700} <= set(found.tolist()) and peak < 12 * 4 * 1024**2
+    monkeypatch.setattr(toxicity, "ROWS", 7)
+    assert toxicity.paired_terms(texts, y, 1024).tolist() == found.tolist()
+
+
+def test_terms_of_texts_lie_in_flat_arrays():
+    rng = random.Random(2)
+    texts = [sorted(rng.sample(range(300), rng.choice([0, 1, 30, 260]))) for _ in range(4000)]
+    texts += texts[:50]
+    column = pa.chunked_array([pa.array(part, pa.list_(pa.int16())) for part in (texts[:1000], [], texts[1000:])])
+    labels = np.array([rng.random() < 0.5 for _ in texts])
+    place = np.array([(7 * i) % 300 if i % 3 else -1 for i in range(300)])
+    tracemalloc.start()
+    bags = toxicity.Bags.of(column)
+    moved = bags.renumbered(place)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * sum(map(len, texts)) + 1_000_000
+    assert [bags[i].tolist() for i in range(len(bags))] == texts
+    want = [[place[t] for t in text if place[t] >= 0] for text in texts]
+    assert [moved[i].tolist() for i in range(len(moved))] == want
+    assert moved.order(labels) == sorted(range(len(texts)), key=lambda i: (labels[i], want[i]))
+    empty = toxicity.Bags.of(pa.chunked_array([], pa.list_(pa.int16())))
+    assert len(empty) == len(empty.renumbered(place)) == 0
+
+
 def test_quality_model(corpus):
     docs, labels, truth = corpus
     model = quality_model.train(docs, labels, fold("doc_id", 5) != 0)

@@ -9,7 +9,7 @@ two apart, as an insult beside the mention of a group does.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +30,8 @@ TERMS, LEAST_Z, LEAST_TEXTS = 4096, 3.5, 5
 #: them are kept because of what they do together, alone without effect or not
 #: (five and a half deviations: two million pairs are tested).
 PAIRED, LEAST_PAIR_Z = 2048, 5.5
+#: Terms whose pairs with all others are tested at a time.
+ROWS = 128
 FACTORS, EPOCHS, BATCH, RATE, SHRINK = 8, 30, 128, 0.02, 1e-4
 #: Words whose terms are kept per task; at more, the task starts a new table.
 KEPT = 200_000
@@ -74,6 +76,42 @@ class Terms:
         return sorted(found)
 
 
+class Bags:
+    """The terms of many texts, one text after the other in a flat array: two
+    bytes a term, as there are fewer than 2^15 of them."""
+
+    def __init__(self, flat: np.ndarray, cuts: np.ndarray) -> None:
+        self.flat, self.cuts = flat, cuts
+
+    @staticmethod
+    def of(column: pa.ChunkedArray) -> Bags:
+        flat, sizes = [np.zeros(0, np.int16)], [np.zeros(1, np.int64)]
+        for part in column.chunks:
+            flat.append(part.flatten().to_numpy())
+            sizes.append(part.value_lengths().to_numpy())
+        return Bags(np.concatenate(flat), np.cumsum(np.concatenate(sizes)))
+
+    def __len__(self) -> int:
+        return len(self.cuts) - 1
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.cuts[i] : self.cuts[i + 1]]
+
+    def renumbered(self, place: np.ndarray) -> Bags:
+        """Each term as the number ``place`` gives it, without those below zero."""
+        place = place.astype(np.int16)
+        flat, sizes = [np.zeros(0, np.int16)], [np.zeros(1, np.int64)]
+        for i in range(len(self)):
+            found = place[self[i]]
+            flat.append(found[found >= 0])
+            sizes.append([len(flat[-1])])
+        return Bags(np.concatenate(flat), np.cumsum(np.concatenate(sizes)))
+
+    def order(self, labels: np.ndarray) -> list[int]:
+        """The texts by label and terms."""
+        return sorted(range(len(self)), key=lambda i: (labels[i], self[i].astype(">u2").tobytes()))
+
+
 @dataclass
 class Machine:
     kept: np.ndarray
@@ -81,12 +119,12 @@ class Machine:
     linear: np.ndarray
     factors: np.ndarray
 
-    def margins(self, texts: list[list[int]]) -> np.ndarray:
+    def margins(self, texts: Sequence[Sequence[int]]) -> np.ndarray:
         sizes = np.array([len(t) for t in texts], np.int64)
         out = np.full(len(texts), self.bias)
         full = np.flatnonzero(sizes)
         if full.size:
-            flat = np.fromiter((x for t in texts for x in t), np.int64, int(sizes.sum()))
+            flat = np.concatenate([np.asarray(t, np.int64) for t in texts])
             cuts = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
             v = self.factors[flat]
             total = np.add.reduceat(v, cuts, axis=0)
@@ -95,7 +133,7 @@ class Machine:
         return out
 
 
-def fit(texts: list[list[int]], labels: np.ndarray, kept: np.ndarray, seed: int = 7) -> Machine:
+def fit(texts: Sequence[Sequence[int]], labels: np.ndarray, kept: np.ndarray, seed: int = 7) -> Machine:
     """Minimises logistic loss with Adam over small batches."""
     rng = np.random.default_rng(seed)
     n, y = len(texts), labels.astype(float)
@@ -117,7 +155,7 @@ def fit(texts: list[list[int]], labels: np.ndarray, kept: np.ndarray, seed: int
             off /= len(at)
             grad_w, grad_v = SHRINK * m.linear, SHRINK * m.factors
             for t, e in zip(part, off, strict=True):
-                if t:
+                if len(t):
                     v = m.factors[t]
                     grad_w[t] += e
                     grad_v[t] += e * (v.sum(axis=0) - v)
@@ -132,32 +170,39 @@ def fit(texts: list[list[int]], labels: np.ndarray, kept: np.ndarray, seed: int
     return m
 
 
-def paired_terms(texts: list[list[int]], labels: np.ndarray, size: int) -> np.ndarray:
+def paired_terms(texts: Sequence[Sequence[int]], labels: np.ndarray, size: int) -> np.ndarray:
     """Which of ``size`` terms are in a pair whose effect isn't the sum of the two.
 
     ``texts`` are lists of term numbers. A pair's texts fall in four cells by
     which of the two they have; of the cells' shares of label 1, with one text
     in two added to each, the interaction ``p11 - p10 - p01 + p00`` is compared
-    with its deviation. Each cell must have ``LEAST_TEXTS`` texts.
+    with its deviation. Each cell must have ``LEAST_TEXTS`` texts. The two
+    counts of all pairs are held, the rest is worked out for ``ROWS`` terms at a time.
     """
     n, y = len(texts), labels.astype(np.float32)
-    every, ones = np.zeros((size, size)), np.zeros((size, size))
+    # whole numbers below 2^24, so exact
+    every, ones = np.zeros((2, size, size), np.float32)
     for first in range(0, n, 1024):
-        part = texts[first : first + 1024]
+        part = [texts[i] for i in range(first, min(first + 1024, n))]
         x = np.zeros((len(part), size), np.float32)
         for i, t in enumerate(part):
             x[i, t] = 1
         every += x.T @ x
         ones += x.T @ (x * y[first : first + 1024, None])
-    own, own_ones = np.diag(every), np.diag(ones)
-    cells = [(every, ones), (own[:, None] - every, own_ones[:, None] - ones), (own - every, own_ones - ones)]
-    cells.append((n - sum(c for c, _ in cells), float(y.sum()) - sum(c for _, c in cells)))
-    shares = [(c1 + 0.5) / (c + 1) for c, c1 in cells]
-    spread = np.sqrt(sum(p * (1 - p) / (c + 1) for p, (c, _) in zip(shares, cells, strict=True)))
-    z = np.abs(shares[0] - shares[1] - shares[2] + shares[3]) / spread
-    z[np.minimum.reduce([c for c, _ in cells]) < LEAST_TEXTS] = 0
-    np.fill_diagonal(z, 0)
-    return np.flatnonzero(z.max(axis=0, initial=0) >= LEAST_PAIR_Z)
+    own, own_ones = np.diag(every).astype(float), np.diag(ones).astype(float)
+    most = np.zeros(size)
+    for first in range(0, size, ROWS):
+        rows = slice(first, first + ROWS)
+        both, both_ones = every[rows].astype(float), ones[rows].astype(float)
+        cells = [(both, both_ones), (own[rows, None] - both, own_ones[rows, None] - both_ones), (own - both, own_ones - both_ones)]
+        cells.append((n - sum(c for c, _ in cells), float(y.sum()) - sum(c for _, c in cells)))
+        shares = [(c1 + 0.5) / (c + 1) for c, c1 in cells]
+        spread = np.sqrt(sum(p * (1 - p) / (c + 1) for p, (c, _) in zip(shares, cells, strict=True)))
+        z = np.abs(shares[0] - shares[1] - shares[2] + shares[3]) / spread
+        z[np.minimum.reduce([c for c, _ in cells]) < LEAST_TEXTS] = 0
+        z[np.arange(len(z)), np.arange(first, first + len(z))] = 0
+        most = np.maximum(most, z.max(axis=0, initial=0))
+    return np.flatnonzero(most >= LEAST_PAIR_Z)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,19 +252,20 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, label
     def found(batches):
         terms = Terms(looked_at)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([terms.of(t) for t in raw(batch.column(1))], pa.list_(pa.int32()))], ["label", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([terms.of(t) for t in raw(batch.column(1))], pa.list_(pa.int16()))], ["label", "terms"])
 
-    got = rows.mapInArrow(found, "label int, terms array<int>").toArrow()
-    texts, y = got.column("terms").to_pylist(), got.column("label").to_numpy() != 0
+    got = rows.mapInArrow(found, "label int, terms array<smallint>").toArrow()
+    texts, y = Bags.of(got.column("terms")), got.column("label").to_numpy() != 0
+    del got
     # numbers among the frequent words, and then among all that are kept
     place = np.full(len(looked_at), -1)
     place[np.searchsorted(looked_at, frequent)] = np.arange(len(frequent))
-    pairs = paired_terms([[p for p in place[t].tolist() if p >= 0] for t in texts], y, len(frequent)) if len(frequent) else np.zeros(0, np.int64)
+    pairs = paired_terms(texts.renumbered(place), y, len(frequent)) if len(frequent) else np.zeros(0, np.int64)
     kept = np.union1d(apart, frequent[pairs])
     place = np.full(len(looked_at), -1)
     place[np.searchsorted(looked_at, kept)] = np.arange(len(kept))
-    texts = [[p for p in place[t].tolist() if p >= 0] for t in texts]
-    order = sorted(range(len(texts)), key=lambda i: (y[i], texts[i]))  # the same fit for any order of rows
+    texts = texts.renumbered(place)
+    order = texts.order(y)  # the same fit for any order of rows
     return fit([texts[i] for i in order], y[order] if len(order) else np.zeros(0), kept)
 
 
