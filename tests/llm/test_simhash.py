@@ -162,3 +162,33 @@ def test_rows_of_a_large_key_stream_past(monkeypatch):
         seen += int(off.sum())
         assert set(out.column(0).to_numpy()[off].tolist()) <= {7}
     assert seen == 999_980
+
+
+def test_rounds_write_as_many_files_as_their_links_are_worth(spark, monkeypatch):
+    """A session that shuffles to very many partitions gets no crowd of tiny files in each round."""
+    from vecshelf.llm import components as stars
+
+    files = []
+
+    def written(df, name):
+        out = stars_written(df, name)
+        files.append((name, len(out.inputFiles())))
+        return out
+
+    stars_written = stars.written
+    monkeypatch.setattr(stars, "written", written)
+    monkeypatch.setattr(stars, "LINKS_A_FILE", 100)
+    paths = [(i, i + 1) for i in range(400) if i % 8 != 7]
+    links = spark.createDataFrame(paths, "a long, b long").repartition(40)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r.node: r.root for r in stars.connected(links).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i // 8 * 8 for i in range(400)}
+    rounds = [n for name, n in files if name == "stars"]
+    assert len(rounds) > 2 and max(rounds) <= -(-len(paths) // 100)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from vecshelf.session import written
 
+#: Links of a file of a round, about.
+LINKS_A_FILE = 20_000
+
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Joins each node's larger neighbours to the smallest of node and neighbours."""
@@ -29,6 +32,8 @@ def connected(links: DataFrame) -> DataFrame:
     Alternating large and small stars: each round is a few joins and groupings
     on narrow rows, written to the shared folder, until a round changes
     nothing. The number of rounds grows with the logarithm of the node count.
+    A round has no more links than the one before, so its table gets as many
+    files as those are worth, however many partitions the session shuffles to.
     A node with very many neighbours is a hot join key only beside one row, so
     adaptive execution can split it.
     """
@@ -42,7 +47,8 @@ def connected(links: DataFrame) -> DataFrame:
     now = written(ordered(links), "links")
     seen = mark(now)
     while True:
-        now = written(ordered(_small_star(ordered(_large_star(now)))), "stars")
+        files = max(1, -(-seen[0] // LINKS_A_FILE))
+        now = written(ordered(_small_star(ordered(_large_star(now)))).coalesce(files), "stars")
         if (at := mark(now)) == seen:
             break
         seen = at
