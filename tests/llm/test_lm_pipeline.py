@@ -119,6 +119,54 @@ def test_slices_and_ranges_do_not_change_scores(spark, monkeypatch):
     assert loss(mixers[0]) < loss(lm_score.Mixer.first())
 
 
+def test_texts_looked_up_at_a_time_do_not_change_scores(spark, monkeypatch):
+    rows = texts(120) + [(500, "", "a"), (501, None, None), (506, "zzz qqq the zzz", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    mixers = []
+    learned = lm_score._learned
+    monkeypatch.setattr(lm_score, "_learned", lambda *a: mixers.append(learned(*a)) or mixers[0])
+    found = []
+    for at_a_time, head in ((256, 100_000), (1, 100_000), (7, 3)):
+        monkeypatch.setattr(lm_score, "TEXTS", at_a_time)
+        monkeypatch.setattr(lm_score, "HEAD", head)
+        found.append({r.doc_id: tuple(r)[2:] for r in score(docs).collect()})
+    assert len(found[0]) == len(rows)
+    for k, want in found[0].items():
+        assert found[1][k] == pytest.approx(want, rel=1e-9) and found[2][k] == pytest.approx(want, rel=1e-9)
+
+
+def test_sums_over_words_by_hand():
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=(9, 3))
+    lengths = np.array([0, 2, 1, 3, 0, 3, 1, 0, 2])
+    ends = np.cumsum(lengths)
+    of = np.concatenate([rng.permutation(3)[:n] for n in lengths])
+    more = rng.normal(size=len(of))
+    kinds = np.array([4, 0, 3, 1, 2])
+    at = np.array([0, 3, -1, 5, 8, 8, 1, -1, -1, 2])
+    often = np.array([2, 1, 5, 3, 1, 4, 1, 7, 1, 6])
+    known, own = lm_score._sums((values, (ends - lengths, ends, of, more)), at, often, kinds, 3)
+    want_known, want_own, i = np.zeros((5, 3)), np.zeros((5, 3)), 0
+    for text, n in enumerate(kinds):
+        for w, k in zip(at[i : i + n], often[i : i + n]):
+            if w >= 0:
+                want_known[text] += k * values[w]
+                for e in range(ends[w] - lengths[w], ends[w]):
+                    want_own[text, of[e]] += k * more[e]
+        i += n
+    assert np.allclose(known, want_known) and np.allclose(own, want_own)
+
+
+def test_logits_of_a_shared_row_are_worked_out_once(spark, monkeypatch):
+    words = [a + b + b"ing" for a in (b"walk", b"talk", b"park", b"bark", b"dark") for b in (b"", b"er", b"est", b"less")]
+    (model,), _ = model_of(spark, sorted(words), [3] * len(words))
+    rows, plain = [], lm_score.Exact.inputs
+    monkeypatch.setattr(lm_score.Exact, "inputs", staticmethod(lambda t, *a: rows.append(len(t)) or plain(t, *a)))
+    steps = sum(len(u[0]) // 8 for _, _, u, _ in model.slices(True))
+    tables = sum(len(t) for n, (t, at) in model.tables.items() if at is not None)
+    assert sum(rows) == tables + steps and len(model.tables[3][0]) < steps
+
+
 def test_online_learning_comes_near_the_best_weights(spark):
     counted = Counter(w for _, t, _ in texts(200) for w in [*t.lower().encode().split(), b""])
     words = sorted(counted)

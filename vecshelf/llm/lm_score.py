@@ -38,6 +38,7 @@ import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,8 @@ SLICE, FLUSH = 1 << 16, 300_000
 ROUNDS, FIRST_WEIGHT, FIRST = 2, 50.0, 0.25
 #: Most frequent words sent to all tasks, and the longest such word in bytes.
 HEAD, HEAD_BYTES = 100_000, 64
+#: Texts whose words are looked up at a time.
+TEXTS = 256
 #: Words of one sorted range, and symbols, about; a longer word is a range of its own.
 WORDS_A_TASK, SYMBOLS_A_TASK = 50_000, 1 << 19
 #: Symbols whose contexts a task adds up before it sends them on.
@@ -301,7 +304,7 @@ class Online:
     def learn(self, u: np.ndarray, gate: np.ndarray, often: np.ndarray, ones: np.ndarray) -> None:
         """A slice of decisions: predict, note what came of it, and step.
         ``u`` are logits of the side taken (predictor, decision)."""
-        order = np.argsort(gate, kind="stable")
+        order = np.argsort(gate.astype(np.int16), kind="stable")  # so few bits are sorted by radix
         gate, often, ones = gate[order], often[order], ones[order]
         u, z = u[:, order].astype(np.float64), np.empty(len(gate))
         ends = np.r_[0, np.flatnonzero(np.diff(gate)) + 1, len(gate)]
@@ -352,6 +355,23 @@ class Exact:
         self.tables = {0: (by_place, place_at), 1: (by_one, one_at), WHOLE: (whole, None)}
         self.tables |= {n: (last[:, 9 * i : 9 * i + 9], at) for i, n in enumerate((2, 3, 4))}
 
+    @staticmethod
+    def inputs(t: np.ndarray, left_out: bool, gated: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """Logits of the side taken for rows of outcomes, eight decisions each;
+        ``gated``: and how much their contexts have seen."""
+        other = t[:, :8]
+        # how often a bit came out as it does: the symbol's count and what parts from it later
+        later = t[:, :8].copy()
+        for b in range(6, -1, -1):
+            later[:, b] += later[:, b + 1]
+        same = t[:, 8:] + later - other
+        if left_out:
+            same = np.maximum(same - 1, 0)
+        seen = None
+        if gated:
+            seen = sum(((same + other) > x).view(np.uint8) for x in SEEN)
+        return np.log((same + np.float32(0.4)) / (other + np.float32(0.4))), seen
+
     def slices(self, left_out: bool) -> Iterator[tuple]:
         """(steps, ones, inputs of the side taken (predictor, decision), gates),
         eight decisions a step; ``left_out``: of the training tokens, each taken
@@ -359,20 +379,20 @@ class Exact:
         steps = self.steps
         chosen = np.flatnonzero(steps.counts > 0) if left_out else np.arange(len(steps.key))
         size = max(1, SLICE // 8)
+        # many steps read the same row of a table by last symbols or place, so that is worked out once
+        shared = {n: self.inputs(t, left_out, n in GATED) for n, (t, at) in self.tables.items() if at is not None}
         for i in range(0, len(chosen), size):
             rows = chosen[i : i + size]
             u, seen = np.empty((len(LENGTHS), 8 * len(rows)), np.float32), []
             for k, length in enumerate(LENGTHS):
                 table, at = self.tables[length]
-                t = table[rows if at is None else at[rows]]
-                other = t[:, :8]
-                # how often a bit came out as it does: the symbol's count and what parts from it later
-                same = t[:, 8:] + np.cumsum(t[:, 7::-1], axis=1)[:, ::-1] - other
-                if left_out:
-                    same = np.maximum(same - 1, 0)
-                u[k] = np.log((same + np.float32(0.4)) / (other + np.float32(0.4))).ravel()
+                if at is None:
+                    logits, often = self.inputs(table[rows], left_out, length in GATED)
+                else:
+                    logits, often = (x if x is None else x[at[rows]] for x in shared[length])
+                u[k] = logits.ravel()
                 if length in GATED:
-                    seen.append(np.searchsorted(SEEN, (same + other).ravel()))
+                    seen.append(often.ravel())
             ones = ((steps.symbol[rows, None] >> np.arange(7, -1, -1)) & 1).ravel().astype(bool)
             yield rows, ones, u, Mixer.gate(seen, np.repeat(steps.place[rows], 8))
 
@@ -382,9 +402,9 @@ class Exact:
 
     def step_logs(self, mixer: Mixer) -> np.ndarray:
         """log10 of the probability of each step's symbol after its beginning."""
-        logs = np.empty(len(self.steps.key))
+        logs, weights = np.empty(len(self.steps.key)), mixer.weights.T.copy()
         for rows, ones, u, gate in self.slices(False):
-            z = np.einsum("ij,ji->i", mixer.weights[gate], u)
+            z = sum(w[gate] * x for w, x in zip(weights, u, strict=True))
             p = mixer.final(np.where(ones, z, -z), gate)
             logs[rows] = np.log10(np.where(ones, p, 1 - p)).reshape(-1, 8).sum(axis=1)
         return logs
@@ -537,6 +557,21 @@ def _head(words: DataFrame) -> DataFrame:
     return short.where(F.col("n") >= least) if least is not None else short.where("false")
 
 
+def _sums(table: tuple, at: np.ndarray, often: np.ndarray, kinds: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, known words and base and score of the model) and (text, class): sums
+    over the words of some texts, ``kinds`` distinct words each, that lie at ``at``
+    in a table (below zero: not in it) and come ``often``."""
+    values, (starts, ends, of, more) = table
+    text = np.repeat(np.arange(len(kinds)), kinds)[at >= 0]
+    at, often = at[at >= 0], often[at >= 0].astype(float)
+    known = np.column_stack([np.bincount(text, often * values[at, i], len(kinds)) for i in range(values.shape[1])]).astype(float)
+    first, lengths = starts[at], ends[at] - starts[at]
+    terms = np.repeat(first - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+    cell = np.repeat(text * classes, lengths) + of[terms]
+    own = np.bincount(cell, more[terms] * np.repeat(often, lengths), len(kinds) * classes)
+    return known, own.astype(float).reshape(-1, classes)  # of no words at all, bincount gives integers
+
+
 def score_texts(docs: DataFrame, train: Column, group: Column | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, train, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of each row.
 
@@ -605,37 +640,33 @@ def score_texts(docs: DataFrame, train: Column, group: Column | None = None, key
     classes = len(names)
 
     def looked_up(batches):
-        places, values, (starts, ends, of, more) = head.value
-        find = places.get
+        find = head.value[0].get
         for batch in batches:
-            numbers, sums, owns, rare, counts, ends_of_rare = [], [], [], [], [], [0]
-            for text in raw(batch.column(2)):
-                tokens = (text or b"").lower().split()
-                tokens.append(END)
-                times = Counter(tokens)
-                at = np.array([find(w, -1) for w in times], np.int64)
-                often = np.fromiter(times.values(), np.float64, len(times))
+            for first in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(first, TEXTS)
+                words, numbers = [], []
+                for text in raw(part.column(2)):
+                    tokens = (text or b"").lower().split()
+                    tokens.append(END)
+                    times = Counter(tokens)
+                    numbers.append((len(tokens), len(text or b""), len(times)))
+                    words.append(times)
+                kinds = np.array([x for _, _, x in numbers])
+                flat = list(chain.from_iterable(words))
+                at = np.fromiter(map(find, flat, repeat(-1)), np.int64, len(flat))
+                often = np.fromiter(chain.from_iterable(x.values() for x in words), np.int64, len(flat))
+                known, own = _sums(head.value[1:], at, often, kinds, classes)
                 missing = at < 0
-                here, often_here = at[~missing], often[~missing]
-                known = often_here @ values[here]
-                first, lengths = starts[here], ends[here] - starts[here]
-                terms = np.repeat(first - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-                owns.append(np.bincount(of[terms], more[terms] * np.repeat(often_here, lengths), classes))
-                numbers.append((len(tokens), len(text or b""), int(known[0])))
-                sums.append((known[1], known[2]))
-                words_here = list(times)
-                rare += [words_here[i] for i in np.flatnonzero(missing).tolist()]
-                counts.append(often[missing])
-                ends_of_rare.append(len(rare))
-            whole, real = np.array(numbers, np.int64).reshape(-1, 3).T, np.array(sums).reshape(-1, 2).T
-            rest = pa.StructArray.from_arrays(
-                [pa.array(rare, pa.binary()), pa.array(np.concatenate([*counts, np.zeros(0)]).astype(np.int64))], ["word", "times"]
-            )
-            own = pa.ListArray.from_arrays(pa.array(np.arange(len(owns) + 1) * classes, pa.int32()), pa.array(np.concatenate([*owns, np.zeros(0)])))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], *map(pa.array, whole), *map(pa.array, real), own, pa.ListArray.from_arrays(pa.array(ends_of_rare, pa.int32()), rest)],
-                ["key", "train", "n_tokens", "n_bytes", "found", "base", "score", "own", "rest"],
-            )
+                ends_of_rare = np.r_[0, np.cumsum(missing)][np.r_[0, np.cumsum(kinds)]]
+                rare = pa.array(list(compress(flat, missing.tolist())), pa.binary())
+                rest = pa.StructArray.from_arrays([rare, pa.array(often[missing])], ["word", "times"])
+                own = pa.ListArray.from_arrays(pa.array(np.arange(len(kinds) + 1) * classes, pa.int32()), pa.array(own.ravel()))
+                rest = pa.ListArray.from_arrays(pa.array(ends_of_rare, pa.int32()), rest)
+                whole = [pa.array([x[i] for x in numbers], pa.int64()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:2], *whole, pa.array(known[:, 0].astype(np.int64)), pa.array(known[:, 1].copy()), pa.array(known[:, 2].copy()), own, rest],
+                    ["key", "train", "n_tokens", "n_bytes", "found", "base", "score", "own", "rest"],
+                )
 
     kind = docs.schema[key].dataType.simpleString()
     looked = rows.select("key", "train", "text").mapInArrow(
