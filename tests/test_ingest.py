@@ -1,8 +1,16 @@
 import gzip
 import json
+from pathlib import Path
 
+import pytest
+
+import __spark_entry__ as entry_points
+from vecshelf.functions.records import FIELDS
 from vecshelf.operators import curate
 from vecshelf.operators.catalog import popularity_tiers
+from vecshelf.plans import testbed
+from vecshelf.session import LEAN_WRITES, lean_writes
+from vecshelf.sources import dump
 from vecshelf.sources.dump import land_dump, read_dump
 from vecshelf.sources.tables import table_counts, write_curated
 
@@ -144,3 +152,129 @@ def test_curated_tables(spark, tmp_path):
     assert sorted(map(tuple, table_counts(curated).collect())) == [("books", 3), ("links", 2)]
     tiers = popularity_tiers(curated["books"], (2, 3))
     assert sorted(map(tuple, tiers.collect())) == [(2, 3), (3, 0)]
+
+
+def dump_folder(tmp_path, parts):
+    """The lines in files of one size nearly, several times over."""
+    folder = tmp_path / "dump"
+    folder.mkdir()
+    for part in range(parts):
+        with gzip.open(folder / f"part-{part}.txt.gz", "wt") as out:
+            out.write("\n".join(LINES) + "\n")
+    return str(folder)
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in files.mkString("\n").split("\n") if "/shuffle_" in name}
+
+
+def test_lines_dealt_out_by_files_are_not_shuffled(spark, tmp_path):
+    folder = dump_folder(tmp_path, 4)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")  # else so small files make one task
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    try:
+        records, quarantine = read_dump(spark, folder, partitions=4)
+        assert "Exchange" not in executed(records) and "Exchange" not in executed(quarantine)
+        assert records.count() == 4 * (len(LINES) - 2)
+        more, _ = read_dump(spark, folder, partitions=50)
+        assert "Exchange" in executed(more) and more.count() == records.count()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_one_file_is_dealt_out_evenly_without_a_sort(spark, tmp_path):
+    path = tmp_path / "dump.txt.gz"
+    with gzip.open(path, "wt") as out:
+        out.write("\n".join([work("W1", title="all the same")] * 4000))
+    records, _ = read_dump(spark, str(path), partitions=4)
+    assert "RoundRobin" not in executed(records)  # its rows are sorted first, and spilled
+    dealt = records.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(dealt) == 4000 and len(dealt) == 4 and max(dealt) < 1200
+
+
+def test_landing_holds_no_more_disk_than_its_files(spark, tmp_path, monkeypatch):
+    planned = []
+    land = dump._land
+
+    def spied(headed, out, mode):
+        land(headed, out, mode)
+        planned.append({key: spark.conf.get(key, None) for key in LEAN_WRITES})
+
+    monkeypatch.setattr(dump, "_land", spied)
+    before = {key: spark.conf.get(key, None) for key in LEAN_WRITES}
+    there = shuffle_files(spark)
+    tables = landed(spark, tmp_path)
+    assert not shuffle_files(spark) - there
+    assert planned == [before]
+    files = [f.name for f in (tmp_path / "records").rglob("*.parquet")]
+    assert files and all(".zstd." in name for name in files)
+    assert tables["works"].count() == 5
+
+
+def test_lean_writes_restores_settings_after_an_error(spark):
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    spark.conf.set(key, "3")
+    try:
+        with pytest.raises(ValueError), lean_writes(spark):
+            assert spark.conf.get(key) == LEAN_WRITES[key]
+            raise ValueError
+        assert spark.conf.get(key) == "3"
+    finally:
+        spark.conf.unset(key)
+
+
+def test_land_dump_of_some_columns(spark, tmp_path):
+    repeated = '/type/work\t/works/R\t1\t2024\t{"title":"first","title":"second"}'
+    twice = '/type/edition\t/books/R\t1\t2024\t{"title":"x","title":"y"}'
+    path = tmp_path / "dump.txt"
+    path.write_text("\n".join([*LINES, repeated, twice]))
+    columns = {"works": ["title"], "authors": ["json"]}
+    tables = land_dump(spark, str(path), str(tmp_path / "records"), columns=columns)
+    assert set(tables) == {"works", "authors", "quarantine"}
+    assert tables["works"].columns == ["key", "title"] and tables["authors"].columns == ["key", "json"]
+    whole = land_dump(spark, str(path), str(tmp_path / "whole"))
+    for table, names in columns.items():
+        want = whole[table].select("key", *names)
+        assert sorted(tables[table].collect()) == sorted(want.collect())
+    assert rows(tables["works"], "key", "title")["/works/R"].title == "first"
+    assert sorted(tables["quarantine"].collect()) == sorted(whole["quarantine"].collect())
+    assert whole["quarantine"].count() == 2 and whole["editions"].columns == ["key", *FIELDS["editions"], "json"]
+    kept = {f.parent.name for f in (tmp_path / "records").rglob("*.parquet")}
+    assert not any("edition" in name for name in kept)
+    with_json = spark.read.parquet(str(tmp_path / "records")).where("type = '/type/work' and json is not null")
+    assert with_json.count() == 0
+
+
+#: what a query reads of the dump's records, and so all that it may land
+READ = {
+    "write_curated": {"editions", "works", "authors"},
+}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="needs the given tables")
+@pytest.mark.parametrize("name", READ)
+def test_queries_land_what_they_read(spark, monkeypatch, name):
+    asked = []
+
+    def spied(spark, path, out, partitions=None, columns=None):
+        tables = land_dump(spark, path, out, partitions, columns)
+        asked.append((tables, set(spark.read.parquet(out).columns)))
+        return tables
+
+    monkeypatch.setattr(testbed, "land_dump", spied)
+    assert entry_points.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+    ((tables, columns),) = asked
+    assert set(tables) == READ[name] | {"quarantine"}
+    used = {c for table in READ[name] for c in tables[table].columns}
+    assert columns <= used | {"key", "line", "reason", "type"}
+    assert ("json" in columns) == (name in WITH_JSON)
+
+
+#: these parse the JSON themselves, and read nothing else
+WITH_JSON: set[str] = set()

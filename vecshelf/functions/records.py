@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,24 +58,27 @@ FIELDS: dict[str, dict[str, Callable[[], Column]]] = {
 }
 
 
-def landed_fields(kind: Column) -> list[Column]:
-    """One column for each field of any table, filled where ``kind`` is a table that has it."""
+def landed_fields(kind: Column, columns: Mapping[str, Sequence[str]]) -> list[Column]:
+    """One column for each field that ``columns`` names for any table, filled
+    where ``kind`` is a table that it is named for."""
     names = dict.fromkeys(name for fields in FIELDS.values() for name in fields)
     out = []
     for name in names:
         value = None
         for table, fields in FIELDS.items():
-            if name in fields:
+            if name in fields and name in columns.get(table, ()):
                 here = kind == table
                 value = F.when(here, fields[name]()) if value is None else value.when(here, fields[name]())
-        out.append(value.alias(name))
+        if value is not None:
+            out.append(value.alias(name))
     return out
 
 
-def typed(df: DataFrame, table: str) -> DataFrame:
-    """``df`` with the typed fields of a table: as they were landed, or parsed
-    here where a frame has the JSON alone. Columns that are there stay."""
-    missing = [name for name in FIELDS[table] if name not in df.columns]
+def typed(df: DataFrame, table: str, names: Sequence[str] | None = None) -> DataFrame:
+    """``df`` with the typed fields of a table, all or those in ``names``: as they
+    were landed, or parsed here where a frame has the JSON alone. Columns that are
+    there stay."""
+    missing = [name for name in names or FIELDS[table] if name not in df.columns]
     if not missing:
         return df
     parsed = df.withColumn("doc", F.try_parse_json("json"))

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from vecshelf.functions.records import typed
 from vecshelf.functions.text import extract_year, strip_prefix, subject_in
 
+# The fields of editions that their aggregates read.
+AGGREGATED = ["work_key", "publish_date", "subjects_text", "isbn13", "description"]
+
 
 def edition_aggregates(
     editions: DataFrame, subject: str = "fiction", whole_word: bool = False
 ) -> DataFrame:
     """``(work_key, edition_count, min_year, ed_fiction, isbn13, ed_desc)`` per work."""
-    rows = typed(editions, "editions").where("work_key is not null").select(
+    rows = typed(editions, "editions", AGGREGATED).where("work_key is not null").select(
         "work_key",
         extract_year("publish_date").alias("year"),
         subject_in("subjects_text", subject, whole_word).alias("fiction"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from vecshelf.operators.catalog import book_meta, build_catalog, build_corpus
 from vecshelf.operators.grouping import canonical
 from vecshelf.operators.ratings import fold_ratings, validate_ratings
-from vecshelf.session import new_path, written
+from vecshelf.session import lean_writes, new_path, written
 from vecshelf.sources.dump import land_dump, read_dump
 
 
@@ -176,7 +176,8 @@ class Testbed:
     @cached_property
     def dump_path(self) -> str:
         path = new_path(self.spark, "dump")
-        dump_lines(self).write.option("compression", "gzip").text(path)
+        with lean_writes(self.spark):
+            dump_lines(self).write.option("compression", "gzip").text(path)
         return path
 
     @property
@@ -189,7 +190,11 @@ class Testbed:
 
     @cached_property
     def records(self) -> dict[str, DataFrame]:
-        return land_dump(self.spark, self.dump_path, new_path(self.spark, "records"), self.cores)
+        return self.landed()
+
+    def landed(self, columns: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+        """The dump's records, or only the tables and columns that are named."""
+        return land_dump(self.spark, self.dump_path, new_path(self.spark, "records"), self.cores, columns)
 
 
 def changes_of(events: DataFrame) -> DataFrame:

@@ -3,9 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# While a job writes: its shuffle files go when it ends and not when the driver
+# collects garbage, and the few values of a partition column are written side by
+# side, so that no task sorts (and spills) its rows by them first.
+LEAN_WRITES = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.maxConcurrentOutputFileWriters": "8",
+}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
@@ -45,6 +55,22 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in files.listStatus(target)] if files.exists(target) else []
 
 
+@contextmanager
+def lean_writes(spark: SparkSession) -> Iterator[None]:
+    """Within it, writes hold no more disk than they need (``LEAN_WRITES``)."""
+    before = {key: spark.conf.get(key, None) for key in LEAN_WRITES}
+    for key, value in LEAN_WRITES.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, lineage cut,
     and with file sizes that later joins can plan on."""
