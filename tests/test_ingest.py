@@ -256,6 +256,7 @@ READ = {
     "write_curated": {"editions", "works", "authors"},
     "build_books": {"editions", "works"},
     "split_by_type": {"editions", "works", "authors"},
+    "edition_facets": {"editions"},
 }
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from vecshelf.functions.records import typed
 from vecshelf.functions.text import extract_year, strip_prefix, subject_in
 
-# The fields of editions that their aggregates read.
+# The fields of editions that their aggregates and their facets read.
 AGGREGATED = ["work_key", "publish_date", "subjects_text", "isbn13", "description"]
+FACETS = ["work_key", "languages", "genres"]
 
 
 def edition_aggregates(
@@ -44,7 +45,8 @@ def edition_facets(editions: DataFrame) -> DataFrame:
         return F.coalesce(each, F.array().cast("array<struct<facet:string,value:string>>"))
 
     facets = F.array_distinct(F.concat(named("language", "languages"), named("genre", "genres")))
-    rows = typed(editions, "editions").where("work_key is not null").select("work_key", F.inline(facets))
+    named_works = typed(editions, "editions", FACETS).where("work_key is not null")
+    rows = named_works.select("work_key", F.inline(facets))
     return (
         rows.where("value is not null").groupBy("work_key", "facet", "value").agg(F.count("*").alias("n"))
     )
