@@ -260,6 +260,7 @@ READ = {
     "edition_aggregates": {"editions"},
     "build_authors": {"editions", "works", "authors"},
     "unwrap_text": {"works"},
+    "extract_year": {"editions"},
 }
 
 
@@ -283,4 +284,4 @@ def test_queries_land_what_they_read(spark, monkeypatch, name):
 
 
 #: these parse the JSON themselves, and read nothing else
-WITH_JSON = {"unwrap_text"}
+WITH_JSON = {"extract_year", "unwrap_text"}
