@@ -263,6 +263,7 @@ READ = {
     "extract_year": {"editions"},
     "select_works": {"editions", "works"},
     "build_book_authors": {"editions", "works"},
+    "json_string_array": {"works"},
 }
 
 
@@ -286,4 +287,4 @@ def test_queries_land_what_they_read(spark, monkeypatch, name):
 
 
 #: these parse the JSON themselves, and read nothing else
-WITH_JSON = {"extract_year", "unwrap_text"}
+WITH_JSON = {"json_string_array", "extract_year", "unwrap_text"}
